@@ -28,9 +28,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 #: Words and pieces that a worker remembers; beyond that it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 #: UTF-8 bytes of text whose new words are encoded together.
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 6 << 20
+#: Bytes of ids that are decoded, and sent back, at a time.
+DECODED_BYTES = 1 << 20
 
 #: White space by Unicode's property, which the tokenizer's patterns use.
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -67,7 +69,7 @@ class PairIndexEncoder:
         self.left, self.right = pairs[:, 0].astype(np.int32), pairs[:, 1].astype(np.int32)
         self.special = {x["content"]: x["id"] for x in own["added_tokens"]}
         self.specials = re.compile("(" + "|".join(sorted(map(re.escape, self.special), key=len, reverse=True)) + ")") if self.special else None
-        self.tokens = {i: token for token, i in (self.vocab | self.special).items()}
+        self.tokens = token_table(definition)
         self.base = 1 + max(self.tokens)
         self.keys, self.rank_of_key = np.unique(pairs[:, 0] * self.base + pairs[:, 1], return_index=True)
         self.rank_of_key = self.rank_of_key.astype(np.int32)
@@ -196,14 +198,24 @@ class PairIndexEncoder:
         return [b"".join(map(words.__getitem__, _split(text))) for text in texts]
 
     def decode(self, ids: bytes) -> str:
-        """Without a decoder of its own, a vocabulary's tokens are joined by spaces."""
-        return " ".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        return join_tokens(self.tokens, ids)
 
 
 def _split(text: str) -> list[str]:
     return _WORDS.findall(text) if _NOT_SPACE.search(text) else text.split()
 
 
+def token_table(definition: str) -> dict[int, str]:
+    """Token strings by id."""
+    own = json.loads(definition)
+    return {i: token for token, i in own["model"]["vocab"].items()} | {x["id"]: x["content"] for x in own["added_tokens"]}
+
+
+def join_tokens(tokens: dict[int, str], ids: bytes) -> str:
+    """Decoded text: a vocabulary without a decoder of its own has its tokens joined by spaces."""
+    return " ".join(map(tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
 _ENCODERS: dict[str, PairIndexEncoder] = {}
 
 
@@ -252,10 +264,10 @@ def decode(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id") -> DataF
     source = encoded.select(F.col(id_col).alias("_id"), "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(definition.value)
+        own = token_table(definition.value)
         for batch in batches:
-            for part in by_bytes(batch, 1, CHUNK_BYTES):
-                texts = [own.decode(ids) for ids in part.column(1).to_pylist()]
+            for part in by_bytes(batch, 1, DECODED_BYTES):
+                texts = [join_tokens(own, ids) for ids in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=["_id", "ids", "decoded"])
 
     return source.mapInArrow(run, f"_id {source.schema[0].dataType.simpleString()}, ids binary, decoded string").withColumnRenamed("_id", id_col)
