@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from traceloom.llm import bpe, chat, exact_dedup, mixing, secrets, toxicity
+from traceloom.llm import bpe, chat, exact_dedup, langid, mixing, ngram_join, secrets, toxicity
 from traceloom.llm.common import held_out, read
 
 
@@ -39,6 +39,16 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = langid.train(docs.where(~held_out(F.col("doc_id"))))
+    return langid.predict(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(read(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     model = toxicity.train(docs, labels.where(~held_out(F.col("doc_id"))))
@@ -60,6 +70,8 @@ QUERIES = {
     "op2_chat_formatting": op2_chat_formatting,
     "op3_bpe": op3_bpe,
     "op4_secret_scan": op4_secret_scan,
+    "op5_language_id": op5_language_id,
+    "op6_ngram_join": op6_ngram_join,
     "op7_mix_sources": op7_mix_sources,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_toxicity": op9_toxicity,
