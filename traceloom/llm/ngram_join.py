@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from traceloom.llm.common import materialize, utf8_parts
 from traceloom.llm.components import components
+from traceloom.llm.hashing import Hashes, chain, id_map, in_map
 
 WIDTH = 5
 #: Similarity as a fraction, compared in integers.
@@ -52,39 +53,18 @@ MAP_BITS = 25
 SLICE = 1 << 20
 
 _U = np.uint64
-_P, _M = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)
-_POWERS = np.ones(1, np.uint64)
-_INVERSE = np.ones(1, np.uint64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def _grow(size: int) -> None:
-    """Powers of an odd number modulo 2^64 and of its inverse, as far as a slice reaches."""
-    global _POWERS, _INVERSE
-    if len(_POWERS) < size:
-        inverse = _U(pow(int(_P), -1, 2**64))
-        with np.errstate(over="ignore"):
-            _POWERS = np.concatenate([[_U(1)], np.cumprod(np.full(size - 1, _P, np.uint64))]).astype(np.uint64)
-            _INVERSE = np.concatenate([[_U(1)], np.cumprod(np.full(size - 1, inverse, np.uint64))]).astype(np.uint64)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> _U(32))) * _M
-        x = (x ^ (x >> _U(29))) * _P
-        return x ^ (x >> _U(32))
-
-
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     """Each text's sorted distinct shingle hashes."""
     rows = len(offsets) - 1
     if not len(data):
         return [np.empty(0, np.uint64)] * rows
-    _grow(len(data) + 1)
-    low = _LOWER[data]
+    hashes = Hashes(_LOWER[data])
     space = _SPACE[data]
     starts = ~space
     follows = np.empty(len(data), bool)
@@ -94,16 +74,10 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     follows &= ~at_row[:-1]
     starts = np.flatnonzero(~space & ~follows)
     ends = np.flatnonzero(~space & np.r_[space[1:] | at_row[1:-1], True]) + 1
-    with np.errstate(over="ignore"):
-        sums = np.concatenate([[_U(0)], np.cumsum((low.astype(np.uint64) + _U(1)) * _POWERS[: len(data)], dtype=np.uint64)])
-        words = _mix((sums[ends] - sums[starts]) * _INVERSE[starts] + (ends - starts).astype(np.uint64))
+    words = hashes.of(starts, ends)
     bounds = np.searchsorted(starts, offsets)
     if len(words) >= WIDTH:
-        with np.errstate(over="ignore"):
-            grams = words[: len(words) - WIDTH + 1].copy()
-            for k in range(1, WIDTH):
-                grams = grams * _P + words[k : len(words) - WIDTH + 1 + k]
-            grams = _mix(grams)
+        grams = chain(words, WIDTH)
     found = []
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
         if b - a >= WIDTH:
@@ -276,27 +250,6 @@ def _pairs_of_fragment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array([c[0] for c in crowded], pa.int64()), pa.array([c[1] for c in crowded], pa.binary())], names=["a", "b", "shingle", "classes"])
 
 
-def _membership(ids: DataFrame, bits: int):
-    """A bit map of hashed ids, 2^(bits - 3) bytes whatever the corpus holds, for all tasks."""
-    blocks = 256
-    width = (1 << bits) // blocks
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maps: dict[int, np.ndarray] = {}
-        for batch in batches:
-            slots = np.asarray(batch.column(0).to_numpy(zero_copy_only=False), np.int64)
-            for block in np.unique(slots // width).tolist():
-                maps.setdefault(block, np.zeros(width, bool))[slots[slots // width == block] % width] = True
-        yield pa.RecordBatch.from_arrays([pa.array(list(maps), pa.int32()), pa.array([np.packbits(m).tobytes() for m in maps.values()], pa.binary())], names=["block", "bits"])
-
-    slots = ids.select(F.pmod(F.xxhash64("_id"), F.lit(1 << bits)).alias("slot"))
-    slots = slots.repartition(F.floor(F.col("slot") / width))
-    whole = np.zeros((blocks, width // 8), np.uint8)
-    for row in slots.mapInArrow(mark, "block int, bits binary").collect():
-        whole[row["block"]] |= np.frombuffer(row["bits"], np.uint8)
-    return ids.sparkSession.sparkContext.broadcast(whole.reshape(-1))
-
-
 def _overlaps(source: DataFrame, classes: DataFrame, pairs: DataFrame, label: str) -> DataFrame:
     """(a, b, size_a, size_b, overlap) of candidate pairs, by vertical fragments."""
     cluster = components(pairs)
@@ -316,16 +269,9 @@ def _overlaps(source: DataFrame, classes: DataFrame, pairs: DataFrame, label: st
         .groupBy("class", "key").agg(F.flatten(F.collect_list("partners")).alias("partners"))
     )
     route = materialize(route.join(classes.select("class", "rep"), "class"), f"{label}-route")
-    wanted = _membership(route.select(F.col("rep").alias("_id")), MAP_BITS)
-
-    @F.pandas_udf("boolean")
-    def hit(slots):
-        import pandas as pd
-
-        at = slots.to_numpy()
-        return pd.Series(((wanted.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool))
-
-    texts = source.where(hit(F.pmod(F.xxhash64("_id"), F.lit(1 << MAP_BITS))))
+    slot = F.pmod(F.xxhash64("_id"), F.lit(1 << MAP_BITS))
+    wanted = in_map(id_map(route.select(F.col("rep").alias("_id")).select(slot.alias("slot")).distinct(), MAP_BITS))
+    texts = source.where(wanted(slot))
     joined = texts.join(route.withColumnRenamed("rep", "_id"), "_id").select("_text", "class", "key", "partners")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from traceloom.llm import bpe, chat, exact_dedup, langid, mixing, ngram_join, secrets, toxicity
+from traceloom.llm import bpe, chat, exact_dedup, langid, mixing, ngram_join, repeats, secrets, toxicity
 from traceloom.llm.common import held_out, read
 
 
@@ -66,6 +66,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op10_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_chat_formatting": op2_chat_formatting,
     "op3_bpe": op3_bpe,
@@ -75,6 +79,7 @@ QUERIES = {
     "op7_mix_sources": op7_mix_sources,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_toxicity": op9_toxicity,
+    "op10_repeated_substrings": op10_repeated_substrings,
 }
 
 ORACLES = {
