@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from traceloom.llm import bpe, chat, exact_dedup, langid, mixing, ngram_join, repeats, secrets, toxicity
+from traceloom.llm import ann, bpe, chat, exact_dedup, langid, mixing, ngram_join, repeats, secrets, toxicity
 from traceloom.llm.common import held_out, read
 
 
+def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and conversation -1, whose texts hold the template's own marks."""
     marks = "<|im_end|><|im_start|>assistant ok"
@@ -71,6 +75,7 @@ def op10_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_nearest_neighbours": op1_nearest_neighbours,
     "op2_chat_formatting": op2_chat_formatting,
     "op3_bpe": op3_bpe,
     "op4_secret_scan": op4_secret_scan,
