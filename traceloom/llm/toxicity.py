@@ -58,7 +58,9 @@ FEATURES = (
 SAMPLE_ROWS = 20_000
 #: Stems in the learned lexicon, at most; letters of a stem.
 STEMS, STEM_LETTERS = 2_000, (4, 5)
-TREES, DEPTH, RATE, BINS, LEAF = 60, 3, 0.15, 32, 20
+TREES, DEPTH, RATE, BINS, LEAF = 60, 3, 0.15, 32, 5
+#: With fewer toxic rows than this in the sample, its parts are not kept apart.
+FEW = 100
 THRESHOLD = 0.3
 
 
@@ -196,14 +198,13 @@ def isotonic(sums: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return x, np.maximum.accumulate(y)
 
 
-def fit(x: np.ndarray, y: np.ndarray, calibrate: np.ndarray) -> Booster:
-    """Boost on the rows that are not for calibration, and calibrate on those that are."""
+def fit(x: np.ndarray, y: np.ndarray, seen: np.ndarray, calibrate: np.ndarray) -> Booster:
+    """Boost on some rows and calibrate on others."""
     edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS)[1:-1])) for j in range(x.shape[1])]
     for j, edge in enumerate(edges):  # a feature that is 0 nearly everywhere still gets its own low cuts
         if len(edge) < 4 and len(positive := x[x[:, j] > 0, j]):
             edges[j] = np.unique(np.r_[0.0, np.quantile(positive, np.linspace(0, 1, BINS - 4)[:-1])])
     model = Booster(edges)
-    seen = ~calibrate if (~calibrate).any() else calibrate
     binned, labels = model.bins(x[seen]), y[seen]
     rate = np.clip(labels.mean(), 1e-4, 1 - 1e-4)
     model.start = float(np.log(rate / (1 - rate)))
@@ -213,8 +214,7 @@ def fit(x: np.ndarray, y: np.ndarray, calibrate: np.ndarray) -> Booster:
         feature, cut, value, leaf = _tree(binned, p - labels, p * (1 - p))
         model.trees.append((feature, cut, RATE * value))
         total += RATE * value[leaf]
-    rest = calibrate if calibrate.any() else seen
-    model.steps = isotonic(model.sums(x[rest]), y[rest])
+    model.steps = isotonic(model.sums(x[calibrate]), y[calibrate])
     return model
 
 
@@ -274,9 +274,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if seen.empty:
         return None
     x, y, of = np.array(seen["x"].tolist(), float).reshape(-1, len(FEATURES)), seen["_y"].to_numpy(float), seen["_part"].to_numpy()
-    # On few rows the trees also see those that the stems were counted on.
-    fitted = (of >= 2) | (len(of) < 1000)
-    return Model(lexicon, fit(x[fitted], y[fitted], of[fitted] == 4))
+    few = y.sum() < FEW or (of == 4).sum() == 0
+    every = np.ones(len(y), bool)
+    return Model(lexicon, fit(x, y, every if few else (of == 2) | (of == 3), every if few else of == 4))
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -293,3 +293,17 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores, pa.float64())], names=["_id", "score"])
 
     return source.mapInArrow(run, f"_id {source.schema[0].dataType.simpleString()}, score double").withColumnRenamed("_id", id_col)
+
+
+def keep_clean(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """Rows whose score is below THRESHOLD, with all their columns; texts are scored where they are read."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def scores(texts):
+        import pandas as pd
+
+        own = shared.value
+        return pd.Series(own.scores(["" if text is None else text for text in texts]) if own else np.zeros(len(texts)))
+
+    return docs.where(scores(F.col(text_col)) < THRESHOLD)
