@@ -58,7 +58,9 @@ FEATURES = (
 SAMPLE_ROWS = 20_000
 #: Stems in the learned lexicon, at most; letters of a stem.
 STEMS, STEM_LETTERS = 2_000, (4, 5)
-TREES, DEPTH, RATE, BINS, LEAF = 60, 3, 0.15, 32, 5
+TREES, DEPTH, RATE, BINS = 60, 3, 0.15, 32
+#: Fewest rows of a leaf, and for samples with FEW toxic rows.
+LEAF, SMALL_LEAF = 20, 5
 #: With fewer toxic rows than this in the sample, its parts are not kept apart.
 FEW = 100
 THRESHOLD = 0.3
@@ -155,7 +157,7 @@ class Booster:
         return np.clip(np.interp(self.sums(x), *self.steps), 0.0, 1.0)
 
 
-def _tree(binned: np.ndarray, gradient: np.ndarray, curvature: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _tree(binned: np.ndarray, gradient: np.ndarray, curvature: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """One complete tree by histograms of gradients; returns each row's leaf besides."""
     inner = 2**DEPTH - 1
     feature, cut = np.zeros(inner, np.int64), np.full(inner, BINS)
@@ -172,7 +174,7 @@ def _tree(binned: np.ndarray, gradient: np.ndarray, curvature: np.ndarray) -> tu
                 hs = np.cumsum(np.bincount(binned[rows, j], h, BINS))
                 ns = np.cumsum(np.bincount(binned[rows, j], minlength=BINS))
                 gain = gs**2 / (hs + 1) + (gs[-1] - gs) ** 2 / (hs[-1] - hs + 1) - whole
-                gain[(ns < LEAF) | (ns[-1] - ns < LEAF)] = 0
+                gain[(ns < least) | (ns[-1] - ns < least)] = 0
                 if gain.max() > best:
                     best, feature[own], cut[own] = gain.max(), j, int(gain.argmax())
         node = 2 * node + 1 + (binned[np.arange(len(binned)), feature[node]] > cut[node])
@@ -198,7 +200,7 @@ def isotonic(sums: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return x, np.maximum.accumulate(y)
 
 
-def fit(x: np.ndarray, y: np.ndarray, seen: np.ndarray, calibrate: np.ndarray) -> Booster:
+def fit(x: np.ndarray, y: np.ndarray, seen: np.ndarray, calibrate: np.ndarray, least: int = LEAF) -> Booster:
     """Boost on some rows and calibrate on others."""
     edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS)[1:-1])) for j in range(x.shape[1])]
     for j, edge in enumerate(edges):  # a feature that is 0 nearly everywhere still gets its own low cuts
@@ -211,7 +213,7 @@ def fit(x: np.ndarray, y: np.ndarray, seen: np.ndarray, calibrate: np.ndarray) -
     total = np.full(len(labels), model.start)
     for _ in range(TREES):
         p = 1 / (1 + np.exp(-total))
-        feature, cut, value, leaf = _tree(binned, p - labels, p * (1 - p))
+        feature, cut, value, leaf = _tree(binned, p - labels, p * (1 - p), least)
         model.trees.append((feature, cut, RATE * value))
         total += RATE * value[leaf]
     model.steps = isotonic(model.sums(x[calibrate]), y[calibrate])
@@ -276,7 +278,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     x, y, of = np.array(seen["x"].tolist(), float).reshape(-1, len(FEATURES)), seen["_y"].to_numpy(float), seen["_part"].to_numpy()
     few = y.sum() < FEW or (of == 4).sum() == 0
     every = np.ones(len(y), bool)
-    return Model(lexicon, fit(x, y, every if few else (of == 2) | (of == 3), every if few else of == 4))
+    return Model(lexicon, fit(x, y, every if few else (of == 2) | (of == 3), every if few else of == 4, SMALL_LEAF if few else LEAF))
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
