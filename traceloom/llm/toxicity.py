@@ -59,6 +59,8 @@ SAMPLE_ROWS = 20_000
 #: Stems in the learned lexicon, at most; letters of a stem.
 STEMS, STEM_LETTERS = 2_000, (4, 5)
 TREES, DEPTH, RATE, BINS = 60, 3, 0.15, 32
+#: Gain of a split at least, about a chi-squared statistic: the best of many cuts on chance alone reaches 10 or so.
+LEAST_GAIN = 15.0
 #: Fewest rows of a leaf, and for samples with FEW toxic rows.
 LEAF, SMALL_LEAF = 20, 5
 #: With fewer toxic rows than this in the sample, its parts are not kept apart.
@@ -166,7 +168,7 @@ def _tree(binned: np.ndarray, gradient: np.ndarray, curvature: np.ndarray, least
         first = 2**level - 1
         for own in range(first, 2 * first + 1):
             rows = np.flatnonzero(node == own)
-            best = 1e-9
+            best = LEAST_GAIN
             g, h = gradient[rows], curvature[rows]
             whole = g.sum() ** 2 / (h.sum() + 1)
             for j in range(binned.shape[1]):
