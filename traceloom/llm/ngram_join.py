@@ -6,13 +6,14 @@ sketch over all documents, so that rare ones come first), then by hash, and it i
 
 1. Equal sets are one class from here on; copies are never paired with each other.
 2. Two sets of similarity t share a shingle among the first n - ceil(t n) + 1 of both. These prefixes are cut by
-   fragment, and each fragment pairs the classes that share one of its shingles and whose sizes allow a link.
-   A shingle of up to RUN classes gives all its pairs; one of more gives its star, every class with two hubs.
+   fragment, and each fragment pairs the classes that share one of its shingles and whose sizes allow a link, with
+   the number that they share. Summed per pair, these partial overlaps rule out pairs that share too little so far.
+   A shingle of up to RUN classes gives all its pairs; one of more gives stars, every class with HUBS of them.
 3. Classes of candidate pairs are cut vertically into fragments of the whole order. Each fragment counts the
    partial overlap of every pair on its own, and the parts are summed per pair. What belongs together for that is
    a cluster of candidate pairs, in blocks of bounded size.
-4. Links join into components. Stars lose no link: for each shingle of more than RUN classes, the classes that are
-   still in different components are paired with each other, and steps 3 and 4 run again on these pairs alone.
+4. Links join into components. Stars lose no link that would join more: of the classes that crowded shingles connect,
+   those outside the largest component are held against all the others, in blocks of bounded size.
 
 Defined cases: a null text, and a text without words, has an empty set and is linked with nothing; with fewer than
 five words the whole sequence is one shingle; equal rows are copies; rows with a null id take part in nothing and
@@ -32,15 +33,17 @@ from pyspark.sql import DataFrame, functions as F
 
 from traceloom.llm.common import materialize, utf8_parts
 from traceloom.llm.components import components
-from traceloom.llm.hashing import Hashes, chain, id_map, in_map
+from traceloom.llm.hashing import Hashes, chain, id_map, in_map, mix
 
 WIDTH = 5
 #: Similarity as a fraction, compared in integers.
 OVER, OF = 75, 100
-#: Cells of the counting sketch that orders shingles (2^bits counters of 4 bytes).
-SKETCH_BITS = 20
+#: Cells of the counting sketch that orders shingles (2^bits counters).
+SKETCH_BITS = 22
 #: Classes of one shingle that are all paired at once.
 RUN = 24
+#: Classes of a shingle of more that are paired with all of its classes.
+HUBS = 4
 #: Vertical fragments in which overlaps are counted.
 VERTICAL = 4
 #: Documents of a cluster that one block holds.
@@ -49,6 +52,7 @@ BLOCK = 2_000
 FRAGMENT_BYTES = 16 << 20
 #: Bits of the map of documents that are in a candidate pair.
 MAP_BITS = 25
+PAIRS = "a bigint, b bigint, size_a bigint, size_b bigint, shared bigint, star bigint, shingle bigint, classes binary"
 #: Bytes of text that are hashed at a time.
 SLICE = 1 << 20
 
@@ -114,24 +118,26 @@ def sketch(source: DataFrame) -> tuple[np.ndarray, int]:
         cells = np.zeros(1 << SKETCH_BITS, np.int32)
         for batch in batches:
             for _, sets in slices(batch, 1):
-                cells += np.bincount((np.concatenate(sets) >> _U(64 - SKETCH_BITS)).astype(np.int64), minlength=len(cells)).astype(np.int32)
-        parts = cells.astype("<i4").reshape(blocks, width)
+                own, times = np.unique((np.concatenate(sets) >> _U(64 - SKETCH_BITS)).astype(np.int32), return_counts=True)
+                cells[own] += times.astype(np.int32)
+        parts = np.minimum(cells, 65_535).astype("<u2").reshape(blocks, width)
         yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array([part.tobytes() for part in parts], pa.binary())], names=["block", "cells"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for block, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                sums[block] = sums.get(block, 0) + np.frombuffer(cells, "<i4").astype(np.int64)
-        out = [pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())]
-        yield pa.RecordBatch.from_arrays(out, names=["block", "cells"])
+                sums[block] = sums.get(block, 0) + np.frombuffer(cells, "<u2").astype(np.int64)
+        levels = [np.floor(np.log2(x + 1)).astype(np.uint8).tobytes() for x in sums.values()]
+        out = [pa.array(list(sums), pa.int32()), pa.array(levels, pa.binary()), pa.array([int(x.sum()) for x in sums.values()], pa.int64())]
+        yield pa.RecordBatch.from_arrays(out, names=["block", "levels", "total"])
 
-    schema = "block int, cells binary"
-    cells = np.zeros((blocks, width), np.int64)
-    for row in source.mapInArrow(count, schema).repartition("block").mapInArrow(add, schema).collect():
-        cells[row["block"]] = np.frombuffer(row["cells"], np.int64)
-    cells = cells.reshape(-1)
-    return np.floor(np.log2(cells + 1)).astype(np.uint8), int(cells.sum())
+    counted = source.mapInArrow(count, "block int, cells binary").repartition("block")
+    levels, total = np.zeros((blocks, width), np.uint8), 0
+    for row in counted.mapInArrow(add, "block int, levels binary, total bigint").collect():
+        levels[row["block"]] = np.frombuffer(row["levels"], np.uint8)
+        total += row["total"]
+    return levels.reshape(-1), total
 
 
 def _prefixes(source: DataFrame, order, fragments: int) -> DataFrame:
@@ -224,30 +230,55 @@ def _pairs_of_fragment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
     lengths = np.diff(np.r_[starts, len(hashes)])
     found = []
 
-    def keep(i: np.ndarray, j: np.ndarray) -> None:
-        small, large = np.minimum(sizes[i], sizes[j]), np.maximum(sizes[i], sizes[j])
-        fit = OF * small >= OVER * large
-        found.append(np.stack([names[i[fit]], names[j[fit]]], axis=1))
+    def keep(i: np.ndarray, j: np.ndarray, star: int) -> None:
+        fit = OF * np.minimum(sizes[i], sizes[j]) >= OVER * np.maximum(sizes[i], sizes[j])
+        i, j = i[fit], j[fit]
+        swap = names[i] > names[j]
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        found.append(np.stack([names[i], names[j], sizes[i], sizes[j], np.full(len(i), star)]))
 
     for n in np.unique(lengths[(lengths > 1) & (lengths <= RUN)]).tolist():
         first = starts[lengths == n]
         for gap in range(1, n):
             left = (first[:, None] + np.arange(n - gap)).reshape(-1)
-            keep(left, left + gap)
+            keep(left, left + gap, 0)
     crowded = []
     for a, n in zip(starts[lengths > RUN].tolist(), lengths[lengths > RUN].tolist()):
         members = np.arange(a, a + n)
-        by_size = members[np.argsort(sizes[members], kind="stable")]
-        for hub in {int(by_size[n // 2]), int(members[0])}:
+        # Hubs by hashes of the classes, so that the shingles of one group of near copies mostly have the same ones.
+        for hub in a + np.argsort(mix(names[members].view(np.uint64)))[:HUBS]:
             others = members[members != hub]
-            keep(np.full(n - 1, hub), others)
+            keep(np.full(len(others), hub), others, 1)
         crowded.append((int(hashes[a].view(np.int64)), names[members].astype("<i8").tobytes()))
-    pairs = np.unique(np.sort(np.concatenate(found or [np.empty((0, 2), np.int64)]), axis=1), axis=0)
-    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.nulls(len(pairs), pa.int64()), pa.nulls(len(pairs), pa.binary())], names=["a", "b", "shingle", "classes"])
+    kinds = {"a": pa.int64(), "b": pa.int64(), "size_a": pa.int64(), "size_b": pa.int64(), "shared": pa.int64(), "star": pa.int64(), "shingle": pa.int64(), "classes": pa.binary()}
+    if found:
+        a, b, size_a, size_b, star = np.concatenate(found, axis=1)
+        found.clear()
+        by = np.lexsort((b, a))
+        a, b, size_a, size_b, star = a[by], b[by], size_a[by], size_b[by], star[by]
+        cuts = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(a)])
+        if len(cuts):
+            shared, star = np.diff(np.r_[cuts, len(a)]), np.maximum.reduceat(star, cuts)
+            n = len(cuts)
+            columns = [pa.array(x, pa.int64()) for x in (a[cuts], b[cuts], size_a[cuts], size_b[cuts], shared, star)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names=list(kinds))
     n = len(crowded)
     if n:
-        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array([c[0] for c in crowded], pa.int64()), pa.array([c[1] for c in crowded], pa.binary())], names=["a", "b", "shingle", "classes"])
+        columns = [pa.array([c[0] for c in crowded], pa.int64()), pa.array([c[1] for c in crowded], pa.binary())]
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(n, pa.int64()) for _ in range(6)), *columns], names=list(kinds))
+
+
+def _possible(candidates: DataFrame) -> DataFrame:
+    """Pairs whose partial overlaps over all prefix fragments leave room for a link.
+
+    Behind the end of the shorter-reaching prefix each set has at most size - prefix shingles, so the overlap is at
+    most shared + the larger of these. Pairs of stars are not counted in full and pass."""
+    summed = candidates.where("a IS NOT NULL").groupBy("a", "b").agg(
+        F.first("size_a").alias("size_a"), F.first("size_b").alias("size_b"), F.sum("shared").alias("shared"), F.max("star").alias("star")
+    )
+    behind = lambda size: F.ceil(size * OVER / OF) - 1  # noqa: E731  size - prefix_length(size)
+    most = F.col("shared") + F.greatest(behind(F.col("size_a")), behind(F.col("size_b")))
+    return summed.where((F.col("star") == 1) | ((OF + OVER) * most >= OVER * (F.col("size_a") + F.col("size_b")))).select("a", "b")
 
 
 def _overlaps(source: DataFrame, classes: DataFrame, pairs: DataFrame, label: str) -> DataFrame:
@@ -333,10 +364,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = found.where("fragment IS NULL").select("_id", "digest", "class", "size")
     classes = materialize(rows.where("class IS NOT NULL AND _id IS NOT NULL").groupBy("digest", "class", "size").agg(F.min("_id").alias("rep")), "classes")
     entries = found.where("fragment IS NOT NULL").select("fragment", "entries").repartition(fragments, "fragment")
-    candidates = materialize(entries.mapInArrow(_pairs_of_fragment, "a bigint, b bigint, shingle bigint, classes binary"), "candidates")
-    pairs = materialize(candidates.where("a IS NOT NULL").select("a", "b").distinct(), "pairs")
+    candidates = materialize(entries.mapInArrow(_pairs_of_fragment, PAIRS), "candidates")
+    pairs = materialize(_possible(candidates), "pairs")
     links = materialize(_linked(_overlaps(source, classes, pairs, "overlap")), "links")
-    links = _complete(source, classes, candidates, pairs, links)
+    links = _complete(source, classes, candidates, links)
     # Components are named by ids: the smallest of any class in them.
     nodes = classes.select(F.col("class").alias("node"), "rep")
     joined = components(links)
@@ -347,26 +378,81 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
 
 
-def _complete(source: DataFrame, classes: DataFrame, candidates: DataFrame, pairs: DataFrame, links: DataFrame) -> DataFrame:
-    """Links between classes of one crowded shingle that the stars left in different components."""
+def _complete(source: DataFrame, classes: DataFrame, candidates: DataFrame, links: DataFrame) -> DataFrame:
+    """Links between classes of one crowded shingle that the stars left in different components.
+
+    Classes that crowded shingles connect are a family. Most of a family is one component by now; every class outside
+    it is held against the whole family, block by block: an inverted index of the block's shingles counts the overlaps
+    with all its classes at once, and of each component that a class links to, one link is handed on."""
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shingle, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for own in batch.column(0).to_pylist():
                 names = np.frombuffer(own, "<i8")
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), shingle)), pa.array(names)], names=["shingle", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), names.min())), pa.array(names)], names=["a", "b"])
 
-    crowded = candidates.where("shingle IS NOT NULL").select("shingle", "classes").mapInArrow(members, "shingle bigint, node bigint")
-    crowded = crowded.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = crowded.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle")
-    open_ = materialize(crowded.join(split, "shingle").join(classes.select(F.col("class").alias("node"), "size"), "node"), "open")
-    if open_.isEmpty():
+    crowded = materialize(candidates.where("shingle IS NOT NULL").select("classes").mapInArrow(members, "a bigint, b bigint").distinct(), "crowded")
+    if crowded.isEmpty():
         return links
-    left, right = open_.alias("l"), open_.alias("r")
-    allowed = (F.col("l.component") != F.col("r.component")) & (F.col("l.node") < F.col("r.node"))
-    allowed &= OF * F.least("l.size", "r.size") >= OVER * F.greatest("l.size", "r.size")
-    more = left.join(right, (F.col("l.shingle") == F.col("r.shingle")) & allowed).select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
-    more = materialize(more.join(pairs, ["a", "b"], "left_anti"), "more")
-    if more.isEmpty():
+    family = components(crowded).withColumnRenamed("component", "family")
+    placed = family.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = materialize(placed.join(classes.select(F.col("class").alias("node"), "rep", "size"), "node"), "placed")
+    counts = placed.groupBy("family", "component").agg(F.count(F.lit(1)).alias("n"))
+    per = counts.groupBy("family").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("parts"), F.ceil(F.sum("n") / BLOCK).alias("blocks"))
+    of = placed.join(per.where("parts > 1"), "family").select("node", "rep", "size", "component", "family", "blocks", (F.col("component") != F.col("main")).alias("asks"))
+    own = of.withColumn("_block", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("asks", F.lit(False))
+    every = of.where("asks").withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    route = own.unionByName(every).select(F.col("rep").alias("_id"), "node", "component", "asks", F.xxhash64("family", "_block").alias("key"))
+    route = materialize(route, "blocks")
+    if route.isEmpty():
         return links
-    return materialize(links.union(_linked(_overlaps(source, classes, more, "more"))), "links")
+    slot = F.pmod(F.xxhash64("_id"), F.lit(1 << MAP_BITS))
+    wanted = in_map(id_map(route.select(slot.alias("slot")).distinct(), MAP_BITS))
+    joined = source.where(wanted(slot)).join(route, "_id").select("_text", "key", "node", "component", "asks")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, sets in slices(batch, 0):
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array([own.astype("<u8").tobytes() for own in sets], pa.binary())], names=["key", "node", "component", "asks", "set"])
+
+    kinds = "key bigint, node bigint, component bigint, asks boolean, set binary"
+    blocks = joined.mapInArrow(cut, kinds).repartition("key").sortWithinPartitions("key", "asks", "node")
+    more = materialize(blocks.mapInArrow(_scan_blocks, "a bigint, b bigint"), "more")
+    return materialize(links.union(more), "links")
+
+
+def _scan_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of the asking classes of each block (its rows follow each other, asking ones last)."""
+    current, out = None, []
+    names, parts, sets, asking = [], [], [], []
+
+    def flush() -> None:
+        if not asking or not sets:
+            return
+        size = np.array([len(own) for own in sets])
+        shingles, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+        order = np.argsort(shingles, kind="stable")
+        shingles, owner = shingles[order], owner[order]
+        part = np.array(parts)
+        for name, component, own in asking:
+            low, high = np.searchsorted(shingles, own, "left"), np.searchsorted(shingles, own, "right")
+            n = high - low
+            at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            overlap = np.bincount(owner[at], minlength=len(sets))
+            found = np.flatnonzero((OF * overlap >= OVER * (size + len(own) - overlap)) & (part != component))
+            _, first = np.unique(part[found], return_index=True)
+            out.extend((name, names[i]) for i in found[first].tolist())
+
+    for batch in batches:
+        for key, name, component, asks, own in zip(*(column.to_pylist() for column in batch.columns)):
+            if key != current:
+                flush()
+                current = key
+                names, parts, sets, asking = [], [], [], []
+            own = np.frombuffer(own, "<u8")
+            if asks:
+                asking.append((name, component, own))
+            else:
+                names.append(name), parts.append(component), sets.append(own)
+    flush()
+    yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
