@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from traceloom.functions.ids import estimate_tokens
@@ -11,21 +13,26 @@ from traceloom.functions.ids import estimate_tokens
 def stack_edges(instructions: DataFrame) -> DataFrame:
     """(fn, src, dst): from the instruction that pushed a value to the one that takes it.
 
-    instructions: fn, pos, pops, pushes. Each function's stack is simulated in order; a function is one group, as its
-    instructions can't be told apart from their order. Taking from an empty stack gives no edge."""
-
-    def simulate(rows: pd.DataFrame) -> pd.DataFrame:
-        stack, edges = [], []
-        for pos, pops, pushes in rows.sort_values("pos", kind="stable")[["pos", "pops", "pushes"]].itertuples(index=False):
-            for _ in range(min(pops, len(stack))):
-                edges.append((stack.pop(), pos))
-            stack.extend([pos] * pushes)
-        out = pd.DataFrame(edges, columns=["src", "dst"], dtype="int64")
-        out.insert(0, "fn", rows["fn"].iloc[0])
-        return out
-
+    instructions: fn, pos, pops, pushes. Functions are dealt out whole and sorted, and each partition is one pass in
+    which the stack starts anew with every function. Taking from an empty stack gives no edge."""
     kind = instructions.schema["fn"].dataType.simpleString()
-    return instructions.groupBy("fn").applyInPandas(simulate, f"fn {kind}, src bigint, dst bigint")
+
+    def simulate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, stack = None, []
+        for batch in batches:
+            edges = []
+            for fn, pos, pops, pushes in zip(*(column.to_pylist() for column in batch.columns)):
+                if fn != current:
+                    current, stack = fn, []
+                for _ in range(min(pops, len(stack))):
+                    edges.append((fn, stack.pop(), pos))
+                stack.extend([pos] * pushes)
+            columns = list(zip(*edges)) or [(), (), ()]
+            kinds = (batch.schema.field(0).type, pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["fn", "src", "dst"])
+
+    rows = instructions.select("fn", F.col("pos").cast("long"), F.col("pops").cast("int"), F.col("pushes").cast("int"))
+    return rows.repartition("fn").sortWithinPartitions("fn", "pos").mapInArrow(simulate, f"fn {kind}, src bigint, dst bigint")
 
 
 #: What is taken out of a context pack, in this order, until it fits.
