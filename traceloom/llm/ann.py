@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from traceloom.llm.common import materialize
+from traceloom.llm.common import materialize, tidy
 
 TOP = 20
 TABLES, PROBES = 8, 28
@@ -107,7 +107,7 @@ def _hashed(vectors: DataFrame, most: float, tables: int, count: int) -> DataFra
                     names=["vkey", "asks", "vector", "bucket", "probe"],
                 )
 
-    return vectors.mapInArrow(run, "vkey bigint, asks boolean, vector array<double>, bucket array<int>, probe array<array<int>>")
+    return vectors.mapInArrow(tidy(run), "vkey bigint, asks boolean, vector array<double>, bucket array<int>, probe array<array<int>>")
 
 
 def _rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +193,7 @@ def nearest(
     filed = filed.join(counts, place).select("vkey", F.lit(False).alias("asks"), "vector", *place, part("_cs").alias("_ci"), every("_qs").alias("_qi"))
     asking = asking.join(counts, place).select("vkey", F.lit(True).alias("asks"), "vector", *place, every("_cs").alias("_ci"), part("_qs").alias("_qi"))
     grouped = filed.unionByName(asking).select(F.xxhash64(*place, "_ci", "_qi").alias("group"), "vkey", "asks", "vector")
-    ranked = grouped.repartition("group").sortWithinPartitions("group").mapInArrow(_rank, "query bigint, vkey bigint, score double")
+    ranked = grouped.repartition("group").sortWithinPartitions("group").mapInArrow(tidy(_rank), "query bigint, vkey bigint, score double")
 
     by_query = Window.partitionBy("query").orderBy(F.col("score").desc(), "vkey")
     best = ranked.groupBy("query", "vkey").agg(F.max("score").alias("score")).withColumn("_n", F.row_number().over(by_query)).where(F.col("_n") <= top + 1)

@@ -7,7 +7,7 @@ at once, and a merge updates the lists of the pairs to its left and right. Where
 lower rank than its own, only the first position of each piece is merged and the others go back into the index
 behind what it brings up, which keeps the order within every word.
 
-Words and pieces that were encoded stay in two tables of bounded size in the Python worker.
+Words and pieces that were encoded stay in two tables of bounded size until the partition ends.
 
 Defined cases: a null text equals the empty text, which has no tokens; the tokenizer's special strings become
 their special ids, as its library does with them; null ids and repeated rows pass through as they are; an
@@ -27,10 +27,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from traceloom.llm.common import tidy
+
 #: Words and pieces that a worker remembers; beyond that it starts anew.
-REMEMBERED = 150_000
+REMEMBERED = 100_000
 #: UTF-8 bytes of text whose new words are encoded together.
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 4 << 20
 #: Bytes of ids that are decoded, and sent back, at a time.
 DECODED_BYTES = 1 << 20
 
@@ -254,8 +256,10 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
             for part in by_bytes(batch, 1, CHUNK_BYTES):
                 ids = own.encode(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], names=["_id", "ids"])
+        own.words.clear()
+        own.pieces.clear()
 
-    return source.mapInArrow(run, f"_id {source.schema[0].dataType.simpleString()}, ids binary").withColumnRenamed("_id", id_col)
+    return source.mapInArrow(tidy(run), f"_id {source.schema[0].dataType.simpleString()}, ids binary").withColumnRenamed("_id", id_col)
 
 
 def decode(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id") -> DataFrame:
@@ -270,4 +274,4 @@ def decode(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id") -> DataF
                 texts = [join_tokens(own, ids) for ids in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=["_id", "ids", "decoded"])
 
-    return source.mapInArrow(run, f"_id {source.schema[0].dataType.simpleString()}, ids binary, decoded string").withColumnRenamed("_id", id_col)
+    return source.mapInArrow(tidy(run), f"_id {source.schema[0].dataType.simpleString()}, ids binary, decoded string").withColumnRenamed("_id", id_col)

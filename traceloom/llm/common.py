@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -9,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from traceloom.scratch import materialize, scratch_dir
 
-__all__ = ["materialize", "scratch_dir", "read", "held_out", "utf8_parts", "WORD", "SPACES"]
+__all__ = ["materialize", "scratch_dir", "read", "held_out", "utf8_parts", "tidy", "WORD", "SPACES"]
 
 #: ASCII white space and what lies between, as all contracts of this package name them.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -36,3 +40,21 @@ def utf8_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data = column.buffers()[2]
     data = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def tidy(run: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
+    """A partition's function that gives freed memory back at its end: Python workers live on, and the next stage's
+    workers stand beside them."""
+
+    @wraps(run)
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+
+    return tidied

@@ -22,7 +22,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from traceloom.llm.common import SPACES, materialize
+from traceloom.llm.common import SPACES, materialize, tidy
 
 #: Leading bits of a fingerprint that are its quotient; the map of repeated quotients takes 2^(bits - 3) bytes.
 QUOTIENT_BITS = 26
@@ -80,7 +80,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def merged_filter(prints: DataFrame) -> DataFrame:
     """The corpus' counting quotient filter from a column of fingerprints: (block, remainders, counts)."""
     schema = "block int, remainders binary, counts binary"
-    return prints.mapInArrow(_build, schema).repartition("block").mapInArrow(_merge, schema)
+    return prints.mapInArrow(tidy(_build), schema).repartition("block").mapInArrow(tidy(_merge), schema)
 
 
 def _occupied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +109,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # At most 2^BLOCK_BITS rows of 2^(QUOTIENT_BITS - BLOCK_BITS - 3) bytes, whatever the corpus holds.
     width = 1 << (QUOTIENT_BITS - BLOCK_BITS - 3)
     occupied = np.zeros((1 << BLOCK_BITS, width), np.uint8)
-    for row in quotient_filter.mapInArrow(_occupied, "block int, bits binary").collect():
+    for row in quotient_filter.mapInArrow(tidy(_occupied), "block int, bits binary").collect():
         occupied[row["block"]] = np.frombuffer(row["bits"], np.uint8)
     shared = spark.sparkContext.broadcast(occupied.reshape(-1))
 

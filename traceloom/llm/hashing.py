@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from traceloom.llm.common import tidy
+
 _U = np.uint64
 _P, _M = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)
 _POWERS = np.ones(1, np.uint64)
@@ -77,7 +79,7 @@ def id_map(slots: DataFrame, bits: int):
         yield pa.RecordBatch.from_arrays([pa.array(list(maps), pa.int32()), pa.array([np.packbits(m).tobytes() for m in maps.values()], pa.binary())], names=["block", "bits"])
 
     whole = np.zeros((blocks, width // 8), np.uint8)
-    marked = slots.select(F.col(name).cast("long")).repartition(F.floor(F.col(name) / width)).mapInArrow(mark, "block int, bits binary")
+    marked = slots.select(F.col(name).cast("long")).repartition(F.floor(F.col(name) / width)).mapInArrow(tidy(mark), "block int, bits binary")
     for row in marked.collect():
         whole[row["block"]] |= np.frombuffer(row["bits"], np.uint8)
     return slots.sparkSession.sparkContext.broadcast(whole.reshape(-1))

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from traceloom.llm.common import utf8_parts
+from traceloom.llm.common import tidy, utf8_parts
 
 MAX_N = 3
 #: Rows per language that training looks at, and those of them that are landmarks; languages, at most that many by rows.
@@ -180,4 +180,4 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(best, pa.float64())], names=["_id", "lang_pred", "score"])
 
     kind = f"_id {source.schema[0].dataType.simpleString()}, lang_pred string, score double"
-    return source.mapInArrow(run, kind).withColumnRenamed("_id", id_col)
+    return source.mapInArrow(tidy(run), kind).withColumnRenamed("_id", id_col)

@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from traceloom.llm.common import materialize, utf8_parts
+from traceloom.llm.common import materialize, tidy, utf8_parts
 from traceloom.llm.components import components
 from traceloom.llm.hashing import Hashes, chain, id_map, in_map, mix
 
@@ -49,7 +49,7 @@ VERTICAL = 4
 #: Documents of a cluster that one block holds.
 BLOCK = 2_000
 #: Bytes of prefix entries for each fragment, about.
-FRAGMENT_BYTES = 16 << 20
+FRAGMENT_BYTES = 8 << 20
 #: Bits of the map of documents that are in a candidate pair.
 MAP_BITS = 25
 PAIRS = "a bigint, b bigint, size_a bigint, size_b bigint, shared bigint, star bigint, shingle bigint, classes binary"
@@ -132,9 +132,9 @@ def sketch(source: DataFrame) -> tuple[np.ndarray, int]:
         out = [pa.array(list(sums), pa.int32()), pa.array(levels, pa.binary()), pa.array([int(x.sum()) for x in sums.values()], pa.int64())]
         yield pa.RecordBatch.from_arrays(out, names=["block", "levels", "total"])
 
-    counted = source.mapInArrow(count, "block int, cells binary").repartition("block")
+    counted = source.mapInArrow(tidy(count), "block int, cells binary").repartition("block")
     levels, total = np.zeros((blocks, width), np.uint8), 0
-    for row in counted.mapInArrow(add, "block int, levels binary, total bigint").collect():
+    for row in counted.mapInArrow(tidy(add), "block int, levels binary, total bigint").collect():
         levels[row["block"]] = np.frombuffer(row["levels"], np.uint8)
         total += row["total"]
     return levels.reshape(-1), total
@@ -157,7 +157,7 @@ def _prefixes(source: DataFrame, order, fragments: int) -> DataFrame:
                     [part.column(0), pa.array(digests, pa.binary()), pa.array(classes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.nulls(len(part), pa.int32()), none],
                     names=["_id", "digest", "class", "size", "fragment", "entries"],
                 )
-                if len(seen) > 1_000_000:
+                if len(seen) > 200_000:
                     seen.clear()
                 hashes, owners, sizes = [], [], []
                 for own, name in zip(sets, classes):
@@ -196,7 +196,7 @@ def _prefixes(source: DataFrame, order, fragments: int) -> DataFrame:
                 )
 
     kind = source.schema[0].dataType.simpleString()
-    return source.mapInArrow(run, f"_id {kind}, digest binary, class bigint, size bigint, fragment int, entries binary")
+    return source.mapInArrow(tidy(run), f"_id {kind}, digest binary, class bigint, size bigint, fragment int, entries binary")
 
 
 def _pairs_of_fragment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,8 +343,8 @@ def _overlaps(source: DataFrame, classes: DataFrame, pairs: DataFrame, label: st
         flush()
         yield batch_of(out)
 
-    segments = joined.mapInArrow(cut, "key bigint, vertical int, class bigint, segment binary, partners array<bigint>")
-    parts = segments.repartition("key", "vertical").sortWithinPartitions("key", "vertical").mapInArrow(count, "a bigint, b bigint, part bigint")
+    segments = joined.mapInArrow(tidy(cut), "key bigint, vertical int, class bigint, segment binary, partners array<bigint>")
+    parts = segments.repartition("key", "vertical").sortWithinPartitions("key", "vertical").mapInArrow(tidy(count), "a bigint, b bigint, part bigint")
     total = parts.groupBy("a", "b").agg(F.sum("part").alias("overlap"))
     size = classes.select("class", "size")
     return total.join(size.withColumnsRenamed({"class": "a", "size": "size_a"}), "a").join(size.withColumnsRenamed({"class": "b", "size": "size_b"}), "b")
@@ -364,7 +364,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = found.where("fragment IS NULL").select("_id", "digest", "class", "size")
     classes = materialize(rows.where("class IS NOT NULL AND _id IS NOT NULL").groupBy("digest", "class", "size").agg(F.min("_id").alias("rep")), "classes")
     entries = found.where("fragment IS NOT NULL").select("fragment", "entries").repartition(fragments, "fragment")
-    candidates = materialize(entries.mapInArrow(_pairs_of_fragment, PAIRS), "candidates")
+    candidates = materialize(entries.mapInArrow(tidy(_pairs_of_fragment), PAIRS), "candidates")
     pairs = materialize(_possible(candidates), "pairs")
     links = materialize(_linked(_overlaps(source, classes, pairs, "overlap")), "links")
     links = _complete(source, classes, candidates, links)
@@ -391,7 +391,7 @@ def _complete(source: DataFrame, classes: DataFrame, candidates: DataFrame, link
                 names = np.frombuffer(own, "<i8")
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), names.min())), pa.array(names)], names=["a", "b"])
 
-    crowded = materialize(candidates.where("shingle IS NOT NULL").select("classes").mapInArrow(members, "a bigint, b bigint").distinct(), "crowded")
+    crowded = materialize(candidates.where("shingle IS NOT NULL").select("classes").mapInArrow(tidy(members), "a bigint, b bigint").distinct(), "crowded")
     if crowded.isEmpty():
         return links
     family = components(crowded).withColumnRenamed("component", "family")
@@ -416,8 +416,8 @@ def _complete(source: DataFrame, classes: DataFrame, candidates: DataFrame, link
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array([own.astype("<u8").tobytes() for own in sets], pa.binary())], names=["key", "node", "component", "asks", "set"])
 
     kinds = "key bigint, node bigint, component bigint, asks boolean, set binary"
-    blocks = joined.mapInArrow(cut, kinds).repartition("key").sortWithinPartitions("key", "asks", "node")
-    more = materialize(blocks.mapInArrow(_scan_blocks, "a bigint, b bigint"), "more")
+    blocks = joined.mapInArrow(tidy(cut), kinds).repartition("key").sortWithinPartitions("key", "asks", "node")
+    more = materialize(blocks.mapInArrow(tidy(_scan_blocks), "a bigint, b bigint"), "more")
     return materialize(links.union(more), "links")
 
 

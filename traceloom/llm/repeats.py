@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from traceloom.llm.common import materialize, utf8_parts
+from traceloom.llm.common import materialize, tidy, utf8_parts
 from traceloom.llm.hashing import Hashes, id_map, in_map, mix
 
 LEAST = 200
@@ -42,6 +42,8 @@ CROWD = 4_096
 BLOCK_BYTES = 1 << 19
 #: Bytes of spans for each task of step 3, and of entries for each of step 1, about.
 TASK_BYTES = 8 << 20
+#: Fragments for each task, so that hashing them to tasks leaves none with much more than its share.
+EACH = 6
 #: Bytes of text that are hashed at a time.
 SLICE = 1 << 20
 #: Bits of the maps of documents that have anything to settle or to remove.
@@ -142,7 +144,7 @@ def _entries_of(source: DataFrame, fragments: int) -> DataFrame:
                 fragment = ((entries["core"] >> _U(32)) * _U(fragments) >> _U(32)).astype(np.int64)
                 yield _batch({"fragment": pa.int32(), "entries": pa.binary()}, list(_blobs(fragment, fragments, keys[start:stop], entries)))
 
-    return source.mapInArrow(run, "fragment int, entries binary")
+    return source.mapInArrow(tidy(run), "fragment int, entries binary")
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,7 +248,7 @@ def _fetch(asked: DataFrame, fragments: int) -> DataFrame:
                     rows += [(f, 2, blob) for f, blob in _blobs(fragment, fragments, names[start:stop], entries)]
                 yield _batch(kinds, rows)
 
-    return asked.mapInArrow(run, "fragment int, kind int, entries binary")
+    return asked.mapInArrow(tidy(run), "fragment int, kind int, entries binary")
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
@@ -428,7 +430,7 @@ def _cut(texts: DataFrame, kind: str) -> DataFrame:
                 [batch.column(0), *(pa.array(x, pa.int64()) for x in (sizes, removed, spans)), pa.array(digests, pa.string())], names=["_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
             )
 
-    return texts.select("_id", "_text", "payloads").mapInArrow(run, f"_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return texts.select("_id", "_text", "payloads").mapInArrow(tidy(run), f"_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
 def repeated_stretches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -438,8 +440,8 @@ def repeated_stretches(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     total = source.agg(F.sum(F.octet_length("_text")).alias("n")).first()["n"] or 0
     # An entry has 25 bytes, and there is about one for 50 bytes of text.
     fragments = max(24, math.ceil(total / 2 / TASK_BYTES))
-    entries = _entries_of(source.select("_key", "_text"), fragments).repartition(fragments, "fragment")
-    settled = materialize(entries.mapInArrow(_settle, "_key bigint, kind int, payload binary, bytes bigint"), "settled")
+    entries = _entries_of(source.select("_key", "_text"), EACH * fragments).repartition(fragments, "fragment")
+    settled = materialize(entries.mapInArrow(tidy(_settle), "_key bigint, kind int, payload binary, bytes bigint"), "settled")
     whole = settled.where("kind = 0").select("_key", "payload")
     open_ = settled.where("kind > 0")
     work = open_.agg(F.sum("bytes").alias("n")).first()["n"]
@@ -450,7 +452,7 @@ def repeated_stretches(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     wanted = in_map(id_map(open_.select(slot(F.col("_key")).alias("slot")).distinct(), MAP_BITS))
     texts = source.where(wanted(slot(F.col("_key")))).join(asked, "_key").select("_key", "_text", "requests")
     tasks = max(24, math.ceil(work / TASK_BYTES))
-    compared = _fetch(texts, tasks).repartition(tasks, "fragment").mapInArrow(_compare, "_key bigint, payload binary")
+    compared = _fetch(texts, EACH * tasks).repartition(tasks, "fragment").mapInArrow(tidy(_compare), "_key bigint, payload binary")
     return source, whole.unionByName(materialize(compared, "compared"))
 
 

@@ -20,6 +20,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
+from traceloom.llm.common import tidy
+
 #: Kinds in the order in which spans of one start are listed.
 KINDS = ("assign", "access", "hex", "novel")
 
@@ -95,4 +97,4 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], names=["_id", "spans"])
 
     schema = f"_id {source.schema[0].dataType.simpleString()}, spans array<struct<kind:string,start:bigint,end:bigint>>"
-    return source.mapInArrow(run, schema).withColumnRenamed("_id", id_col)
+    return source.mapInArrow(tidy(run), schema).withColumnRenamed("_id", id_col)

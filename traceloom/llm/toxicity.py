@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from traceloom.llm.common import materialize
+from traceloom.llm.common import materialize, tidy
 
 # Insults, threats and second-person words.
 INSULTS = frozenset(
@@ -247,7 +247,7 @@ def learn_lexicon(rows: DataFrame) -> Lexicon:
         return Lexicon()
     counted = (
         rows.select(F.coalesce("_text", F.lit("")).alias("_text"), "_y")
-        .mapInArrow(run, "stem string, _y double")
+        .mapInArrow(tidy(run), "stem string, _y double")
         .groupBy("stem")
         .agg(F.sum("_y").alias("k"), F.count(F.lit(1)).alias("n"))
         .where((F.col("k") >= 5) & (F.col("k") > 0.6 * F.col("n")))
@@ -274,7 +274,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.list_(pa.float64()))], names=["_id", "_y", "_part", "x"])
 
     kind = f"_id {rows.schema['_id'].dataType.simpleString()}, _y double, _part bigint, x array<double>"
-    seen = rows.select("_id", "_y", "_part", "_text").mapInArrow(run, kind).toPandas().sort_values("_id", kind="stable")
+    seen = rows.select("_id", "_y", "_part", "_text").mapInArrow(tidy(run), kind).toPandas().sort_values("_id", kind="stable")
     if seen.empty:
         return None
     x, y, of = np.array(seen["x"].tolist(), float).reshape(-1, len(FEATURES)), seen["_y"].to_numpy(float), seen["_part"].to_numpy()
@@ -296,7 +296,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
                 scores = own.scores(part.column(1).to_pylist()) if own else np.zeros(len(part))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores, pa.float64())], names=["_id", "score"])
 
-    return source.mapInArrow(run, f"_id {source.schema[0].dataType.simpleString()}, score double").withColumnRenamed("_id", id_col)
+    return source.mapInArrow(tidy(run), f"_id {source.schema[0].dataType.simpleString()}, score double").withColumnRenamed("_id", id_col)
 
 
 def keep_clean(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
