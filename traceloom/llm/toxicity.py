@@ -302,12 +302,13 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
 def keep_clean(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """Rows whose score is below THRESHOLD, with all their columns; texts are scored where they are read."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
 
-    @F.pandas_udf("double")
-    def scores(texts):
-        import pandas as pd
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        return pd.Series(own.scores(["" if text is None else text for text in texts]) if own else np.zeros(len(texts)))
+        for batch in batches:
+            for part in (batch.slice(start, 500) for start in range(0, len(batch), 500)):
+                scores = own.scores([text or "" for text in part.column(at).to_pylist()]) if own else np.zeros(len(part))
+                yield part.filter(pa.array(scores < THRESHOLD))
 
-    return docs.where(scores(F.col(text_col)) < THRESHOLD)
+    return docs.mapInArrow(tidy(run), docs.schema)
