@@ -44,7 +44,7 @@ def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     vocabulary = public_tokenizers.path("word_bpe_49k.json")
-    return bpe.decode(bpe.encode(docs, vocabulary), vocabulary).select(
+    return bpe.encode(docs, vocabulary, decoded=True).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

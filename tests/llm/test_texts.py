@@ -32,7 +32,10 @@ def test_bpe_equals_the_library(spark):
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").withColumn("ids", F.lit("clash"))
     path = public_tokenizers.path("word_bpe_49k.json")
     tokenizer = library()
-    for row in bpe.decode(bpe.encode(rows, path), path).collect():
+    encoded = bpe.encode(rows, path)
+    at_once = bpe.encode(rows, path, decoded=True).select(*bpe.decode(encoded, path).columns)
+    assert sorted(map(repr, at_once.collect())) == sorted(map(repr, bpe.decode(encoded, path).collect()))
+    for row in at_once.collect():
         expected = tokenizer.encode(texts[row["doc_id"]] or "", add_special_tokens=False).ids
         assert np.frombuffer(row["ids"], "<u4").tolist() == expected
         assert row["decoded"] == tokenizer.decode(expected, skip_special_tokens=False)

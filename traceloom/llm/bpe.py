@@ -82,7 +82,8 @@ class PairIndexEncoder:
         self.one_by_one = (first_use[self.merged] < np.arange(len(merged))) | (self.left == self.right)
         self.letter_ids = {c: self.vocab[c] for c in byte_letters().values()}
         self.last_ids = {c: self.vocab[c + self.end] for c in byte_letters().values()}
-        library = Tokenizer.from_str(definition)
+        # Only how text is cut comes from the library, so that its copy of the vocabulary isn't needed.
+        library = Tokenizer.from_str(json.dumps(own | {"added_tokens": [], "post_processor": None, "model": {"type": "BPE", "vocab": {}, "merges": []}}))
         self.normalizer, self.pre_tokenizer = library.normalizer, library.pre_tokenizer
         self.letters = {ord(chr(b)): c for b, c in byte_letters().items() if chr(b) != c}
         self.words: dict[str, bytes] = {}
@@ -245,21 +246,26 @@ def _shared(docs: DataFrame, vocabulary: str):
         return docs.sparkSession.sparkContext.broadcast(file.read())
 
 
-def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids): ids as little-endian unsigned 32-bit integers in one binary value."""
+def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """(id, ids): ids as little-endian unsigned 32-bit integers in one binary value; with ``decoded``, also the text
+    that ``decode`` gives for them, by the same worker."""
     definition = _shared(docs, vocabulary)
     source = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(definition.value)
         for batch in batches:
-            for part in by_bytes(batch, 1, CHUNK_BYTES):
+            for part in by_bytes(batch, 1, DECODED_BYTES if decoded else CHUNK_BYTES):
                 ids = own.encode(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], names=["_id", "ids"])
+                columns = {"_id": part.column(0), "ids": pa.array(ids, pa.binary())}
+                if decoded:
+                    columns["decoded"] = pa.array(list(map(own.decode, ids)), pa.string())
+                yield pa.RecordBatch.from_pydict(columns)
         own.words.clear()
         own.pieces.clear()
 
-    return source.mapInArrow(tidy(run), f"_id {source.schema[0].dataType.simpleString()}, ids binary").withColumnRenamed("_id", id_col)
+    kind = f"_id {source.schema[0].dataType.simpleString()}, ids binary" + ", decoded string" * decoded
+    return source.mapInArrow(tidy(run), kind).withColumnRenamed("_id", id_col)
 
 
 def decode(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id") -> DataFrame:

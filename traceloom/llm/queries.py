@@ -26,8 +26,7 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     vocabulary = public_tokenizers.path("word_bpe_49k.json")
-    decoded = bpe.decode(bpe.encode(read(spark, sf_dir, "documents"), vocabulary), vocabulary)
-    return decoded.select(
+    return bpe.encode(read(spark, sf_dir, "documents"), vocabulary, decoded=True).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
