@@ -2,6 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
 stage's ``docs``. All but the last return the columns of ``documents``; rows that a stage drops are gone from there on.
+Rows with a null id are documents like others, but link with nothing; other columns than doc_id, text and source only
+pass through; an empty table passes through empty.
 """
 
 from __future__ import annotations
@@ -11,7 +13,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from traceloom.llm import bpe, exact_dedup, mixing, ngram_join, toxicity
-from traceloom.llm.common import held_out, read, scratch_dir
+from traceloom.llm.common import held_out, materialize, read, scratch_dir
+from traceloom.llm.hashing import without
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,21 +25,20 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the row with the smallest doc_id stays."""
-    found = exact_dedup.exact_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_semi")
+    return exact_dedup.keep_first(docs)
 
 
 def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that are linked, the one with the smallest doc_id stays."""
-    found = ngram_join.jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_semi")
+    linked = ngram_join.jaccard_components(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    return without(docs, materialize(linked, "linked"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, once or twice."""
-    copies = mixing.mix(docs).where("copies > 0").select("doc_id", "copies")
-    repeated = docs.join(copies, "doc_id").withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return repeated.select(*docs.columns)
+    """Each document as often as the mix takes it: not at all, once or twice; rows that repeat an id are taken alike."""
+    copies = mixing.mix(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").cast("int").alias("_copies")).where("_copies > 0")
+    taken = docs.select(F.struct("*").alias("_row")).join(copies, F.col("_row")["doc_id"].eqNullSafe(F.col("_id")))
+    return taken.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -182,6 +182,31 @@ def test_pipeline_stages(spark, sf):
     assert collections.Counter(r["doc_id"] for r in frames["bpe"].collect()) == mixed
 
 
+def test_pipeline_stages_on_odd_rows(spark, sf):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    near = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, near, "en", "a", 1, 7), (2, near + " more", "en", "a", 1, 7), (None, near, "en", "a", 1, 7), (None, "alone without an id", None, None, None, None)]
+    rows += [(3, None, None, "b", 0, 7), (4, "", None, "b", 0, 7), (5, "some  other\ttext", "en", None, 9, 7), (6, "some other text", "en", None, 9, 7), (7, "ein Satz " * 3000, "de", "b", 2, 7)]
+    kind = "doc_id bigint, text string, lang string, source string, n_chars bigint, _id bigint"
+    for given in (rows, []):
+        docs = _written(spark, spark.createDataFrame(given, kind).withColumn("copies", F.lit("clash")).withColumn("_row", F.lit(0.5)))
+        columns = docs.columns
+        found = {}
+        for name, stage in corpus_pipeline.STAGES:
+            docs = _written(spark, stage(spark, docs, sf))
+            assert name == "bpe" or docs.columns == columns
+            found[name] = docs.collect()
+        if given:
+            by_id = lambda name: sorted(r["doc_id"] or 0 for r in found[name])
+            assert by_id("toxicity") == sorted(r[0] or 0 for r in rows)
+            assert by_id("exact_dedup") == [0, 1, 2, 3, 5, 7]
+            assert by_id("ngram_join") == [0, 1, 3, 5, 7]
+            assert all(r["copies"] == "clash" and r["_row"] == 0.5 for r in found["mixing"])
+            assert max(collections.Counter(by_id("mixing")).values()) <= 2 and by_id("bpe") == by_id("mixing")
+        else:
+            assert not any(found.values())
+
+
 def _written(spark, df):
     from traceloom.llm.common import materialize
 

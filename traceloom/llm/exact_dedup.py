@@ -97,21 +97,14 @@ def _occupied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(maps, pa.binary())], names=["block", "bits"])
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, keep_id, group_size, kept and the digest of the normalised text."""
-    spark = docs.sparkSession
-    source = docs.select(F.col(id_col).alias("_id"), normalised(F.col(text_col)).alias("_norm"))
-    prints = materialize(
-        source.select("_id", F.xxhash64("_norm").alias("_print"), F.unhex(F.sha2("_norm", 256)).alias("_sha")), "prints"
-    )
-    quotient_filter = merged_filter(prints.select("_print"))
-
+def routing(prints: DataFrame):
+    """A column function: whether a fingerprint's quotient has one that is repeated in this column of them."""
     # At most 2^BLOCK_BITS rows of 2^(QUOTIENT_BITS - BLOCK_BITS - 3) bytes, whatever the corpus holds.
     width = 1 << (QUOTIENT_BITS - BLOCK_BITS - 3)
     occupied = np.zeros((1 << BLOCK_BITS, width), np.uint8)
-    for row in quotient_filter.mapInArrow(tidy(_occupied), "block int, bits binary").collect():
+    for row in merged_filter(prints).mapInArrow(tidy(_occupied), "block int, bits binary").collect():
         occupied[row["block"]] = np.frombuffer(row["bits"], np.uint8)
-    shared = spark.sparkContext.broadcast(occupied.reshape(-1))
+    shared = prints.sparkSession.sparkContext.broadcast(occupied.reshape(-1))
 
     @F.pandas_udf("boolean")
     def routed(prints):
@@ -119,18 +112,48 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         bits = shared.value[(quotients >> np.uint64(3)).astype(np.int64)]
         return pd.Series(((bits >> (7 - (quotients & np.uint64(7))).astype(np.uint8)) & 1).astype(bool))
 
-    verified = (
-        source.withColumn("_print", F.xxhash64("_norm"))
-        .where(routed("_print"))
+    return routed
+
+
+def verified(source: DataFrame, routed) -> DataFrame:
+    """Groups of equal texts among the routed rows of (_id, _norm, _print), by all of their bytes."""
+    return (
+        source.where(routed("_print"))
         .groupBy("_print", "_norm")
         .agg(F.min("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         .where("group_size > 1")
-        .select("_print", F.unhex(F.sha2("_norm", 256)).alias("_sha"), "keep_id", "group_size")
+        .select("_print", _digest().alias("_sha"), "keep_id", "group_size")
     )
-    return prints.join(verified, ["_print", "_sha"], "left").select(
+
+
+def _digest() -> Column:
+    return F.unhex(F.sha2("_norm", 256))
+
+
+def _kept() -> Column:
+    return F.coalesce(F.col("_id") == F.coalesce("keep_id", "_id"), F.col("keep_id").isNull())
+
+
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: id, keep_id, group_size, kept and the digest of the normalised text."""
+    source = docs.select(F.col(id_col).alias("_id"), normalised(F.col(text_col)).alias("_norm")).withColumn("_print", F.xxhash64("_norm"))
+    prints = materialize(source.select("_id", "_print", _digest().alias("_sha")), "prints")
+    groups = verified(source, routing(prints.select("_print")))
+    return prints.join(groups, ["_print", "_sha"], "left").select(
         F.col("_id").alias(id_col),
         F.coalesce("keep_id", "_id").alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).alias("group_size"),
-        F.coalesce(F.col("_id") == F.coalesce("keep_id", "_id"), F.col("keep_id").isNull()).alias("kept"),
+        _kept().alias("kept"),
         F.lower(F.hex("_sha")).alias("text_sha256"),
     )
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows that stay, with all their columns. Texts that surely have no copy are not shuffled."""
+    rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), normalised(F.col(text_col)).alias("_norm"))
+    rows = rows.withColumn("_print", F.xxhash64("_norm"))
+    routed = routing(rows.select("_print"))
+    groups = materialize(verified(rows, routed), "groups")
+    alone = rows.where(~routed("_print")).select("_row.*")
+    of_groups = rows.where(routed("_print")).select("_row", "_id", "_print", _digest().alias("_sha"))
+    return alone.union(of_groups.join(groups, ["_print", "_sha"], "left").where(_kept()).select("_row.*"))

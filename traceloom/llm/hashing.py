@@ -96,3 +96,11 @@ def in_map(shared):
         return pd.Series(((shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool))
 
     return hit
+
+
+def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id", bits: int = 25) -> DataFrame:
+    """The rows of ``docs`` whose id is not in the table ``dropped``; null ids stay. Only rows whose id may be in it
+    are shuffled."""
+    slot = F.pmod(F.xxhash64(id_col), F.lit(1 << bits))
+    listed = in_map(id_map(dropped.select(slot.alias("slot")).distinct(), bits))
+    return docs.where(~listed(slot)).union(docs.where(listed(slot)).join(dropped, id_col, "left_anti").select(*docs.columns))
