@@ -29,6 +29,8 @@ from traceloom.llm.common import tidy, utf8_parts
 MAX_N = 3
 #: Rows per language that training looks at, and those of them that are landmarks; languages, at most that many by rows.
 TRAINING_ROWS, LANDMARKS = 400, 40
+#: Buckets in which a language's rows are ranked first.
+BUCKETS = 64
 #: Most n-grams that stand for the landmarks' texts: those that most of them have.
 FEATURES = 8192
 RIDGE = 1e-3
@@ -147,8 +149,11 @@ def train(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         "_lang IS NOT NULL AND _text IS NOT NULL AND _id IS NOT NULL"
     )
     known = known.where(F.regexp_like("_text", F.lit(r"\p{L}")))
-    by_hash = Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")
-    ids = known.select("_id", "_lang").withColumn("_rank", F.row_number().over(by_hash)).where(F.col("_rank") <= TRAINING_ROWS)
+    # The first by hash in each bucket, then of those: a language with most of the rows is not ranked in one task.
+    ids = known.select("_id", "_lang", F.pmod(F.xxhash64(F.lit("bucket"), "_id"), F.lit(BUCKETS)).alias("_bucket"))
+    for key in (["_lang", "_bucket"], ["_lang"]):
+        by_hash = Window.partitionBy(*key).orderBy(F.xxhash64("_id"), "_id")
+        ids = ids.withColumn("_rank", F.row_number().over(by_hash)).where(F.col("_rank") <= TRAINING_ROWS)
     sample = known.join(F.broadcast(ids.select("_id", "_lang").distinct()), ["_id", "_lang"]).select("_id", "_lang", "_text").toPandas()
     # Like the ids, by a hash: the landmarks are the first of each language.
     sample["_by"] = [(int(i) * 2654435761) % 2**32 if isinstance(i, (int, np.integer)) else zlib.crc32(str(i).encode()) for i in sample["_id"]]
