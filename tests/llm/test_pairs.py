@@ -81,6 +81,15 @@ def test_components_of_a_chain_and_a_star(spark):
     assert {found[i] for i in range(41)} == {0} and {found[i] for i in range(100, 180)} == {100}
 
 
+def test_components_of_chains_of_random_ids(spark):
+    rng = random.Random(5)
+    ids = [rng.randrange(-(2**63), 2**63) for _ in range(1300)]
+    chains = [ids[:1000], ids[1000:]]
+    edges = [pair for chain in chains for pair in zip(chain, chain[1:])]
+    found = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert found == {node: min(chain) for chain in chains for node in chain}
+
+
 def cut_by_hand(rows, least=200):
     data = [(text or "").encode() for _, text in rows]
     count = collections.Counter(own[i : i + least] for own in data for i in range(len(own) - least + 1))
