@@ -136,6 +136,27 @@ def nearest_by_hand(vectors, query, top=20):
     return [key for _, key in scored[:top]]
 
 
+@pytest.mark.parametrize("kind", ["outlier", "mixed", "opposite", "tiny"])
+def test_neighbours_of_any_norm(spark, kind):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(6 if kind == "tiny" else 3000, 64))
+    if kind == "opposite":  # all but the queries lie in one narrow cone, the queries point away from it
+        x = x[0] + 0.01 * x
+        x[:20] *= -1
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    if kind == "mixed":
+        x *= np.exp(rng.normal(size=len(x)))[:, None]
+    elif kind != "opposite":
+        x[-1] *= 50
+    vectors = dict(enumerate(x))
+    given = spark.createDataFrame([(k, v.tolist()) for k, v in vectors.items()], "vec_id bigint, embedding array<double>")
+    found = collections.defaultdict(set)
+    for row in ann.nearest(given, F.col("vec_id") < 20).collect():
+        found[row["query_id"]].add(row["vec_id"])
+    hits = [len(found[q] & set(nearest_by_hand(vectors, q))) / min(20, len(x) - 1) for q in range(min(20, len(x)))]
+    assert np.mean(hits) >= (1 if kind in ("opposite", "tiny") else 0.95)
+
+
 def test_neighbours_recall_and_order(spark, sf):
     vectors = {r["vec_id"]: np.array(r["embedding"], float) for r in read(spark, sf, "embeddings").collect()}
     found = collections.defaultdict(list)

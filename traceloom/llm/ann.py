@@ -1,10 +1,13 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
-Largest inner product is made a question of angles: a candidate x becomes the unit vector (x, sqrt(M^2 - |x|^2)) / M,
-M being the largest norm, and a query becomes (q, 0) / |q|. Each table turns these by a pseudo-rotation, three rounds
-of random signs and a fast Hadamard transform, and a vector's bucket is its nearest signed axis. A query probes the
-buckets of its PROBES largest signed coordinates in every table, and what it meets is ranked by exact inner products
-of the original vectors in double precision.
+Vectors are hashed by direction and ranked by inner product. Each table turns the unit vectors by a pseudo-rotation,
+three rounds of random signs and a fast Hadamard transform, and a vector's bucket is its nearest signed axis. A query
+probes the buckets of its PROBES largest signed coordinates in every table, and what it meets is ranked by exact inner
+products of the original vectors in double precision.
+
+Directions say nothing of norms, so vectors are also told apart by the power of two nearest to their norm: what lies in
+a band of SMALL vectors at most is held against every query of its length. So outliers and small tables are searched
+whole. A query that has met fewer than it needs is held against all vectors of its length.
 
 Equal vectors are one vector from here on: it stands for its smallest TOP + 1 ids, as ties go to smaller ids. Buckets
 are cut in blocks of candidates and of queries by their counts, so a hot bucket becomes many groups of bounded size,
@@ -27,6 +30,8 @@ from traceloom.llm.common import materialize, tidy
 
 TOP = 20
 TABLES, PROBES = 8, 28
+#: Vectors of a band that every query meets.
+SMALL = 1_000
 #: Candidates and queries of one group.
 CANDIDATES, QUERIES = 4_000, 1_000
 #: Queries whose best candidates a task holds before it hands them on.
@@ -56,33 +61,35 @@ def rotate(x: np.ndarray, table: int) -> np.ndarray:
     return x
 
 
-def lifted(x: np.ndarray, most: float, query: bool) -> np.ndarray:
-    """Unit vectors whose angles order inner products; the width is a power of two."""
+def directions(x: np.ndarray) -> np.ndarray:
+    """Unit vectors; the width is a power of two. Divided by their largest component first, as squares can overflow."""
     width = 1 << int(x.shape[1]).bit_length()
     out = np.zeros((len(x), width))
-    norms = np.linalg.norm(x, axis=1)
-    if query:
-        out[:, : x.shape[1]] = x / norms[:, None]
-    else:
-        out[:, : x.shape[1]] = x / most
-        out[:, x.shape[1]] = np.sqrt(np.maximum(0.0, 1 - (norms / most) ** 2))
+    scaled = x / np.abs(x).max(axis=1)[:, None]
+    out[:, : x.shape[1]] = scaled / np.linalg.norm(scaled, axis=1)[:, None]
     return out
 
 
-def buckets(x: np.ndarray, most: float, table: int) -> np.ndarray:
-    turned = rotate(lifted(x, most, False), table)
+def bands(x: np.ndarray) -> np.ndarray:
+    """The power of two nearest to each norm."""
+    most = np.abs(x).max(axis=1)
+    return np.floor(np.log2(most) + np.log2(np.linalg.norm(x / most[:, None], axis=1)) + 0.5).astype(int)
+
+
+def buckets(x: np.ndarray, table: int) -> np.ndarray:
+    turned = rotate(directions(x), table)
     axis = np.abs(turned).argmax(axis=1)
     return 2 * axis + (turned[np.arange(len(x)), axis] < 0)
 
 
-def probes(x: np.ndarray, most: float, table: int, count: int) -> np.ndarray:
-    turned = rotate(lifted(x, most, True), table)
+def probes(x: np.ndarray, table: int, count: int) -> np.ndarray:
+    turned = rotate(directions(x), table)
     signed = np.stack([turned, -turned], axis=2).reshape(len(x), -1)
     return np.argsort(-signed, axis=1, kind="stable")[:, :count]
 
 
-def _hashed(vectors: DataFrame, most: float, tables: int, count: int) -> DataFrame:
-    """Add ``bucket`` (array by table) and, for queries, ``probe`` (array of arrays)."""
+def _hashed(vectors: DataFrame, tables: int, count: int) -> DataFrame:
+    """Add ``band``, ``bucket`` (array by table) and, for queries, ``probe`` (array of arrays)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,24 +97,26 @@ def _hashed(vectors: DataFrame, most: float, tables: int, count: int) -> DataFra
                 part = batch.slice(start, 1_000)
                 rows = part.column(2).to_pylist()
                 asks = part.column(1).to_pylist()
+                own_bands: list = [None] * len(rows)
                 own_buckets: list = [None] * len(rows)
                 own_probes: list = [None] * len(rows)
                 for size in {len(row) for row in rows}:
                     at = [i for i, row in enumerate(rows) if len(row) == size]
                     x = np.array([rows[i] for i in at], float)
-                    found = np.stack([buckets(x, most, t) for t in range(tables)], axis=1)
+                    found = np.stack([buckets(x, t) for t in range(tables)], axis=1)
                     asking = [k for k, i in enumerate(at) if asks[i]]
-                    looked = np.stack([probes(x[asking], most, t, count) for t in range(tables)], axis=1) if asking else []
-                    for k, i in enumerate(at):
+                    looked = np.stack([probes(x[asking], t, count) for t in range(tables)], axis=1) if asking else []
+                    for k, (i, band) in enumerate(zip(at, bands(x).tolist())):
+                        own_bands[i] = band
                         own_buckets[i] = found[k].tolist()
                     for k, probe in zip(asking, looked):
                         own_probes[at[k]] = probe.tolist()
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(own_buckets, pa.list_(pa.int32())), pa.array(own_probes, pa.list_(pa.list_(pa.int32())))],
-                    names=["vkey", "asks", "vector", "bucket", "probe"],
+                    [*part.columns, pa.array(own_bands, pa.int32()), pa.array(own_buckets, pa.list_(pa.int32())), pa.array(own_probes, pa.list_(pa.list_(pa.int32())))],
+                    names=["vkey", "asks", "vector", "band", "bucket", "probe"],
                 )
 
-    return vectors.mapInArrow(tidy(run), "vkey bigint, asks boolean, vector array<double>, bucket array<int>, probe array<array<int>>")
+    return vectors.mapInArrow(tidy(run), "vkey bigint, asks boolean, vector array<double>, band int, bucket array<int>, probe array<array<int>>")
 
 
 def _rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,6 +174,24 @@ def _rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield hand_on()
 
 
+def _compared(filed: DataFrame, asking: DataFrame, most: int) -> DataFrame:
+    """(query, vkey, score): the best of what each query meets at its places; both sides hold vkey, vector and place."""
+    place = ["length", "table", "bucket"]
+    # Counts of buckets: as many rows as there are tables, axes and vector lengths.
+    counts = filed.groupBy(*place).agg(F.count(F.lit(1)).alias("_c")).join(asking.groupBy(*place).agg(F.count(F.lit(1)).alias("_q")), place)
+    counts = counts.select(*place, F.ceil(F.col("_c") / CANDIDATES).alias("_cs"), F.ceil(F.col("_q") / QUERIES).alias("_qs"))
+    counts = materialize(counts, "buckets")
+    part = lambda n: F.pmod(F.xxhash64("vkey"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    filed = filed.join(counts, place).select("vkey", F.lit(False).alias("asks"), "vector", *place, part("_cs").alias("_ci"), every("_qs").alias("_qi"))
+    asking = asking.join(counts, place).select("vkey", F.lit(True).alias("asks"), "vector", *place, every("_cs").alias("_ci"), part("_qs").alias("_qi"))
+    grouped = filed.unionByName(asking).select(F.xxhash64(*place, "_ci", "_qi").alias("group"), "vkey", "asks", "vector")
+    ranked = grouped.repartition("group").sortWithinPartitions("group").mapInArrow(tidy(_rank), "query bigint, vkey bigint, score double")
+    by_query = Window.partitionBy("query").orderBy(F.col("score").desc(), "vkey")
+    best = ranked.groupBy("query", "vkey").agg(F.max("score").alias("score")).withColumn("_n", F.row_number().over(by_query))
+    return best.where(F.col("_n") <= most).select("query", "vkey", "score")
+
+
 def nearest(
     rows: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", top: int = TOP, tables: int = TABLES, count: int = PROBES
 ) -> DataFrame:
@@ -176,32 +203,34 @@ def nearest(
     # -0.0 and 0.0 are one number.
     given = given.withColumn("vector", F.transform("vector", lambda x: x + F.lit(0.0))).distinct()
     distinct = materialize(given.groupBy("vector").agg(F.min("id").alias("vkey"), F.bool_or("asks").alias("asks")), "vectors")
-    most = distinct.agg(F.max(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))).first()[0]
-    found = materialize(_hashed(distinct.select("vkey", "asks", "vector"), float(np.sqrt(most or 1.0)), tables, count), "hashed")
+    found = materialize(_hashed(distinct.select("vkey", "asks", "vector"), tables, count), "hashed")
 
     length = F.size("vector").alias("length")
     filed = found.select("vkey", "vector", length, F.posexplode("bucket").alias("table", "bucket"))
     asking = found.where("asks").select("vkey", "vector", length, F.posexplode("probe").alias("table", "probes"))
     asking = asking.select("vkey", "vector", "length", "table", F.explode("probes").alias("bucket"))
-    place = ["length", "table", "bucket"]
-    # Counts of buckets: as many rows as there are tables, axes and vector lengths.
-    counts = filed.groupBy(*place).agg(F.count(F.lit(1)).alias("_c")).join(asking.groupBy(*place).agg(F.count(F.lit(1)).alias("_q")), place)
-    counts = counts.select(*place, F.ceil(F.col("_c") / CANDIDATES).alias("_cs"), F.ceil(F.col("_q") / QUERIES).alias("_qs"))
-    counts = materialize(counts, "buckets")
-    part = lambda n: F.pmod(F.xxhash64("vkey"), F.col(n))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    filed = filed.join(counts, place).select("vkey", F.lit(False).alias("asks"), "vector", *place, part("_cs").alias("_ci"), every("_qs").alias("_qi"))
-    asking = asking.join(counts, place).select("vkey", F.lit(True).alias("asks"), "vector", *place, every("_cs").alias("_ci"), part("_qs").alias("_qi"))
-    grouped = filed.unionByName(asking).select(F.xxhash64(*place, "_ci", "_qi").alias("group"), "vkey", "asks", "vector")
-    ranked = grouped.repartition("group").sortWithinPartitions("group").mapInArrow(tidy(_rank), "query bigint, vkey bigint, score double")
-
-    by_query = Window.partitionBy("query").orderBy(F.col("score").desc(), "vkey")
-    best = ranked.groupBy("query", "vkey").agg(F.max("score").alias("score")).withColumn("_n", F.row_number().over(by_query)).where(F.col("_n") <= top + 1)
+    # Small bands are a table of their own, whose every bucket is probed.
+    small = found.groupBy(length, F.col("band").alias("bucket")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") <= SMALL)
+    small = materialize(small.select("length", F.lit(-1).alias("table"), "bucket"), "bands")
+    columns = ["vkey", "vector", "length", "table", "bucket"]
+    filed = filed.unionByName(found.select("vkey", "vector", length, F.col("band").alias("bucket")).join(small, ["length", "bucket"]).select(columns))
+    asking = asking.unionByName(found.where("asks").select("vkey", "vector", length).join(small, "length").select(columns))
+    best = materialize(_compared(filed, asking, top + 1), "best")
+    # Queries that met too few meet all.
+    met = best.groupBy("query").agg(F.count(F.lit(1)).alias("_met"))
+    all_of = found.groupBy(length).agg(F.count(F.lit(1)).alias("_all"))
+    short = found.where("asks").select("vkey", "vector", length).join(met, F.col("vkey") == F.col("query"), "left").join(all_of, "length")
+    short = short.where(F.coalesce("_met", F.lit(0)) < F.least(F.lit(top + 1), "_all"))
+    short = materialize(short.select("vkey", "vector", "length", F.lit(-2).alias("table"), F.lit(0).alias("bucket")), "short")
+    if not short.isEmpty():
+        every_row = found.select("vkey", "vector", length, F.lit(-2).alias("table"), F.lit(0).alias("bucket"))
+        rest = _compared(every_row, short, top + 1)
+        best = best.join(short.select(F.col("vkey").alias("query")), "query", "left_anti").unionByName(rest)
     # Back from vectors to rows: the smallest ids of each found vector, and all the queries that have the asking one.
     by_vector = Window.partitionBy("vector").orderBy("id")
     smallest = given.select("vector", "id").distinct().withColumn("_n", F.row_number().over(by_vector)).where(F.col("_n") <= top + 1)
     members = smallest.join(distinct.select("vector", "vkey"), "vector").select("vkey", "id")
-    hits = best.select("query", "vkey", "score").join(members, "vkey")
+    hits = best.join(members, "vkey")
     per_vector = Window.partitionBy("query").orderBy(F.col("score").desc(), "id")
     hits = hits.withColumn("_n", F.row_number().over(per_vector)).where(F.col("_n") <= top + 1).select("query", "id", "score")
     queries = given.where("asks").select("vector", F.col("id").alias("query_id")).join(distinct.select("vector", F.col("vkey").alias("query")), "vector")
