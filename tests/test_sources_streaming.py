@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from traceloom.plans import rows_only
 from traceloom.sources import files, tables
 from traceloom.streaming import stateful
 
@@ -121,6 +122,36 @@ def test_idle_streams(spark, tmp_path):
     assert {("a", 1, "idle"), ("b", 2, "completed")} <= found
 
 
+def ended_by_hand(rows, timeout, done):
+    """Streams of (key, time, event) rows; those that may still go on are left out."""
+    out, end = [], max(at for _, at, _ in rows)
+    for key in {k for k, _, _ in rows}:
+        n = last = 0
+        for at, finished in sorted((at, event == done) for k, at, event in rows if k == key):
+            if n and at - last > timeout:
+                out.append((key, n, "idle"))
+                n = 0
+            n, last = n + 1, at
+            if finished:
+                out.append((key, n, "completed"))
+                n = 0
+        if n and end - last > timeout:
+            out.append((key, n, "idle"))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("folder", [False, True])
+def test_idle_query_on_one_batch(spark, sf, tmp_path, folder):
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    path = sf
+    if folder:
+        path = str(tmp_path)
+        events.repartition(3).write.parquet(f"{path}/events.parquet")
+    rows = [tuple(r) for r in events.select("user_id", F.unix_micros(F.col("ts").cast("timestamp")), "event_type").collect()]
+    found = sorted(map(tuple, rows_only.stream_idle_timeout(spark, path).collect()))
+    assert found and found == ended_by_hand(rows, 6 * 3_600_000_000, "signup")
+
+
 def test_high_water_mark(spark):
     assert stateful.high_water_mark(spark.createDataFrame([(3,), (7,)], "v int"), "v", 9) == 9
     assert stateful.high_water_mark(spark.createDataFrame([(30,)], "v int"), "v", 9) == 30

@@ -53,28 +53,40 @@ def hysteresis(queue: DataFrame, key: str) -> DataFrame:
 
 
 def idle(events: DataFrame, key: str, time: str, timeout_ms: int, done: str, delay: str = "0 seconds") -> DataFrame:
-    """(key, n, outcome): streams that said they are done, or were idle for longer than the timeout in event time."""
+    """(key, n, outcome): streams that said they are done, or were idle for longer than the timeout in event time.
+
+    A key's rows are walked in order of time, done last among equal times: each gap beyond the timeout and each done ends
+    a stream, and the next row begins another, so the cut into batches does not matter as long as rows are not late. What
+    is left open at the end stays open until the watermark is beyond its timeout."""
 
     def step(name: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            (n, _), outcome = state.get, "idle"
-            state.remove()
-            yield pd.DataFrame({key: [name[0]], "n": [n], "outcome": [outcome]})
-            return
         n, last = state.get if state.exists else (0, 0)
-        rows = pd.concat(list(parts)).sort_values(time, kind="stable")
-        finished = rows.index[rows["event"] == done]
-        n += len(rows)
-        last = max(last, int(rows[time].max().timestamp() * 1000))
-        if len(finished):
+        ended = []
+        if state.hasTimedOut:
+            ended.append((n, "idle"))
             state.remove()
-            yield pd.DataFrame({key: [name[0]], "n": [n], "outcome": ["completed"]})
         else:
-            state.update((n, last))
-            state.setTimeoutTimestamp(max(last + timeout_ms, state.getCurrentWatermarkMs() + 1))
+            rows = pd.concat(list(parts))
+            rows = rows.assign(_done=rows["event"] == done).sort_values(["_at", "_done"], kind="stable")
+            for at, finished in zip(rows["_at"].tolist(), rows["_done"].tolist()):
+                if n and at - last > timeout_ms * 1000:
+                    ended.append((n, "idle"))
+                    n, last = 0, at
+                n, last = n + 1, max(last, at) if n else at
+                if finished:
+                    ended.append((n, "completed"))
+                    n = 0
+            if n:
+                state.update((n, last))
+                state.setTimeoutTimestamp(max(last // 1000 + timeout_ms, state.getCurrentWatermarkMs() + 1))
+            elif state.exists:
+                state.remove()
+        if ended:
+            yield pd.DataFrame({key: [name[0]] * len(ended), "n": [n for n, _ in ended], "outcome": [o for _, o in ended]})
 
     kind = events.schema[key].dataType.simpleString()
-    return events.withWatermark(time, delay).groupBy(key).applyInPandasWithState(
+    timed = events.withWatermark(time, delay).withColumn("_at", F.unix_micros(F.col(time)))
+    return timed.groupBy(key).applyInPandasWithState(
         step, f"{key} {kind}, n bigint, outcome string", "n bigint, last bigint", "append", GroupStateTimeout.EventTimeTimeout
     )
 
