@@ -178,7 +178,7 @@ def test_neighbours_of_copies_and_odd_vectors(spark):
     rows += [(200, None), (220, [0.0, 0.0, 0.0]), (240, [1.0, float("nan"), 0.0]), (260, [1.0, None, 0.0]), (280, []), (300, [float("inf"), 0.0, 1.0]), (320, [1.0, 1.0])]
     given = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").withColumn("score", F.lit("x"))
     found = collections.defaultdict(list)
-    for row in ann.nearest(given, F.col("vec_id") % 20 == 0, count=16).orderBy("query_id", "rank").collect():
+    for row in ann.nearest(given, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
         found[row["query_id"]].append(row["vec_id"])
     vectors = {k: np.array(v, float) for k, v in rows if k < 200}
     assert set(found) == {0, 20, 40, 100}
@@ -186,6 +186,38 @@ def test_neighbours_of_copies_and_odd_vectors(spark):
         assert found[query] == nearest_by_hand(vectors, query)
 
 
+@pytest.mark.parametrize("count", [1, 5, 15, 21])
+def test_neighbours_of_few_vectors(spark, count):
+    """With fewer candidates than TOP all come back, at the tables' width."""
+    rng = np.random.default_rng(count)
+    x = rng.normal(size=(count, 64))
+    given = spark.createDataFrame([(20 * k, v.tolist()) for k, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    found = collections.Counter(r["query_id"] for r in ann.nearest(given, F.lit(True)).collect())
+    assert all(found[20 * k] == min(20, count - 1) for k in range(count))
+
+
+def test_neighbours_in_cut_groups(spark, monkeypatch):
+    """Groups that are cut in blocks give what whole ones give, and probes of all buckets give brute force."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 8))
+    given = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    for name, value in (("SMALL", 10), ("CANDIDATES", 30), ("QUERIES", 3), ("PAIRS", 50), ("HELD", 100), ("CHUNK", 16)):
+        monkeypatch.setattr(ann, name, value)
+    found = collections.defaultdict(list)
+    for row in ann.nearest(given, F.col("vec_id") % 20 == 0, probes_share=100.0).orderBy("query_id", "rank").collect():
+        found[row["query_id"]].append(row["vec_id"])
+    vectors = dict(enumerate(x))
+    assert all(found[q] == nearest_by_hand(vectors, q) for q in range(0, 400, 20))
+
+
+def test_axes_grow_with_the_vectors():
+    sizes = [2_000, 50_000, 10**6, 10**9]
+    shapes = [ann.shape(n, 64) for n in sizes]
+    assert all(own.buckets <= n <= 4 * ann.BUCKET * own.buckets for n, own in zip(sizes, shapes))
+    share = [own.probes / own.buckets for own in shapes]
+    assert share == sorted(share, reverse=True) and share[-1] < 0.02 * share[0]
+
+
 def test_neighbours_of_nothing(spark):
     assert ann.nearest(spark.createDataFrame([], "vec_id bigint, embedding array<float>"), F.col("vec_id") % 20 == 0).count() == 0
 
