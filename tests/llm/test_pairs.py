@@ -71,6 +71,58 @@ def test_ngram_join_finds_all_links(spark, monkeypatch, run):
     assert found == joined_by_hand(rows + [rows[0]])
 
 
+def test_words_that_cancel_in_sums_of_powers_differ():
+    """The Thue-Morse word over a and b, and its complement, have equal polynomial hashes modulo 2^64."""
+    word = "a"
+    while len(word) < 4096:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    for n in (64, 512, 1024, 4096):
+        data = (word[:n] + other[:n]).encode()
+        one, two = ngram_join.shingle_sets(np.frombuffer(data, np.uint8), np.array([0, n, 2 * n]))
+        assert one.tolist() != two.tolist()
+
+
+def test_hashes_depend_on_bytes_alone():
+    from traceloom.llm.hashing import Hashes
+
+    rng = np.random.default_rng(1)
+    part = rng.integers(0, 4, 3000).astype(np.uint8)
+    data = np.concatenate([rng.integers(0, 4, 77).astype(np.uint8), part, part[:5], part])
+    for size in (1, 7, 8, 9, 64, 200, 511, 512, 513, 1500, 3000):
+        for lane in (0, 1):
+            a, b = Hashes(data).of(np.array([77, 77 + 3005]), np.array([77, 77 + 3005]) + size, lane)
+            assert a == b == Hashes(part).of(np.array([0]), np.array([size]), lane)[0]
+    seen = Hashes(np.tile(np.arange(250, dtype=np.uint8), 3)).of(np.arange(250), np.arange(250) + 40)
+    assert len(set(seen.tolist())) == 250
+    assert (Hashes(part).every(32)[5:9] == Hashes(part[5:]).every(32)[:4]).all()
+
+
+def test_order_is_cut_evenly():
+    rng = np.random.default_rng(4)
+    levels = rng.integers(0, 5, 1 << ngram_join.SKETCH_BITS).astype(np.uint8)
+    order = ngram_join.Order(levels, np.bincount(levels, minlength=64))
+    shingles = rng.integers(0, 2**63, 200_000).astype(np.uint64) * np.uint64(2)
+    where = order.fragment(shingles, 8)
+    assert np.bincount(where, minlength=8).min() > 0.9 * len(shingles) / 8
+    by = np.lexsort((where, order.level(shingles)))
+    assert (np.diff(where[by]) >= 0).all()
+
+
+def test_ngram_join_of_boilerplate(spark, monkeypatch):
+    """Texts around one long passage: near the threshold on both sides, with repeated ids and rows."""
+    monkeypatch.setattr(ngram_join, "RUN", 4)
+    monkeypatch.setattr(ngram_join, "BLOCK", 7)
+    rng = random.Random(11)
+    texts = []
+    for k in range(90):
+        own = " ".join(f"u{rng.randrange(10**6)}" for _ in range(rng.randrange(2, 22)))
+        texts.append(" ".join(f"p{i}" for i in range(rng.randrange(0, 6), 70)) + " " + own)
+    rows = list(enumerate(texts))
+    given = spark.createDataFrame(rows + rows[:9], "doc_id bigint, text string").repartition(3)
+    assert sorted(map(tuple, ngram_join.jaccard_components(given).collect())) == joined_by_hand(rows + rows[:9])
+
+
 def test_ngram_join_empty(spark):
     assert ngram_join.jaccard_components(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 

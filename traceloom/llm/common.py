@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from traceloom.scratch import materialize, scratch_dir
 
-__all__ = ["materialize", "scratch_dir", "read", "held_out", "utf8_parts", "tidy", "WORD", "SPACES"]
+__all__ = ["materialize", "scratch_dir", "read", "held_out", "utf8_parts", "tidy", "salted_join", "WORD", "SPACES"]
 
 #: ASCII white space and what lies between, as all contracts of this package name them.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -29,6 +29,14 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def salted_join(left: DataFrame, right: DataFrame, key: str, by: str, how: str = "left", salts: int = 16) -> DataFrame:
+    """Join a table with few rows for each key to one that may have very many of them: the left rows of a key are dealt
+    out by the hash of another column, and each part meets a copy of the right rows."""
+    dealt = left.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)))
+    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return dealt.join(copies, [key, "_salt"], how).drop("_salt")
+
+
 def utf8_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All UTF-8 bytes of a string column and the n + 1 offsets of its rows; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -1,4 +1,4 @@
-"""64-bit hashes of stretches of a byte buffer, from prefix sums; and bit maps of hashed ids."""
+"""Hashes of stretches of a byte buffer, and bit maps of hashed ids."""
 
 from __future__ import annotations
 
@@ -12,18 +12,11 @@ from traceloom.llm.common import tidy
 
 _U = np.uint64
 _P, _M = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)
-_POWERS = np.ones(1, np.uint64)
-_INVERSE = np.ones(1, np.uint64)
-
-
-def _grow(size: int) -> None:
-    """Powers of an odd number modulo 2^64 and of its inverse, as far as a buffer reaches."""
-    global _POWERS, _INVERSE
-    if len(_POWERS) < size:
-        inverse = _U(pow(int(_P), -1, 2**64))
-        with np.errstate(over="ignore"):
-            _POWERS = np.concatenate([[_U(1)], np.cumprod(np.full(size - 1, _P, np.uint64))]).astype(np.uint64)
-            _INVERSE = np.concatenate([[_U(1)], np.cumprod(np.full(size - 1, inverse, np.uint64))]).astype(np.uint64)
+#: Odd factors of the two lanes of a digest.
+_LANES = (_U(0xA0761D6478BD642F), _U(0xE7037ED1A0B428DB))
+#: Bytes of a stretch that are hashed in one run.
+_PIECE = 512
+_KEPT = np.array([(1 << 8 * n) - 1 for n in range(8)] + [2**64 - 1], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -38,29 +31,67 @@ def chain(words: np.ndarray, width: int) -> np.ndarray:
     """Hashes of all runs of ``width`` neighbours."""
     n = len(words) - width + 1
     with np.errstate(over="ignore"):
-        out = words[:n].copy()
+        out = mix(words[:n])
         for k in range(1, width):
-            out = out * _P + words[k : n + k]
-        return mix(out)
+            out = mix(out * _P ^ words[k : n + k])
+        return out
 
 
 class Hashes:
-    """Hashes of any stretch of a buffer; equal bytes of equal length have equal hashes, wherever they stand."""
+    """Hashes of stretches of a buffer; equal bytes of equal length have equal hashes, wherever they stand.
 
-    def __init__(self, data: np.ndarray):
-        _grow(len(data) + 1)
-        with np.errstate(over="ignore"):
-            terms = (data.astype(np.uint64) + _U(1)) * _POWERS[: len(data)]
-        self.sums = np.concatenate([[_U(0)], np.cumsum(terms, dtype=np.uint64)])
+    A stretch is read eight bytes at a time, and each step multiplies and shifts, so that no two patterns of letters
+    cancel each other, as they can in sums of powers. Two lanes with factors of their own make 128 bits."""
 
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    def __init__(self, data: np.ndarray):
+        self.size = len(data)
+        padded = np.zeros(self.size + 8, np.uint8)
+        padded[: self.size] = data
+        # The eight bytes from each place on.
+        self.eights = np.ndarray((self.size + 1,), "<u8", padded, strides=(1,))
+
+    def of(self, start: np.ndarray, end: np.ndarray, lane: int = 0) -> np.ndarray:
+        start, size = np.asarray(start, np.int64), np.asarray(end - start, np.int64)
+        long = np.flatnonzero(size > _PIECE)
+        if not len(long):
+            return self._steps(start, size, lane)
+        # Long stretches are hashed by pieces, and then the pieces' hashes like bytes.
+        out = self._steps(start, np.minimum(size, _PIECE), lane)
+        pieces = -(-size[long] // _PIECE)
+        ends = np.cumsum(pieces)
+        at = _PIECE * (np.arange(ends[-1]) - np.repeat(ends - pieces, pieces))
+        inner = self._steps(np.repeat(start[long], pieces) + at, np.minimum(np.repeat(size[long], pieces) - at, _PIECE), lane)
+        out[long] = mix(Hashes(inner.view(np.uint8)).of(8 * (ends - pieces), 8 * ends, lane) ^ size[long].astype(np.uint64))
+        return out
+
+    def _steps(self, start: np.ndarray, left: np.ndarray, lane: int) -> np.ndarray:
+        factor = _LANES[lane]
         with np.errstate(over="ignore"):
-            return mix((self.sums[end] - self.sums[start]) * _INVERSE[start] + (end - start).astype(np.uint64))
+            out = mix(left.astype(np.uint64) + factor)
+            order = np.argsort(-left, kind="stable")
+            at, left, state = start[order], left[order], out[order]
+            live = int(np.searchsorted(-left, 0, side="left"))
+            while live:
+                block = self.eights[at[:live]] & _KEPT[np.minimum(left[:live], 8)]
+                own = (state[:live] ^ block) * factor
+                state[:live] = own ^ (own >> _U(31))
+                at[:live] += 8
+                left[:live] -= 8
+                if left[live - 1] <= 0:
+                    live = int(np.searchsorted(-left[:live], 0, side="left"))
+            out[order] = mix(state)
+        return out
 
     def every(self, length: int) -> np.ndarray:
-        n = len(self.sums) - length
+        """Hashes of all stretches of a length, which is a power of two from 8 on."""
+        out, known = np.array(self.eights[: max(0, self.size - 7)]), 8
         with np.errstate(over="ignore"):
-            return mix((self.sums[length:] - self.sums[:n]) * _INVERSE[:n] + _U(length))
+            while known < length:
+                n = max(0, len(out) - known)
+                out = out[:n] * _P ^ out[known : known + n]
+                out ^= out >> _U(29)
+                known *= 2
+        return mix(out)
 
 
 def id_map(slots: DataFrame, bits: int):

@@ -1,19 +1,22 @@
 """N-gram Jaccard join by vertical partitioning.
 
 Words are what lies between ASCII white space, A-Z lower-cased; a document's set is its distinct five-word
-shingles (64-bit hashes). The global order of shingles is by how common they are (the logarithm of a counting
-sketch over all documents, so that rare ones come first), then by hash, and it is cut into fragments.
+shingles (64-bit hashes of the words' bytes). The global order of shingles is by how common they are (the logarithm of
+a counting sketch over all documents, so that rare ones come first), then by hash, and it is cut into fragments of
+about equal numbers of occurrences.
 
 1. Equal sets are one class from here on; copies are never paired with each other.
 2. Two sets of similarity t share a shingle among the first n - ceil(t n) + 1 of both. These prefixes are cut by
    fragment, and each fragment pairs the classes that share one of its shingles and whose sizes allow a link, with
    the number that they share. Summed per pair, these partial overlaps rule out pairs that share too little so far.
    A shingle of up to RUN classes gives all its pairs; one of more gives stars, every class with HUBS of them.
-3. Classes of candidate pairs are cut vertically into fragments of the whole order. Each fragment counts the
+3. Classes of candidate pairs are cut vertically into VERTICAL fragments of the whole order. Each fragment counts the
    partial overlap of every pair on its own, and the parts are summed per pair. What belongs together for that is
-   a cluster of candidate pairs, in blocks of bounded size.
+   a cluster of candidate pairs, cut by the hashes of both classes of a pair into blocks of bounded size.
 4. Links join into components. Stars lose no link that would join more: of the classes that crowded shingles connect,
-   those outside the largest component are held against all the others, in blocks of bounded size.
+   those outside the largest component are held against the others in blocks of bounded size. If two sets share no
+   shingle that gave all its pairs, what they share is crowded or lies behind a prefix; that bounds their overlap, so
+   that a class with many rare shingles (boilerplate around a text of its own) meets hardly any block.
 
 Defined cases: a null text, and a text without words, has an empty set and is linked with nothing; with fewer than
 five words the whole sequence is one shingle; equal rows are copies; rows with a null id take part in nothing and
@@ -31,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from traceloom.llm.common import materialize, tidy, utf8_parts
+from traceloom.llm.common import materialize, salted_join, tidy, utf8_parts
 from traceloom.llm.components import components
 from traceloom.llm.hashing import Hashes, chain, id_map, in_map, mix
 
@@ -46,10 +49,16 @@ RUN = 24
 HUBS = 4
 #: Vertical fragments in which overlaps are counted.
 VERTICAL = 4
-#: Documents of a cluster that one block holds.
-BLOCK = 2_000
+#: Classes, and shingles, of one block.
+BLOCK, BLOCK_SHINGLES = 2_000, 1 << 20
+#: Sizes of one block are at most this apart, as a factor.
+SIZES = 1.1
+#: Blocks in which the counting sketch is added up.
+SKETCH_BLOCKS = 1_024
 #: Bytes of prefix entries for each fragment, about.
 FRAGMENT_BYTES = 8 << 20
+#: Fragments for each task.
+EACH = 4
 #: Bits of the map of documents that are in a candidate pair.
 MAP_BITS = 25
 PAIRS = "a bigint, b bigint, size_a bigint, size_b bigint, shared bigint, star bigint, shingle bigint, classes binary"
@@ -94,6 +103,15 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     return found
 
 
+def digest_of(own: np.ndarray) -> bytes:
+    return hashlib.blake2b(own.astype("<u8").tobytes(), digest_size=16).digest()
+
+
+def class_of(own: np.ndarray) -> int:
+    """A set's class: the leading half of its digest."""
+    return int.from_bytes(digest_of(own)[:8], "little", signed=True)
+
+
 def slices(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     """Parts of a batch with their texts' shingle sets; about SLICE bytes each, or one long text."""
     data, offsets = utf8_parts(batch.column(column))
@@ -110,9 +128,29 @@ def prefix_length(size: int) -> int:
     return size - (OVER * size + OF - 1) // OF + 1 if size else 0
 
 
-def sketch(source: DataFrame) -> tuple[np.ndarray, int]:
-    """Order classes of all sketch cells (logarithms of their counts), and the number of shingles of all sets."""
-    blocks, width = 64, 1 << (SKETCH_BITS - 6)
+class Order:
+    """The global order of shingles: by level, then by hash; ``at`` is a shingle's place in it, from 0 to 1."""
+
+    def __init__(self, levels: np.ndarray, mass: np.ndarray):
+        self.levels, self.total = levels, int(mass.sum())
+        share = mass / max(1, self.total)
+        self.start, self.share = np.cumsum(share) - share, share
+
+    def level(self, shingles: np.ndarray) -> np.ndarray:
+        return self.levels[(shingles >> _U(64 - SKETCH_BITS)).astype(np.int64)]
+
+    def fragment(self, shingles: np.ndarray, fragments: int) -> np.ndarray:
+        """Which of so many cuts of the order, of about equal numbers of occurrences, a shingle lies in."""
+        level = self.level(shingles)
+        # Cells take the leading bits, so places within a level go by the following ones, which any cell has alike.
+        within = ((shingles << _U(SKETCH_BITS)) >> _U(32)).astype(np.float64) / 2**32
+        place = self.start[level] + self.share[level] * within
+        return np.minimum((place * fragments).astype(np.int64), fragments - 1)
+
+
+def sketch(source: DataFrame) -> Order:
+    """Levels of all sketch cells (logarithms of their counts), and how many occurrences each level has."""
+    blocks, width = SKETCH_BLOCKS, (1 << SKETCH_BITS) // SKETCH_BLOCKS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(1 << SKETCH_BITS, np.int32)
@@ -121,36 +159,38 @@ def sketch(source: DataFrame) -> tuple[np.ndarray, int]:
                 own, times = np.unique((np.concatenate(sets) >> _U(64 - SKETCH_BITS)).astype(np.int32), return_counts=True)
                 cells[own] += times.astype(np.int32)
         parts = np.minimum(cells, 65_535).astype("<u2").reshape(blocks, width)
-        yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array([part.tobytes() for part in parts], pa.binary())], names=["block", "cells"])
+        used = np.flatnonzero(parts.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([parts[i].tobytes() for i in used], pa.binary())], names=["block", "cells"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for block, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 sums[block] = sums.get(block, 0) + np.frombuffer(cells, "<u2").astype(np.int64)
-        levels = [np.floor(np.log2(x + 1)).astype(np.uint8).tobytes() for x in sums.values()]
-        out = [pa.array(list(sums), pa.int32()), pa.array(levels, pa.binary()), pa.array([int(x.sum()) for x in sums.values()], pa.int64())]
-        yield pa.RecordBatch.from_arrays(out, names=["block", "levels", "total"])
+        levels = [np.floor(np.log2(x + 1)).astype(np.uint8) for x in sums.values()]
+        mass = [np.bincount(level, x, 64).astype("<i8").tobytes() for level, x in zip(levels, sums.values())]
+        out = [pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in levels], pa.binary()), pa.array(mass, pa.binary())]
+        yield pa.RecordBatch.from_arrays(out, names=["block", "levels", "mass"])
 
     counted = source.mapInArrow(tidy(count), "block int, cells binary").repartition("block")
-    levels, total = np.zeros((blocks, width), np.uint8), 0
-    for row in counted.mapInArrow(tidy(add), "block int, levels binary, total bigint").collect():
+    levels, mass = np.zeros((blocks, width), np.uint8), np.zeros(64, np.int64)
+    for row in counted.mapInArrow(tidy(add), "block int, levels binary, mass binary").collect():
         levels[row["block"]] = np.frombuffer(row["levels"], np.uint8)
-        total += row["total"]
-    return levels.reshape(-1), total
+        mass += np.frombuffer(row["mass"], "<i8")
+    return Order(levels.reshape(-1), mass)
 
 
 def _prefixes(source: DataFrame, order, fragments: int) -> DataFrame:
     """A row for each document (class digest, set size) and rows of prefix entries for each fragment.
 
     A row of entries holds, for the classes of one slice: how many entries each has, their ids and sizes, and the
-    entries (hashes without the bits that the fragment gives)."""
+    entries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank, seen = order.value, set()
+        cut, seen = order.value, set()
         for batch in batches:
             for part, sets in slices(batch, 1):
-                digests = [hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None for own in sets]
+                digests = [digest_of(own) if len(own) else None for own in sets]
                 classes = [int.from_bytes(d[:8], "little", signed=True) if d else None for d in digests]
                 none = pa.nulls(len(part), pa.binary())
                 yield pa.RecordBatch.from_arrays(
@@ -166,8 +206,7 @@ def _prefixes(source: DataFrame, order, fragments: int) -> DataFrame:
                     seen.add(name)
                     keep = prefix_length(len(own))
                     if keep < len(own):
-                        level = rank[(own >> _U(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64)
-                        own = own[np.argsort(level, kind="stable")[:keep]]
+                        own = own[np.argsort(cut.level(own), kind="stable")[:keep]]
                     hashes.append(own)
                     owners.append(name)
                     sizes.append((name, len(own), 0))
@@ -177,18 +216,17 @@ def _prefixes(source: DataFrame, order, fragments: int) -> DataFrame:
                 size_of = dict(table.tolist())
                 flat = np.concatenate(hashes)
                 owner = np.repeat(np.arange(len(owners)), [len(h) for h in hashes])
-                where = ((flat >> _U(32)) * _U(fragments) >> _U(32)).astype(np.int64)
+                where = cut.fragment(flat, fragments)
                 by = np.argsort(where, kind="stable")
                 cuts = np.searchsorted(where[by], np.arange(fragments + 1))
                 names, lengths = np.array(owners, np.int64), np.array([size_of[o] for o in owners], np.int64)
                 rows, blobs = [], []
-                for f in range(fragments):
+                for f in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
                     pick = by[cuts[f] : cuts[f + 1]]
-                    if len(pick):
-                        used, local = np.unique(owner[pick], return_inverse=True)
-                        head = np.array([len(used), len(pick)], "<i8").tobytes()
-                        blobs.append(head + names[used].tobytes() + lengths[used].astype("<i4").tobytes() + local.astype("<i4").tobytes() + flat[pick].astype("<u8").tobytes())
-                        rows.append(f)
+                    used, local = np.unique(owner[pick], return_inverse=True)
+                    head = np.array([len(used), len(pick)], "<i8").tobytes()
+                    blobs.append(head + names[used].tobytes() + lengths[used].astype("<i4").tobytes() + local.astype("<i4").tobytes() + flat[pick].astype("<u8").tobytes())
+                    rows.append(f)
                 n = len(rows)
                 yield pa.RecordBatch.from_arrays(
                     [pa.nulls(n, part.column(0).type), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(rows, pa.int32()), pa.array(blobs, pa.binary())],
@@ -268,30 +306,43 @@ def _pairs_of_fragment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([*(pa.nulls(n, pa.int64()) for _ in range(6)), *columns], names=list(kinds))
 
 
-def _possible(candidates: DataFrame) -> DataFrame:
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for own in batch.column(0).to_pylist():
+            names = np.frombuffer(own, "<i8")
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), names.min())), pa.array(names)], names=["a", "b"])
+
+
+def _crowded(candidates: DataFrame) -> DataFrame:
+    """(a, b, n): classes b of crowded shingles, tied to the least class of each, and by how many shingles."""
+    members = candidates.where("shingle IS NOT NULL").select("classes").mapInArrow(tidy(_members), "a bigint, b bigint")
+    return materialize(members.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")), "crowded")
+
+
+def _possible(candidates: DataFrame, held: DataFrame) -> DataFrame:
     """Pairs whose partial overlaps over all prefix fragments leave room for a link.
 
     Behind the end of the shorter-reaching prefix each set has at most size - prefix shingles, so the overlap is at
-    most shared + the larger of these. Pairs of stars are not counted in full and pass."""
+    most shared + the larger of these, and the crowded shingles that both may have. Pairs of stars pass."""
     summed = candidates.where("a IS NOT NULL").groupBy("a", "b").agg(
         F.first("size_a").alias("size_a"), F.first("size_b").alias("size_b"), F.sum("shared").alias("shared"), F.max("star").alias("star")
     )
+    for side in ("a", "b"):
+        summed = summed.join(held.select(F.col("node").alias(side), F.col("crowded").alias(f"crowded_{side}")), side, "left")
     behind = lambda size: F.ceil(size * OVER / OF) - 1  # noqa: E731  size - prefix_length(size)
-    most = F.col("shared") + F.greatest(behind(F.col("size_a")), behind(F.col("size_b")))
+    more = F.least(F.coalesce("crowded_a", F.lit(0)), F.coalesce("crowded_b", F.lit(0)))
+    most = F.col("shared") + F.greatest(behind(F.col("size_a")), behind(F.col("size_b"))) + more
     return summed.where((F.col("star") == 1) | ((OF + OVER) * most >= OVER * (F.col("size_a") + F.col("size_b")))).select("a", "b")
 
 
-def _overlaps(source: DataFrame, classes: DataFrame, pairs: DataFrame, label: str) -> DataFrame:
+def _overlaps(source: DataFrame, classes: DataFrame, pairs: DataFrame, order, label: str) -> DataFrame:
     """(a, b, size_a, size_b, overlap) of candidate pairs, by vertical fragments."""
     cluster = components(pairs)
-    per = cluster.groupBy("component").agg(F.count(F.lit(1)).alias("_n"))
-    # A cluster of more than BLOCK classes is cut by the hash of the pair's second class.
-    cuts = F.ceil(F.col("_n") / BLOCK)
-    routed = (
-        pairs.join(cluster.withColumnRenamed("node", "b"), "b")
-        .join(per, "component")
-        .select("a", "b", F.xxhash64("component", F.pmod(F.xxhash64("b"), cuts)).alias("key"))
-    )
+    large = cluster.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_cuts")).where("_cuts > 1")
+    # A cluster of more than BLOCK classes is cut by the hashes of both classes, so that a hub's pairs part as well.
+    of_pairs = salted_join(pairs.join(cluster.withColumnRenamed("node", "b"), "b"), large, "component", "a")
+    part = lambda name: F.pmod(F.xxhash64(name), F.coalesce("_cuts", F.lit(1)))
+    routed = of_pairs.select("a", "b", F.xxhash64("component", part("a"), part("b")).alias("key"))
     routed = materialize(routed, f"{label}-routes")
     # Each class goes to each of its keys once, with its partners there.
     route = (
@@ -308,8 +359,11 @@ def _overlaps(source: DataFrame, classes: DataFrame, pairs: DataFrame, label: st
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, sets in slices(batch, 0):
-                bounds = [np.searchsorted(own >> _U(48), np.arange(VERTICAL + 1) * ((1 << 16) // VERTICAL)) for own in sets]
-                segments = [own[b[v] : b[v + 1]].astype("<u8").tobytes() for own, b in zip(sets, bounds) for v in range(VERTICAL)]
+                # An id that stands in several rows brings texts of other classes as well.
+                fits = [i for i, (own, name) in enumerate(zip(sets, part.column(1).to_pylist())) if class_of(own) == name]
+                part, sets = part.take(pa.array(fits, pa.int64())), [sets[i] for i in fits]
+                wheres = [order.value.fragment(own, VERTICAL) for own in sets]
+                segments = [own[where == v].astype("<u8").tobytes() for own, where in zip(sets, wheres) for v in range(VERTICAL)]
                 at = np.repeat(np.arange(len(part)), VERTICAL)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(2).take(pa.array(at)), pa.array(np.tile(np.arange(VERTICAL), len(part)), pa.int32()), part.column(1).take(pa.array(at)), pa.array(segments, pa.binary()), part.column(3).take(pa.array(at))],
@@ -321,7 +375,7 @@ def _overlaps(source: DataFrame, classes: DataFrame, pairs: DataFrame, label: st
 
         def flush() -> None:
             for name, (segment, partners) in own.items():
-                for other in partners:
+                for other in set(partners):
                     if other in own:
                         out.append((other, name, len(np.intersect1d(own[other][0], segment, assume_unique=True))))
 
@@ -358,65 +412,91 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """One row per input row: id, n_shingles and component_id (the smallest id reachable by links)."""
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    levels, shingles = sketch(source)
-    fragments = max(16, math.ceil(shingles * 3 / FRAGMENT_BYTES))
-    found = materialize(_prefixes(source, spark.sparkContext.broadcast(levels), fragments), "prefixes")
+    order = sketch(source)
+    fragments = max(16, math.ceil(order.total * 3 / FRAGMENT_BYTES))
+    order = spark.sparkContext.broadcast(order)
+    # Fragments of the order are finer than tasks, which hashing evens out.
+    found = materialize(_prefixes(source, order, EACH * fragments), "prefixes")
     rows = found.where("fragment IS NULL").select("_id", "digest", "class", "size")
     classes = materialize(rows.where("class IS NOT NULL AND _id IS NOT NULL").groupBy("digest", "class", "size").agg(F.min("_id").alias("rep")), "classes")
     entries = found.where("fragment IS NOT NULL").select("fragment", "entries").repartition(fragments, "fragment")
     candidates = materialize(entries.mapInArrow(tidy(_pairs_of_fragment), PAIRS), "candidates")
-    pairs = materialize(_possible(candidates), "pairs")
-    links = materialize(_linked(_overlaps(source, classes, pairs, "overlap")), "links")
-    links = _complete(source, classes, candidates, links)
+    crowded = _crowded(candidates)
+    held = materialize(crowded.groupBy(F.col("b").alias("node")).agg(F.sum("n").alias("crowded")), "held")
+    pairs = materialize(_possible(candidates, held), "pairs")
+    links = materialize(_linked(_overlaps(source, classes, pairs, order, "overlap")), "links")
+    links = _complete(source, classes, crowded, held, links)
     # Components are named by ids: the smallest of any class in them.
     nodes = classes.select(F.col("class").alias("node"), "rep")
     joined = components(links)
     least = joined.join(nodes, "node").groupBy("component").agg(F.min("rep").alias("component_id"))
-    of_class = nodes.join(joined, "node", "left").join(least, "component", "left").select(F.col("node").alias("class"), F.coalesce("component_id", "rep").alias("component_id"))
+    of_class = salted_join(nodes.join(joined, "node", "left"), least, "component", "node").select(F.col("node").alias("class"), F.coalesce("component_id", "rep").alias("component_id"))
     return rows.join(of_class, "class", "left").select(
         F.col("_id").alias(id_col), F.col("size").alias("n_shingles"), F.when(F.col("class").isNull(), F.col("_id")).otherwise(F.col("component_id")).alias("component_id")
     )
 
 
-def _complete(source: DataFrame, classes: DataFrame, candidates: DataFrame, links: DataFrame) -> DataFrame:
-    """Links between classes of one crowded shingle that the stars left in different components.
-
-    Classes that crowded shingles connect are a family. Most of a family is one component by now; every class outside
-    it is held against the whole family, block by block: an inverted index of the block's shingles counts the overlaps
-    with all its classes at once, and of each component that a class links to, one link is handed on."""
+def _sets(source: DataFrame, reps: DataFrame) -> DataFrame:
+    """(node, set) of the classes in (node, rep), each computed once."""
+    slot = F.pmod(F.xxhash64("_id"), F.lit(1 << MAP_BITS))
+    reps = reps.withColumnRenamed("rep", "_id")
+    wanted = in_map(id_map(reps.select(slot.alias("slot")).distinct(), MAP_BITS))
+    joined = source.where(wanted(slot)).join(reps, "_id").select("_text", "node")
 
-    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for own in batch.column(0).to_pylist():
-                names = np.frombuffer(own, "<i8")
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), names.min())), pa.array(names)], names=["a", "b"])
+            for part, sets in slices(batch, 0):
+                fits = [(name, own.astype("<u8").tobytes()) for own, name in zip(sets, part.column(1).to_pylist()) if class_of(own) == name]
+                yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in fits], t) for i, t in ((0, pa.int64()), (1, pa.binary()))], names=["node", "set"])
+
+    return joined.mapInArrow(tidy(run), "node bigint, set binary").dropDuplicates(["node"])
+
+
+def _complete(source: DataFrame, classes: DataFrame, crowded: DataFrame, held: DataFrame, links: DataFrame) -> DataFrame:
+    """Links between classes of one crowded shingle that the stars left in different components.
+
+    Classes that crowded shingles connect are a family. Most of a family is one component by now; classes outside it
+    are held against the blocks of their family whose sizes and reach allow a link: an inverted index of a block's
+    shingles counts the overlaps with all its classes at once, and of each component that a class links to, one link
+    is handed on. The reach of a class is the largest set that it could link to by crowded shingles of its prefix and
+    by what lies behind it alone; of two sets that share no other shingle, at least one has the other in its reach."""
 
-    crowded = materialize(candidates.where("shingle IS NOT NULL").select("classes").mapInArrow(tidy(members), "a bigint, b bigint").distinct(), "crowded")
     if crowded.isEmpty():
         return links
     family = components(crowded).withColumnRenamed("component", "family")
-    placed = family.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    placed = materialize(placed.join(classes.select(F.col("class").alias("node"), "rep", "size"), "node"), "placed")
+    placed = family.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node")).join(held, "node")
+    placed = placed.join(classes.select(F.col("class").alias("node"), "rep", "size"), "node")
+    most = F.ceil(F.col("size") * OVER / OF) - 1 + F.col("crowded")
+    placed = placed.withColumn("reach", F.floor(F.least("size", most) * (OF + OVER) / OVER) - F.col("size"))
+    placed = placed.withColumn("strong", OF * F.col("reach") >= OVER * F.col("size")).withColumn("sizes", F.floor(F.log("size") / math.log(SIZES)))
+    placed = materialize(placed.drop("crowded"), "placed")
     counts = placed.groupBy("family", "component").agg(F.count(F.lit(1)).alias("n"))
-    per = counts.groupBy("family").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("parts"), F.ceil(F.sum("n") / BLOCK).alias("blocks"))
-    of = placed.join(per.where("parts > 1"), "family").select("node", "rep", "size", "component", "family", "blocks", (F.col("component") != F.col("main")).alias("asks"))
-    own = of.withColumn("_block", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("asks", F.lit(False))
-    every = of.where("asks").withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    route = own.unionByName(every).select(F.col("rep").alias("_id"), "node", "component", "asks", F.xxhash64("family", "_block").alias("key"))
-    route = materialize(route, "blocks")
-    if route.isEmpty():
+    per = counts.groupBy("family").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    of = materialize(salted_join(placed, per, "family", "node", "inner").withColumn("asks", F.col("component") != F.col("main")).drop("main", "parts"), "asking")
+    kind = ["family", "strong", "sizes"]
+    groups = of.groupBy(*kind).agg(
+        F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).alias("blocks"),
+        F.min("size").alias("low"), F.max("size").alias("high"), F.max("reach").alias("far"),
+    )
+    groups = materialize(groups, "groups")
+    asking = salted_join(of.where("asks").drop("strong", "sizes"), groups, "family", "node", "inner")
+    asking = asking.where((OF * F.col("high") >= OVER * F.col("size")) & (OF * F.col("size") >= OVER * F.col("low")))
+    asking = asking.where((F.col("low") <= F.col("reach")) | (F.col("size") <= F.col("far")))
+    asking = asking.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(*kind, "_block", "node", "component")
+    asking = materialize(asking, "asks")
+    if asking.isEmpty():
         return links
-    slot = F.pmod(F.xxhash64("_id"), F.lit(1 << MAP_BITS))
-    wanted = in_map(id_map(route.select(slot.alias("slot")).distinct(), MAP_BITS))
-    joined = source.where(wanted(slot)).join(route, "_id").select("_text", "key", "node", "component", "asks")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, sets in slices(batch, 0):
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array([own.astype("<u8").tobytes() for own in sets], pa.binary())], names=["key", "node", "component", "asks", "set"])
-
-    kinds = "key bigint, node bigint, component bigint, asks boolean, set binary"
-    blocks = joined.mapInArrow(tidy(cut), kinds).repartition("key").sortWithinPartitions("key", "asks", "node")
+    # The asking classes of a block are cut as well; the block's own go to each part.
+    parts = asking.groupBy(*kind, "_block").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_parts"))
+    parts = materialize(parts, "parts")
+    asking = asking.join(parts, [*kind, "_block"]).withColumn("_part", F.pmod(F.xxhash64("node"), F.col("_parts"))).withColumn("asks", F.lit(True))
+    own = of.join(groups.select(*kind, "blocks"), kind).withColumn("_block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    own = own.join(parts, [*kind, "_block"]).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))).withColumn("asks", F.lit(False))
+    columns = ["node", "component", "asks", F.xxhash64(*kind, "_block", "_part").alias("key")]
+    route = materialize(own.select(*columns).unionByName(asking.select(*columns)), "blocks")
+    reps = route.select("node").distinct().join(classes.select(F.col("class").alias("node"), "rep"), "node")
+    sets = materialize(_sets(source, materialize(reps, "reps")), "sets")
+    blocks = route.join(sets, "node").select("key", "node", "component", "asks", "set").repartition("key").sortWithinPartitions("key", "asks", "node")
     more = materialize(blocks.mapInArrow(tidy(_scan_blocks), "a bigint, b bigint"), "more")
     return materialize(links.union(more), "links")
 
