@@ -14,6 +14,22 @@ from pyspark.sql import functions as F  # noqa: E402
 from traceloom.llm import ann, components, queries, repeats  # noqa: E402
 from traceloom.llm.common import read  # noqa: E402
 
+
+
+@pytest.fixture(autouse=True)
+def patched_modules_reach_workers():
+    """Functions travel with what the test has set in their modules, instead of being imported anew by the workers."""
+    from pyspark import cloudpickle
+
+    from traceloom.llm import hashing
+
+    for module in (ngram_join, repeats, ann, hashing):
+        cloudpickle.register_pickle_by_value(module)
+    yield
+    for module in (ngram_join, repeats, ann, hashing):
+        cloudpickle.unregister_pickle_by_value(module)
+
+
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -157,9 +173,13 @@ def cut_by_hand(rows, least=200):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("crowd", [4096, 3])
-def test_repeats_equal_brute_force(spark, monkeypatch, crowd):
+@pytest.mark.parametrize(("crowd", "window"), [(4096, 1 << 22), (3, 1 << 22), (1, 400)])
+def test_repeats_equal_brute_force(spark, monkeypatch, crowd, window):
+    """Whole, with crowded cores expanded in rounds, and with texts hashed in windows, also within a task's counts."""
     monkeypatch.setattr(repeats, "CROWD", crowd)
+    monkeypatch.setattr(repeats, "WINDOW", window)
+    monkeypatch.setattr(repeats, "SLICE", min(repeats.SLICE, window))
+    monkeypatch.setattr(repeats, "COUNTED", 100 if window < 1000 else repeats.COUNTED)
     rng = random.Random(crowd)
     word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randrange(2, 9)))
     text = lambda n: " ".join(word() for _ in range(n))
@@ -171,6 +191,28 @@ def test_repeats_equal_brute_force(spark, monkeypatch, crowd):
     assert sorted(map(tuple, repeats.remove_repeats(given).collect()), key=str) == cut_by_hand(rows + [rows[3]])
 
 
+def test_repeats_tell_colliding_texts_apart(spark, monkeypatch):
+    """With core and span hashes of a few bits, what stands next to them still tells spans apart."""
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(150, 900))) for _ in range(60)]
+    texts += [texts[0] + "x", texts[1][:300] + texts[2]]
+    rows = list(enumerate(texts))
+    whole = repeats.Hashes.of
+
+    def narrow(self, start, end, lane=0):
+        found = whole(self, start, end, lane)
+        return found & np.uint64(7) if lane == 0 else found
+
+    monkeypatch.setattr(repeats.Hashes, "of", narrow)
+    given = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    source, stretches = repeats.repeated_stretches(given)
+    assert sorted(map(tuple, repeats.remove_repeats(given).collect()), key=str) == cut_by_hand(rows)
+
+
+def test_repeats_of_nothing(spark):
+    assert repeats.remove_repeats(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
 def test_expansion_finds_borders_of_short_prefixes():
     rng = np.random.default_rng(3)
     text = np.append(rng.integers(97, 99, 400), 255).astype(np.uint8)

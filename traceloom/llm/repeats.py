@@ -4,21 +4,24 @@ Every byte goes that a string of LEAST bytes covers which also starts somewhere
 
 1. Where equal strings meet. Of the GRAM-byte grams in a string of LEAST bytes, the one of least hash is its
    anchor, so equal strings have equal anchors at the same place. The strings of one anchor start in a range of
-   places before it, cut in two halves. A half is known by two hashes: of its core, the bytes that all its strings
-   share, and of its span, the bytes that any of them has. Halves are shuffled by core, and no text with them.
+   places before it, cut in two halves. A half is known by its core, the bytes that all its strings share, and its
+   span, the bytes that any of them has (64 bits of the core's hash, 96 further bits of the span's). Equal cores and
+   spans of a task are counted there, and one entry of them is shuffled by core, and no text with it.
 2. What the hashes settle. A core that occurs once has no repeated string. A span that occurs again is repeated
    whole. What is left are cores with different spans: texts that agree around the anchor and part nearby.
-3. Spans of such cores go to blocks, all of a core to one block. A block is a text of its own, whose Burrows-Wheeler
-   transform is expanded breadth first: the interval of a string is extended to the left by every letter in it, and
-   the end of each new interval is a border between suffixes whose common prefix is the string's length. Expansion
-   stops at LEAST; what has no border by then are suffixes with LEAST bytes in common.
-4. Cores of more than CROWD different spans (a passage in very many documents) are not put in one block: the strings
-   of their spans are shuffled by their own hashes and counted.
+3. A core of more than CROWD different spans (a passage in very many documents) is expanded first: its ranges of
+   starts are cut in PARTS, which have longer cores, and go through step 2 again, until a core has CROWD spans at
+   most. A range of one start has its core for a span, so this ends.
+4. Spans of the other cores go to blocks, all of a core to one block. A block is a text of its own, whose
+   Burrows-Wheeler transform is expanded breadth first: the interval of a string is extended to the left by every
+   letter in it, and the end of each new interval is a border between suffixes whose common prefix is the string's
+   length. Expansion stops at LEAST; what has no border by then are suffixes with LEAST bytes in common.
 5. The covered stretches of each document are united and cut out.
 
-Hashes have 64 bits. Defined cases: a null text equals the empty text; texts of fewer than LEAST bytes stay whole;
-rows that repeat id and text are occurrences of each other; ids may be null or repeated; an empty table gives an
-empty result; columns other than id and text are not looked at.
+A text of more than WINDOW bytes is hashed in windows: each takes the strings that start in it, and sees LEAST bytes
+before and twice as many behind. Defined cases: a null text equals the empty text; texts of fewer than LEAST bytes stay
+whole; rows that repeat id and text are occurrences of each other; ids may be null or repeated; an empty table gives
+an empty result; columns other than id and text are not looked at.
 """
 
 from __future__ import annotations
@@ -26,36 +29,46 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from traceloom.llm.common import materialize, tidy, utf8_parts
 from traceloom.llm.hashing import Hashes, id_map, in_map, mix
 
 LEAST = 200
 GRAM = 32
-#: Different spans of one core that are expanded together.
-CROWD = 4_096
+#: Different spans of one core that are expanded together, and the parts in which ranges of others are cut.
+CROWD, PARTS = 4_096, 4
 #: Bytes of one Burrows-Wheeler transform, about.
 BLOCK_BYTES = 1 << 19
-#: Bytes of spans for each task of step 3, and of entries for each of step 1, about.
-TASK_BYTES = 8 << 20
+#: Bytes of entries for each task of step 2, and of spans for each of step 4, about; tasks at least.
+TASK_BYTES, SPAN_BYTES, TASKS = 8 << 20, 4 << 20, 6
 #: Fragments for each task, so that hashing them to tasks leaves none with much more than its share.
 EACH = 6
-#: Bytes of text that are hashed at a time.
-SLICE = 1 << 20
+#: Bytes of text that are hashed at a time; entries of a task that are counted together.
+SLICE, COUNTED = 1 << 20, 400_000
+#: Bytes of the windows in which longer texts are hashed.
+WINDOW = 4 << 20
 #: Bits of the maps of documents that have anything to settle or to remove.
 MAP_BITS = 26
 
 _U = np.uint64
-_PLACE = _U((1 << 26) - 1)
+_PLACE = _U((1 << 26) - 1)  # places in a window, or in a slice
 _HALF = (LEAST - GRAM) // 2  # starts 0.._HALF before the anchor, and _HALF + 1..LEAST - GRAM
-#: core, span, owner (place in the table of keys), start, last start (relative to start)
-_ENTRY = np.dtype([("core", "<u8"), ("span", "<u8"), ("owner", "<u4"), ("start", "<u4"), ("more", "<u1")])
-_REQUEST = np.dtype([("core", "<u8"), ("start", "<u4"), ("more", "<u1"), ("open", "<u1")])
+#: A range of starts: the first one, how many more, how far the first lies before the anchor, and between which
+#: distances before the anchor the range lies that it is a part of.
+_RANGE = [("start", "<u4"), ("more", "<u1"), ("back", "<u1"), ("near", "<u1"), ("far", "<u1")]
+#: core, span and more bits of it, owner (place in the table of keys), how often
+_ENTRY = np.dtype([("core", "<u8"), ("span", "<u8"), ("check", "<u4"), ("owner", "<u4"), *_RANGE, ("times", "<u1")])
+_REQUEST = np.dtype([("core", "<u8"), *_RANGE, ("open", "<u1")])
 _STRETCH = np.dtype([("start", "<u4"), ("end", "<u4")])
+#: A document's key: 128 bits of a hash of its id and text.
+_KEY = np.dtype("V16")
+_KINDS = {"fragment": pa.int32(), "keys": pa.binary(), "entries": pa.binary()}
+_FOUND = {"_key": pa.binary(), "kind": pa.int32(), "payload": pa.binary(), "bytes": pa.int64()}
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, hashes: Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -82,52 +95,65 @@ def anchors(data: np.ndarray, offsets: np.ndarray, hashes: Hashes) -> tuple[np.n
     return chosen[new], starts[new], starts[np.r_[new[1:], len(starts)] - 1]
 
 
-def halves(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Entries of all halves of all anchors' ranges; ``owner`` is the text's place, starts are relative to the text."""
+def _entries(hashes: Hashes, owner: np.ndarray, base: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray, near: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """Entries of the strings that start from ``low`` to ``high`` in the buffer, whose anchors are ``at`` and whose range
+    is ``near`` to ``far`` before it. ``base``: where each owner's text begins."""
+    out = np.empty(len(at), _ENTRY)
+    about = mix((near.astype(np.uint64) << _U(8)) | far.astype(np.uint64))
+    # The core is taken over the range as such, so that a text's end cuts the span only.
+    out["core"] = hashes.of(at - near, at - far + LEAST) ^ about
+    out["span"] = hashes.of(low, high + LEAST) ^ mix((at - low).astype(np.uint64) + about)
+    out["check"] = (hashes.of(low, high + LEAST, lane=1) >> _U(32)).astype(np.uint32)
+    out["owner"], out["start"], out["more"], out["back"] = owner, low - base, high - low, at - low
+    out["near"], out["far"], out["times"] = near, far, 1
+    return out
+
+
+def halves(data: np.ndarray, offsets: np.ndarray, low_start: int = 0, high_start: int | None = None) -> np.ndarray:
+    """Entries of all halves of all anchors' ranges; ``owner`` is the text's place, starts are relative to the text.
+    With bounds (for one text), only strings that start within them are looked for."""
     hashes = Hashes(data)
     place, first, last = anchors(data, offsets, hashes)
+    high_start = len(data) if high_start is None else high_start
     found = []
     for near, far in ((0, _HALF), (_HALF + 1, LEAST - GRAM)):
         # All starts of the half that the text has, whether or not the anchor is theirs: neighbours don't matter then.
         touched = (last >= place - far) & (first <= place - near)
         at = place[touched]
         row = np.searchsorted(offsets, at, side="right") - 1
-        low = np.maximum(at - far, offsets[row])
-        high = np.minimum(at - near, offsets[row + 1] - LEAST)
-        out = np.empty(len(at), _ENTRY)
-        # The core is taken over the half as such, so that a text's end cuts the span only.
-        core_end = np.minimum(at - far + LEAST, offsets[row + 1])
-        out["core"] = hashes.of(at - near, np.maximum(core_end, at - near)) ^ _U(near + 1)
-        out["span"] = hashes.of(low, high + LEAST) ^ mix((at - low).astype(np.uint64) + _U(near << 20))
-        out["owner"], out["start"], out["more"] = row, low - offsets[row], high - low
-        found.append(out[high >= low])
+        low = np.maximum(np.maximum(at - far, offsets[row]), low_start)
+        high = np.minimum(np.minimum(at - near, offsets[row + 1] - LEAST), high_start - 1)
+        keep = high >= low
+        at, row, low, high = at[keep], row[keep], low[keep], high[keep]
+        found.append(_entries(hashes, row, offsets[row], at, low, high, np.full(len(at), near), np.full(len(at), far)))
     return np.concatenate(found)
 
 
-def slices(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Parts of a batch of about SLICE bytes, or one long text each: rows from, to, bytes and offsets."""
-    data, offsets = utf8_parts(batch.column(column))
+def pieces(offsets: np.ndarray) -> Iterator[tuple[int, int, int, int, int | None]]:
+    """Stretches of a buffer of texts that are hashed together: rows from and to, bytes from and to, window's begin.
+
+    Texts go together up to SLICE bytes; a text of more than WINDOW bytes goes in windows, with bytes around them."""
     start = 0
-    while start < len(batch):
+    while start < len(offsets) - 1:
         stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + SLICE, side="right")) - 1)
-        part = offsets[start : stop + 1]
-        yield start, stop, data[part[0] : part[-1]], part - part[0]
+        size = int(offsets[stop] - offsets[start])
+        if stop == start + 1 and size > WINDOW:
+            for begin in range(0, size, WINDOW):
+                yield start, stop, max(0, begin - LEAST), min(size, begin + WINDOW + 2 * LEAST), begin
+        else:
+            yield start, stop, 0, size, None
         start = stop
 
 
-def _blobs(fragment: np.ndarray, fragments: int, keys: np.ndarray, entries: np.ndarray) -> Iterator[tuple[int, bytes]]:
+def _blobs(fragment: np.ndarray, keys: np.ndarray, entries: np.ndarray) -> Iterator[tuple[int, bytes, bytes]]:
     """Entries by fragment, each with the keys of the texts that they are of."""
     order = np.argsort(fragment, kind="stable")
-    cuts = np.searchsorted(fragment[order], np.arange(fragments + 1))
-    for f in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
-        own = entries[order[cuts[f] : cuts[f + 1]]].copy()
+    names = fragment[order]
+    cuts = np.flatnonzero(np.r_[True, names[1:] != names[:-1], True][: len(names) + 1]) if len(names) else []
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        own = entries[order[a:b]].copy()
         used, own["owner"] = np.unique(own["owner"], return_inverse=True)
-        yield f, np.array([len(used), len(own)], "<i8").tobytes() + keys[used].astype("<i8").tobytes() + own.tobytes()
-
-
-def _unpack(blob: bytes, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
-    used, count = np.frombuffer(blob, "<i8", 2)
-    return np.frombuffer(blob, "<i8", used, 16), np.frombuffer(blob, kind, count, 16 + 8 * used)
+        yield int(names[a]), keys[used].tobytes(), own.tobytes()
 
 
 def _batch(kinds: dict[str, pa.DataType], rows: list[tuple]) -> pa.RecordBatch:
@@ -135,30 +161,91 @@ def _batch(kinds: dict[str, pa.DataType], rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values())], names=list(kinds))
 
 
+def _keys_of(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), _KEY)
+
+
+def _counted(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Entries of which one stands for all equal ones of this task, and those that are repeated here already."""
+    order = np.lexsort((entries["check"], entries["span"], entries["core"]))
+    entries = entries[order]
+    same = (entries["core"][1:] == entries["core"][:-1]) & (entries["span"][1:] == entries["span"][:-1]) & (entries["check"][1:] == entries["check"][:-1])
+    new = np.flatnonzero(np.r_[True, ~same][: len(entries)])
+    times = np.diff(np.r_[new, len(entries)])
+    repeated = np.repeat(times > 1, times)
+    one = entries[new].copy()
+    one["times"] = np.minimum(times, 2)
+    return one, entries[repeated]
+
+
+def _hand_on(parts: list[tuple[np.ndarray, np.ndarray]], fragments: int) -> Iterator[pa.RecordBatch]:
+    """From (keys, entries) of slices: blobs of counted entries by fragment, and (fragments below 0) what is repeated here."""
+    shift = np.cumsum([0] + [len(keys) for keys, _ in parts])
+    keys, entries = np.concatenate([k for k, _ in parts]), np.concatenate([e for _, e in parts])
+    entries["owner"] += np.repeat(shift[:-1], [len(e) for _, e in parts]).astype(np.uint32)
+    one, repeated = _counted(entries)
+    fragment = ((one["core"] >> _U(32)) * _U(fragments) >> _U(32)).astype(np.int64)
+    # Below 0, and by core like the others.
+    own = -1 - ((repeated["core"] >> _U(32)) * _U(fragments) >> _U(32)).astype(np.int64)
+    rows = list(_blobs(fragment, keys, one)) + list(_blobs(own, keys, repeated))
+    for i in range(0, len(rows), 5_000):
+        yield _batch(_KINDS, rows[i : i + 5_000])
+
+
 def _entries_of(source: DataFrame, fragments: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
         for batch in batches:
-            keys = np.asarray(batch.column(0).to_numpy(zero_copy_only=False), np.int64)
-            for start, stop, data, offsets in slices(batch, 1):
-                entries = halves(data, offsets)
-                fragment = ((entries["core"] >> _U(32)) * _U(fragments) >> _U(32)).astype(np.int64)
-                yield _batch({"fragment": pa.int32(), "entries": pa.binary()}, list(_blobs(fragment, fragments, keys[start:stop], entries)))
-
-    return source.mapInArrow(tidy(run), "fragment int, entries binary")
+            data, offsets = utf8_parts(batch.column(1))
+            keys = _keys_of(batch.column(0))
+            for start, stop, low, high, begin in pieces(offsets):
+                base = offsets[start]
+                if begin is None:
+                    found = halves(data[base : base + high], offsets[start : stop + 1] - base)
+                else:
+                    found = halves(data[base + low : base + high], np.array([0, high - low]), begin - low, begin - low + WINDOW)
+                    found["start"] += np.uint32(low)
+                parts.append((keys[start:stop], found))
+                held += len(found)
+                if held > COUNTED:
+                    yield from _hand_on(parts, fragments)
+                    parts, held = [], 0
+        if parts:
+            yield from _hand_on(parts, fragments)
+
+    return source.mapInArrow(tidy(run), "fragment int, keys binary, entries binary")
+
+
+def _emit(kind: int, keys: np.ndarray, owner: np.ndarray, payload: np.ndarray, sizes: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """One row for each document: its key, and its part of the payload."""
+    by = np.argsort(owner, kind="stable")
+    owner, payload = owner[by], payload[by]
+    cuts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]][: len(owner)])
+    sums = np.add.reduceat(sizes[by], cuts) if sizes is not None and len(cuts) else np.zeros(len(cuts), np.int64)
+    ends = np.r_[cuts[1:], len(owner)].astype(np.int64)
+    rows = [(keys[owner[a]].tobytes(), kind, payload[a:b].tobytes(), n) for a, b, n in zip(cuts.tolist(), ends.tolist(), sums.tolist())]
+    for i in range(0, len(rows), 5_000):
+        yield _batch(_FOUND, rows[i : i + 5_000])
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Step 2 for the fragments in this partition: rows (key, kind, payload, bytes). Kinds: 0 stretches that are
-    repeated, 1 spans to expand, 2 spans of crowded cores."""
-    parts, names = [], []
+    repeated, 1 spans to compare, 2 ranges of crowded cores."""
+    parts, names, known = [], [], 0
     for batch in batches:
-        for blob in batch.column(1).to_pylist():
-            keys, entries = _unpack(blob, _ENTRY)
+        for fragment, own, blob in zip(*(column.to_pylist() for column in batch.columns)):
+            keys, entries = np.frombuffer(own, _KEY), np.frombuffer(blob, _ENTRY)
+            if fragment < 0:  # repeated within a task
+                yield from _emit(0, keys, entries["owner"], _whole(entries))
+                continue
+            entries = entries.copy()
+            entries["owner"] += np.uint32(known)
+            known += len(keys)
             parts.append(entries)
-            names.append(keys[entries["owner"]])
+            names.append(keys)
     if not parts:
         return
-    entries, key = np.concatenate(parts), np.concatenate(names)
+    entries, keys = np.concatenate(parts), np.concatenate(names)
     parts.clear(), names.clear()
     order = np.argsort(entries["core"], kind="stable")
     core = entries["core"][order]
@@ -166,89 +253,92 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     order = order[np.r_[again, False] | np.r_[False, again]] if len(core) > 1 else order[:0]
     if not len(order):
         return
-    entries, key = entries[order], key[order]
-    order = np.lexsort((entries["span"], entries["core"]))
-    entries, key = entries[order], key[order]
-    core, span = entries["core"], entries["span"]
-    new_core = np.r_[True, core[1:] != core[:-1]]
-    new_span = new_core | np.r_[True, span[1:] != span[:-1]]
-    spans = np.cumsum(new_span) - 1
-    times = np.bincount(spans)[spans]
+    entries = entries[order]
+    entries = entries[np.lexsort((entries["check"], entries["span"], entries["core"]))]
+    new_core = np.r_[True, entries["core"][1:] != entries["core"][:-1]]
+    new_span = new_core | np.r_[True, (entries["span"][1:] != entries["span"][:-1]) | (entries["check"][1:] != entries["check"][:-1])]
     first = np.flatnonzero(new_span)
+    spans = np.cumsum(new_span) - 1
+    times = np.add.reduceat(entries["times"].astype(np.int64), first)[spans]
     core_of = np.cumsum(new_core)[first] - 1
     different = np.bincount(core_of)
     unsettled = np.bincount(core_of, times[first] == 1) > 0
     asked = first[(different[core_of] > 1) & unsettled[core_of]]
     crowded = (different > CROWD)[np.cumsum(new_core)[asked] - 1]
-
-    out = []
-
-    def emit(kind: int, owner: np.ndarray, payload: np.ndarray, sizes: np.ndarray | None = None) -> None:
-        by = np.argsort(owner, kind="stable")
-        owner, payload = owner[by], payload[by]
-        cuts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]][: len(owner)])
-        sums = np.add.reduceat(sizes[by], cuts) if sizes is not None and len(cuts) else np.zeros(len(cuts), np.int64)
-        for a, b, n in zip(cuts.tolist(), np.r_[cuts[1:], len(owner)].tolist(), sums.tolist()):
-            out.append((int(owner[a]), kind, payload[a:b].tobytes(), n))
-
-    repeated = entries[times > 1]
-    stretch = np.empty(len(repeated), _STRETCH)
-    stretch["start"], stretch["end"] = repeated["start"], repeated["start"] + repeated["more"].astype(np.uint32) + LEAST
-    emit(0, key[times > 1], stretch)
+    # An entry that stands for several has handed on its texts where it was counted.
+    repeated = entries[(times > 1) & (entries["times"] == 1)]
+    yield from _emit(0, keys, repeated["owner"], _whole(repeated))
     for kind, chosen in ((1, asked[~crowded]), (2, asked[crowded])):
         own = entries[chosen]
         request = np.empty(len(own), _REQUEST)
-        request["core"], request["start"], request["more"], request["open"] = own["core"], own["start"], own["more"], times[chosen] == 1
-        emit(kind, key[chosen], request, own["more"].astype(np.int64) + LEAST)
-    kinds = {"_key": pa.int64(), "kind": pa.int32(), "payload": pa.binary(), "bytes": pa.int64()}
-    for i in range(0, len(out), 5_000):
-        yield _batch(kinds, out[i : i + 5_000])
+        for name in ("core", *(name for name, _ in _RANGE)):
+            request[name] = own[name]
+        request["open"] = times[chosen] == 1
+        yield from _emit(kind, keys, own["owner"], request, own["more"].astype(np.int64) + LEAST)
 
 
-def _fetch(asked: DataFrame, fragments: int) -> DataFrame:
-    """From (_key, _text, requests): spans and single strings, by fragment of what they are compared on."""
+def _whole(entries: np.ndarray) -> np.ndarray:
+    stretch = np.empty(len(entries), _STRETCH)
+    stretch["start"], stretch["end"] = entries["start"], entries["start"] + entries["more"].astype(np.uint32) + np.uint32(LEAST)
+    return stretch
+
+
+def _asked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The requests of a batch's rows, and the row of each."""
+    own = [np.frombuffer(b"".join(requests), _REQUEST) for requests in batch.column(2).to_pylist()]
+    return np.repeat(np.arange(len(own)), [len(x) for x in own]), np.concatenate(own)
+
+
+def _by_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, len(batch), 1_000):
+            yield batch.slice(start, 1_000)
+
+
+def _parts_of(asked: DataFrame, fragments: int) -> DataFrame:
+    """Step 3, from (_key, _text, requests): entries of the parts of the asked ranges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = {"fragment": pa.int32(), "kind": pa.int32(), "entries": pa.binary()}
-        for batch in batches:
-            names = np.asarray(batch.column(0).to_numpy(zero_copy_only=False), np.int64)
-            for start, stop, data, offsets in slices(batch, 1):
-                rows, texts, heads, owners, singles = [], [], [], [], []
-                for i, requests in enumerate(batch.column(2).slice(start, stop - start).to_pylist()):
-                    for one in requests:
-                        own = np.frombuffer(one["payload"], _REQUEST)
-                        (heads if one["kind"] == 1 else singles).append((i, own))
-                if heads:
-                    at = np.repeat([i for i, _ in heads], [len(x) for _, x in heads])
-                    own = np.concatenate([x for _, x in heads])
-                    fragment = ((own["core"] >> _U(32)) * _U(fragments) >> _U(32)).astype(np.int64)
-                    order = np.argsort(fragment, kind="stable")
-                    cuts = np.searchsorted(fragment[order], np.arange(fragments + 1))
-                    for f in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
-                        pick = order[cuts[f] : cuts[f + 1]]
-                        low = offsets[at[pick]] + own["start"][pick]
-                        size = own["more"][pick].astype(np.int64) + LEAST
-                        text = data[np.repeat(low - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())]
-                        rows.append((f, 1, np.array([len(pick)], "<i8").tobytes() + names[start:stop][at[pick]].astype("<i8").tobytes() + own[pick].tobytes() + text.tobytes()))
-                if singles:
-                    hashes = Hashes(data)
-                    at = np.repeat([i for i, _ in singles], [len(x) for _, x in singles])
-                    own = np.concatenate([x for _, x in singles])
-                    count = own["more"].astype(np.int64) + 1
-                    begin = np.repeat(own["start"] - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
-                    owner = np.repeat(at, count)
-                    # A string stands in up to two spans; once is enough.
-                    once = np.unique(owner.astype(np.int64) << 32 | begin)
-                    owner, begin = once >> 32, once & 0xFFFFFFFF
-                    entries = np.zeros(len(once), _ENTRY)
-                    absolute = offsets[owner] + begin
-                    entries["core"] = entries["span"] = hashes.of(absolute, absolute + LEAST)
-                    entries["owner"], entries["start"] = owner, begin
-                    fragment = ((entries["core"] >> _U(32)) * _U(fragments) >> _U(32)).astype(np.int64)
-                    rows += [(f, 2, blob) for f, blob in _blobs(fragment, fragments, names[start:stop], entries)]
-                yield _batch(kinds, rows)
-
-    return asked.mapInArrow(tidy(run), "fragment int, kind int, entries binary")
+        for batch in _by_rows(batches):
+            data, offsets = utf8_parts(batch.column(1))
+            row, own = _asked(batch)
+            start, more, back, near, far = (own[name].astype(np.int64) for name, _ in _RANGE)
+            at = offsets[row] + start + back
+            step = -(-(far - near + 1) // PARTS)
+            hashes, found = Hashes(data), []
+            for part in range(PARTS):
+                # Cut by distance from the anchor, which is the same for equal strings.
+                closest, farthest = near + part * step, np.minimum(far, near + (part + 1) * step - 1)
+                low, high = np.maximum(closest, back - more), np.minimum(farthest, back)
+                some = low <= high
+                found.append(_entries(hashes, row[some], offsets[row[some]], at[some], (at - high)[some], (at - low)[some], closest[some], farthest[some]))
+            yield from _hand_on([(_keys_of(batch.column(0)), np.concatenate(found))], fragments)
+
+    return asked.mapInArrow(tidy(run), "fragment int, keys binary, entries binary")
+
+
+def _spans_of(asked: DataFrame, fragments: int) -> DataFrame:
+    """Step 4, from (_key, _text, requests): spans by fragment of their cores."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {"fragment": pa.int32(), "spans": pa.binary()}
+        for batch in _by_rows(batches):
+            data, offsets = utf8_parts(batch.column(1))
+            keys, (row, own) = _keys_of(batch.column(0)), _asked(batch)
+            fragment = ((own["core"] >> _U(32)) * _U(fragments) >> _U(32)).astype(np.int64)
+            order = np.argsort(fragment, kind="stable")
+            names = fragment[order]
+            cuts = np.flatnonzero(np.r_[True, names[1:] != names[:-1], True])
+            rows = []
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                pick = order[a:b]
+                low = offsets[row[pick]] + own["start"][pick].astype(np.int64)
+                size = own["more"][pick].astype(np.int64) + LEAST
+                text = data[np.repeat(low - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())]
+                rows.append((int(names[a]), np.array([len(pick)], "<i8").tobytes() + keys[row[pick]].tobytes() + own[pick].tobytes() + text.tobytes()))
+            yield _batch(kinds, rows)
+
+    return asked.mapInArrow(tidy(run), "fragment int, spans binary")
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
@@ -316,7 +406,7 @@ def expand(text: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     return order, border
 
 
-def repeated_strings(spans: list[bytes] | np.ndarray, sizes: np.ndarray, names: np.ndarray, first: np.ndarray) -> np.ndarray:
+def repeated_strings(spans: np.ndarray, sizes: np.ndarray, names: np.ndarray, first: np.ndarray) -> np.ndarray:
     """For every byte of some spans laid end to end: whether the string of LEAST bytes that starts there is in its
     span whole and also starts at another place of the corpus. ``names``, ``first``: the spans' texts and places."""
     total = int(sizes.sum())
@@ -330,7 +420,7 @@ def repeated_strings(spans: list[bytes] | np.ndarray, sizes: np.ndarray, names:
     inside = np.arange(total) - np.repeat(ends - sizes, sizes)
     place = np.zeros(len(text), np.uint64)
     with np.errstate(over="ignore"):
-        place[at] = mix(names[span].view(np.uint64) + mix((first[span] + inside).astype(np.uint64)))
+        place[at] = mix(names[span] + mix((first[span] + inside).astype(np.uint64)))
     # Suffixes between two borders are of one string; it is repeated if they are of more than one place.
     starts = np.flatnonzero(np.r_[True, border[1:-1]])
     own = place[order]
@@ -340,40 +430,21 @@ def repeated_strings(spans: list[bytes] | np.ndarray, sizes: np.ndarray, names:
     return out[at] & (inside + LEAST <= sizes[span])
 
 
-def _stretches(starts: np.ndarray) -> np.ndarray:
-    """United stretches of LEAST bytes from ascending starts."""
-    new = np.flatnonzero(np.r_[True, starts[1:] > starts[:-1] + LEAST])
-    out = np.empty(len(new), _STRETCH)
-    out["start"], out["end"] = starts[new], starts[np.r_[new[1:], len(starts)] - 1] + LEAST
-    return out
-
-
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Steps 3 and 4 for the fragments in this partition: (_key, payload), stretches that are repeated."""
-    names, heads, texts, singles, owners = [], [], [], [], []
+    """Step 4 for the fragments in this partition: stretches that are repeated."""
+    names, heads, texts = [], [], []
     for batch in batches:
-        for kind, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            if kind == 2:
-                keys, entries = _unpack(blob, _ENTRY)
-                singles.append(entries[["core", "start"]].copy())
-                owners.append(keys[entries["owner"]])
-            else:
-                count = int(np.frombuffer(blob, "<i8", 1)[0])
-                names.append(np.frombuffer(blob, "<i8", count, 8))
-                heads.append(np.frombuffer(blob, _REQUEST, count, 8 + 8 * count))
-                texts.append(np.frombuffer(blob, np.uint8, -1, 8 + (8 + _REQUEST.itemsize) * count))
-    kinds = {"_key": pa.int64(), "payload": pa.binary()}
-    if singles:
-        entries, key = np.concatenate(singles), np.concatenate(owners)
-        order = np.argsort(entries["core"], kind="stable")
-        entries, key = entries[order], key[order]
-        again = entries["core"][1:] == entries["core"][:-1]
-        found = np.r_[again, False] | np.r_[False, again]
-        yield from _by_key(key[found], entries["start"][found].astype(np.int64), kinds)
+        for blob in batch.column(1).to_pylist():
+            count = int(np.frombuffer(blob, "<i8", 1)[0])
+            names.append(np.frombuffer(blob, _KEY, count, 8))
+            heads.append(np.frombuffer(blob, _REQUEST, count, 8 + 16 * count))
+            texts.append(np.frombuffer(blob, np.uint8, -1, 8 + (16 + _REQUEST.itemsize) * count))
     if not heads:
         return
     name, head, text = np.concatenate(names), np.concatenate(heads), np.concatenate(texts)
     names.clear(), heads.clear(), texts.clear()
+    halves_of = name.view("<u8").reshape(-1, 2)
+    document = halves_of[:, 0] ^ mix(halves_of[:, 1].copy())
     size = head["more"].astype(np.int64) + LEAST
     begin = np.cumsum(size) - size
     order = np.argsort(head["core"], kind="stable")
@@ -382,27 +453,26 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     weight = np.cumsum(np.add.reduceat(size[order], new))
     block = (weight - 1) // BLOCK_BYTES
     edges = np.r_[new[np.r_[True, block[1:] != block[:-1]]], len(order)]
-    keys, starts = [], []
+    owners, starts = [], []
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
         pick = order[a:b]
         own = size[pick]
         letters = text[np.repeat(begin[pick] - (np.cumsum(own) - own), own) + np.arange(own.sum())]
-        found = repeated_strings(letters, own, name[pick], head["start"][pick].astype(np.int64))
+        found = repeated_strings(letters, own, document[pick], head["start"][pick].astype(np.int64))
         found &= np.repeat(head["open"][pick] == 1, own)
         at = np.flatnonzero(found)
         span = np.repeat(np.arange(len(pick)), own)[at]
-        keys.append(name[pick][span])
+        owners.append(pick[span])
         starts.append(head["start"][pick][span].astype(np.int64) + at - (np.cumsum(own) - own)[span])
-    yield from _by_key(np.concatenate(keys), np.concatenate(starts), kinds)
-
-
-def _by_key(key: np.ndarray, start: np.ndarray, kinds: dict[str, pa.DataType]) -> Iterator[pa.RecordBatch]:
-    order = np.lexsort((start, key))
-    key, start = key[order], start[order]
-    cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
-    rows = [(int(key[a]), _stretches(start[a:b]).tobytes()) for a, b in zip(cuts.tolist(), np.r_[cuts[1:], len(key)].tolist())]
-    for i in range(0, len(rows), 5_000):
-        yield _batch(kinds, rows[i : i + 5_000])
+    owner, start = np.concatenate(owners), np.concatenate(starts)
+    if not len(owner):
+        return
+    order = np.lexsort((start, owner))
+    owner, start = owner[order], start[order]
+    new = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (start[1:] > start[:-1] + LEAST)][: len(owner)])
+    stretch = np.empty(len(new), _STRETCH)
+    stretch["start"], stretch["end"] = start[new], start[np.r_[new[1:], len(start)].astype(np.int64) - 1] + LEAST
+    yield from _emit(0, name, owner[new], stretch)
 
 
 def _cut(texts: DataFrame, kind: str) -> DataFrame:
@@ -420,8 +490,8 @@ def _cut(texts: DataFrame, kind: str) -> DataFrame:
                     continue
                 stretch = np.concatenate([np.frombuffer(p, _STRETCH) for p in payloads])
                 depth = np.zeros(len(own) + 1, np.int64)
-                np.add.at(depth, stretch["start"], 1)
-                np.add.at(depth, stretch["end"], -1)
+                np.add.at(depth, stretch["start"].astype(np.int64), 1)
+                np.add.at(depth, stretch["end"].astype(np.int64), -1)
                 gone = np.cumsum(depth[:-1]) > 0
                 removed.append(int(gone.sum()))
                 spans.append(int((gone & ~np.r_[False, gone[:-1]]).sum()))
@@ -433,36 +503,56 @@ def _cut(texts: DataFrame, kind: str) -> DataFrame:
     return texts.select("_id", "_text", "payloads").mapInArrow(tidy(run), f"_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
+_SCHEMA = "_key binary, kind int, payload binary, bytes bigint"
+
+
+def _slot() -> Column:
+    return F.pmod(F.xxhash64("_key"), F.lit(1 << MAP_BITS))
+
+
+def _with_requests(source: DataFrame, found: DataFrame) -> DataFrame:
+    """(_key, _text, requests) of the documents that are asked for anything; one row where rows repeat id and text."""
+    asked = found.groupBy("_key").agg(F.collect_list("payload").alias("requests"))
+    wanted = in_map(id_map(found.select(_slot().alias("slot")).distinct(), MAP_BITS))
+    return source.select("_key", "_text").where(wanted(_slot())).join(asked, "_key").select("_key", "_text", "requests")
+
+
 def repeated_stretches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """The texts (_id, _key, _text) and their repeated stretches (_key, payload)."""
     source = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    source = source.select("_id", F.xxhash64("_id", "_text").alias("_key"), "_text")
+    key = F.unhex(F.concat(*(F.lpad(F.hex(F.xxhash64(F.lit(lane), "_id", "_text")), 16, "0") for lane in ("one", "two"))))
+    source = source.select("_id", key.alias("_key"), "_text")
     total = source.agg(F.sum(F.octet_length("_text")).alias("n")).first()["n"] or 0
-    # An entry has 25 bytes, and there is about one for 50 bytes of text.
-    fragments = max(24, math.ceil(total / 2 / TASK_BYTES))
-    entries = _entries_of(source.select("_key", "_text"), EACH * fragments).repartition(fragments, "fragment")
-    settled = materialize(entries.mapInArrow(tidy(_settle), "_key bigint, kind int, payload binary, bytes bigint"), "settled")
-    whole = settled.where("kind = 0").select("_key", "payload")
-    open_ = settled.where("kind > 0")
-    work = open_.agg(F.sum("bytes").alias("n")).first()["n"]
-    if not work:
-        return source, whole
-    asked = open_.groupBy("_key").agg(F.collect_list(F.struct("kind", "payload")).alias("requests"))
-    slot = lambda key: F.pmod(key, F.lit(1 << MAP_BITS))
-    wanted = in_map(id_map(open_.select(slot(F.col("_key")).alias("slot")).distinct(), MAP_BITS))
-    texts = source.where(wanted(slot(F.col("_key")))).join(asked, "_key").select("_key", "_text", "requests")
-    tasks = max(24, math.ceil(work / TASK_BYTES))
-    compared = _fetch(texts, EACH * tasks).repartition(tasks, "fragment").mapInArrow(tidy(_compare), "_key bigint, payload binary")
-    return source, whole.unionByName(materialize(compared, "compared"))
+    # An entry has 33 bytes, and there is about one for 50 bytes of text.
+    fragments = max(TASKS, math.ceil(total / 2 / TASK_BYTES))
+    entries = _entries_of(source.select("_key", "_text"), EACH * fragments)
+    stretches, spans = [], []
+    while True:
+        settled = materialize(entries.repartition(fragments, "fragment").mapInArrow(tidy(_settle), _SCHEMA), "settled")
+        stretches.append(settled.where("kind = 0").select("_key", "payload"))
+        spans.append(settled.where("kind = 1"))
+        crowded = settled.where("kind = 2")
+        work = crowded.agg(F.sum("bytes").alias("n")).first()["n"]
+        if not work:
+            break
+        # Ranges get shorter in each round, and those of one start are never crowded.
+        fragments = max(TASKS, math.ceil(work / TASK_BYTES))
+        entries = _parts_of(_with_requests(source, crowded), EACH * fragments)
+    whole, asked = (reduce(DataFrame.unionByName, frames) for frames in (stretches, spans))
+    work = asked.agg(F.sum("bytes").alias("n")).first()["n"]
+    if work:
+        tasks = max(TASKS, math.ceil(work / SPAN_BYTES))
+        spread = _spans_of(_with_requests(source, asked), EACH * tasks).repartition(tasks, "fragment")
+        whole = whole.unionByName(materialize(spread.mapInArrow(tidy(_compare), _SCHEMA), "compared").select("_key", "payload"))
+    return source, whole
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_bytes, n_removed, n_spans and the digest of what is kept."""
     source, stretches = repeated_stretches(docs, id_col, text_col)
     kind = source.schema["_id"].dataType.simpleString()
-    slot = lambda key: F.pmod(key, F.lit(1 << MAP_BITS))
-    touched = in_map(id_map(stretches.select(slot(F.col("_key")).alias("slot")).distinct(), MAP_BITS))
-    flagged = source.withColumn("_touched", touched(slot(F.col("_key"))))
+    touched = in_map(id_map(stretches.select(_slot().alias("slot")).distinct(), MAP_BITS))
+    flagged = source.withColumn("_touched", touched(_slot()))
     none = F.lit(None).cast("array<binary>").alias("payloads")
     # Texts without any stretch are finished where they are read; the others meet their stretches.
     plain = _cut(flagged.where(~F.col("_touched")).select("_id", "_text", none), kind)
