@@ -3,9 +3,11 @@
 A text becomes a dozen densities: words of an insult lexicon (as they stand, and after undoing letter
 substitutions), words whose stems mark toxic texts of the training sample, whatever their language,
 second-person pronouns near them, capitals, punctuation, repeated letters and obfuscated words.
-A bounded sample of labelled rows is cut in three by hash: on one part the stems are counted, on one boosted
-trees are fitted to the logistic loss, and on one isotonic regression turns their sums into probabilities. Labels are learned from
-rows outside the held-out remainder only; label, language, source and id are never features.
+A bounded sample of labelled rows is cut in FOLDS by hash. Stems of a row are weighed by the other folds' counts, so that
+no feature knows its own row's label. Boosted trees are fitted to the logistic loss on all rows, and once without each fold;
+isotonic regression turns sums into probabilities, and is fitted on the sums that rows get from the trees without their
+fold. It is one way at every size. Labels are learned from rows outside the held-out remainder only; label, language,
+source and id are never features.
 
 Defined cases: a null text equals the empty text, whose features are all 0, and is scored like any other; rows
 without a label take no part in training; a label counts for the rows with its id, and of several labels of an
@@ -50,21 +52,21 @@ _JOINT = np.isin(_BYTES, np.frombuffer(b".-_*", np.uint8))
 _SIGN = np.isin(_BYTES, np.frombuffer(b"0123456789@$!|*", np.uint8))
 
 FEATURES = (
-    "insults", "insult_density", "hidden_insults", "insults_near_you", "marked_words", "marked_density", "marked_weight", "second_person", "capitals", "capital_words",
+    "insults", "insult_density", "hidden_insults", "insults_near_you", "marked_words", "marked_density", "marked_weight", "marked_sum", "second_person", "capitals", "capital_words",
     "exclamations", "punctuation", "obfuscated", "repeated_letters", "log_words",
 )
 
 #: Rows that training looks at, at most; the sample is taken by hash of the id.
 SAMPLE_ROWS = 20_000
 #: Stems in the learned lexicon, at most; letters of a stem.
-STEMS, STEM_LETTERS = 2_000, (4, 5)
+STEMS, STEM_LETTERS = 4_000, (4, 5, 6, 7, 8)
 TREES, DEPTH, RATE, BINS = 60, 3, 0.15, 32
 #: Gain of a split at least, about a chi-squared statistic: the best of many cuts on chance alone reaches 10 or so.
 LEAST_GAIN = 15.0
-#: Fewest rows of a leaf, and for samples with FEW toxic rows.
-LEAF, SMALL_LEAF = 20, 5
-#: With fewer toxic rows than this in the sample, its parts are not kept apart.
-FEW = 100
+#: Fewest rows of a leaf, and parts of the sample.
+LEAF, FOLDS = 10, 5
+#: A stem's rows at least, and how many standard deviations its toxic ones stand above chance.
+STEM_ROWS, STEM_SIGMAS = 4, 5.0
 THRESHOLD = 0.3
 
 
@@ -126,7 +128,7 @@ def features(text: str, lexicon: Lexicon) -> list[float]:
     marked = lexicon.of(words)
     return [
         float(min(len(at) + hidden, 50)), 100 * (len(at) + hidden) / count, float(hidden), float(near),
-        float(min(len(marked), 50)), 100 * len(marked) / count, max(marked, default=0.0), 100 * len(second) / count, float(kinds[_CAPITAL].sum()) / size,
+        float(min(len(marked), 50)), 100 * len(marked) / count, max(marked, default=0.0), min(sum(marked), 100.0), 100 * len(second) / count, float(kinds[_CAPITAL].sum()) / size,
         shouted / count, float(kinds[33]) / count, float(kinds[_MARK].sum()) / size, odd / count, repeated / count, float(np.log1p(len(words))),
     ]
 
@@ -202,23 +204,32 @@ def isotonic(sums: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return x, np.maximum.accumulate(y)
 
 
-def fit(x: np.ndarray, y: np.ndarray, seen: np.ndarray, calibrate: np.ndarray, least: int = LEAF) -> Booster:
-    """Boost on some rows and calibrate on others."""
+def boost(x: np.ndarray, y: np.ndarray) -> Booster:
+    """Trees on all given rows; their sums are not calibrated yet."""
     edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS)[1:-1])) for j in range(x.shape[1])]
     for j, edge in enumerate(edges):  # a feature that is 0 nearly everywhere still gets its own low cuts
         if len(edge) < 4 and len(positive := x[x[:, j] > 0, j]):
             edges[j] = np.unique(np.r_[0.0, np.quantile(positive, np.linspace(0, 1, BINS - 4)[:-1])])
     model = Booster(edges)
-    binned, labels = model.bins(x[seen]), y[seen]
-    rate = np.clip(labels.mean(), 1e-4, 1 - 1e-4)
+    binned = model.bins(x)
+    rate = np.clip(y.mean(), 1e-4, 1 - 1e-4)
     model.start = float(np.log(rate / (1 - rate)))
-    total = np.full(len(labels), model.start)
+    total = np.full(len(y), model.start)
     for _ in range(TREES):
         p = 1 / (1 + np.exp(-total))
-        feature, cut, value, leaf = _tree(binned, p - labels, p * (1 - p), least)
+        feature, cut, value, leaf = _tree(binned, p - y, p * (1 - p), LEAF)
         model.trees.append((feature, cut, RATE * value))
         total += RATE * value[leaf]
-    model.steps = isotonic(model.sums(x[calibrate]), y[calibrate])
+    return model
+
+
+def fit(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> Booster:
+    """Boost on all rows, and calibrate on the sums that each row gets from trees without its fold."""
+    model, sums = boost(x, y), np.zeros(len(y))
+    for own in np.unique(fold).tolist():
+        inside = fold == own
+        sums[inside] = (boost(x[~inside], y[~inside]) if not inside.all() else model).sums(x[inside])
+    model.steps = isotonic(sums, y)
     return model
 
 
@@ -232,55 +243,66 @@ class Model:
         return self.booster.scores(x)
 
 
-def learn_lexicon(rows: DataFrame) -> Lexicon:
-    """From (_text, _y): the stems that stand out in toxic texts, counted by Spark; STEMS of them at most."""
+def weights(k: np.ndarray, n: np.ndarray, toxic: float, rows: float) -> np.ndarray:
+    """Log odds of stems found in n rows, k of them toxic, against the sample's; 0 for those that don't stand out."""
+    p = toxic / rows if rows else 0.0
+    if not 0 < p < 1:
+        return np.zeros(len(k))
+    out = np.log((k + 0.5) / (n - k + 0.5)) - np.log(p / (1 - p))
+    return np.where((k >= STEM_ROWS) & (k > 0.6 * n) & (k - n * p > STEM_SIGMAS * np.sqrt(n * p * (1 - p))), out, 0.0)
+
+
+def learn_lexicons(rows: DataFrame) -> list[Lexicon]:
+    """From (_text, _y, _fold): stems that stand out in toxic texts, counted by Spark. A lexicon without each fold, and
+    behind them the one of all rows; STEMS of each at most come to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(i, 500) for i in range(0, len(batch), 500)):
                 found = [list(stems(text or "")) for text in part.column(0).to_pylist()]
-                y = np.repeat(part.column(1).to_numpy(zero_copy_only=False), [len(x) for x in found])
-                yield pa.RecordBatch.from_arrays([pa.array([w for x in found for w in x], pa.string()), pa.array(y, pa.float64())], names=["stem", "_y"])
-
-    whole = rows.agg(F.avg("_y").alias("p")).first()["p"]
-    if not whole or whole >= 1:
-        return Lexicon()
-    counted = (
-        rows.select(F.coalesce("_text", F.lit("")).alias("_text"), "_y")
-        .mapInArrow(tidy(run), "stem string, _y double")
-        .groupBy("stem")
-        .agg(F.sum("_y").alias("k"), F.count(F.lit(1)).alias("n"))
-        .where((F.col("k") >= 5) & (F.col("k") > 0.6 * F.col("n")))
-        .where(F.col("k") - F.col("n") * whole > 6 * F.sqrt(F.col("n") * whole * (1 - whole)))
-        .withColumn("weight", F.log((F.col("k") + 0.5) / (F.col("n") - F.col("k") + 0.5)) - float(np.log(whole / (1 - whole))))
-        .orderBy(F.col("k").desc(), "stem")
-        .limit(STEMS)
-    )
-    return Lexicon({row["stem"]: row["weight"] for row in counted.collect()})
+                sizes = [len(x) for x in found]
+                own = [pa.array(np.repeat(part.column(i).to_numpy(zero_copy_only=False), sizes)) for i in (1, 2)]
+                yield pa.RecordBatch.from_arrays([pa.array([w for x in found for w in x], pa.string()), own[0].cast(pa.float64()), own[1].cast(pa.int64())], names=["stem", "_y", "_fold"])
+
+    folds = range(FOLDS)
+    of = lambda value, f: F.sum(F.when(F.col("_fold") == f, value).otherwise(0.0))
+    sums = [of(F.col("_y"), f).alias(f"k{f}") for f in folds] + [of(F.lit(1.0), f).alias(f"n{f}") for f in folds]
+    whole = rows.agg(*sums).first()
+    whole = np.array([whole[name] or 0.0 for name in (*(f"k{f}" for f in folds), *(f"n{f}" for f in folds))]).reshape(2, -1)
+    counted = rows.select(F.coalesce("_text", F.lit("")).alias("_text"), "_y", "_fold").mapInArrow(tidy(run), "stem string, _y double, _fold bigint").groupBy("stem").agg(*sums)
+    k = sum((F.col(f"k{f}") for f in folds), F.lit(0.0))
+    n = sum((F.col(f"n{f}") for f in folds), F.lit(0.0))
+    # What is rare, or common in other texts, stands out in no set of folds.
+    counted = counted.where((k >= STEM_ROWS) & (k > 0.5 * n)).orderBy(k.desc(), "stem").limit(STEMS).toPandas()
+    counts = counted[[name for name in counted.columns if name != "stem"]].to_numpy(float).reshape(-1, 2, FOLDS)
+    lexicons = []
+    for left_out in (*folds, None):
+        kept = [f for f in folds if f != left_out]
+        own = weights(counts[:, 0, kept].sum(axis=1), counts[:, 1, kept].sum(axis=1), whole[0, kept].sum(), whole[1, kept].sum())
+        lexicons.append(Lexicon({stem: float(w) for stem, w in zip(counted["stem"], own) if w > 0}))
+    return lexicons
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model | None:
     """Fit on at most SAMPLE_ROWS labelled rows; ``labels`` has none of those that are held out."""
     marked = labels.groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("double").alias("_y")).where("_y IS NOT NULL AND _id IS NOT NULL")
     sample = marked.orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE_ROWS)
-    part = F.pmod(F.xxhash64(F.lit("part"), "_id"), F.lit(5))
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample), "_id")
-    rows = materialize(rows.withColumn("_part", part), "labelled")
-    lexicon = learn_lexicon(rows.where("_part < 2"))
+    rows = materialize(rows.withColumn("_fold", F.pmod(F.xxhash64(F.lit("fold"), "_id"), F.lit(FOLDS))), "labelled")
+    lexicons = learn_lexicons(rows.select("_text", "_y", "_fold"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [features(text.as_py() or "", lexicon) for text in batch.column(3)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.list_(pa.float64()))], names=["_id", "_y", "_part", "x"])
+            found = [features(text.as_py() or "", lexicons[fold.as_py()]) for text, fold in zip(batch.column(3), batch.column(2))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.list_(pa.float64()))], names=["_id", "_y", "_fold", "x"])
 
-    kind = f"_id {rows.schema['_id'].dataType.simpleString()}, _y double, _part bigint, x array<double>"
-    seen = rows.select("_id", "_y", "_part", "_text").mapInArrow(tidy(run), kind).toPandas().sort_values("_id", kind="stable")
+    kind = f"_id {rows.schema['_id'].dataType.simpleString()}, _y double, _fold bigint, x array<double>"
+    seen = rows.select("_id", "_y", "_fold", "_text").mapInArrow(tidy(run), kind).toPandas()
     if seen.empty:
         return None
-    x, y, of = np.array(seen["x"].tolist(), float).reshape(-1, len(FEATURES)), seen["_y"].to_numpy(float), seen["_part"].to_numpy()
-    few = y.sum() < FEW or (of == 4).sum() == 0
-    every = np.ones(len(y), bool)
-    return Model(lexicon, fit(x, y, every if few else (of == 2) | (of == 3), every if few else of == 4, SMALL_LEAF if few else LEAF))
+    x, y, fold = np.array(seen["x"].tolist(), float).reshape(-1, len(FEATURES)), seen["_y"].to_numpy(float), seen["_fold"].to_numpy()
+    order = np.lexsort((*x.T, y, fold))
+    return Model(lexicons[-1], fit(x[order], y[order], fold[order]))
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
