@@ -1,12 +1,15 @@
 """Language identification with a string kernel.
 
-Kernel: the blended-spectrum presence kernel. k(x, y) counts the different n-grams of 1 to MAX_N letters that both
-texts have, divided by the geometric mean of how many each has. Nystroem landmarks, training texts chosen by hash
+Kernel: the blended-spectrum presence kernel. k(x, y) counts the different n-grams of 1 to MAX_N symbols that both
+texts have, divided by the geometric mean of how many each has. A symbol is one of a-z (either case), one byte of any
+other letter or sign in UTF-8, or a gap for a run of anything else. Nystroem landmarks, training texts chosen by hash
 and by language, stand for the whole kernel: a text is mapped to K(text, landmarks) W^(-1/2), and one-versus-rest
 kernel ridge regression in that space gives one score per language. Scoring is batched matrix products: a matrix of
-n-gram presences times the landmarks' presences, times the folded regression weights.
+presences of all the landmarks' n-grams, times the landmarks' presences with the regression's weights folded in.
 
 Training uses at most TRAINING_ROWS rows of each language, taken by hash of the id, whole texts; held-out rows never.
+The landmarks' sets of n-grams come to the driver, LANDMARKS for each language; of the other rows only their kernel values
+with the landmarks do, as texts are read and compared by tasks.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; rows without a language are never
 learned from; without any row to learn from all texts are ``und``; equal scores go to the language that sorts first;
@@ -16,7 +19,6 @@ at when scoring.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,15 +26,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from traceloom.llm.common import tidy, utf8_parts
+from traceloom.llm.common import materialize, tidy, utf8_parts
 
 MAX_N = 3
 #: Rows per language that training looks at, and those of them that are landmarks; languages, at most that many by rows.
 TRAINING_ROWS, LANDMARKS = 400, 40
 #: Buckets in which a language's rows are ranked first.
 BUCKETS = 64
-#: Most n-grams that stand for the landmarks' texts: those that most of them have.
-FEATURES = 8192
 RIDGE = 1e-3
 UNKNOWN = "und"
 
@@ -91,56 +91,60 @@ def _prepare() -> None:
 @dataclass
 class Model:
     languages: list[str]
+    codes: np.ndarray  # the landmarks' n-grams
+    folded: np.ndarray  # (n-grams, languages): their presences in the landmarks times the weights of these
+    bias: np.ndarray
+
+    def scores(self, present: np.ndarray, norms: np.ndarray) -> np.ndarray:
+        return (present @ self.folded) / np.sqrt(np.maximum(norms, 1))[:, None] + self.bias
+
+
+@dataclass
+class Landmarks:
     codes: np.ndarray  # the known n-grams
-    landmarks: np.ndarray  # their presences in the landmarks, (n-grams, landmarks)
+    present: np.ndarray  # their presences in the landmarks, (n-grams, landmarks)
     norms: np.ndarray  # the landmarks' numbers of n-grams
-    weights: np.ndarray  # (landmarks + 1, languages), the last row the bias
-
-    def table(self) -> np.ndarray:
-        table = np.full(_SIZE, len(self.codes), np.int32)
-        table[self.codes] = np.arange(len(self.codes), dtype=np.int32)
-        return table
 
     def kernel(self, present: np.ndarray, norms: np.ndarray) -> np.ndarray:
-        return (present @ self.landmarks) / np.sqrt(np.maximum(norms, 1)[:, None] * np.maximum(self.norms, 1)[None, :])
+        return (present @ self.present) / np.sqrt(np.maximum(norms, 1)[:, None] * np.maximum(self.norms, 1)[None, :])
 
-    def scores(self, present: np.ndarray, norms: np.ndarray) -> np.ndarray:
-        return self.kernel(present, norms) @ self.weights[:-1] + self.weights[-1]
+
+def table_of(codes: np.ndarray) -> np.ndarray:
+    """For every possible n-gram its place among the known ones, or behind them."""
+    table = np.full(_SIZE, len(codes), np.int32)
+    table[codes] = np.arange(len(codes), dtype=np.int32)
+    return table
 
 
 def has_letter(texts: list[str | None]) -> list[bool]:
     return [text is not None and any(map(str.isalpha, text)) for text in texts]
 
 
-def fit(texts: list[str], languages: list[str]) -> Model | None:
-    """Learn from whole texts; the first LANDMARKS of each language are the landmarks."""
-    if not texts:
-        return None
-    _prepare()
+def landmarks_of(sets: list[np.ndarray]) -> Landmarks:
+    codes = np.unique(np.concatenate(sets))
+    present = np.zeros((len(codes), len(sets)), np.float32)
+    for j, own in enumerate(sets):
+        present[np.searchsorted(codes, own), j] = 1
+    return Landmarks(codes, present, np.array([len(own) for own in sets], float))
+
+
+def fit(marks: Landmarks, kernel: np.ndarray, languages: list[str]) -> Model:
+    """Ridge regression on the Nystroem features of rows, given by their kernel values with the landmarks."""
     names = sorted(set(languages))
-    order = {name: [i for i, own in enumerate(languages) if own == name] for name in names}
-    chosen = [i for name in names for i in order[name][:LANDMARKS]]
-    data, offsets = utf8_parts(pa.array(texts, pa.string()))
-    sets = [np.unique(grams(data[offsets[i] : offsets[i + 1]])) for i in chosen]
-    codes, counts = np.unique(np.concatenate(sets), return_counts=True)
-    codes = np.sort(codes[np.argsort(-counts, kind="stable")[:FEATURES]])
-    landmarks = np.stack([np.isin(codes, own) for own in sets], axis=1).astype(np.float32)
-    model = Model(names, codes, landmarks, np.array([len(own) for own in sets], float), np.zeros((0, 0)))
-    present, norms = presences(data, offsets, model.table(), len(codes))
-    kernel = model.kernel(present, norms).astype(float)
-    among = kernel[chosen]
+    among = marks.kernel(marks.present.T, marks.norms).astype(float)
     values, vectors = np.linalg.eigh((among + among.T) / 2)
     kept = values > 1e-6 * values.max()
     root = vectors[:, kept] / np.sqrt(values[kept])
-    x = np.c_[kernel @ root, np.ones(len(texts))]
+    x = np.c_[kernel @ root, np.ones(len(languages))]
     y = np.array([[1.0 if own == name else -1.0 for name in names] for own in languages])
     # Each language counts alike, however many rows it has.
-    share = np.array([1.0 / len(order[own]) for own in languages])[:, None]
+    rows = {name: languages.count(name) for name in names}
+    share = np.array([1.0 / rows[own] for own in languages])[:, None]
     ridge = np.eye(x.shape[1]) * RIDGE
     ridge[-1, -1] = 0
     solved = np.linalg.solve(x.T @ (share * x) + ridge + 1e-12 * np.eye(len(ridge)), x.T @ (share * y))
-    model.weights = np.r_[root @ solved[:-1], solved[-1:]].astype(np.float64)
-    return model
+    weights = (root @ solved[:-1]) / np.sqrt(np.maximum(marks.norms, 1))[:, None]
+    return Model(names, marks.codes, marks.present.astype(float) @ weights, solved[-1])
 
 
 def train(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
@@ -154,11 +158,34 @@ def train(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     for key in (["_lang", "_bucket"], ["_lang"]):
         by_hash = Window.partitionBy(*key).orderBy(F.xxhash64("_id"), "_id")
         ids = ids.withColumn("_rank", F.row_number().over(by_hash)).where(F.col("_rank") <= TRAINING_ROWS)
-    sample = known.join(F.broadcast(ids.select("_id", "_lang").distinct()), ["_id", "_lang"]).select("_id", "_lang", "_text").toPandas()
-    # Like the ids, by a hash: the landmarks are the first of each language.
-    sample["_by"] = [(int(i) * 2654435761) % 2**32 if isinstance(i, (int, np.integer)) else zlib.crc32(str(i).encode()) for i in sample["_id"]]
-    sample = sample.sort_values(["_by", "_lang"], kind="stable")
-    return fit(sample["_text"].tolist(), sample["_lang"].tolist())
+    chosen = ids.select("_id", "_lang", (F.col("_rank") <= LANDMARKS).alias("_mark")).distinct()
+    sample = materialize(known.join(F.broadcast(chosen), ["_id", "_lang"]), "sample")
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = utf8_parts(batch.column(2))
+            sets = [np.unique(grams(data[a:b])).astype("<i4").tobytes() for a, b in zip(offsets[:-1], offsets[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], names=["_by", "_lang", "set"])
+
+    by = F.xxhash64("_id", "_text").alias("_by")
+    marked = sample.where("_mark").select(by, F.col("_lang").cast("string").alias("_lang"), "_text").mapInArrow(tidy(sets_of), "_by bigint, _lang string, set binary").toPandas()
+    if marked.empty:
+        return None
+    marked = marked.sort_values(["_lang", "_by"], kind="stable")
+    marks = landmarks_of([np.frombuffer(own, "<i4") for own in marked["set"]])
+    shared = rows.sparkSession.sparkContext.broadcast(marks)
+
+    def kernels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _prepare()
+        table = table_of(shared.value.codes)
+        for batch in batches:
+            for part in (batch.slice(i, 128) for i in range(0, len(batch), 128)):
+                values = shared.value.kernel(*presences(*utf8_parts(part.column(2)), table, len(shared.value.codes)))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([v.astype("<f8").tobytes() for v in values], pa.binary())], names=["_by", "_lang", "k"])
+
+    seen = sample.select(by, F.col("_lang").cast("string").alias("_lang"), "_text").mapInArrow(tidy(kernels), "_by bigint, _lang string, k binary").toPandas()
+    seen = seen.sort_values(["_lang", "_by"], kind="stable")
+    return fit(marks, np.stack([np.frombuffer(own, "<f8") for own in seen["k"]]), seen["_lang"].tolist())
 
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -169,10 +196,10 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _prepare()
         own = shared.value
-        table = own.table() if own else None
+        table = table_of(own.codes) if own else None
         for batch in batches:
-            for start in range(0, len(batch), 256):
-                part = batch.slice(start, 256)
+            for start in range(0, len(batch), 128):
+                part = batch.slice(start, 128)
                 letters = np.array(has_letter(part.column(1).to_pylist()), bool)
                 names, best = [UNKNOWN] * len(part), np.zeros(len(part))
                 if own and letters.any():
