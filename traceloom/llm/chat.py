@@ -119,9 +119,9 @@ def escape_role(role: Column) -> Column:
 
 
 def unescape_role(role: Column) -> Column:
-    # Backslash pairs are set aside first, so that what is left of \n stands for a line break.
-    pairs = F.regexp_replace(unescape(role), r"\\\\", "\x00")
-    return F.regexp_replace(F.regexp_replace(pairs, r"\\n", "\n"), "\x00", r"\\")
+    # A line break is an n behind an odd number of backslashes; then every pair of backslashes is one.
+    broken = F.regexp_replace(unescape(role), r"(?<!\\)((?:\\\\)*)\\n", "$1\n")
+    return F.regexp_replace(broken, r"\\\\", r"\\")
 
 
 def render(turns: Column) -> Column:
@@ -152,7 +152,10 @@ def format_records(records: DataFrame, record_col: str, layouts: tuple[Layout, .
 
 
 def conversations_as_records(rows: DataFrame) -> DataFrame:
-    """Rows (conv_id, turn, role, text) as one record a conversation, in the layout ``messages``."""
+    """Rows (conv_id, turn, role, text) as one record a conversation, in layouts that take turns.
+
+    A question and its answer go into flat layouts as well as into arrays; other conversations into arrays. Which one
+    of those that can hold a conversation it is follows from a hash of its id."""
     turn = F.struct(
         F.col("turn").isNull().alias("last"),
         F.col("turn").alias("turn"),
@@ -160,8 +163,24 @@ def conversations_as_records(rows: DataFrame) -> DataFrame:
         F.coalesce("text", F.lit("")).alias("content"),
     )
     ordered = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("rows"))
-    messages = F.transform("rows", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content")))
-    return ordered.select("conv_id", F.to_variant_object(F.struct(messages.alias("messages"))).alias("record"))
+    as_array = lambda role, text: F.transform("rows", lambda t: F.struct(t["role"].alias(role), t["content"].alias(text)))
+    named = F.transform(
+        "rows",
+        lambda t: F.struct(F.when(t["role"] == "user", "human").when(t["role"] == "assistant", "gpt").otherwise(t["role"]).alias("from"), t["content"].alias("value")),
+    )
+    first, second = (F.element_at("rows", k)["content"] for k in (1, 2))
+    record = lambda **fields: F.to_variant_object(F.struct(*(value.alias(name) for name, value in fields.items())))
+    arrays = [record(messages=as_array("role", "content")), record(turns=as_array("role", "text")), record(conversations=named)]
+    flat = [record(instruction=first, output=second), record(prompt=first, completion=second), record(prompt=first, response=second), record(question=first, answer=second)]
+    # Roles that the third array renames can't be told from the renamed ones.
+    plain = ~F.exists("rows", lambda t: t["role"].isin("human", "gpt"))
+    pair = (F.size("rows") == 2) & (F.get("rows", F.lit(0))["role"] == "user") & (F.get("rows", F.lit(1))["role"] == "assistant")
+    at = lambda n: F.pmod(F.xxhash64("conv_id"), n)
+    kinds = F.when(pair, at(F.lit(len(arrays) + len(flat)))).when(plain, at(F.lit(len(arrays)))).otherwise(at(F.lit(len(arrays) - 1)))
+    chosen = F.when(F.col("_kind") == 0, arrays[0])
+    for k, own in enumerate([*arrays[1:], *flat], 1):
+        chosen = chosen.when(F.col("_kind") == k, own)
+    return ordered.withColumn("_kind", kinds).select("conv_id", chosen.alias("record"))
 
 
 def digests(formatted: DataFrame) -> DataFrame:
