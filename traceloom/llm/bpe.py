@@ -52,6 +52,29 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+#: How this kind of tokenizer normalises text and cuts it in pieces.
+_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+_PATTERNS = [r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"]
+
+
+def unsupported(own: dict) -> list[str]:
+    """What of a tokenizer file the encoder does not do; it takes byte-level BPE on lower-cased words."""
+    found = []
+    model, cut = own["model"], own.get("pre_tokenizer") or {}
+    if model.get("type") != "BPE" or model.get("dropout") or model.get("byte_fallback") or model.get("continuing_subword_prefix") or model.get("ignore_merges"):
+        found.append("another model")
+    if [step["type"] for step in (own.get("normalizer") or {}).get("normalizers", [])] != _NORMALIZERS:
+        found.append("another normalizer")
+    patterns = [step["pattern"].get("Regex") for step in cut.get("pretokenizers", []) if step["type"] == "Split"]
+    if patterns != _PATTERNS or [step["type"] for step in cut.get("pretokenizers", [])] != ["Split", "ByteLevel"]:
+        found.append("another way of cutting words")
+    if any(x.get(flag) for x in own["added_tokens"] for flag in ("single_word", "lstrip", "rstrip")):
+        found.append("added tokens that take white space")
+    if own.get("decoder"):
+        found.append("a decoder")
+    return found
+
+
 class PairIndexEncoder:
     """A BPE vocabulary with word ends, given as the JSON text of the tokenizers library."""
 
@@ -60,6 +83,8 @@ class PairIndexEncoder:
 
         own = json.loads(definition)
         model = own["model"]
+        if unsupported(own):
+            raise ValueError(f"tokenizer file with {', '.join(unsupported(own))}")
         self.vocab: dict[str, int] = model["vocab"]
         self.end = model["end_of_word_suffix"] or ""
         pairs, merged = [], []
