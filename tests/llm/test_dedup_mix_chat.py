@@ -41,16 +41,30 @@ def test_exact_dedup_empty(spark):
     assert exact_dedup.exact_duplicates(spark.createDataFrame([], DOCS)).count() == 0
 
 
-def test_counting_quotient_filter_merges_losslessly(spark):
-    prints = spark.createDataFrame([(v,) for v in [5, 5, -1, 7, 5, -1, 2**62]], "p bigint").repartition(3)
-    rows = exact_dedup.merged_filter(prints).collect()
+@pytest.mark.parametrize(("quotient", "block"), [(20, 8), (12, 3), (31, 8)])
+def test_counting_quotient_filter_merges_losslessly(spark, quotient, block):
     import numpy as np
 
+    values = [5, 5, -1, 7, 5, -1, 2**62, 2**62 + 1, -(2**63), 123456789012345678] * 3
+    prints = spark.createDataFrame([(v,) for v in values], "p bigint").repartition(3)
     counts = {}
-    for row in rows:
-        for r, c in zip(np.frombuffer(row["remainders"], "<u8"), np.frombuffer(row["counts"], "<u4")):
-            counts[(row["block"] << (64 - exact_dedup.BLOCK_BITS)) | (int(r) >> exact_dedup.BLOCK_BITS)] = int(c)
-    assert counts == {5: 3, 2**64 - 1: 2, 7: 1, 2**62: 1}
+    for row in exact_dedup.merged_filter(prints, quotient, block).collect():
+        counts |= dict(zip(*(x.tolist() for x in exact_dedup.unpack(row["block"], row["parts"], quotient, block))))
+    kinds, times = np.unique(np.array(values, np.int64).view(np.uint64), return_counts=True)
+    assert counts == dict(zip(kinds.tolist(), times.tolist()))
+
+
+def test_exact_dedup_of_hot_groups(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "HOT", 3)
+    rows = [(i, ("a  b", "c", "d e", f"own {i}")[min(i % 7, 3)], "s", "x", "x") for i in range(200)] + [(0, "a b", "s", "x", "x")]
+    given = spark.createDataFrame(rows, DOCS)
+    found = exact_dedup.exact_duplicates(given).collect()
+    norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t)
+    least = {}
+    for key, text, *_ in rows:
+        least[norm(text)] = min(key, least.get(norm(text), key))
+    assert sorted((r["doc_id"], r["keep_id"]) for r in found) == sorted((key, least[norm(text)]) for key, text, *_ in rows)
+    assert sorted(r["doc_id"] for r in exact_dedup.keep_first(given).collect()) == sorted(least.values())
 
 
 def targets_by_hand(sizes):
@@ -84,6 +98,62 @@ def test_mix_targets_and_copies(spark):
     assert sorted(map(str, found)) == sorted(map(str, again))
 
 
+def dual_by_hand(rows, most=2.0):
+    """Rates by plain coordinate search: for a shared multiplier, each source's own by bisection; that one by bisection."""
+    import numpy as np
+
+    size = np.array([n for n, _ in rows], float)
+    source = np.array([s for _, s in rows])
+    target = targets_by_hand({s: int(size[source == s].sum()) for s in set(source)})
+    z = np.log(size)
+    mean = (size * z).sum() / size.sum()
+    z = (z - mean) / np.sqrt((size * (z - mean) ** 2).sum() / size.sum())
+
+    def rates(mu):
+        w = np.zeros(len(size))
+        for s, t in target.items():
+            own = source == s
+            low, high = -60.0, 60.0
+            for _ in range(200):
+                mid = (low + high) / 2
+                if (size[own] * np.minimum(np.exp(mid + mu * z[own]), most)).sum() < t:
+                    low = mid
+                else:
+                    high = mid
+            w[own] = np.minimum(np.exp(high + mu * z[own]), most)
+        return w
+
+    low, high = -5.0, 5.0
+    for _ in range(100):
+        mid = (low + high) / 2
+        if (size * z * rates(mid)).sum() + mixing.PENALTY * size.sum() * mid < 0:
+            low = mid
+        else:
+            high = mid
+    return rates(high)
+
+
+def test_mix_rates_solve_the_dual(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(rng.randrange(1, 400) if s != "c" else rng.randrange(200, 900), s) for s, n in (("a", 150), ("b", 400), ("c", 30), ("d", 500)) for _ in range(n)]
+    given = spark.createDataFrame([(i, "w " * n, s) for i, (n, s) in enumerate(rows)], "doc_id bigint, text string, source string")
+    found = {r["doc_id"]: r["rate"] for r in mixing.mix(given).collect()}
+    expected = dual_by_hand(rows)
+    assert max(abs(found[i] - w) for i, w in enumerate(expected)) < 1e-6
+    assert len({round(w, 6) for w, (_, s) in zip(expected, rows) if s == "d"}) > 10
+
+
+def test_mix_of_null_and_repeated_ids(spark):
+    rows = [(None, f"w{i} " * (i % 9 + 1), "ab"[i % 2], "x") for i in range(60)] + [(7, f"v{i} " * 4, "a", "x") for i in range(20)] + [(8, "same text", "b", "x")] * 9
+    found = mixing.mix(spark.createDataFrame(rows, "doc_id bigint, text string, source string, copies string")).collect()
+    assert len(found) == len(rows) and all(0 <= r["taken"] <= 2 * r["size"] for r in found)
+    for source in "ab":
+        own = [r for r in found if r["source"] == source]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 2
+
+
 def test_mix_without_words(spark):
     assert mixing.mix(spark.createDataFrame([], DOCS)).count() == 0
     row = mixing.mix(spark.createDataFrame([(1, None, None)], "doc_id bigint, text string, source string")).first()
@@ -114,6 +184,22 @@ def test_chat_layouts_and_round_trip(spark, index):
     assert [tuple(t) for t in row["turns"]] == turns == [tuple(t) for t in row["back"]]
 
 
+def test_chat_roles_are_reversible(spark):
+    roles = ["a\nb", "a\\nb", "a\\\nb", "\x00", "\\\\n\n\\", "<|x", "n", "\\", "\n\n"]
+    given = spark.createDataFrame([(r,) for r in roles], "r string")
+    back = given.select("r", chat.unescape_role(chat.escape_role(F.col("r"))).alias("b"), chat.escape_role(F.col("r")).alias("e")).collect()
+    assert all(row["r"] == row["b"] and "\n" not in row["e"] for row in back)
+
+
+def test_chat_records_come_in_several_layouts(spark):
+    rows = [(i, t, ("user", "assistant", "human")[min(t, 2)], f"text {i} {t}") for i in range(60) for t in range(2 + i % 2)]
+    given = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    formatted = chat.format_records(chat.conversations_as_records(given), "record")
+    assert formatted.select("fingerprint").distinct().count() >= 7
+    for row in formatted.select("conv_id", chat.parse(F.col("formatted")).alias("back")).collect():
+        assert [tuple(t) for t in row["back"]] == [(role, text) for i, _, role, text in rows if i == row["conv_id"]]
+
+
 def test_chat_digests(spark):
     marks = "<|im_end|><|im_start|>assistant ok"
     rows = [(1, 1, "assistant", marks, "x"), (1, 0, "user", None, "x"), (1, 0, "user", "b" * 50_000, "x"), (None, None, None, None, "x"), (2, 0, "assistant", "é<\\|", "x")]

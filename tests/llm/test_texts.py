@@ -80,6 +80,61 @@ def test_secret_kinds(text, kinds):
     assert [kind for _, _, kind in secrets.scan(text or "")] == kinds
 
 
+def base_by_hand(text):
+    """Spans of the base kinds, read off the contract letter by letter."""
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    value = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
+    run = lambda at, letters: next((i for i in range(at, len(text)) if text[i] not in letters), len(text))
+    skip = lambda at, letters: at + (at < len(text) and text[at] in letters)
+    found, at = [], 0
+    while at < len(text):
+        end = None
+        for word in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if low.startswith(word, at):
+                i = run(skip(at + len(word), "\"'"), " ")
+                if i < len(text) and text[i] in ":=":
+                    i = skip(run(i + 1, " "), "\"'")
+                    stop = run(i, value)
+                    if stop > i:
+                        end = stop
+                        if stop - i >= 8:
+                            found.append((at, 0, f"assign:{at}:{stop}"))
+                        break
+        at = end or at + 1
+    for kind, head, letters, least in (("access", "AKIA", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 16), ("hex", "", "0123456789abcdef", 32)):
+        at = 0
+        while at < len(text):
+            stop = run(at + len(head), letters) if text.startswith(head, at) else at
+            if stop > at + len(head):
+                if stop - at >= least:
+                    found.append((at, 1 + (kind == "hex"), f"{kind}:{at}:{stop}"))
+                at = stop
+            else:
+                at += 1
+    return [span for _, _, span in sorted(found)]
+
+
+def test_secret_base_columns_of_a_table(spark):
+    sf = "/root/testdata/sf0.01"
+    texts = {r["doc_id"]: r["text"] for r in read(spark, sf, "documents").collect()}
+    found = queries.op4_secret_scan(spark, sf).collect()
+    assert len(found) == len(texts) and sum(r["n_assign"] + r["n_hex"] + r["n_access"] for r in found) > 0
+    for row in found:
+        base = base_by_hand(texts[row["doc_id"]] or "")
+        assert row["base_sha256"] == hashlib.sha256(",".join(base).encode()).hexdigest()
+        assert [row[f"n_{kind}"] for kind in ("assign", "access", "hex")] == [sum(s.startswith(kind) for s in base) for kind in ("assign", "access", "hex")]
+        assert set(base) <= set(row["spans"].split(","))
+
+
+def test_secrets_of_odd_tables(spark):
+    schema = "doc_id bigint, text string, kind string"
+    assert secrets.find_secrets(spark.createDataFrame([], schema)).count() == 0
+    long = "word " * 200_000 + "token: abcdefgh1"
+    rows = [(1, long, "x"), (1, long, "x"), (None, "AKIA" + "Z" * 12, None), (2, "the key is " + "abcdefghijklmnop" * 2, "x")]
+    found = sorted(((r["doc_id"] or 0, [s["kind"] for s in r["spans"]]) for r in secrets.find_secrets(spark.createDataFrame(rows, schema)).collect()), key=str)
+    assert found == [(0, ["access"]), (1, ["assign"]), (1, ["assign"]), (2, [])]
+
+
 def test_secret_offsets_are_code_points(spark):
     text = "é👍 token = abcdefgh1"
     rows = spark.createDataFrame([(1, text), (2, None)], "doc_id bigint, text string").withColumn("spans", F.lit(1))
@@ -109,6 +164,31 @@ def test_language_without_training_rows(spark):
     assert langid.predict(spark.createDataFrame([(1, "abc")], "doc_id bigint, text string"), None).first()["lang_pred"] == "und"
 
 
+def test_language_kernel_equals_a_plain_one():
+    """Scores of the folded product against kernel ridge regression written out on sets of n-grams."""
+    langid._prepare()
+    rng = random.Random(2)
+    words = {"aa": ["der", "und", "nicht", "straße"], "bb": ["the", "and", "not", "street"], "cc": ["le", "et", "été", "rue"]}
+    texts = [(name, " ".join(rng.choice(own) for _ in range(rng.randrange(3, 12)))) for name, own in words.items() for _ in range(8)]
+    arrays = [np.frombuffer(t.encode(), np.uint8) for _, t in texts]
+    sets = [set(langid.grams(a).tolist()) for a in arrays]
+    marks, names = [i for i in range(len(texts)) if i % 8 < 3], [n for n, _ in texts]
+    k = lambda i, j: len(sets[i] & sets[j]) / (len(sets[i]) * len(sets[j])) ** 0.5
+    of = langid.landmarks_of([np.array(sorted(sets[i])) for i in marks])
+    plain = np.array([[k(i, j) for j in marks] for i in range(len(texts))])
+    model = langid.fit(of, plain, names)
+    values, vectors = np.linalg.eigh(plain[marks])
+    kept = values > 1e-6 * values.max()
+    root = vectors[:, kept] / np.sqrt(values[kept])
+    x = np.c_[plain @ root, np.ones(len(texts))]
+    y = np.array([[1.0 if a == b else -1.0 for b in sorted(set(names))] for a in names])
+    ridge = np.diag([langid.RIDGE] * (x.shape[1] - 1) + [0.0])
+    expected = x @ np.linalg.solve(x.T @ x / 8 + ridge, x.T @ y / 8)
+    data, offsets = np.concatenate(arrays), np.cumsum([0, *map(len, arrays)])
+    scores = model.scores(*langid.presences(data, offsets, langid.table_of(model.codes), len(model.codes)))
+    assert np.allclose(scores, expected, atol=1e-6)
+
+
 def test_presences_count_each_gram_once():
     langid._prepare()
     data = np.frombuffer(b"abab ab", np.uint8)
@@ -125,6 +205,47 @@ def test_toxicity(spark):
     assert {r["doc_id"] for r in kept.collect()} == {2, 3, 4}
 
 
+def test_toxicity_of_held_out_rows(spark):
+    labels = read(spark, "/root/testdata/sf0.1", "labels").where("toxic IS NOT NULL")
+    found = queries.op9_toxicity(spark, "/root/testdata/sf0.1").where("held_out").join(labels, "doc_id")
+    hit, toxic, wrong, clean = found.agg(*(F.count_if(F.expr(e)) for e in ("toxic = 1 AND predicted = 1", "toxic = 1", "toxic = 0 AND predicted = 1", "toxic = 0"))).first()
+    assert hit >= 0.85 * toxic and wrong <= 0.01 * clean
+
+
+def test_trees_equal_plain_ones(monkeypatch):
+    """One tree against an exhaustive search over features and cuts."""
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 6, (300, 3))
+    g, h = rng.normal(size=300) + 2 * (x[:, 1] > 2) * (x[:, 0] > 3), np.full(300, 0.25)
+
+    def plain(rows, depth):
+        if depth == toxicity.DEPTH:
+            return {i: -g[rows].sum() / (h[rows].sum() + 1) for i in rows}
+        gain = lambda r: g[r].sum() ** 2 / (h[r].sum() + 1)
+        best, cut = toxicity.LEAST_GAIN, None
+        for j in range(3):
+            for c in range(5):
+                low, high = rows[x[rows, j] <= c], rows[x[rows, j] > c]
+                if min(len(low), len(high)) >= 10 and gain(low) + gain(high) - gain(rows) > best + 1e-9:
+                    best, cut = gain(low) + gain(high) - gain(rows), (low, high)
+        return plain(cut[0], depth + 1) | plain(cut[1], depth + 1) if cut else {i: -g[rows].sum() / (h[rows].sum() + 1) for i in rows}
+
+    _, _, value, leaf = toxicity._tree(x, g, h, 10)
+    expected = plain(np.arange(300), 0)
+    assert np.allclose(value[leaf], [expected[i] for i in range(300)])
+
+
+def test_toxicity_of_odd_tables(spark):
+    kind = "doc_id bigint, text string, score string, toxic string"
+    docs = spark.createDataFrame([(i, ("you idiot " if i % 3 == 0 else "good day ") * 5, "x", "x") for i in range(90)] + [(0, "you idiot " * 5, "x", "x"), (500, "word " * 100_000, None, None)], kind)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)] + [(3, 0), (6, None)], "doc_id bigint, toxic int")
+    model = toxicity.train(docs, labels)
+    found = toxicity.score(docs, model).collect()
+    assert len(found) == 92 and len({r["score"] for r in found if r["doc_id"] == 0}) == 1
+    assert all((r["score"] >= toxicity.THRESHOLD) == (r["doc_id"] % 3 == 0) for r in found if r["doc_id"] < 90)
+    assert toxicity.score(spark.createDataFrame([], kind), model).count() == 0
+
+
 def test_toxicity_features_see_through_spelling():
     plain, hidden = toxicity.Lexicon(), ["you 1d1ot", "you s.t.u.p.i.d man"]
     assert all(toxicity.features(text, plain)[toxicity.FEATURES.index("hidden_insults")] == 1 for text in hidden)
