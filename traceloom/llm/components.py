@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from traceloom.llm.common import materialize
+from traceloom.llm.common import materialize, salted_join
 
 
 def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -26,8 +26,10 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
         met = materialize(met, "met")
         hooks = met.where("_low < _was").groupBy(F.col("_was").alias("node")).agg(F.min("_low").alias("_hook"))
         lower = met.join(hooks, "node", "left").select("node", F.least("_low", F.coalesce("_hook", "_low")).alias("label"), "_was")
-        jump = lower.select(F.col("node").alias("label"), F.col("label").alias("_next"))
-        found = lower.join(jump, "label", "left").select("node", F.least("label", F.coalesce("_next", "label")).alias("label"), "_was")
+        lower = materialize(lower, "lower")
+        # Labels that have a lower one themselves, each once: nodes of a large component share theirs.
+        jump = lower.select("label").distinct().join(lower.select(F.col("node").alias("label"), F.col("label").alias("_next")), "label").where("_next <> label")
+        found = salted_join(lower, jump, "label", "node").select("node", F.least("label", F.coalesce("_next", "label")).alias("label"), "_was")
         found = materialize(found, "labels")
         changed = not found.where("label <> _was").isEmpty()
         labels = found.select("node", "label")
