@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from traceloom.llm import bpe, exact_dedup, mixing, ngram_join, toxicity
 from traceloom.llm.common import held_out, materialize, read, scratch_dir
-from traceloom.llm.hashing import id_map, in_map, without
+from traceloom.llm.hashing import without
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,22 +35,17 @@ def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, once or twice. Only rows that may be taken otherwise than
-    once are shuffled, to meet their numbers of copies; a document is known by its id and its text's hash."""
+    """Each document as often as the mix takes it: not at all, once or twice. Rows meet their numbers of copies by id and
+    the text's hash, so that null ids are no hot key; rows that repeat both get their numbers by a count of rows."""
     mixed = mixing.mix(docs).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("copies").cast("int").alias("_copies"))
-    # Of rows that repeat id and text each gets its number; a count of rows decides which.
-    other = materialize(mixed.groupBy("_id", "_hash").agg(F.sort_array(F.collect_list("_copies")).alias("_copies")).where("exists(_copies, c -> c <> 1)"), "copies")
-    slot = lambda id_, hash_: F.pmod(F.xxhash64(id_, hash_), F.lit(1 << 25))
-    listed = in_map(id_map(other.select(slot(F.col("_id"), F.col("_hash")).alias("slot")).distinct(), 25))
+    taken = mixed.groupBy("_id", "_hash").agg(F.sort_array(F.collect_list("_copies")).alias("_copies")).where("exists(_copies, c -> c > 0)")
     rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_rid"), F.xxhash64("text").alias("_rhash"))
-    maybe = slot(F.col("_rid"), F.col("_rhash"))
-    once = rows.where(~listed(maybe)).select("_row.*")
-    met = rows.where(listed(maybe)).join(other, F.col("_rid").eqNullSafe(F.col("_id")) & (F.col("_rhash") == F.col("_hash")), "left")
-    met = met.withColumn("_copies", F.coalesce("_copies", F.array(F.lit(1))))
+    met = rows.join(taken, F.col("_rid").eqNullSafe(F.col("_id")) & (F.col("_rhash") == F.col("_hash")))
     same = Window.partitionBy("_rid", "_rhash").orderBy("_rid")
-    several = met.where(F.size("_copies") > 1).withColumn("_copies", F.array(F.element_at("_copies", F.row_number().over(same))))
-    taken = met.where(F.size("_copies") == 1).unionByName(several).withColumn("_n", F.element_at("_copies", 1)).where("_n > 0")
-    return once.union(taken.select("_row", F.explode(F.sequence(F.lit(1), F.col("_n")))).select("_row.*"))
+    several = met.where(F.size("_copies") > 1).withColumn("_n", F.element_at("_copies", F.row_number().over(same)))
+    single = met.where(F.size("_copies") == 1).withColumn("_n", F.element_at("_copies", 1))
+    copies = F.explode(F.sequence(F.lit(1), F.col("_n")))
+    return single.unionByName(several).where("_n > 0").select("_row", copies).select("_row.*")
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
