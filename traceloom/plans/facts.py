@@ -21,11 +21,13 @@ def nest_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     "WITH n AS (SELECT DISTINCT p_name AS name FROM part) SELECT a.name AS caller, b.name AS callee FROM n a JOIN n b ON a.name <> b.name AND contains(a.name, substr(b.name, strlen(b.name) - 3))",
 )
 def reverse_calls_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Callers by substring of the callee's name; suffixes match too, as tokens would not. A catalogue of distinct names."""
+    """Callers that hold the last four letters of a callee's name: all four-letter pieces of names meet the ends of names."""
     names = table(spark, sf_dir, "part").select("p_name").distinct()
-    a, b = names.withColumnRenamed("p_name", "caller"), names.withColumnRenamed("p_name", "callee")
-    holds = (F.col("caller") != F.col("callee")) & F.contains("caller", F.substr("callee", F.length("callee") - 3))
-    return a.join(b, holds)
+    ends = names.select(F.col("p_name").alias("callee"), F.substr("p_name", F.length("p_name") - 3).alias("piece"))
+    at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("p_name") - 3))
+    pieces = F.array_distinct(F.transform(at, lambda i: F.substr("p_name", i, F.lit(4))))
+    held = names.select(F.col("p_name").alias("caller"), F.explode(pieces).alias("piece"))
+    return held.join(ends, "piece").where("caller <> callee").select("caller", "callee")
 
 
 @query(
