@@ -4,22 +4,50 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Paths written within the open ``scratch_tables``, innermost last.
+_WRITTEN: list[list[str]] = []
+
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where none is set, as in tests."""
+    """The folder named by ``spark.checkpoint.dir``; a temporary one only in local mode where none is set, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="traceloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a table of the scratch folder, wherever that is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``materialize`` writes within are deleted at the end; for callers that have written their result."""
+    written: list[str] = []
+    _WRITTEN.append(written)
+    try:
+        yield
+    finally:
+        _WRITTEN.remove(written)
+        for path in written:
+            drop(spark, path)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as Parquet and read it back, so that a lost executor repeats no earlier stage."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _WRITTEN:
+        _WRITTEN[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
