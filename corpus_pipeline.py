@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from traceloom.llm import bpe, exact_dedup, mixing, ngram_join, toxicity
 from traceloom.llm.common import held_out, materialize, read, scratch_dir
 from traceloom.llm.hashing import without
+from traceloom.scratch import drop, scratch_tables
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,10 +75,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = read(spark, sf_dir, "documents")
+    """All stages over ``documents``; a stage's input, and what it wrote on its way, is deleted once its output stands."""
+    docs, before = read(spark, sf_dir, "documents"), None
     folder = f"{scratch_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        path = f"{folder}/{k}-{name}"
+        with scratch_tables(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            drop(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
