@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from traceloom.functions.ids import estimate_tokens
 
@@ -59,3 +59,45 @@ def trim_packs(packs: DataFrame, budget: int) -> DataFrame:
     )
     names = F.transform("sections", lambda x: x["section"])
     return grouped.withColumn("_f", fold).select("id", F.array_except(names, F.col("_f.gone")).alias("kept"), F.col("_f.gone").alias("reasons"), F.col("_f.left").alias("tokens"))
+
+
+#: What a pack loses while it is over budget, in this order: section or state, and the reason that is noted. Fixed values.
+STEPS = (
+    "operation_metadata_trimmed", "source_excerpts_trimmed", "low_signal_operations_collapsed", "callers_trimmed", "callees_trimmed",
+    "reachable_callees_trimmed", "related_types_trimmed", "diagnostics_trimmed", "source_excerpts_removed", "operation_histogram_trimmed",
+    "field_access_lists_trimmed", "operation_spans_trimmed", "support_operations_trimmed", "operations_trimmed",
+)
+CORE_KINDS = ("Call", "Assert", "ReadField", "WriteField", "BorrowFieldMut", "BorrowGlobalMut", "MoveFrom", "MoveTo", "Pack", "Unpack")
+SIGNAL_KINDS = (*CORE_KINDS, "Abort", "Branch", "BranchIf")
+_WHOLE = {"callers": 4, "callees": 5, "reachable_callees": 6, "related_types": 7, "diagnostics": 8, "operation_histogram": 10, "field_access": 11}
+_LINES = 8
+
+
+def trim_steps(parts: DataFrame, budget: int) -> DataFrame:
+    """Context packs (id, section, place, kind, text, metadata, span) cut to a budget of tokens: (id, tokens, reasons).
+
+    Size only falls, so a step is reached only after all before it were taken, and what each saves is known beforehand: a
+    part is taken if the pack is still over budget after all parts before it. Operations go one by one, the last first;
+    other sections go whole; sections that no step names stay. A pack is one window, which spills."""
+    size = lambda c: F.coalesce(F.octet_length(c), F.lit(0)).cast("long")
+    own, meta, span = size("text"), size("metadata"), size("span")
+    short = size(F.array_join(F.slice(F.split(F.regexp_replace("text", "\n$", ""), "\n"), 1, _LINES), "\n"))
+    atom = lambda step, sub, saves: F.struct(F.lit(step).alias("step"), sub.cast("long").alias("sub"), saves.alias("saves"))
+    once, last_first = F.lit(0), -F.col("place")
+    signal, core = F.col("kind").isin(*SIGNAL_KINDS), F.col("kind").isin(*CORE_KINDS)
+    operation, excerpt = F.col("section") == "operations", F.col("section") == "source_excerpts"
+    atoms = F.array_compact(F.array(
+        F.when(operation & F.col("metadata").isNotNull(), atom(1, once, meta)), F.when(excerpt, atom(2, once, own - short)), F.when(operation & ~signal, atom(3, last_first, own + span)),
+        *(F.when(F.col("section") == name, atom(step, once, own + meta + span)) for name, step in _WHOLE.items()), F.when(excerpt, atom(9, once, short)),
+        F.when(operation & signal & F.col("span").isNotNull(), atom(12, once, span)), F.when(operation & signal & ~core, atom(13, last_first, own)), F.when(operation & core, atom(14, last_first, own)),
+    ))
+    rows = parts.withColumn("kind", F.coalesce("kind", F.lit("")))
+    totals = rows.groupBy("id").agg(F.sum(own + meta + span).alias("total"))
+    taken = rows.select("id", F.explode(atoms).alias("_a")).groupBy("id", "_a.step", "_a.sub").agg(F.sum("_a.saves").alias("saves"))
+    before = Window.partitionBy("id").orderBy("step", "sub").rowsBetween(Window.unboundedPreceding, -1)
+    running = taken.withColumn("_before", F.coalesce(F.sum("saves").over(before), F.lit(0))).join(totals, "id")
+    gone = running.where(F.floor((F.col("total") - F.col("_before") + 3) / 4) > budget)
+    reason = F.element_at(F.array(*(F.lit(x) for x in STEPS)), F.col("step"))
+    cut = gone.groupBy("id").agg(F.sum("saves").alias("saved"), F.sort_array(F.collect_set(reason)).alias("reasons"))
+    left = F.col("total") - F.coalesce("saved", F.lit(0))
+    return totals.join(cut, "id", "left").select("id", F.floor((left + 3) / 4).alias("tokens"), F.coalesce("reasons", F.array().cast("array<string>")).alias("reasons"))

@@ -58,18 +58,31 @@ def head_tail(text: Column, budget: int) -> tuple[Column, Column, Column]:
     return first, last, F.greatest(F.lit(0), rest - tail).cast("long")
 
 
+def _with_heights(rows: DataFrame, key: str, order: str, change: Column) -> DataFrame:
+    """Add ``_height``, the size of each key's stack after a row, and ``_lowest``, the least size after any later row.
+
+    The stack never falls below empty: a sum's distance from its lowest point so far is the size. Running frames only,
+    so that a key of any length takes one pass each way and spills."""
+    upto = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    later = Window.partitionBy(key).orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    summed = rows.withColumn("_sum", F.sum(change).over(upto)).withColumn("_height", F.col("_sum") - F.least(F.lit(0), F.min("_sum").over(upto)))
+    return summed.withColumn("_lowest", F.min("_height").over(later)).drop("_sum")
+
+
+_STANDS = "_lowest IS NULL OR _lowest >= _height"
+
+
 def replay_rollbacks(rows: DataFrame, key: str, order: str, n_rolled_back: str) -> DataFrame:
-    """Turns that survive: a row with ``n_rolled_back`` takes that many of the turns before it away.
-
-    A fold over each key's rows in order, as later rollbacks depend on what earlier ones left."""
-    item = F.struct(F.col(order).alias("at"), F.coalesce(F.col(n_rolled_back), F.lit(0)).cast("int").alias("n"))
-    kept = F.aggregate(
-        "rows",
-        F.array().cast(f"array<{rows.schema[order].dataType.simpleString()}>"),
-        lambda left, r: F.when(r["n"] == 0, F.concat(left, F.array(r["at"]))).otherwise(F.slice(left, F.lit(1), F.greatest(F.lit(0), F.size(left) - r["n"]))),
-    )
-    grouped = rows.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("rows"))
-    return grouped.select(key, F.explode(kept).alias(order))
+    """Turns that survive: a row with ``n_rolled_back`` takes that many of the turns left before it away."""
+    n = F.coalesce(F.col(n_rolled_back), F.lit(0))
+    return _with_heights(rows, key, order, F.when(n == 0, 1).otherwise(-n)).where(n == 0).where(_STANDS).select(key, order)
+
+
+def fork_turns(rows: DataFrame, key: str, order: str, turn: Column, fork: Column, n_rolled_back: Column) -> DataFrame:
+    """Fork positions that survive: a rollback of n turns removes all of them from the n-th last turn on (from the first,
+    if fewer are left; none, if no turn is left). A fork need not be a turn."""
+    n = F.coalesce(n_rolled_back, F.lit(0))
+    return _with_heights(rows, key, order, F.when(n > 0, -n).otherwise(turn.cast("int"))).where(fork & (n == 0)).where(_STANDS).select(key, order)
 
 
 def page(rows: DataFrame, order: Sequence[Column | str], offset: int, limit: int = 100) -> DataFrame:
@@ -77,6 +90,12 @@ def page(rows: DataFrame, order: Sequence[Column | str], offset: int, limit: int
     return rows.orderBy(*order).offset(offset).limit(min(200, max(1, limit)))
 
 
+def page_before(rows: DataFrame, order: Sequence[str], cursor: Sequence, limit: int) -> DataFrame:
+    """The page that ends before the cursor, in descending order of the columns: the nearest rows above it, turned round."""
+    above = F.struct(*(F.col(c) for c in order)) > F.struct(*(F.lit(v).cast(rows.schema[c].dataType).alias(c) for c, v in zip(order, cursor, strict=True)))
+    return rows.where(above).orderBy(*order).limit(limit).orderBy(*(F.col(c).desc() for c in order))
+
+
 def after_key(rows: DataFrame, key: str, cursor, limit: int, descending: bool = True) -> DataFrame:
     """Keyset pagination: the next rows beyond the cursor."""
     beyond = F.col(key) < cursor if descending else F.col(key) > cursor

@@ -143,16 +143,30 @@ def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.withColumn("id", ids.stable_id("op", "l_orderkey", "l_linenumber", "l_partkey")).withColumn("readable", ids.logical_id("op", "l_orderkey", "l_linenumber"))
 
 
-def co_orders(spark: SparkSession, sf_dir: str, quantity: int = 45) -> DataFrame:
-    """Edges between parts of one order, from the smaller key to the larger, for lines of at least ``quantity``."""
-    lines = table(spark, sf_dir, "lineitem").where(F.col("l_quantity") >= quantity).select("l_orderkey", "l_partkey").distinct()
+def co_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges between parts of one order, from the smaller key to the larger. An order has a handful of lines."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct()
     other = lines.withColumnRenamed("l_partkey", "dst")
     pairs = lines.withColumnRenamed("l_partkey", "src").join(other, "l_orderkey").where("src < dst")
     return pairs.select("l_orderkey", "src", "dst")
 
 
 _CO = """e AS (SELECT DISTINCT a.l_orderkey, a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b
-    ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey WHERE a.l_quantity >= 45 AND b.l_quantity >= 45)"""
+    ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey)"""
+
+
+def _walk(steps: int, fanout: int, cap: int) -> str:
+    """SQL of a bounded walk from every source, one table w1, w2, ... for each step, and ``walk`` for all."""
+    told = [_CO, f"near AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) AS edge FROM e QUALIFY edge <= {fanout})", "w0 AS (SELECT DISTINCT src AS seed, src AS node, 0 AS depth, 0 AS place FROM e)"]
+    for k in range(1, steps + 1):
+        seen = " UNION ALL ".join(f"SELECT * FROM w{j}" for j in range(k))
+        told.append(
+            f"""w{k} AS (SELECT seed, node, {k} AS depth, found + row_number() OVER (PARTITION BY seed ORDER BY via) AS place
+            FROM (SELECT seed, dst AS node, min(place * {fanout + 1} + edge) AS via FROM w{k - 1} JOIN near ON src = node GROUP BY seed, dst)
+            JOIN (SELECT seed, max(place) AS found FROM ({seen}) GROUP BY seed) USING (seed) WHERE (seed, node) NOT IN (SELECT (seed, node) FROM ({seen})) QUALIFY place <= {cap})"""
+        )
+    told.append("walk AS (" + " UNION ALL ".join(f"SELECT * FROM w{j}" for j in range(steps + 1)) + ")")
+    return ", ".join(told)
 
 
 @query("neighbors_topk", f"WITH {_CO} SELECT src, dst, place FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) AS place FROM e) WHERE place <= 3")
@@ -196,13 +210,12 @@ def rollup_trade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trade(spark, sf_dir).rollup("src", "dst").agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("level"))
 
 
-_NATION_EDGES = f"""{_TRADE}, edges AS (SELECT src, dst, count(*) AS n FROM t WHERE src <> dst AND l_quantity >= 40 GROUP BY src, dst HAVING dst - src BETWEEN 1 AND 3)"""
+_NATION_EDGES = f"""{_TRADE}, edges AS (SELECT src, dst, count(*) AS n FROM t WHERE src <> dst GROUP BY src, dst)"""
 
 
 def nation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A graph of nations: edges to the next three numbers with large trade."""
-    large = trade(spark, sf_dir).where("l_quantity >= 40 AND dst - src BETWEEN 1 AND 3")
-    return large.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+    """The graph of nations that trade with each other."""
+    return trade(spark, sf_dir).where("src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -223,7 +236,7 @@ def dep_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     "transitive_closure",
     f"""
     WITH RECURSIVE {_NATION_EDGES}, r(seed, node) AS (SELECT DISTINCT src, dst FROM edges UNION SELECT seed, dst FROM r JOIN edges ON src = node)
-    SELECT seed, node FROM r
+    SELECT seed, node FROM r WHERE seed <> node
     """,
 )
 def transitive_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,17 +244,26 @@ def transitive_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.closure(edges, edges.select(F.col("src").alias("node"))).select("seed", "node")
 
 
+@query("reach_depth_n", f"WITH {_walk(3, 3, 8)} SELECT seed, node, depth::INTEGER AS depth FROM walk WHERE depth > 0")
+def reach_depth_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Callees of every function within three steps, three of each at most, eight in all."""
+    edges = co_orders(spark, sf_dir)
+    return graph.bounded_reach(edges, edges.select(F.col("src").alias("node")), 3, 3, 8).select("seed", "node", "depth")
+
+
 @query(
-    "reach_depth_n",
+    "call_graph",
     f"""
-    WITH RECURSIVE {_CO}, d AS (SELECT DISTINCT src, dst FROM e), seeds AS (SELECT DISTINCT src AS node FROM d WHERE src < 20),
-    r(seed, node, depth) AS (SELECT node, node, 0 FROM seeds UNION SELECT seed, dst, depth + 1 FROM r JOIN d ON src = node WHERE depth < 3)
-    SELECT seed, node, min(depth)::INTEGER AS depth FROM r WHERE node <> seed GROUP BY seed, node
+    WITH {_walk(2, 3, 8)}, d AS (SELECT src, count(*) AS degree FROM near GROUP BY src)
+    SELECT seed, count(*) AS n_nodes, coalesce(sum(degree) FILTER (depth < 2), 0)::BIGINT AS n_edges,
+        CASE WHEN count(*) > 8 THEN ['call_depth_limited', 'callee_count_limited'] ELSE ['call_depth_limited'] END AS trim_reasons
+    FROM walk LEFT JOIN d ON src = node GROUP BY seed
     """,
 )
-def reach_depth_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+def call_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bounded graph around every function: asked for three steps, two are allowed."""
     edges = co_orders(spark, sf_dir)
-    return graph.reach(edges, edges.where("src < 20").select(F.col("src").alias("node")), 3)
+    return graph.call_graph(edges, edges.select(F.col("src").alias("node")), 3, 2, 3, 8)
 
 
 @query(
@@ -321,11 +343,11 @@ def resolve_two_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.resolve_two_tier(rows, targets, "scope", "name", "tid", "target").select("id", "target")
 
 
-@query("unused_decls", "SELECT p_partkey, p_name FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity >= 48)")
+@query("unused_decls", "SELECT doc_id, source FROM documents WHERE NOT EXISTS (SELECT 1 FROM labels WHERE labels.doc_id = documents.doc_id)")
 def unused_decls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    used = table(spark, sf_dir, "lineitem").where("l_quantity >= 48").select("l_partkey")
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    return part.join(used, part.p_partkey == used.l_partkey, "left_anti")
+    """Declarations (documents) that nothing (no label) refers to."""
+    used = table(spark, sf_dir, "labels").select("doc_id")
+    return table(spark, sf_dir, "documents").select("doc_id", "source").join(used, "doc_id", "left_anti")
 
 
 @query("external_calls", "SELECT DISTINCT l_suppkey AS target FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_nationkey < 10)")

@@ -60,13 +60,13 @@ def branch_to_abort(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "superset_gate",
     """
-    SELECT user_id, count(DISTINCT event_type) AS n_methods FROM events WHERE value > 20 GROUP BY user_id
+    SELECT user_id, ts::DATE AS day, count(DISTINCT event_type) AS n_methods FROM events GROUP BY user_id, ts::DATE
     HAVING count(DISTINCT event_type) >= 2 AND list_has_all(list(DISTINCT event_type), ['purchase', 'error'])
     """,
 )
 def superset_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users with two kinds of events at least, among them all required ones."""
-    found = events(spark, sf_dir).where("value > 20").groupBy("user_id").agg(F.countDistinct("event_type").alias("n_methods"), F.collect_set("event_type").alias("have"))
+    """Users' days with two kinds of events at least, among them all required ones."""
+    found = events(spark, sf_dir).groupBy("user_id", F.to_date("ts").alias("day")).agg(F.countDistinct("event_type").alias("n_methods"), F.collect_set("event_type").alias("have"))
     return found.where((F.col("n_methods") >= 2) & joins.contains_all(F.col("have"), ["purchase", "error"])).drop("have")
 
 
