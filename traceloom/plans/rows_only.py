@@ -31,9 +31,27 @@ def budget_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dataflow.trim_packs(packs, 500)
 
 
-@query("source_findings")
+_BODIES = ("LIMIT", "if (k.x == true) { LIMIT } else { 2 }", "(k.x / 2) * 3", "loop { k.x = LIMIT; }", "while (true) { break; LIMIT }")
+_TAILS = ("", "fun alone() { 1 }", "struct Lost { x: u64 } // struct Comment")
+
+
+@query(
+    "source_findings",
+    """
+    SELECT 'bool_judgement' AS rule, 'info' AS severity, p_partkey AS module, 'true' AS name FROM part WHERE p_size % 5 = 1
+    UNION ALL SELECT 'precision_loss', 'warning', p_partkey, '(k.x / 2) *' FROM part WHERE p_size % 5 = 2
+    UNION ALL SELECT 'unused_const', 'info', p_partkey, 'LIMIT' FROM part WHERE p_size % 5 = 2
+    UNION ALL SELECT 'infinite_loop', 'warning', p_partkey, 'loop' FROM part WHERE p_size % 5 = 3
+    UNION ALL SELECT 'unused_private_function', 'info', p_partkey, 'alone' FROM part WHERE p_partkey % 3 = 1
+    UNION ALL SELECT 'unused_struct', 'info', p_partkey, 'Lost' FROM part WHERE p_partkey % 3 = 2
+    """,
+)
 def source_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return source_rules.all_findings(table(spark, sf_dir, "pages").select(F.col("page_id").alias("module"), F.col("html").alias("text")))
+    """A module for each part, put together from pieces that hold findings and pieces that hold none."""
+    pick = lambda pieces, at: F.element_at(F.array(*(F.lit(x) for x in pieces)), (at + 1).cast("int"))
+    head = F.lit("module a::m { const LIMIT: u64 = 1; struct Kept { x: u64 } public fun run(k: Kept): u64 { ")
+    text = F.concat(head, pick(_BODIES, F.col("p_size") % 5), F.lit(" }\n"), pick(_TAILS, F.col("p_partkey") % 3), F.lit("\n}"))
+    return source_rules.all_findings(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("module"), text.alias("text")))
 
 
 @query("csv_roundtrip", "SELECT n_nationkey::VARCHAR AS n_nationkey, n_name || ', \"quoted\"' AS n_name, n_regionkey::VARCHAR AS n_regionkey FROM nation")
