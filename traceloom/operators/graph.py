@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from traceloom.scratch import materialize
@@ -121,3 +123,13 @@ def successors(blocks: DataFrame) -> DataFrame:
     falls = blocks.withColumn("to", F.lead("start").over(ordered)).where("to IS NOT NULL").select("fn", F.col("start").alias("src"), F.col("to").alias("dst"), F.lit("fallthrough").alias("kind"))
     jumps = blocks.where("target IS NOT NULL").select("fn", F.col("start").alias("src"), F.col("target").alias("dst"), F.lit("branch").alias("kind"))
     return falls.unionByName(jumps)
+
+
+def keyed_edges(rows: DataFrame, keys: Sequence[str], kept: Sequence[str], order: Sequence[str], span: str) -> DataFrame:
+    """(keys, kept, n_spans, first_span, last_span): one edge for each key, of which null parts are equal.
+
+    What is kept is what the key's first row by ``order`` says. Spans are counted and bounded, not gathered, so the edge of
+    a common key is no larger than others; the spans themselves stay rows of ``rows``."""
+    first = F.min(F.struct(*order, *kept))
+    found = rows.groupBy(*keys).agg(first.alias("_first"), F.count(F.lit(1)).alias("n_spans"), F.min(span).alias("first_span"), F.max(span).alias("last_span"))
+    return found.select(*keys, *(F.col(f"_first.{c}").alias(c) for c in kept), "n_spans", "first_span", "last_span")

@@ -78,3 +78,29 @@ def changed(old: DataFrame, new: DataFrame, keys: Sequence[str], value: str) ->
     a = old.select(*keys, F.col(value).alias("old_value"))
     b = new.select(*keys, F.col(value).alias("new_value"))
     return a.join(b, [*keys], "full_outer").withColumn("refresh", ~F.col("old_value").eqNullSafe(F.col("new_value")))
+
+
+def package_relationships(functions: DataFrame) -> DataFrame:
+    """(source_module, source_function, target_module, target_function): who names which ``public(package)`` function.
+
+    ``functions`` has (module, name, visibility, body). A body names a target where it holds ``module::name``, or, in the
+    target's own module, ``name(``; both also count within longer names. Names are letters, digits and underscores, so
+    a match ends or begins a run of them: the ends of runs before ``::`` and the beginnings after it are joined with the
+    targets, and no caller meets a target that it does not name. Functions without a body call nothing."""
+    targets = functions.where("visibility = 'public(package)' AND module IS NOT NULL AND name IS NOT NULL")
+    targets = targets.select(F.col("module").alias("target_module"), F.col("name").alias("target_function")).distinct()
+    callers = functions.where("body IS NOT NULL").select(F.col("module").alias("source_module"), F.col("name").alias("source_function"), "body")
+    heads = lambda run: F.transform(F.sequence(F.lit(1), F.length(run)), lambda n: F.substr(run, F.lit(1), n))
+    tails = lambda run: F.transform(F.sequence(F.lit(1), F.length(run)), lambda n: F.substr(run, n))
+
+    path = F.lit(r"(?<![A-Za-z0-9_])([A-Za-z0-9_]++)::(?=([A-Za-z0-9_]+))")
+    runs = F.array_distinct(F.arrays_zip(F.regexp_extract_all("body", path, F.lit(1)).alias("left"), F.regexp_extract_all("body", path, F.lit(2)).alias("right")))
+    named = callers.select("source_module", "source_function", F.explode(runs).alias("run")).distinct()
+    named = named.select("source_module", "source_function", F.col("run.left").alias("left"), F.explode(heads(F.col("run.right"))).alias("target_function"))
+    named = named.join(targets.select("target_function").distinct(), "target_function", "left_semi")
+    named = named.select("source_module", "source_function", F.explode(tails(F.col("left"))).alias("target_module"), "target_function")
+
+    called = F.array_distinct(F.regexp_extract_all("body", F.lit(r"(?<![A-Za-z0-9_])([A-Za-z0-9_]++)\("), F.lit(1)))
+    own = callers.select("source_module", "source_function", F.explode(called).alias("run")).distinct()
+    own = own.select("source_module", "source_function", F.col("source_module").alias("target_module"), F.explode(tails(F.col("run"))).alias("target_function"))
+    return named.unionByName(own).join(targets, ["target_module", "target_function"], "left_semi").select("source_module", "source_function", "target_module", "target_function").distinct()

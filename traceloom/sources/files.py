@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from traceloom.functions.ids import stable_id
+from traceloom.sources.tables import MOST_BYTES
 
 #: Folders that hold no packages of their own.
 SKIPPED = ("build", "node_modules", "target", ".git", "dependencies")
@@ -65,3 +69,34 @@ def directory_hash(spark: SparkSession, root: str) -> DataFrame:
     relative = F.substring_index("path", base, -1)
     line = F.concat(relative, F.lit("\x00"), F.sha2("content", 256), F.lit("\n"))
     return files.select(line.alias("line")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), ""), 256).alias("hash"))
+
+
+def bytecode_files(spark: SparkSession, roots: Sequence[str], glob: str = "*.mv") -> DataFrame:
+    """(path, length, content): compiled modules of packages, each once and in order of path.
+
+    A root that is itself named ``bytecode_modules`` counts whole, of others ``bytecode_modules`` and
+    ``build/*/bytecode_modules``; nothing below a folder named ``dependencies``. A file that several roots reach comes with the
+    first of them, which its path alone decides: contents are not compared or shuffled for it."""
+    found, earlier = None, F.lit(False)
+    for root in dict.fromkeys(r.rstrip("/") for r in roots):
+        base = re.sub(r"^\w+:/*(?=/)", "", root) + "/"
+        whole = base.endswith("/bytecode_modules/")
+        own = F.locate(base, F.col("path")) > 0
+        below = F.substr("path", F.locate(base, F.col("path")) + len(base))
+        own = own & (F.lit(whole) | below.rlike("^(build/[^/]+/)?bytecode_modules/"))
+        rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
+        rows = rows.where(own & ~earlier & ~F.array_contains(F.split("path", "/"), "dependencies")).select("path", "length", "content")
+        found, earlier = rows if found is None else found.unionByName(rows), earlier | own
+    return found.orderBy("path")
+
+
+def read_artifact(spark: SparkSession, root: str, reference: str) -> DataFrame:
+    """(path, length, content): one stored document of up to MOST_BYTES; no row where it is missing from its folder or larger.
+
+    The reference is a relative path of plain names. Anything that could lead out of the root is refused before reading."""
+    parts = reference.split("/")
+    if not reference or any(part in ("", ".", "..") or re.search(r"[\\*?\[\]{}:]", part) for part in parts):
+        raise ValueError(f"not a path within the store: {reference!r}")
+    folder = "/".join([root.rstrip("/"), *parts[:-1]])
+    rows = spark.read.format("binaryFile").option("pathGlobFilter", parts[-1]).load(folder)
+    return rows.where(F.col("length") <= MOST_BYTES).select("path", "length", "content")

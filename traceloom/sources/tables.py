@@ -59,6 +59,16 @@ def first_wins(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Da
     return rows.withColumn("_n", place).where("_n = 1").drop("_n")
 
 
+def update_by_key(current: DataFrame, changes: DataFrame, key: str, columns: Sequence[str], order: str) -> DataFrame:
+    """``current`` with ``columns`` set to what the last change of a row's key says, null included.
+
+    Changes of unknown keys add nothing and other columns stay. Among changes of one ``order`` the greatest values count."""
+    last = changes.groupBy(key).agg(F.max(F.struct(order, *columns)).alias("_new"))
+    changed = F.col("_new").isNotNull()
+    joined = current.join(last, key, "left")
+    return joined.select(*(F.when(changed, F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in current.columns))
+
+
 def write_documents(rows: DataFrame, path: str, body: str) -> DataFrame:
     """Store JSON documents of up to MOST_BYTES, never over others; returns the rows that are too large."""
     rows.where(F.octet_length(body) <= MOST_BYTES).write.mode("errorifexists").json(path)

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 # When a stream begins to catch up and when it has; milliseconds and lines.
@@ -91,6 +92,19 @@ def idle(events: DataFrame, key: str, time: str, timeout_ms: int, done: str, del
     )
 
 
+def forward(events: DataFrame, folder: str, every: str | None = "250 milliseconds") -> StreamingQuery:
+    """Hand each batch of new events on as files below ``folder``/sent; runs until stopped, or ends with what there is (None).
+
+    A batch is written under its own number over what an earlier try left, so none is sent twice after a failure; a
+    receiver takes the folders in order of number. Progress is kept in ``folder``/state, which a restart goes on from."""
+
+    def send(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/sent/batch={number:012}")
+
+    pace = {"processingTime": every} if every else {"availableNow": True}
+    return events.writeStream.foreachBatch(send).option("checkpointLocation", f"{folder}/state").trigger(**pace).start()
+
+
 def high_water_mark(batch: DataFrame, column: str, before: int) -> int:
     """The largest value seen so far; never less than before. For ``foreachBatch``."""
     row = batch.agg(F.max(column).alias("m")).first()
