@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from traceloom.operators import graph, joins, summary_types
+from traceloom.operators import graph, history, joins, ledger, summary_types
 from traceloom.sources import files, tables
 from traceloom.streaming import stateful
 
@@ -137,3 +137,39 @@ def test_forward_goes_on_where_it_stopped(spark, tmp_path):
     assert running.isActive
     running.stop()
     assert not running.isActive and spark.read.parquet(f"{folder}/sent").count() == 3
+
+
+def test_token_totals(spark):
+    rows = [
+        ("a", 1, "r", 5, 50, None), ("a", 2, "u", 1, 10, None), ("a", 3, "m", 2, 20, 40), ("a", 4, "r", 7, 70, None), ("a", 5, "u", 3, 30, None), ("a", 6, "t", None, 1, None),
+        ("never", 1, "u", 9, 90, None), ("huge", 1, "m", 1, 1, history.MOST), ("huge", 2, "u", 4, 4, None),
+    ]
+    df = spark.createDataFrame(rows, "k string, at int, role string, tokens bigint, size bigint, usage bigint")
+    role = F.col("role")
+    got = {r[0]: tuple(r)[1:] for r in history.token_totals(df, "k", "at", role.isin("m", "r"), role == "u", role == "r", "tokens", "size", "usage").collect()}
+    assert got["a"] == (40, 181, 3, 31, 12, 55, 43)
+    assert got["never"] == (0, 90, 0, 0, 0, 0, 0) and got["huge"][5:] == (history.MOST, history.MOST)
+    assert {r["k"]: r["after_model"] for r in history.usage_after(df.where("k <> 'huge'"), "k", "at", role.isin("m", "r"), "tokens").collect()} == {"a": 3, "never": 0}
+
+
+def test_merged_gaps(spark):
+    rows = spark.createDataFrame([(1, 1, "net", "a", None), (1, 2, "disk", "b", "p"), (1, 3, "net", "c", "q"), (2, 1, "x", None, None)], "k int, at int, capability string, reason string, provider string")
+    got = {r["k"]: json.loads(r["gaps"]) for r in ledger.merged_gaps(rows, "k", "at", ["reason", "provider"]).collect()}
+    assert got == {1: [{"capability": "net", "reason": "c", "provider": "q"}, {"capability": "disk", "reason": "b", "provider": "p"}], 2: [{"capability": "x"}]}
+
+
+def test_finish_outcomes(spark):
+    items = [("r", "free", None, None, None, None), ("r", "plain", "w", None, None, None), ("r", "gap", "w", ["shell"], None, None), ("r", "proof", "w", [], ["replay"], ["held"]), ("r", "own", "w", [], ["replay"], ["mine"])]
+    evidence = [("r", "held", "proof", "replay", False), ("r", "mine", "own", "replay", True), ("r", "else", "proof", "replay", False), ("q", "far", "own", "replay", False)]
+    requests = [
+        (1, "plain", "pending", []), (2, "plain", "completed", ["far"]), (3, "none", "failed", []), (4, "free", "failed", []), (5, "gap", "completed", []), (6, "gap", "blocked", None),
+        (7, "proof", "completed", ["mine"]), (8, "own", "completed", ["else"]), (9, "plain", "completed", None), (10, "plain", None, None), (11, "own", "failed", ["mine"]),
+    ]
+    df = spark.createDataFrame([(n, "r", item, "w", status, cited) for n, item, status, cited in requests], "request int, run string, item string, worker string, status string, cited array<string>")
+    items = spark.createDataFrame(items, "run string, item string, claimed_by string, unavailable array<string>, methods array<string>, evidence array<string>")
+    evidence = spark.createDataFrame(evidence, "run string, evidence string, item string, method string, submitted_by_model boolean")
+    got = {r["request"]: r["outcome"] for r in ledger.finish_outcomes(df, items, evidence).collect()}
+    assert got == {
+        1: "invalid_status", 2: "evidence_not_found", 3: "item_not_found", 4: "claimed_by_other", 5: "unavailable_capabilities", 6: "blocked",
+        7: "completed", 8: "missing_evidence", 9: "completed", 10: "invalid_status", 11: "failed",
+    }

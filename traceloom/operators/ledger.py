@@ -34,3 +34,39 @@ def confirmed(findings: DataFrame, evidence: DataFrame, verdicts: DataFrame) ->
     positive = verdicts.where("positive").select("candidate", F.col("evidence").alias("judged"))
     covered = findings.join(positive, (F.col("finding") == F.col("candidate")) | (F.size(F.array_except("evidence", "judged")) == 0), "left_semi")
     return covered.join(supported, "finding", "left_semi")
+
+
+def merged_gaps(gaps: DataFrame, key: str, order: str, values: Sequence[str]) -> DataFrame:
+    """(key, gaps): a JSON array with one object for each capability, in the order of their first reports.
+
+    ``gaps`` has (key, order, capability, values...); an object says what its capability's last report says, nulls left out."""
+    last = gaps.groupBy(key, "capability").agg(F.min(F.struct(order, "capability")).alias("_first"), F.max(F.struct(order, *values)).alias("_last"))
+    one = F.struct(F.col("_first").alias("first"), F.to_json(F.struct("capability", *(F.col(f"_last.{c}").alias(c) for c in values))).alias("text"))
+    texts = F.transform(F.array_sort(F.collect_list(one)), lambda x: x["text"])
+    return last.groupBy(key).agg(F.concat(F.lit("["), F.array_join(texts, ","), F.lit("]")).alias("gaps"))
+
+
+def finish_outcomes(requests: DataFrame, items: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(request, outcome): what each request to finish an item leads to, against the state ahead of all of them.
+
+    requests: request, run, item, worker, status, cited (array); items: run, item, claimed_by, unavailable, methods, evidence
+    (arrays); evidence: run, evidence, item, method, submitted_by_model. The first of these applies: invalid_status,
+    evidence_not_found (in the run), item_not_found, claimed_by_other, and for a completion unavailable_capabilities and
+    missing_evidence (methods are asked for, and no evidence of the item that the model did not submit itself uses one
+    of them); else the new status. A null array is empty."""
+    listed = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
+    states = items.select("run", "item", "claimed_by", listed("unavailable").alias("unavailable"), listed("methods").alias("methods"), listed("evidence").alias("_held"), F.lit(True).alias("_known"))
+    wanted = requests.join(states, ["run", "item"], "left").withColumn("_held", listed("_held")).withColumn("cited", listed("cited"))
+    refs = wanted.select("request", "run", "item", "methods", F.explode(F.array_union("cited", "_held")).alias("evidence"), F.col("cited").alias("_cited"))
+    stored = evidence.select("run", "evidence", F.col("item").alias("_of"), "method", "submitted_by_model").withColumn("_found", F.lit(True))
+    proves = (F.col("_of") == F.col("item")) & ~F.col("submitted_by_model") & F.array_contains("methods", F.col("method"))
+    checked = refs.join(stored, ["run", "evidence"], "left").groupBy("request").agg(
+        F.bool_or(F.col("_found").isNull() & F.array_contains("_cited", F.col("evidence"))).alias("_missing"), F.bool_or(F.coalesce(proves, F.lit(False))).alias("_proven")
+    )
+    rows, completes = wanted.join(checked, "request", "left"), F.col("status") == "completed"
+    outcome = (
+        F.when(~F.coalesce(F.col("status").isin("completed", "failed", "blocked"), F.lit(False)), "invalid_status").when(F.col("_missing"), "evidence_not_found").when(F.col("_known").isNull(), "item_not_found")
+        .when(~F.col("claimed_by").eqNullSafe(F.col("worker")) | F.col("claimed_by").isNull(), "claimed_by_other").when(completes & (F.size("unavailable") > 0), "unavailable_capabilities")
+        .when(completes & (F.size("methods") > 0) & ~F.coalesce(F.col("_proven"), F.lit(False)), "missing_evidence").otherwise(F.col("status"))
+    )
+    return rows.select("request", outcome.alias("outcome"))

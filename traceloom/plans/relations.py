@@ -8,7 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from traceloom.operators import graph, joins, summary_types
+from traceloom.functions import ids
+from traceloom.operators import graph, history, joins, ledger, summary_types
 from traceloom.plans.registry import query, table
 from traceloom.scratch import scratch_dir
 from traceloom.sources import files, tables
@@ -160,3 +161,63 @@ def bytecode_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = files.bytecode_files(spark, [root, f"{root}/build/p/bytecode_modules"], glob="*.txt")
     lines = found.select(F.explode(F.split(F.trim(F.decode("content", "UTF-8")), "\n")).alias("line")).where("line <> ''")
     return lines.select(F.from_json("line", "p_size int, key bigint").alias("line")).select(F.concat(F.lit("m"), "line.p_size").alias("module"), "line.key")
+
+
+@query(
+    "token_totals",
+    """
+    WITH t AS (SELECT conv_id, turn, role, strlen(coalesce(text, '')) AS size, ceil(strlen(coalesce(text, '')) / 4)::BIGINT AS tokens, CASE WHEN role = 'assistant' AND turn % 4 <> 3 THEN 100 + turn END AS usage FROM conversations),
+    m AS (SELECT *, max(turn) FILTER (role = 'assistant') OVER w AS model, max(turn) FILTER (role = 'user') OVER w AS boundary FROM t WINDOW w AS (PARTITION BY conv_id)),
+    g AS (SELECT conv_id, coalesce(arg_max(usage, turn) FILTER (usage IS NOT NULL), 0)::BIGINT AS last_usage, sum(size)::BIGINT AS all_bytes, coalesce(sum(tokens) FILTER (turn > model), 0)::BIGINT AS tokens_since,
+        coalesce(sum(size) FILTER (turn > model), 0)::BIGINT AS bytes_since, coalesce(sum(tokens) FILTER (role = 'assistant' AND size % 2 = 0 AND turn < boundary), 0)::BIGINT AS reasoning FROM m GROUP BY conv_id)
+    SELECT *, last_usage + tokens_since + reasoning AS total, last_usage + tokens_since AS total_if_counted FROM g
+    """,
+)
+def token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Histories' totals; assistants' turns report usage, those of even size stand for encrypted reasoning."""
+    text = F.coalesce("text", F.lit(""))
+    rows = table(spark, sf_dir, "conversations").withColumn("size", F.octet_length(text)).withColumn("tokens", ids.estimate_tokens(text))
+    model = F.col("role") == "assistant"
+    rows = rows.withColumn("usage", F.when(model & (F.col("turn") % 4 != 3), F.col("turn") + 100))
+    return history.token_totals(rows, "conv_id", "turn", model, F.col("role") == "user", model & (F.col("size") % 2 == 0), "tokens", "size", "usage")
+
+
+@query(
+    "capability_gaps",
+    """
+    SELECT user_id, '[' || string_agg(text, ',' ORDER BY first) || ']' AS gaps FROM (
+        SELECT user_id, min(event_id) AS first, to_json({'capability': event_type, 'reason': arg_max(props, event_id), 'updatedAt': max(event_id)})::VARCHAR AS text FROM events GROUP BY user_id, event_type)
+    GROUP BY user_id
+    """,
+)
+def capability_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports of missing capabilities merged into one JSON array a user, the last report of each counting."""
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", F.col("event_type").alias("capability"), F.col("props").alias("reason"), F.col("event_id").alias("updatedAt"))
+    return ledger.merged_gaps(rows, "user_id", "event_id", ["reason", "updatedAt"])
+
+
+@query(
+    "finish_outcomes",
+    """
+    WITH l AS (SELECT l_orderkey, bool_or(l_linenumber = 2 AND l_returnflag <> 'A' AND l_linestatus = 'F') AS proven, bool_or(l_linenumber = 1) AS stored FROM lineitem GROUP BY l_orderkey)
+    SELECT o_orderkey AS request, CASE WHEN o_orderkey % 11 = 0 THEN 'invalid_status' WHEN NOT coalesce(stored, false) THEN 'evidence_not_found' WHEN o_orderkey % 7 = 0 THEN 'item_not_found'
+        WHEN o_custkey % 3 = 0 THEN 'claimed_by_other' WHEN o_orderstatus <> 'F' THEN CASE o_orderstatus WHEN 'O' THEN 'failed' ELSE 'blocked' END WHEN o_custkey % 5 = 0 THEN 'unavailable_capabilities'
+        WHEN NOT coalesce(proven, false) THEN 'missing_evidence' ELSE 'completed' END AS outcome
+    FROM orders LEFT JOIN l ON l_orderkey = o_orderkey
+    """,
+)
+def finish_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as work items that a worker wants to finish, their lines as evidence; line 1 is cited, line 2 held."""
+    orders, key = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    status = F.when(key % 11 == 0, "pending").when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "O", "failed").otherwise("blocked")
+    place = lambda n: F.array(F.concat(key.cast("string"), F.lit(f":{n}")))
+    requests = orders.select(key.alias("request"), F.lit("r").alias("run"), key.alias("item"), F.lit("w").alias("worker"), status.alias("status"), place(1).alias("cited"))
+    items = orders.where(key % 7 != 0).select(
+        F.lit("r").alias("run"), key.alias("item"), F.when(F.col("o_custkey") % 3 != 0, "w").alias("claimed_by"),
+        F.when(F.col("o_custkey") % 5 == 0, F.array(F.lit("shell"))).alias("unavailable"), F.array(F.lit("F")).alias("methods"), place(2).alias("evidence"),
+    )
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.lit("r").alias("run"), F.concat_ws(":", "l_orderkey", "l_linenumber").alias("evidence"), F.col("l_orderkey").alias("item"),
+        F.when(F.col("l_linenumber") == 2, F.col("l_linestatus")).otherwise("none").alias("method"), (F.col("l_returnflag") == "A").alias("submitted_by_model"),
+    )
+    return ledger.finish_outcomes(requests, items, lines)

@@ -212,7 +212,7 @@ def latest_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     "usage_after_last_model",
     f"""
     WITH {_TURNS}, m AS (SELECT conv_id, max(turn) FILTER (role = 'assistant') AS last FROM t GROUP BY conv_id)
-    SELECT conv_id, coalesce(sum(tokens) FILTER (last IS NULL OR turn > last), 0)::BIGINT AS after_model, sum(tokens)::BIGINT AS total FROM t JOIN m USING (conv_id) GROUP BY conv_id
+    SELECT conv_id, coalesce(sum(tokens) FILTER (turn > last), 0)::BIGINT AS after_model, sum(tokens)::BIGINT AS total FROM t JOIN m USING (conv_id) GROUP BY conv_id
     """,
 )
 def usage_after_last_model(spark: SparkSession, sf_dir: str) -> DataFrame:
