@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from traceloom.llm import ann, bpe, chat, exact_dedup, langid, mixing, ngram_join, repeats, secrets, toxicity
+from traceloom.llm import ann, bpe, chat, exact_dedup, langid, mixing, ngram_join, prefix_trie, repeats, secrets, toxicity
 from traceloom.llm.common import held_out, read
 
 
@@ -73,6 +73,11 @@ def op10_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(read(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.placed_turns(read(spark, sf_dir, "conversations"))
+    return prefix_trie.prefix_trie(*prefix_trie.with_family_heads(turns)).drop("a", "b")
+
+
 QUERIES = {
     "op1_nearest_neighbours": op1_nearest_neighbours,
     "op2_chat_formatting": op2_chat_formatting,
@@ -84,6 +89,7 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_repeated_substrings": op10_repeated_substrings,
+    "op11_prefix_trie": op11_prefix_trie,
 }
 
 ORACLES = {
@@ -109,4 +115,38 @@ ORACLES = {
             doc_id = min(doc_id) OVER same AS kept, sha256(norm) AS text_sha256
         FROM given WINDOW same AS (PARTITION BY norm)
     """,
+    "op11_prefix_trie": r"""
+        WITH given AS (
+            SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))) AS p
+            FROM conversations WHERE conv_id IS NOT NULL
+        ), convs AS (
+            SELECT DISTINCT c, c - c % 5 AS f,
+                xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+                    lambda s, x: list_reduce(list_prepend(xor(s, x), range(8)), lambda t, i: xor(t >> 1, 3988292384 * (t & 1)))), 4294967295) % 9 AS h
+            FROM given
+        ), turns AS (
+            SELECT convs.c, row_number() OVER (PARTITION BY convs.c ORDER BY given.c <> f, p) AS d, role, text
+            FROM convs JOIN given ON (given.c = f AND p <= h) OR (given.c = convs.c AND p > h)
+        ), chained AS (
+            SELECT c, d, strlen(text) AS bytes,
+                sha256(string_agg(sha256(strlen(role)::VARCHAR || ':' || role || text), '' ORDER BY d) OVER (PARTITION BY c ORDER BY d ROWS UNBOUNDED PRECEDING)) AS k
+            FROM turns
+        ), path AS (
+            SELECT c, d, bytes, k, lag(k, 1, '') OVER (PARTITION BY c ORDER BY d) AS up, lead(k) OVER (PARTITION BY c ORDER BY d) IS NULL AS ends FROM chained
+            UNION ALL SELECT c, 0, 0, '', NULL, NOT EXISTS (SELECT 1 FROM turns WHERE turns.c = convs.c) FROM convs
+        ), nodes AS (
+            SELECT k, d, min(c) AS c, count(*) AS n, min(bytes) AS bytes, min(up) AS up,
+                sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256
+            FROM path GROUP BY k, d
+        ), sized AS (
+            SELECT nodes.*, (SELECT count(*) FROM nodes v WHERE v.up = nodes.k) AS children FROM nodes
+        ), below AS (
+            SELECT above.k, sum((v.n - 1) * v.bytes) AS saved, count(*) FILTER (v.children = 0) AS leaves
+            FROM sized v JOIN path above ON above.c = v.c AND above.d <= v.d GROUP BY above.k
+        )
+        SELECT u.c AS conv_id, u.d AS depth, parent.c AS parent_conv_id, u.n AS n_convs, u.children AS n_children,
+            leaves AS n_leaves, saved::BIGINT AS saved_tokens, u.ends_sha256
+        FROM sized u JOIN below ON below.k = u.k LEFT JOIN nodes parent ON parent.k = u.up
+    """,
 }
