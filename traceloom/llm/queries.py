@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from traceloom.llm import ann, bpe, chat, exact_dedup, langid, mixing, ngram_join, prefix_trie, repeats, secrets, toxicity
+from traceloom.llm import ann, bpe, chat, exact_dedup, fingerprints, langid, mixing, ngram_join, prefix_trie, repeats, secrets, toxicity, whitening
 from traceloom.llm.common import held_out, read
 
 
@@ -78,6 +78,14 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(*prefix_trie.with_family_heads(turns)).drop("a", "b")
 
 
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_next(read(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_nearest_neighbours": op1_nearest_neighbours,
     "op2_chat_formatting": op2_chat_formatting,
@@ -90,6 +98,8 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_repeated_substrings": op10_repeated_substrings,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_fingerprints": op12_fingerprints,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLES = {
