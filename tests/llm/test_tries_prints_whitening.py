@@ -141,9 +141,10 @@ def test_fingerprints_of_few_documents(spark):
 
 
 def test_edits_leave_chunks_alone(spark, sf):
-    """Half of a long text is kept by the edit, and unrelated texts share nothing."""
+    """Half of a long text is kept by the edit, but for texts that repeat themselves; unrelated texts share nothing."""
     rows = queries.op12_fingerprints(spark, sf).where("n_chars > 2000").select("near_edited", "near_next").collect()
-    assert len(rows) > 20 and all(0.35 < r["near_edited"] < 0.65 or r["near_next"] > 0.3 for r in rows)
+    kept = sorted(r["near_edited"] for r in rows)
+    assert len(rows) > 20 and kept[0] > 0.4 and 0.45 < kept[len(rows) // 2] < 0.55
     assert sorted(r["near_next"] for r in rows)[len(rows) // 2] < 0.05
 
 
