@@ -1,5 +1,6 @@
 """Prefix trie, document fingerprints and whitening, held to plain versions."""
 
+import collections
 import hashlib
 import random
 import zlib
@@ -86,8 +87,8 @@ def test_trie_without_turns(spark):
 
 
 def chunks_by_hand(text):
-    """The chunks of a text as a dict of bytes, one byte at a time."""
-    found, start = set(), 0
+    """How many bytes each chunk of a text covers, one byte at a time."""
+    found, start = collections.Counter(), 0
     while start < len(text):
         end = len(text)
         for stop in range(start + fingerprints.LEAST, min(len(text), start + fingerprints.MOST) + 1):
@@ -98,13 +99,13 @@ def chunks_by_hand(text):
             if gear >> (64 - bits) == 0 or stop - start == fingerprints.MOST:
                 end = stop
                 break
-        found.add(text[start:end])
+        found[text[start:end]] += end - start
         start = end
     return found
 
 
 def likeness_by_hand(a, b):
-    return sum(len(c) for c in a & b) / sum(len(c) for c in a) if a else float(not b)
+    return sum((a & b).values()) / sum(a.values()) if a else float(not b)
 
 
 def test_fingerprints_by_hand(spark, monkeypatch):
@@ -124,7 +125,7 @@ def test_fingerprints_by_hand(spark, monkeypatch):
         a, b, c = (chunks_by_hand(t.encode()) for t in (own, edited, after))
         want.append((rows[k][0], len(own), hashlib.sha256(edited.encode()).hexdigest(), likeness_by_hand(a, b), likeness_by_hand(a, c), len(a), len(b)))
     found = fingerprints.compare_with_next(frame).collect()
-    size = lambda text: len(text) * 3 // 4 // 9
+    size = lambda text: len(text) * 3 // 4 // 12
     got = [(r["doc_id"], r["n_chars"], r["edited_sha256"], r["near_edited"], r["near_next"], size(r["fingerprint"]), size(r["edited_fingerprint"])) for r in found]
     assert sorted(got, key=repr) == sorted(want, key=repr)
     by_text = {}
@@ -141,7 +142,7 @@ def test_fingerprints_of_few_documents(spark):
 
 
 def test_edits_leave_chunks_alone(spark, sf):
-    """Half of a long text is kept by the edit, but for texts that repeat themselves; unrelated texts share nothing."""
+    """Half of a long text is kept by the edit, and unrelated texts share nothing."""
     rows = queries.op12_fingerprints(spark, sf).where("n_chars > 2000").select("near_edited", "near_next").collect()
     kept = sorted(r["near_edited"] for r in rows)
     assert len(rows) > 20 and kept[0] > 0.4 and 0.45 < kept[len(rows) // 2] < 0.55

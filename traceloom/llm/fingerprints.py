@@ -3,8 +3,8 @@
 A gear hash of the last WINDOW bytes decides where a text may be cut: after the smallest size of a chunk at places whose
 hash has STRICT zero bits, after the normal size at places with LOOSE ones, and at the largest size in any case, so that
 sizes gather about the normal one. Cuts depend on nearby bytes only, so an edit changes the chunks around it and no others.
-A text's fingerprint is the set of its chunks' 64-bit digests with their sizes; its likeness to another fingerprint is its
-containment there, the share of its chunks' bytes that the other has too.
+A text's fingerprint is the set of its chunks' 64-bit digests, each weighted by the bytes that it covers, repeats added; its
+likeness to another fingerprint is its containment there, the share of its bytes that the other covers by the same chunks.
 
 Each document is also held against an edited text, which ends in the beginning of the next document by descending doc_id,
 and against that document. Documents are dealt to ranges of this order by a light pass over ids and texts' hashes; texts are
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 from traceloom.llm.common import materialize, tidy
 from traceloom.llm.hashing import Hashes
 
-#: Bytes that a cut depends on, and of a chunk: at least, normally, at most (one byte holds a size, less one).
+#: Bytes that a cut depends on, and of a chunk: at least, normally, at most.
 WINDOW, LEAST, NORMAL, MOST = 16, 16, 48, 192
 #: Zero bits that a cut's hash has before the normal size, and after it.
 STRICT, LOOSE = 7, 4
@@ -39,7 +39,7 @@ STRICT, LOOSE = 7, 4
 SLICE = 4 << 20
 #: One random number for each byte.
 GEAR = np.random.default_rng(12).integers(0, 2**64, 256, np.uint64)
-_ENTRY = np.dtype([("digest", "<u8"), ("less", "u1")])
+_ENTRY = np.dtype([("digest", "<u8"), ("bytes", "<u4")])
 _SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
@@ -81,34 +81,33 @@ def cut_places(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[
 
 
 def fingerprints(texts: list[bytes]) -> list[np.ndarray]:
-    """The chunks of each text as (digest, size less one), each once, ascending."""
+    """The chunks of each text as (digest, bytes covered), ascending."""
     sizes = np.array([len(t) for t in texts], np.int64)
     ends = np.cumsum(sizes)
-    data = np.frombuffer(b"".join(texts) + bytes(LEAST), np.uint8)[: int(ends[-1]) if len(ends) else 0]
+    data = np.frombuffer(b"".join(texts), np.uint8)
     text, start, end = cut_places(data, ends - sizes, ends)
-    entries = np.empty(len(text), _ENTRY)
-    entries["digest"], entries["less"] = Hashes(data).of(start, end), end - start - 1
-    order = np.lexsort((entries["less"], entries["digest"], text))
-    text, entries = text[order], entries[order]
-    kept = np.r_[True, (text[1:] != text[:-1]) | (entries[1:] != entries[:-1])][: len(text)]
-    text, entries = text[kept], entries[kept]
-    at = np.searchsorted(text, np.arange(len(texts) + 1))
+    digests, lengths = Hashes(data).of(start, end), end - start
+    order = np.lexsort((digests, text))
+    text, digests, lengths = text[order], digests[order], lengths[order]
+    first = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (digests[1:] != digests[:-1])][: len(text)])
+    entries = np.empty(len(first), _ENTRY)
+    entries["digest"], entries["bytes"] = digests[first], np.add.reduceat(lengths, first) if len(first) else 0
+    at = np.searchsorted(text[first], np.arange(len(texts) + 1))
     return [entries[a:b] for a, b in zip(at[:-1], at[1:])]
 
 
 def written(entries: np.ndarray) -> str:
-    """A fingerprint as a string: nine bytes a chunk, in base64."""
+    """A fingerprint as a string: twelve bytes a chunk, in base64."""
     return base64.b64encode(entries.tobytes()).decode()
 
 
 def containment(own: np.ndarray, other: np.ndarray) -> float:
-    """The share of a fingerprint's bytes whose chunks another fingerprint has too."""
-    if not len(own):
-        return float(not len(other))
-    at = np.minimum(np.searchsorted(other["digest"], own["digest"]), max(0, len(other) - 1))
-    met = (other[at] == own) if len(other) else np.zeros(len(own), bool)
-    sizes = own["less"].astype(np.int64) + 1
-    return float(sizes[met].sum() / sizes.sum())
+    """The share of a fingerprint's bytes that another one covers by the same chunks."""
+    if not len(own) or not len(other):
+        return float(len(own) == len(other))
+    at = np.minimum(np.searchsorted(other["digest"], own["digest"]), len(other) - 1)
+    both = np.where(other["digest"][at] == own["digest"], np.minimum(other["bytes"][at], own["bytes"]), 0)
+    return float(both.sum(dtype=np.int64) / own["bytes"].sum(dtype=np.int64))
 
 
 def in_order(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
