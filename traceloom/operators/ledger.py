@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from traceloom.operators.containment import item_set, superset_counts
+
 
 def queue_head(items: DataFrame, key: str, order: Sequence[str], item: str, done: Column) -> DataFrame:
     """(key, claimed): the first item of each queue that isn't done."""
@@ -31,9 +33,44 @@ def confirmed(findings: DataFrame, evidence: DataFrame, verdicts: DataFrame) ->
     cited = findings.select("finding", F.explode("evidence").alias("item")).join(evidence, F.col("item") == F.col("evidence"))
     supported = cited.groupBy("finding").agg(F.countDistinct("method").alias("methods"), F.bool_or((F.col("method") == "replay") & F.col("has_trace")).alias("replayed"))
     supported = supported.where("methods >= 2 AND replayed").select("finding")
-    positive = verdicts.where("positive").select("candidate", F.col("evidence").alias("judged"))
-    covered = findings.join(positive, (F.col("finding") == F.col("candidate")) | (F.size(F.array_except("evidence", "judged")) == 0), "left_semi")
-    return covered.join(supported, "finding", "left_semi")
+    positive = verdicts.where("positive")
+    named = findings.join(positive.select(F.col("candidate").alias("finding")), "finding", "left_semi").select("finding")
+    held = superset_counts(findings, positive.select("evidence"), "finding", "evidence").where("n_supersets > 0").select("finding")
+    return findings.join(named.unionByName(held), "finding", "left_semi").join(supported, "finding", "left_semi")
+
+
+# What does not count as an independent method, and how a replay is marked.
+NOT_INDEPENDENT = ("HumanReview", "GeneratedTest")
+MODEL, REPLAY, REPLAYED = "ModelSubmitted", "ExploitReplay", "AdapterReplay"
+POSITIVE = ("Accepted", "Supported")
+
+
+def finding_gate(findings: DataFrame, evidence: DataFrame, conclusions: DataFrame) -> DataFrame:
+    """(finding, n_methods, replayed, n_named, n_supersets, problem): what keeps each finding from being confirmed, the first of
+    evidence_not_found, one_method, no_replay and no_conclusion; null if nothing does.
+
+    findings: finding, evidence (array); evidence: evidence, method, attestation, trace; conclusions: status, candidates and
+    evidence (arrays). A positive conclusion counts if it names the finding, or holds all that the finding cites."""
+    cited = findings.select("finding", F.explode(item_set(F.col("evidence"))).alias("evidence"))
+    known = evidence.select(F.col("evidence").cast("string"), "method", "attestation", "trace").withColumn("_known", F.lit(True))
+    counts = (F.col("attestation") != MODEL) & ~F.col("method").isin(*NOT_INDEPENDENT)
+    replay = (F.col("method") == REPLAY) & (F.col("attestation") == REPLAYED) & F.col("trace").isNotNull()
+    found = cited.join(known, "evidence", "left").groupBy("finding").agg(
+        F.countDistinct(F.when(counts, F.col("method"))).alias("n_methods"), F.bool_or(F.coalesce(replay, F.lit(False))).alias("replayed"), F.bool_or(F.col("_known").isNull()).alias("_missing")
+    )
+    positive = conclusions.where(F.col("status").isin(*POSITIVE))
+    named = positive.select(F.explode(item_set(F.col("candidates"))).alias("_named")).groupBy("_named").agg(F.count(F.lit(1)).alias("n_named"))
+    held = superset_counts(findings, positive, "finding", "evidence")
+    none, no = F.lit(0).cast("long"), F.lit(False)
+    rows = findings.select("finding").withColumn("_name", F.col("finding").cast("string")).join(found, "finding", "left")
+    rows = rows.join(named, rows["_name"] == named["_named"], "left").join(held, "finding").select(
+        "finding", F.coalesce("n_methods", none).alias("n_methods"), F.coalesce("replayed", no).alias("replayed"), F.coalesce("n_named", none).alias("n_named"), "n_supersets", F.coalesce("_missing", no).alias("_missing")
+    )
+    problem = (
+        F.when(F.col("_missing"), "evidence_not_found").when(F.col("n_methods") < 2, "one_method")
+        .when(~F.col("replayed"), "no_replay").when(F.col("n_named") + F.col("n_supersets") == 0, "no_conclusion")
+    )
+    return rows.withColumn("problem", problem).drop("_missing")
 
 
 def merged_gaps(gaps: DataFrame, key: str, order: str, values: Sequence[str]) -> DataFrame:

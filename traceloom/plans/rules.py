@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from traceloom.functions.scoring import all_matches, first_match
+from traceloom.operators import ledger
+from traceloom.operators.containment import superset_counts
 from traceloom.plans.registry import query, table
 
 # Modules of call targets and their tags, in order; lifecycle stages in order; layers in order.
@@ -275,23 +277,65 @@ def missing_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return refs.join(gathered, "evidence", "left").where(~F.coalesce(other, F.lit(False))).select("l_orderkey", "evidence")
 
 
+_FINDINGS = "SELECT l_orderkey AS finding, l_suppkey AS evidence FROM lineitem WHERE l_quantity >= 40 GROUP BY 1, 2"
+_CONCLUSIONS = "SELECT l_orderkey AS conclusion, l_suppkey AS evidence FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1, 2"
+_COVERED = """
+    n AS (SELECT finding, count(*) AS n FROM f GROUP BY 1),
+    held AS (SELECT finding, count(*) AS n_supersets FROM (SELECT finding, conclusion FROM f JOIN c USING (evidence) JOIN n USING (finding) GROUP BY finding, conclusion, n HAVING count(*) = n) GROUP BY 1)
+"""
+
+
+def _cited(lines: DataFrame, name: str) -> DataFrame:
+    """Each order's suppliers as a set of evidence; an order has few lines."""
+    return lines.groupBy(F.col("l_orderkey").alias(name)).agg(F.collect_set("l_suppkey").alias("evidence"))
+
+
 @query(
     "confirmed_findings",
-    """
-    WITH f AS (SELECT l_orderkey AS finding, l_suppkey AS evidence FROM lineitem WHERE l_quantity >= 40 GROUP BY 1, 2),
-    c AS (SELECT l_orderkey AS candidate, l_suppkey AS evidence FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1, 2)
-    SELECT finding, count(*) AS n_evidence, count(c.evidence) = count(*) AS covered, finding % 7 = 0 AS named, (count(c.evidence) = count(*)) OR finding % 7 = 0 AS confirmed
-    FROM f LEFT JOIN c ON candidate = finding AND c.evidence = f.evidence GROUP BY finding
+    f"""
+    WITH f AS ({_FINDINGS}), c AS ({_CONCLUSIONS}), {_COVERED}
+    SELECT finding, n AS n_evidence, coalesce(n_supersets, 0) AS n_supersets, finding % 7 = 0 AS named, n_supersets IS NOT NULL OR finding % 7 = 0 AS confirmed
+    FROM n LEFT JOIN held USING (finding)
     """,
 )
 def confirmed_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings that a conclusion names, or whose evidence a conclusion on the same function covers: counts of matches
-    replace the comparison of sets."""
+    """Findings that a conclusion names, or whose evidence the conclusion on any order covers."""
     lines = table(spark, sf_dir, "lineitem")
-    findings = lines.where("l_quantity >= 40").select(F.col("l_orderkey").alias("finding"), "l_suppkey").distinct()
-    conclusions = lines.where("l_returnflag <> 'N'").select(F.col("l_orderkey").alias("finding"), "l_suppkey").distinct().withColumn("_in", F.lit(1))
-    found = findings.join(conclusions, ["finding", "l_suppkey"], "left").groupBy("finding").agg(F.count(F.lit(1)).alias("n_evidence"), (F.count("_in") == F.count(F.lit(1))).alias("covered"))
-    return found.withColumn("named", F.col("finding") % 7 == 0).withColumn("confirmed", F.col("covered") | F.col("named"))
+    findings, conclusions = _cited(lines.where("l_quantity >= 40"), "finding"), _cited(lines.where("l_returnflag <> 'N'"), "conclusion")
+    found = superset_counts(findings, conclusions, "finding", "evidence")
+    sized = findings.select("finding", F.size("evidence").cast("long").alias("n_evidence")).join(found, "finding").withColumn("named", F.col("finding") % 7 == 0)
+    return sized.withColumn("confirmed", (F.col("n_supersets") > 0) | F.col("named"))
+
+
+_METHODS = ("ExploitReplay", "FormalProof", "HumanReview", "GeneratedTest", "StaticAnalysis")
+_ATTESTATIONS = ("AdapterReplay", "ModelSubmitted", "ToolOutput")
+
+
+@query(
+    "finding_gate",
+    f"""
+    WITH f AS ({_FINDINGS}), c AS (SELECT * FROM ({_CONCLUSIONS}) WHERE conclusion % 4 < 2), {_COVERED},
+    e AS (SELECT s_suppkey AS evidence, {list(_METHODS)}[s_suppkey % 5 + 1] AS method, {list(_ATTESTATIONS)}[s_suppkey // 5 % 3 + 1] AS attestation, s_acctbal > 0 AS traced FROM supplier WHERE s_suppkey % 50 <> 49),
+    g AS (SELECT finding, count(DISTINCT method) FILTER (attestation <> 'ModelSubmitted' AND method NOT IN ('HumanReview', 'GeneratedTest')) AS n_methods,
+        coalesce(bool_or(method = 'ExploitReplay' AND attestation = 'AdapterReplay' AND traced), false) AS replayed, bool_or(method IS NULL) AS missing
+        FROM f LEFT JOIN e USING (evidence) GROUP BY finding),
+    named AS (SELECT conclusion // 3 AS finding, count(*) AS n_named FROM (SELECT DISTINCT conclusion FROM c) GROUP BY 1),
+    r AS (SELECT finding, n_methods, replayed, missing, coalesce(n_named, 0) AS n_named, coalesce(n_supersets, 0) AS n_supersets FROM g LEFT JOIN named USING (finding) LEFT JOIN held USING (finding))
+    SELECT finding, n_methods, replayed, n_named, n_supersets, CASE WHEN missing THEN 'evidence_not_found' WHEN n_methods < 2 THEN 'one_method'
+        WHEN NOT replayed THEN 'no_replay' WHEN n_named + n_supersets = 0 THEN 'no_conclusion' END AS problem FROM r
+    """,
+)
+def finding_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What keeps an order's finding from being confirmed: suppliers are evidence, other orders' lines are conclusions."""
+    pick = lambda values, at: F.element_at(F.array(*(F.lit(v) for v in values)), (at + 1).cast("int"))
+    key, lines = F.col("s_suppkey"), table(spark, sf_dir, "lineitem")
+    evidence = table(spark, sf_dir, "supplier").where(key % 50 != 49).select(
+        key.alias("evidence"), pick(_METHODS, key % 5).alias("method"), pick(_ATTESTATIONS, F.floor(key / 5) % 3).alias("attestation"), F.when(F.col("s_acctbal") > 0, "trace").alias("trace")
+    )
+    conclusions = _cited(lines.where("l_returnflag <> 'N'"), "conclusion")
+    status = pick(("Accepted", "Supported", "Rejected", "Open"), F.col("conclusion") % 4)
+    conclusions = conclusions.select("evidence", status.alias("status"), F.array(F.floor(F.col("conclusion") / 3)).alias("candidates"))
+    return ledger.finding_gate(_cited(lines.where("l_quantity >= 40"), "finding"), evidence, conclusions)
 
 
 @query("enumerated_items", "SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 AS place, 'work:' || l_orderkey || ':' || (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) - 1) AS id FROM lineitem")
