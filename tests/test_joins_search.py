@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from traceloom.operators import containment, ledger
+from traceloom.operators import containment, ledger, patterns
 
 
 @pytest.mark.parametrize("work", [0, 64])
@@ -37,3 +37,25 @@ def test_finding_gate(spark):
     assert {r["finding"]: r["problem"] for r in found.collect()} == {
         "ok": None, "named": None, "gone": "evidence_not_found", "one": "one_method", "still": "no_replay", "alone": "no_conclusion", "bare": "one_method",
     }
+
+
+@pytest.mark.parametrize("shapes", [2, 1000])
+def test_patterns_in_texts_by_hand(spark, shapes):
+    rng = random.Random(2)
+    text = lambda n: "".join(rng.choice("aabcé𝄞(<\n") for _ in range(rng.randrange(n)))
+    texts = [(k, text(60)) for k in range(40)] + [(40, None), (41, ""), (41, "abc"), (None, "aaaaab"), (43, "ab" * 3000)]
+    asked = [text(7) for _ in range(60)] + ["a", "ab", "é", "aaa", "aaa", "abc", "never there", "", None, "ab" * 50]
+    found = patterns.pattern_matches(spark.createDataFrame([(*t, "x") for t in texts], "id int, text string, pattern string"), spark.createDataFrame([(a,) for a in asked], "pattern string"), "id", "text", shapes=shapes)
+    want = [(k, a, n) for k, t in texts for a in {a for a in asked if a} if (n := sum((t or "").startswith(a, i) for i in range(len(t or ""))))]
+    assert sorted(map(repr, (tuple(r) for r in found.collect()))) == sorted(map(repr, want))
+    none = spark.createDataFrame([], "id int, text string")
+    assert patterns.pattern_matches(none, spark.createDataFrame([("a",)], "pattern string"), "id", "text").count() == 0
+    assert patterns.pattern_matches(none, spark.createDataFrame([], "pattern string"), "id", "text").columns == ["id", "pattern", "n"]
+
+
+def test_reverse_calls(spark):
+    bodies = [("a", "m", "fun a() { send(x); n::take<T>(y) }"), ("b", "m", "fun send() { resend<T>() } tail("), ("c", "n", "send(x)"), ("d", "n", "fun take( { deep::m::send(z)"), ("e", "m", "} send( {"), ("f", "m", None)]
+    callees = [("m", "send"), ("n", "take"), ("m", "tail"), ("n", "send"), ("m", "send")]
+    found = patterns.reverse_calls(spark.createDataFrame(bodies, "caller string, module string, source string"), spark.createDataFrame(callees, "module string, name string"))
+    assert {tuple(r) for r in found.collect()} == {("a", "m", "send"), ("a", "n", "take"), ("b", "m", "send"), ("c", "n", "send"), ("d", "m", "send"), ("d", "n", "send"), ("e", "m", "send")}
+    assert found.count() == 7

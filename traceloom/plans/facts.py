@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from traceloom.functions import scoring
+from traceloom.operators import patterns
 from traceloom.plans.registry import query, table
 
 
@@ -18,26 +19,45 @@ def nest_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "reverse_calls_substring",
-    "WITH n AS (SELECT DISTINCT p_name AS name FROM part) SELECT a.name AS caller, b.name AS callee FROM n a JOIN n b ON a.name <> b.name AND contains(a.name, substr(b.name, strlen(b.name) - 3))",
+    """
+    WITH calls AS (SELECT l_orderkey AS caller, CASE l_linenumber % 4 WHEN 0 THEN 'm' || p_size % 8 || '::' || name || '(x); ' WHEN 1 THEN name || '<u64>(x); '
+        WHEN 2 THEN 'my_' || name || '(x); ' ELSE name || ' + 1; ' END AS call FROM lineitem JOIN (SELECT *, replace(p_name, ' ', '_') AS name FROM part) ON l_partkey = p_partkey),
+    bodies AS (SELECT caller, 'm' || caller % 8 AS module, string_agg(call, '') AS body FROM calls GROUP BY caller),
+    names AS (SELECT 'm' || p_size % 8 AS module, replace(p_name, ' ', '_') AS name, count(*) AS n FROM part GROUP BY 1, 2)
+    SELECT caller, names.module AS callee_module, name AS callee, n AS n_functions FROM bodies JOIN names
+    ON contains(body, names.module || '::' || name || '(') OR contains(body, names.module || '::' || name || '<')
+    OR (names.module = bodies.module AND (contains(body, name || '(') OR contains(body, name || '<')))
+    """,
 )
 def reverse_calls_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Callers that hold the last four letters of a callee's name: all four-letter pieces of names meet the ends of names."""
-    names = table(spark, sf_dir, "part").select("p_name").distinct()
-    ends = names.select(F.col("p_name").alias("callee"), F.substr("p_name", F.length("p_name") - 3).alias("piece"))
-    at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("p_name") - 3))
-    pieces = F.array_distinct(F.transform(at, lambda i: F.substr("p_name", i, F.lit(4))))
-    held = names.select(F.col("p_name").alias("caller"), F.explode(pieces).alias("piece"))
-    return held.join(ends, "piece").where("caller <> callee").select("caller", "callee")
+    """Callers of functions by the text of their calls: orders are bodies, their lines call parts. Functions of one name in
+    one module are one callee with their number."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.replace("p_name", F.lit(" "), F.lit("_")).alias("name"), F.concat(F.lit("m"), F.col("p_size") % 8).alias("module"))
+    name, line = F.col("name"), F.col("l_linenumber") % 4
+    call = (
+        F.when(line == 0, F.concat("module", F.lit("::"), name, F.lit("(x); "))).when(line == 1, F.concat(name, F.lit("<u64>(x); ")))
+        .when(line == 2, F.concat(F.lit("my_"), name, F.lit("(x); "))).otherwise(F.concat(name, F.lit(" + 1; ")))
+    )
+    lines = table(spark, sf_dir, "lineitem").join(parts, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("caller"), call.alias("call"))
+    source = F.concat(F.lit("fun small_ring(x) { "), F.array_join(F.collect_list("call"), ""), F.lit("}"))
+    bodies = lines.groupBy("caller").agg(source.alias("source")).withColumn("module", F.concat(F.lit("m"), F.col("caller") % 8))
+    sized = parts.groupBy(F.col("module").alias("callee_module"), F.col("name").alias("callee")).agg(F.count(F.lit(1)).alias("n_functions"))
+    return patterns.reverse_calls(bodies, parts).join(sized, ["callee_module", "callee"]).select("caller", "callee_module", "callee", "n_functions")
 
 
 @query(
     "wrapper_evidence",
-    "WITH w AS (SELECT DISTINCT p_name AS name, unnest(string_split(p_name, ' ')) AS token FROM part) SELECT DISTINCT a.name AS object, b.name AS wrapper FROM w a JOIN w b USING (token) WHERE a.name <> b.name",
+    """
+    WITH w AS (SELECT DISTINCT p_name AS name, unnest(string_split(p_name, ' ')) AS token FROM part), c AS (SELECT token, count(*) AS n FROM w GROUP BY 1)
+    SELECT name AS object, string_agg(token, ',' ORDER BY token) AS tokens, sum(n - 1)::BIGINT AS n_links FROM w JOIN c USING (token) GROUP BY 1
+    """,
 )
 def wrapper_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Types that hold a token of another type; an equi-join on tokens."""
-    words = table(spark, sf_dir, "part").select("p_name").distinct().select(F.col("p_name").alias("object"), F.explode(F.split("p_name", " ")).alias("token")).distinct()
-    return words.join(words.withColumnRenamed("object", "wrapper"), "token").where("object <> wrapper").select("object", "wrapper").distinct()
+    """Each type's tokens and its links to other types that hold one of them: members of a token stay members, and are counted
+    instead of paired."""
+    words = table(spark, sf_dir, "part").select("p_name").distinct().select(F.col("p_name").alias("object"), F.explode(F.array_distinct(F.split("p_name", " "))).alias("token"))
+    sized = words.groupBy("token").agg((F.count(F.lit(1)) - 1).alias("n"))
+    return words.join(sized, "token").groupBy("object").agg(F.array_join(F.array_sort(F.collect_list("token")), ",").alias("tokens"), F.sum("n").alias("n_links"))
 
 
 @query(

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from traceloom.functions import ids, scoring
-from traceloom.operators import graph, joins, sequence
+from traceloom.operators import graph, joins, patterns, sequence
 from traceloom.plans.registry import query, table
 
 
@@ -359,13 +359,18 @@ def external_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "related_types_theta",
-    "SELECT n_name, r_name FROM nation CROSS JOIN region WHERE contains(n_name, '_' || r_regionkey) OR contains(r_name, substr(n_name, 1, 2))",
+    """
+    WITH names AS (SELECT DISTINCT name FROM (SELECT unnest(string_split(text, ' ')) AS name FROM benchmark) WHERE length(name) >= 4),
+    r AS (SELECT doc_id, name, row_number() OVER (PARTITION BY doc_id ORDER BY name) AS place, count(*) OVER (PARTITION BY doc_id) AS n_related FROM documents JOIN names ON contains(text, name))
+    SELECT doc_id, name, place, n_related FROM r WHERE place <= 6
+    """,
 )
 def related_types_theta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Substring containment between two catalogues of fixed size; a theta join, as tokens would match less."""
-    nation, region = table(spark, sf_dir, "nation").select("n_name"), table(spark, sf_dir, "region")
-    holds = F.contains("n_name", F.concat(F.lit("_"), F.col("r_regionkey").cast("string"))) | F.contains("r_name", F.substring("n_name", 1, 2))
-    return nation.join(region, holds).select("n_name", "r_name")
+    """Names (words of the benchmark) that texts hold anywhere, the first six of each text, and how many there are."""
+    names = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", " ")).alias("name")).where("length(name) >= 4").distinct()
+    found = patterns.pattern_matches(table(spark, sf_dir, "documents"), names, "doc_id", "text", "name").select("doc_id", F.col("pattern").alias("name"))
+    ranked = found.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("name")).cast("long"))
+    return ranked.withColumn("n_related", F.count(F.lit(1)).over(Window.partitionBy("doc_id"))).where("place <= 6")
 
 
 @query(
