@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from traceloom.operators import containment, ledger, patterns
+from traceloom.operators import closure, containment, graph, ledger, patterns
 
 
 @pytest.mark.parametrize("work", [0, 64])
@@ -59,3 +59,42 @@ def test_reverse_calls(spark):
     found = patterns.reverse_calls(spark.createDataFrame(bodies, "caller string, module string, source string"), spark.createDataFrame(callees, "module string, name string"))
     assert {tuple(r) for r in found.collect()} == {("a", "m", "send"), ("a", "n", "take"), ("b", "m", "send"), ("c", "n", "send"), ("d", "m", "send"), ("d", "n", "send"), ("e", "m", "send")}
     assert found.count() == 7
+
+
+def reached_by_hand(edges):
+    ahead = {}
+    for a, b in edges:
+        ahead.setdefault(a, set()).add(b)
+        ahead.setdefault(b, set())
+    found = {}
+    for node in ahead:
+        seen, todo = {node}, [node]
+        while todo:
+            for near in ahead[todo.pop()] - seen:
+                seen.add(near)
+                todo.append(near)
+        found[node] = seen
+    return found
+
+
+@pytest.mark.parametrize("seed, nodes, n, fan", [(1, 40, 45, 4), (3, 12, 90, 1), (4, 30, 34, 1)])
+def test_components_and_closure_by_hand(spark, seed, nodes, n, fan):
+    rng = random.Random(seed)
+    edges = [(rng.randrange(nodes), rng.randrange(nodes)) for _ in range(n)]
+    reached = reached_by_hand(edges)
+    frame = spark.createDataFrame(edges + edges[:5] + [(None, 1), (2, None)], "src int, dst int")
+    found = {r["node"]: r["component"] for r in closure.strong_components(frame, fan).collect()}
+    component = {a: min(b for b in own if a in reached[b]) for a, own in reached.items()}
+    assert found == component
+    seeds = spark.createDataFrame([(k,) for k in range(0, nodes + 5, 3)], "node int")
+    pairs, _ = closure.component_closure(frame, seeds, fan)
+    assert sorted(map(tuple, pairs.collect())) == sorted((k, c) for k in range(0, nodes + 5, 3) for c in ({component[b] for b in reached[k]} if k in reached else {k}))
+
+
+def test_a_chain_of_20000(spark):
+    """One path with one step back: 20,000 steps in some ten rounds."""
+    chain = spark.range(20_000).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")).union(spark.createDataFrame([(15_000, 5_000)], "src long, dst long"))
+    found = graph.closure(chain, spark.createDataFrame([(1,), (19_000,)], "node long")).groupBy("seed").agg(F.count("*").alias("n"), F.max("node").alias("last")).collect()
+    assert sorted(map(tuple, found)) == [(1, 19_999, 20_000), (19_000, 1_000, 20_000)]
+    sizes = closure.strong_components(chain).groupBy("component").count().where("count > 1").collect()
+    assert [tuple(r) for r in sizes] == [(5_000, 10_001)]

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from traceloom.operators.closure import component_closure
 from traceloom.scratch import materialize
 
 
@@ -89,8 +90,9 @@ def positional_ids(edges: DataFrame, kind: str, order: list[str]) -> DataFrame:
 
 
 def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Everything reachable from each seed, to the fixpoint."""
-    return reach(edges, seeds, 10_000)
+    """(seed, node): everything reachable from each seed but itself, to the fixpoint."""
+    reached, components = component_closure(edges, seeds)
+    return reached.join(components, "component").select("seed", "node").where("seed <> node")
 
 
 def reverse_paths(edges: DataFrame, targets: DataFrame, depth: int) -> DataFrame:

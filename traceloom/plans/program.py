@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from traceloom.functions import ids, scoring
-from traceloom.operators import graph, joins, patterns, sequence
+from traceloom.operators import closure, graph, joins, patterns, sequence
 from traceloom.plans.registry import query, table
 
 
@@ -244,6 +244,29 @@ def transitive_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.closure(edges, edges.select(F.col("src").alias("node"))).select("seed", "node")
 
 
+_PART_EDGES = """
+    e(src, dst) AS (SELECT p.p_partkey, q.p_partkey FROM part p JOIN part q ON q.p_partkey = p.p_partkey + 1
+        UNION SELECT p_partkey, p_partkey - 7 FROM part WHERE p_partkey % 100 = 50 UNION SELECT p_partkey, p_partkey - 450 FROM part WHERE p_partkey % 1000 = 900)
+"""
+
+
+@query(
+    "part_closure",
+    f"""
+    WITH RECURSIVE {_PART_EDGES}, r(a, b) AS (SELECT src, src FROM e UNION SELECT dst, dst FROM e UNION SELECT a, dst FROM r JOIN e ON b = src),
+    c AS (SELECT x.a AS node, min(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY 1)
+    SELECT a AS seed, component, count(*) AS n_nodes FROM r JOIN c ON node = b WHERE a % 400 = 0 GROUP BY 1, 2
+    """,
+)
+def part_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What some parts reach on one long path through all parts with steps back, as strong components and their sizes."""
+    key, parts = F.col("p_partkey"), table(spark, sf_dir, "part").select("p_partkey")
+    ahead = parts.join(parts.select((key - 1).alias("p_partkey")), "p_partkey", "left_semi").select(key.alias("src"), (key + 1).alias("dst"))
+    back = parts.where(key % 100 == 50).select(key, key - 7).union(parts.where(key % 1000 == 900).select(key, key - 450))
+    reached, components = closure.component_closure(ahead.union(back), parts.where(key % 400 == 0).select(key.alias("node")))
+    return reached.join(components.groupBy("component").agg(F.count(F.lit(1)).alias("n_nodes")), "component")
+
+
 @query("reach_depth_n", f"WITH {_walk(3, 3, 8)} SELECT seed, node, depth::INTEGER AS depth FROM walk WHERE depth > 0")
 def reach_depth_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Callees of every function within three steps, three of each at most, eight in all."""
