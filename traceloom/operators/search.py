@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+
+from traceloom.scratch import materialize
 
 #: The usual constants of BM25.
 K1, B = 1.2, 0.75
@@ -34,3 +37,94 @@ def _counted(docs: DataFrame, id_col: str, words, terms: Sequence[str]) -> DataF
         rows = rows.withColumn(f"_t{i}", F.size(F.array_remove("_words", term)))
     kept = [(F.size("_words") - F.col(f"_t{i}")).alias(f"_t{i}") for i in range(len(terms))]
     return rows.select(id_col, F.size("_words").alias("_n"), *kept)
+
+
+#: Folders by the hash of a term, documents of a block (but no more than MOST_BLOCKS), and terms that are named in a pushed filter.
+BUCKETS, BLOCK, MOST_BLOCKS, NAMED = 16, 128, 4_096, 1_000
+#: Blocks of a query that are scored before the others are asked for.
+FIRST = 4
+
+
+@dataclass(frozen=True)
+class Index:
+    """Postings on disk: ``postings`` (term, block, doc, weight) and ``maxima`` (term, block, most) by buckets of terms,
+    ``terms`` (term, df) and the number of documents."""
+
+    spark: SparkSession
+    path: str
+    id_col: str
+    docs: int
+
+    def table(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{name}")
+
+
+def _bucket(term: str) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def write_index(docs: DataFrame, id_col: str, text_col: str, path: str, k1: float = K1, b: float = B, blocks: int | None = None) -> Index:
+    """Index texts for ``ranked``; rows without an id, and texts without words, are not in it.
+
+    Documents of like length share a block, so that a block's largest weight of a term is near that of its documents.
+    Postings are written by buckets of terms, sorted by term and block, each term's weights once and for all."""
+    spark = docs.sparkSession
+    found = F.filter(F.split(F.lower(F.coalesce(text_col, F.lit(""))), "[^a-z]+"), lambda w: w != "")
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), found.alias("words"))
+    words = rows.select("doc", F.size("words").alias("n"), F.explode("words").alias("term"))
+    counts = materialize(words.groupBy("doc", "n", "term").agg(F.count(F.lit(1)).alias("tf")), "counts")
+    sized = counts.select("doc", "n").distinct()
+    totals = sized.agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean")).first()
+    blocks = blocks or min(MOST_BLOCKS, -(-totals["docs"] // BLOCK)) or 1
+    placed = materialize(sized.repartitionByRange(blocks, "n", "doc").withColumn("block", F.spark_partition_id()), "blocks")
+    weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / F.lit(totals["mean"] or 1.0)))
+    postings = counts.join(placed, ["doc", "n"]).select("term", "block", "doc", weight.alias("weight"), _bucket("term").alias("bucket"))
+    postings.repartitionByRange("bucket", "term", "block").sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{path}/postings")
+    index = Index(spark, path, id_col, totals["docs"])
+    maxima = index.table("postings").groupBy("bucket", "term", "block").agg(F.max("weight").alias("most"), F.count(F.lit(1)).alias("n"))
+    maxima.repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/maxima")
+    terms = index.table("maxima").groupBy("bucket", "term").agg(F.sum("n").alias("df"))
+    terms.repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/terms")
+    return index
+
+
+def needed(index: Index, name: str, asked: DataFrame) -> DataFrame:
+    """The rows of an index' table that may concern some terms: only files of their buckets are read, and of these, where
+    there are not too many terms, only row groups that may hold one."""
+    buckets = [r["bucket"] for r in asked.select(_bucket("term").alias("bucket")).distinct().collect()]
+    rows = index.table(name).where(F.col("bucket").isin(buckets))
+    listed = [r["term"] for r in asked.select("term").distinct().limit(NAMED + 1).collect()]
+    return rows.where(F.col("term").isin(listed)) if len(listed) <= NAMED else rows
+
+
+def asked_terms(index: Index, queries: DataFrame) -> DataFrame:
+    """(query, term) of a table of queries (query, terms), each once."""
+    return queries.select("query", F.explode("terms").alias("term")).where("term IS NOT NULL").distinct()
+
+
+def ranked(index: Index, queries: DataFrame, k: int, first: int = FIRST) -> DataFrame:
+    """(query, place, id, score): the best ``k`` documents for each query of a table (query, terms), ties by id.
+
+    A block's documents score no more than the sum of its largest weights. The ``first`` blocks by these sums are scored, and
+    of the others only those whose sum reaches the k-th score found there. Queries without a known term find nothing."""
+    asked = materialize(asked_terms(index, queries), "asked")
+    df, docs = F.col("df"), F.lit(index.docs)
+    rare = F.log(1 + (docs - df + 0.5) / (df + 0.5))
+    asked = materialize(asked.join(needed(index, "terms", asked).select("term", "df"), "term").select("query", "term", rare.alias("rare")), "asked")
+    bounds = needed(index, "maxima", asked).join(asked, "term").groupBy("query", "block").agg(F.sum(F.col("rare") * F.col("most")).alias("bound"))
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.col("bound").desc(), "block"))
+    bounds = materialize(bounds.withColumn("at", place), "bounds")
+    postings = needed(index, "postings", asked)
+
+    def best(blocks: DataFrame) -> DataFrame:
+        scored = postings.join(asked, "term").join(blocks.select("query", "block"), ["query", "block"]).groupBy("query", "doc").agg(F.round(F.sum(F.col("rare") * F.col("weight")), 6).alias("score"))
+        order = Window.partitionBy("query").orderBy(F.col("score").desc(), "doc")
+        return scored.withColumn("place", F.row_number().over(order).cast("long")).where(F.col("place") <= k)
+
+    early = materialize(best(bounds.where(F.col("at") <= first)), "early")
+    reached = early.where(F.col("place") == k).select("query", F.col("score").alias("least"))
+    later = bounds.where(F.col("at") > first).join(reached, "query", "left").where("least IS NULL OR bound >= least - 1e-6")
+    both = early.drop("place").unionByName(best(later).drop("place"))
+    order = Window.partitionBy("query").orderBy(F.col("score").desc(), "doc")
+    final = both.withColumn("place", F.row_number().over(order).cast("long")).where(F.col("place") <= k)
+    return final.select("query", "place", F.col("doc").alias(index.id_col), "score")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from traceloom.functions import ids, scoring
 from traceloom.operators import history, joins, ledger, search, sequence
 from traceloom.plans.registry import query, table
+from traceloom.scratch import scratch_dir
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -305,6 +308,24 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.bm25(table(spark, sf_dir, "documents"), "doc_id", "text", ["license", "token", "apache"], 20)
 
 
+@query(
+    "bm25_queries",
+    """
+    WITH w AS (SELECT doc_id, unnest(string_split_regex(lower(text), '[^a-z]+')) AS term FROM documents), tf AS (SELECT doc_id, term, count(*) AS tf FROM w WHERE term <> '' GROUP BY ALL),
+    len AS (SELECT doc_id, sum(tf) AS n FROM tf GROUP BY doc_id), a AS (SELECT count(*) AS docs, avg(n) AS mean FROM len), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+    q AS (SELECT DISTINCT item_id AS query, unnest(string_split_regex(lower(text), '[^a-z]+')) AS term FROM benchmark),
+    s AS (SELECT query, doc_id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))), 6) AS score
+        FROM q JOIN tf USING (term) JOIN df USING (term) JOIN len USING (doc_id) CROSS JOIN a GROUP BY query, doc_id)
+    SELECT query, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) AS place, doc_id, score FROM s QUALIFY place <= 10
+    """,
+)
+def bm25_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for each benchmark item's words, by an index of postings with block maxima."""
+    index = search.write_index(table(spark, sf_dir, "documents"), "doc_id", "text", f"{scratch_dir(spark)}/index-{uuid.uuid4().hex}")
+    words = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: w != "")
+    return search.ranked(index, table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), words.alias("terms")), 10)
+
+
 @query(
     "fuzzy_rank",
     """
