@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from traceloom.operators import closure, containment, ledger, patterns, search
+from traceloom.operators import alignment, closure, containment, ledger, patterns, search
 
 
 @pytest.mark.parametrize("work", [0, 64])
@@ -144,3 +144,41 @@ def test_a_rare_query_reads_few_postings(spark, sf, tmp_path):
     buckets = index.table("postings").select("bucket").distinct().count()
     assert postings.select("bucket").distinct().count() == 1 < buckets and 0 < postings.count() < index.table("postings").count() / 50
     assert 0 < search.ranked(index, asked, 3).count() <= 3
+
+
+def alignments_by_hand(path, query):
+    """The best score over all ways to place the query's characters."""
+    if query == query.lower():
+        path = path.lower()
+    best, found = None, [([], 0)]
+    for char in query:
+        ahead = []
+        for places, score in found:
+            for i in range(places[-1] + 1 if places else 0, len(path)):
+                if path[i] == char:
+                    bonus = 8 if path[i].isalnum() and (i == 0 or not path[i - 1].isalnum()) else 0
+                    gap = i - places[-1] if places else None
+                    ahead.append((places + [i], score + 16 + bonus + (0 if gap is None else 4 if gap == 1 else -3 - (gap - 2))))
+        found = ahead
+    for _, score in found:
+        best = score if best is None else max(best, score)
+    return best
+
+
+def test_alignments_by_hand(spark, monkeypatch):
+    rng = random.Random(6)
+    paths = [(k, "".join(rng.choice("abA_/.b") for _ in range(rng.randrange(1, 12)))) for k in range(80)]
+    paths += [(90, None), (91, ""), (92, "src/Éa/ab"), (None, "ab"), (93, "ab"), (93, "ab"), (94, "a" + "." * 60 + "b")]
+    queries = ["ab", "aab", "A", "bab", "ab", "é", "zz", "", None, "a/b"]
+    found = alignment.fuzzy_search(spark.createDataFrame([(*p, 1) for p in paths], "id int, path string, score int"), spark.createDataFrame([(q,) for q in queries], "query string"), "id", "path", 20).collect()
+    for query in {q for q in queries if q}:
+        scored = [(p, i, alignments_by_hand(p, query)) for i, p in paths if p is not None]
+        want = sorted((-s, p, i is not None, i) for p, i, s in scored if s is not None and s >= 0)[:20]
+        own = sorted((r for r in found if r["query"] == query), key=lambda r: r["place"])
+        assert [(r["id"], r["path"], r["score"]) for r in own] == [(i, p, -s) for s, p, _, i in want], query
+        for r in own:
+            text = r["path"] if query != query.lower() else r["path"].lower()
+            assert "".join(text[i] for i in r["places"]) == query and r["places"] == sorted(set(r["places"]))
+            gaps = [b - a for a, b in zip(r["places"], r["places"][1:])]
+            words = sum(8 for i in r["places"] if text[i].isalnum() and (i == 0 or not text[i - 1].isalnum()))
+            assert r["score"] == 16 * len(query) + words + sum(4 if g == 1 else -3 - (g - 2) for g in gaps)

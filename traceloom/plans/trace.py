@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from traceloom.functions import ids, scoring
-from traceloom.operators import history, joins, ledger, search, sequence
+from traceloom.operators import alignment, history, joins, ledger, search, sequence
 from traceloom.plans.registry import query, table
 from traceloom.scratch import scratch_dir
 
@@ -326,6 +326,25 @@ def bm25_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.ranked(index, table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), words.alias("terms")), 10)
 
 
+@query(
+    "fuzzy_queries",
+    """
+    WITH RECURSIVE q AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS query FROM part),
+    c AS (SELECT page_id, url, i, substr(lower(url), i, 1) AS c, CASE WHEN regexp_matches(substr(lower(url), i, 1), '[a-z0-9]')
+        AND (i = 1 OR NOT regexp_matches(substr(lower(url), i - 1, 1), '[a-z0-9]')) THEN 8 ELSE 0 END AS bonus FROM (SELECT page_id, url, unnest(range(1, length(url) + 1)) AS i FROM pages)),
+    m(query, page_id, j, i, score) AS (SELECT query, page_id, 1, i, 16 + bonus FROM q JOIN c ON c = substr(query, 1, 1)
+        UNION ALL SELECT m.query, m.page_id, m.j + 1, c.i, max(m.score + 16 + c.bonus + CASE WHEN c.i = m.i + 1 THEN 4 ELSE -3 - (c.i - m.i - 2) END)
+        FROM m JOIN c ON c.page_id = m.page_id AND c.i > m.i AND c.c = substr(m.query, m.j + 1, 1) GROUP BY m.query, m.page_id, m.j, c.i),
+    s AS (SELECT query, page_id, max(score)::BIGINT AS score FROM m WHERE j = length(query) AND score >= 0 GROUP BY 1, 2)
+    SELECT query, row_number() OVER (PARTITION BY query ORDER BY score DESC, url, page_id) AS place, page_id, url, score FROM s JOIN pages USING (page_id) QUALIFY place <= 50
+    """,
+)
+def fuzzy_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best URLs for each word of the parts' names, by their best alignment, then by URL."""
+    words = table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("query")).distinct()
+    return alignment.fuzzy_search(table(spark, sf_dir, "pages"), words, "page_id", "url").select("query", "place", "page_id", F.col("path").alias("url"), "score")
+
+
 @query(
     "fuzzy_rank",
     """
