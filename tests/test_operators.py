@@ -25,7 +25,7 @@ module a::m {
 def test_source_rules(spark):
     found = source_rules.all_findings(spark.createDataFrame([("m", SOURCE), ("n", None)], "module string, text string")).collect()
     assert sorted((r["rule"], r["name"]) for r in found) == [
-        ("bool_judgement", "true"), ("infinite_loop", "loop"), ("precision_loss", "(1 / 2) *"),
+        ("bool_judgement", "true"), ("infinite_loop", "loop"), ("precision_loss", "*"),
         ("unused_const", "UNUSED"), ("unused_private_function", "alone"), ("unused_struct", "Lost"),
     ]
 
@@ -121,3 +121,28 @@ def test_query_equals_sql(spark, duck, sf, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_products_of_divisions(spark):
+    """Nested brackets, both sides, and operands that end at an operator or a bracket."""
+    risky = ["(a / b) * c", "((a / b) + 1) * c", "a * (b - (c / d))", "f(x[a / b]) * 2", "sqrt(x) * y", "y * m::sqrt((x))", "{ a / 2 } * b", "g(1, (a / b) * 2)"]
+    sound = ["a / b * c", "a * b / c", "(a * b) / c", "a / 2 + b * c", "f(a / 2, b * c)", "(a / b) + b * c", "sqrt * y", "(a / b); x * y", "* a", "a *"]
+    rows = [(k, f"fun f() {{ {text} }}") for k, text in enumerate(risky + sound)] + [(100, "*"), (101, ") / ( * x"), (102, None)]
+    found = source_rules.precision_loss(source_rules.tokens(spark.createDataFrame(rows, "module int, text string")))
+    assert sorted(r["module"] for r in found.collect()) == list(range(len(risky)))
+
+
+def test_bracket_pairs(spark):
+    words = source_rules.tokens(spark.createDataFrame([(1, "f(a[1], (b)) { c } )"), (2, "((")], "module int, text string"))
+    pairs = source_rules.bracket_pairs(source_rules.bracketed(words, F.col("token").isin("a", "b")))
+    assert sorted((r["module"], r["token"], r["pos"], r["end"], r["inside"]) for r in pairs.collect()) == [(1, "(", 1, 10, 2), (1, "(", 7, 9, 1), (1, "[", 3, 5, 0), (1, "{", 11, 13, 0)]
+
+
+def test_matches_and_addresses(spark):
+    from traceloom.functions import strings
+
+    row = spark.createDataFrame([("İabc aBc", "0x002::coin @0X2 a2::x 02::y 0x2_ dead::b @0x02f 0x2::z x0x2::q 0x0::n")], "t string, s string").select(
+        strings.match_ranges(F.col("t"), "ABC").alias("r"), strings.rewrite_addresses(F.col("s"), [("2", "std"), ("2", "zzz"), ("0", "nil"), ("A2", "up")]).alias("a")
+    ).first()
+    assert [tuple(r) for r in row["r"]] == [(1, 4), (5, 8)]
+    assert row["a"] == "std::coin @std up::x std::y 0x2_ dead::b @0x02f std::z x0x2::q nil::n"

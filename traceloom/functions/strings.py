@@ -42,25 +42,36 @@ def refers_to_type(source: Column, type_name: Column) -> Column:
 
 
 def match_ranges(text: Column, wanted: str) -> Column:
-    """(start, end) of each match from the left, without overlaps and in any case, counted in characters from 0."""
-    low = wanted.lower()
-    if not low:
-        return F.array().cast("array<struct<start:int,end:int>>")
-    pieces = F.split(F.lower(text), re.escape(low))
-    size = len(low)
+    """(start, end) of each match from the left, without overlaps and in any case, counted in the text's own characters from 0."""
     none = F.array().cast("array<struct<start:int,end:int>>")
-    ends = lambda found: F.coalesce(F.try_element_at(found, F.lit(-1))["end"], F.lit(0))
-    add = lambda found, p: F.concat(found, F.array(F.struct((ends(found) + F.length(p)).alias("start"), (ends(found) + F.length(p) + size).alias("end"))))
-    return F.aggregate(F.slice(pieces, F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(0))), none, add)
+    if not wanted:
+        return none
+    pattern = "(?iu)" + re.escape(wanted)
+    pieces, found = F.split(text, pattern), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    both = F.arrays_zip(F.slice(pieces, F.lit(1), F.size(found)).alias("before"), found.alias("match"))
+    last = lambda ranges: F.coalesce(F.try_element_at(ranges, F.lit(-1))["end"], F.lit(0))
+
+    def add(ranges: Column, x: Column) -> Column:
+        start = last(ranges) + F.length(x["before"])
+        return F.concat(ranges, F.array(F.struct(start.alias("start"), (start + F.length(x["match"])).alias("end"))))
+
+    return F.aggregate(both, none, add)
+
+
+#: An address before a module's name, or after an at sign; with its prefix, or bare where it begins a word.
+ADDRESS = r"(?i)(?<=@)0x[0-9a-f]+\b|\b0x[0-9a-f]+(?=::)|(?<![a-z0-9_])[0-9a-f]+(?=::)"
 
 
 def rewrite_addresses(source: Column, aliases: Iterable[tuple[str, str]]) -> Column:
-    """Addresses (hex digits without leading zeros, alias) replaced by their aliases, the longest first."""
-    for digits, alias in sorted(aliases, key=lambda a: (-len(a[0]), a)):
-        source = F.regexp_replace(source, rf"(?i)\b0x0*{digits}(::)", f"{alias}$1")
-        source = F.regexp_replace(source, rf"(?i)@0x0*{digits}\b", f"@{alias}")
-        source = F.regexp_replace(source, rf"(?im)(^|[^A-Za-z0-9_])0*{digits}(::)", f"$1{alias}$2")
-    return source
+    """Addresses replaced by their aliases, given as (hex digits, alias), leading zeros and case apart; of several aliases of
+    an address the least. All addresses of a text are found at once and looked up by their digits."""
+    known = {digits.lower().lstrip("0"): alias for digits, alias in sorted(aliases, reverse=True)}
+    if not known:
+        return source
+    names = F.create_map(*(F.lit(x) for pair in known.items() for x in pair))
+    found, pieces = F.regexp_extract_all(source, F.lit(ADDRESS), F.lit(0)), F.split(source, ADDRESS)
+    alias = lambda address: F.coalesce(F.try_element_at(names, F.regexp_replace(F.lower(address), "^(0x)?0*", "")), address, F.lit(""))
+    return F.array_join(F.transform(pieces, lambda piece, k: F.concat(piece, alias(F.get(found, k)))), "")
 
 
 def csv_value(value: Column, kind: DataType) -> Column:

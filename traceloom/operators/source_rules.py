@@ -13,6 +13,10 @@ SEVERITY = {
     "bool_judgement": "info", "infinite_loop": "warning", "precision_loss": "warning", "unused_const": "info",
     "unused_struct": "info", "unused_private_function": "info", "unchecked_return": "info",
 }
+OPENS, CLOSES = ("(", "[", "{"), (")", "]", "}")
+# What ends an operand, and what leaves a loop.
+ENDS_OPERAND = ("+", "-", "*", "/", "%", "==", "!=", "<", ">", "<=", ">=", "&&", "||", "=", ",", ";", "=>")
+LEAVES = ("break", "return", "abort")
 
 
 def sanitized(text: Column) -> Column:
@@ -31,6 +35,28 @@ def tokens(sources: DataFrame) -> DataFrame:
     return rows.withColumn("depth", F.sum("_step").over(running)).drop("_step")
 
 
+def bracketed(words: DataFrame, counted: Column) -> DataFrame:
+    """Add ``level``, the depth of brackets of any kind that a token stands in (brackets stand in what they enclose), and
+    ``seen``, how many tokens up to it satisfy a condition; ranges between tokens are counted by differences of these."""
+    order = Window.partitionBy("module").orderBy("pos")
+    running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    step = F.when(F.col("token").isin(*OPENS), 1).when(F.col("token").isin(*CLOSES), -1).otherwise(0)
+    after = F.sum(step).over(running)
+    level = F.when(F.col("token").isin(*CLOSES), after + 1).otherwise(after)
+    return words.withColumn("level", level).withColumn("seen", F.sum(counted.cast("int")).over(running))
+
+
+def bracket_pairs(marked: DataFrame) -> DataFrame:
+    """(module, pos, token, end, inside): each opening bracket, where its closing one is, and how many counted tokens lie
+    between; brackets of one level follow each other in turn, however they are nested."""
+    ends = marked.where(F.col("token").isin(*OPENS, *CLOSES))
+    turn = Window.partitionBy("module", "level").orderBy("pos")
+    after = lambda c: F.lead(c).over(turn)
+    closing = after("token").isin(*CLOSES)
+    paired = ends.withColumn("end", F.when(closing, after("pos"))).withColumn("inside", after("seen") - F.col("seen"))
+    return paired.where(F.col("token").isin(*OPENS) & F.col("end").isNotNull()).drop("depth", "level", "seen")
+
+
 def _findings(rule: str, rows: DataFrame, name: Column) -> DataFrame:
     return rows.select(F.lit(rule).alias("rule"), F.lit(SEVERITY[rule]).alias("severity"), "module", name.alias("name"))
 
@@ -69,13 +95,12 @@ def functions(words: DataFrame) -> DataFrame:
     names = marked.where(F.col("before") == "fun").select(
         "module", F.col("token").alias("name"), "pos", ~F.coalesce(F.array_contains(outside, F.col("_two")), F.lit(False)) & ~F.coalesce(F.col("_three") == "public", F.lit(False)), F.col("depth").alias("level")
     ).toDF("module", "name", "pos", "private", "level")
-    names = names.withColumn("stop", F.coalesce(F.lead("pos").over(order), F.lit(2**31 - 1)))
-    braces = words.where("token IN ('{', '}')").select("module", F.col("pos").alias("at"), "token", "depth")
-    same = (names["module"] == braces["module"]) & (braces["at"] > names["pos"]) & (braces["at"] < names["stop"]) & (braces["depth"] == names["level"] + 1)
-    body = names.join(braces, same).groupBy(names["module"], "name", "pos", "private").agg(
-        F.min(F.when(F.col("token") == "{", F.col("at"))).alias("start"), F.min(F.when(F.col("token") == "}", F.col("at"))).alias("end")
-    )
-    return body.select("module", "name", "pos", "start", "end", "private")
+    pairs = bracket_pairs(bracketed(words, F.lit(False))).where("token = '{'").select("module", F.col("pos").alias("start"), "end")
+    ahead = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    opening = F.min(F.when(F.col("token") == "{", F.col("pos"))).over(ahead)
+    bodies = marked.withColumn("_open", opening).where(F.col("before") == "fun").select("module", "pos", "_open")
+    names = names.withColumn("stop", F.coalesce(F.lead("pos").over(order), F.lit(2**31 - 1))).join(bodies, ["module", "pos"]).where("_open < stop")
+    return names.join(pairs.withColumnRenamed("start", "_open"), ["module", "_open"]).select("module", "name", "pos", F.col("_open").alias("start"), "end", "private")
 
 
 def unused_private_functions(words: DataFrame) -> DataFrame:
@@ -89,29 +114,33 @@ def unused_private_functions(words: DataFrame) -> DataFrame:
 def infinite_loops(words: DataFrame) -> DataFrame:
     """loop, or while (true), whose body neither breaks, returns nor aborts."""
     order = Window.partitionBy("module").orderBy("pos")
-    marked = words.withColumn("_one", F.lead("token", 1).over(order)).withColumn("_two", F.lead("token", 2).over(order)).withColumn("_open", F.lead("pos", 4).over(order))
-    endless = marked.where("token = 'loop' OR (token = 'while' AND _one = '(' AND _two = 'true')")
-    heads = endless.select("module", "pos", F.when(F.col("token") == "loop", F.col("pos") + 1).otherwise(F.col("_open")).alias("start"), F.col("depth").alias("level"), "token")
-    closing = words.where("token = '}'").select("module", F.col("pos").alias("at"), "depth")
-    same = (heads["module"] == closing["module"]) & (closing["at"] > heads["start"]) & (closing["depth"] == heads["level"] + 1)
-    spans = heads.join(closing, same).groupBy(heads["module"], "pos", "start", "token").agg(F.min("at").alias("end"))
-    leaves = words.where("token IN ('break', 'return', 'abort')").select("module", F.col("pos").alias("at"))
-    left = spans.join(leaves, (spans["module"] == leaves["module"]) & (leaves["at"] > spans["start"]) & (leaves["at"] < spans["end"]), "left_anti")
-    return _findings("infinite_loop", left, F.col("token"))
+    back = {k: F.lag("token", k).over(order) for k in (1, 2, 3, 4)}
+    endless = (back[1] == ")") & (back[2] == "true") & (back[3] == "(") & (back[4] == "while")
+    head = F.when(back[1] == "loop", "loop").when(endless, "while")
+    bodies = bracket_pairs(bracketed(words.withColumn("_head", head), F.col("token").isin(*LEAVES)))
+    return _findings("infinite_loop", bodies.where("token = '{' AND _head IS NOT NULL AND inside = 0"), F.col("_head"))
 
 
-def precision_loss(sources: DataFrame) -> DataFrame:
-    """A product with a bracketed division or a square root; a division that isn't bracketed ends the operand."""
-    text = sanitized(F.coalesce("text", F.lit("")))
-    divided = r"(\([^()]*/[^()]*\)\s*\*)|(\*\s*\([^()]*/[^()]*\))|(sqrt\([^()]*\)\s*\*)|(\*\s*[A-Za-z_:]*sqrt\()"
-    found = sources.select("module", F.explode(F.regexp_extract_all(text, F.lit(divided), F.lit(0))).alias("name"))
-    return _findings("precision_loss", found, F.col("name"))
+def precision_loss(words: DataFrame) -> DataFrame:
+    """A product one of whose operands holds a division or a call of sqrt. A division beside the product ends its operand, so
+    only one in brackets counts, at any depth."""
+    order = Window.partitionBy("module").orderBy("pos")
+    call = (F.col("token") == "sqrt") & F.coalesce(F.col("after") == "(", F.lit(False))
+    marked = bracketed(words, (F.col("token") == "/") | call)
+    marked = marked.withColumn("_before", F.coalesce(F.lag("seen").over(order), F.lit(0)))
+    same = Window.partitionBy("module", "level").orderBy("pos")
+    ends = F.col("token").isin(*ENDS_OPERAND)
+    left = F.last(F.when(ends | F.col("token").isin(*OPENS), F.col("seen")), ignorenulls=True).over(same.rowsBetween(Window.unboundedPreceding, -1))
+    right = F.first(F.when(ends | F.col("token").isin(*CLOSES), F.col("_before")), ignorenulls=True).over(same.rowsBetween(1, Window.unboundedFollowing))
+    whole = F.max("seen").over(Window.partitionBy("module"))
+    rows = marked.withColumn("_left", F.col("_before") - F.coalesce(left, F.lit(0))).withColumn("_right", F.coalesce(right, whole) - F.col("seen"))
+    return _findings("precision_loss", rows.where("token = '*' AND pos > 0 AND (_left > 0 OR _right > 0)"), F.col("token"))
 
 
 def all_findings(sources: DataFrame) -> DataFrame:
     """Findings of all rules."""
     words = tokens(sources)
-    out = precision_loss(sources)
+    out = precision_loss(words)
     for rule in (bool_judgement, unused_constants, unused_structs, unused_private_functions, infinite_loops):
         out = out.unionByName(rule(words))
     return out

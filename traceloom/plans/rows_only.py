@@ -39,7 +39,7 @@ _TAILS = ("", "fun alone() { 1 }", "struct Lost { x: u64 } // struct Comment")
     "source_findings",
     """
     SELECT 'bool_judgement' AS rule, 'info' AS severity, p_partkey AS module, 'true' AS name FROM part WHERE p_size % 5 = 1
-    UNION ALL SELECT 'precision_loss', 'warning', p_partkey, '(k.x / 2) *' FROM part WHERE p_size % 5 = 2
+    UNION ALL SELECT 'precision_loss', 'warning', p_partkey, '*' FROM part WHERE p_size % 5 = 2
     UNION ALL SELECT 'unused_const', 'info', p_partkey, 'LIMIT' FROM part WHERE p_size % 5 = 2
     UNION ALL SELECT 'infinite_loop', 'warning', p_partkey, 'loop' FROM part WHERE p_size % 5 = 3
     UNION ALL SELECT 'unused_private_function', 'info', p_partkey, 'alone' FROM part WHERE p_partkey % 3 = 1
