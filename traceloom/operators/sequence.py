@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from traceloom.scratch import materialize
+
 
 def suffix_duplicates(rows: DataFrame, key: str, order: Sequence[Column | str], out: str) -> DataFrame:
     """Names that are made different by ``-2``, ``-3`` ... in arrival order."""
@@ -100,3 +102,40 @@ def after_key(rows: DataFrame, key: str, cursor, limit: int, descending: bool =
     """Keyset pagination: the next rows beyond the cursor."""
     beyond = F.col(key) < cursor if descending else F.col(key) > cursor
     return rows.where(beyond).orderBy(F.col(key).desc() if descending else F.col(key)).limit(limit)
+
+
+def places(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Add ``place`` (from 0) of each row by an order within its key; a key's rows may be spread over any number of tasks.
+
+    Rows are cut into ranges of the whole order and written; each range counts on from what the ranges before it hold of the
+    key that it continues, which is one row a range at most."""
+    cut = materialize(rows.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    counts = cut.groupBy("_range", *keys).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = counts.select("_range", *(F.col(k).alias(f"_{k}") for k in keys), F.sum("_n").over(before).alias("_before")).where("_before IS NOT NULL").withColumnRenamed("_range", "_of")
+    local = cut.withColumn("_at", F.row_number().over(Window.partitionBy("_range", *keys).orderBy(*order)))
+    same = F.col("_range") == F.col("_of")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    found = local.join(F.broadcast(carried), same, "left")
+    return found.select(*rows.columns, (F.col("_at") - 1 + F.coalesce("_before", F.lit(0))).alias("place"))
+
+
+def sequence_digests(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """(keys, n, digest): one digest for each key's rows in their order.
+
+    Each row is hashed with its place, and four parts of 60 bits of these hashes are added, so digests of any ranges merge by
+    addition, while another order, another row or a missing one gives another digest. Columns of ``order`` are what counts of a
+    row; null is told from the empty text."""
+    placed = places(rows.select(*keys, *order), keys, order)
+    value = [F.coalesce(F.concat(F.octet_length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-")) for c in order]
+    hashed = placed.select(*keys, F.sha2(F.concat_ws("|", F.col("place").cast("string"), *value), 256).alias("_hash"))
+    parts = [F.sum(F.conv(F.substring("_hash", 15 * k + 1, 15), 16, 10).cast("decimal(38,0)")).alias(f"_{k}") for k in range(4)]
+    sums = hashed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *parts)
+    return sums.select(*keys, "n", F.sha2(F.concat_ws("|", F.col("n").cast("string"), *(F.col(f"_{k}").cast("string") for k in range(4))), 256).alias("digest"))
+
+
+def spans_of_edges(rows: DataFrame, keys: Sequence[str], span: Sequence[str]) -> DataFrame:
+    """(keys, span, place, n_times): the distinct spans of each edge in order, numbered from 0, as rows of a table beside it."""
+    distinct = rows.groupBy(*keys, *span).agg(F.count(F.lit(1)).alias("n_times"))
+    return places(distinct, keys, span)

@@ -6,11 +6,12 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from traceloom.operators import dataflow, source_rules
-from traceloom.plans.registry import query, table
+from traceloom.operators import dataflow, sequence, source_rules
+from traceloom.plans.registry import ORACLES, query, table
+from traceloom.plans import trace  # noqa: F401  its SQL states the result of the stream of rollbacks
 from traceloom.scratch import scratch_dir
-from traceloom.sources import tables
-from traceloom.streaming import stateful
+from traceloom.sources import snapshots, tables
+from traceloom.streaming import retraction, stateful
 
 
 @query("dataflow_edges")
@@ -99,3 +100,69 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Debounced bursts as the stream closes them."""
     make = lambda events: stateful.debounced(events.select("user_id", F.col("ts").cast("timestamp").alias("ts")), "user_id", "ts", "6 hours")
     return _streamed(spark, sf_dir, make, "user_id bigint, start timestamp, end timestamp, n bigint")
+
+
+@query("stream_rollbacks", ORACLES["rollback_turns"])
+def stream_rollbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks that no later error took back, as four batches of events add them and take them back."""
+    folder = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
+    events = table(spark, sf_dir, "events").where("event_type IN ('click', 'error')").select("user_id", "event_id", F.when(F.col("event_type") == "error", 1).alias("n"))
+    last = events.agg(F.max("event_id").alias("last")).first()["last"] or 0
+    for k in range(4):
+        events.where(F.floor(F.col("event_id") * 4 / (last + 1)) == k).coalesce(1).write.mode("append").parquet(f"{folder}/events")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/events")
+    retraction.keep_changes(retraction.rollback_changes(stream, "user_id", "event_id", "n"), folder).awaitTermination()
+    return retraction.standing(spark, folder, "user_id", "event_id")
+
+
+@query(
+    "package_snapshots",
+    """
+    WITH one AS (SELECT 'suppliers' AS tab, s_nationkey::VARCHAR AS package_id, s_acctbal AS v FROM supplier UNION ALL SELECT 'customers', c_nationkey::VARCHAR, c_acctbal FROM customer),
+    two AS (SELECT * FROM one WHERE package_id::INTEGER % 3 <> 0 UNION ALL SELECT tab, package_id, v + 1 FROM one WHERE package_id::INTEGER % 3 = 0 AND NOT (tab = 'customers' AND package_id = '3') AND package_id <> '6')
+    SELECT 1 AS snapshot, tab, package_id, count(*) AS n, round(sum(v), 2) AS total FROM one GROUP BY ALL UNION ALL SELECT 2, tab, package_id, count(*), round(sum(v), 2) FROM two GROUP BY ALL
+    """,
+)
+def package_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as packages of two tables: every third one is replaced at once, one of them without customers, one is removed;
+    the snapshot before stays as it was."""
+    root = f"{scratch_dir(spark)}/packages-{uuid.uuid4().hex}"
+    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("package_id"), F.col("s_acctbal").alias("v"))
+    customers = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("package_id"), F.col("c_acctbal").alias("v"))
+    snapshots.commit(spark, root, {"suppliers": suppliers, "customers": customers})
+    again = lambda rows: rows.where("package_id % 3 = 0 AND package_id <> 6").withColumn("v", F.col("v") + 1)
+    snapshots.commit(spark, root, {"suppliers": again(suppliers), "customers": again(customers).where("package_id <> 3")}, removed=spark.createDataFrame([("6",)], "package_id string"))
+    read = lambda k, name: snapshots.read(spark, root, name, k).select(F.lit(k).alias("snapshot"), F.lit(name).alias("tab"), "package_id", "v")
+    rows = read(1, "suppliers").unionByName(read(1, "customers")).unionByName(read(2, "suppliers")).unionByName(read(2, "customers"))
+    return rows.groupBy("snapshot", "tab", "package_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("v"), 2).alias("total"))
+
+
+@query(
+    "graph_digests",
+    """
+    WITH e AS (SELECT l_returnflag AS graph, l_orderkey AS src, l_partkey AS dst, l_linenumber AS span, nullif(l_linestatus, 'O') AS field FROM lineitem),
+    p AS (SELECT graph, sha256(concat_ws('|', row_number() OVER (PARTITION BY graph ORDER BY src, dst, span, field NULLS FIRST) - 1,
+        octet_length(src::VARCHAR::BLOB) || ':' || src, octet_length(dst::VARCHAR::BLOB) || ':' || dst, octet_length(span::VARCHAR::BLOB) || ':' || span, coalesce(octet_length(field::BLOB) || ':' || field, '-'))) AS h FROM e)
+    SELECT graph, count(*) AS n, sha256(concat_ws('|', count(*), sum(('0x' || substr(h, 1, 15))::BIGINT), sum(('0x' || substr(h, 16, 15))::BIGINT), sum(('0x' || substr(h, 31, 15))::BIGINT), sum(('0x' || substr(h, 46, 15))::BIGINT))) AS digest
+    FROM p GROUP BY graph
+    """,
+)
+def graph_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A digest of each graph's edges in their canonical order."""
+    edges = table(spark, sf_dir, "lineitem").select(
+        F.col("l_returnflag").alias("graph"), F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"), F.col("l_linenumber").alias("span"), F.nullif("l_linestatus", F.lit("O")).alias("field")
+    )
+    return sequence.sequence_digests(edges, ["graph"], ["src", "dst", "span", "field"])
+
+
+@query(
+    "edge_spans",
+    """
+    SELECT src, dst, span, row_number() OVER (PARTITION BY src, dst ORDER BY span) - 1 AS place, n_times
+    FROM (SELECT l_suppkey AS src, l_partkey % 10 AS dst, l_quantity::INTEGER AS span, count(*) AS n_times FROM lineitem GROUP BY ALL)
+    """,
+)
+def edge_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct spans of each edge in order, beside the edges."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 10).alias("dst"), F.col("l_quantity").cast("int").alias("span"))
+    return sequence.spans_of_edges(lines, ["src", "dst"], ["span"])
