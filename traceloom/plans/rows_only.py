@@ -10,7 +10,7 @@ from traceloom.operators import dataflow, sequence, source_rules
 from traceloom.plans.registry import ORACLES, query, table
 from traceloom.plans import trace  # noqa: F401  its SQL states the result of the stream of rollbacks
 from traceloom.scratch import scratch_dir
-from traceloom.sources import snapshots, tables
+from traceloom.sources import snapshots, tables, threads
 from traceloom.streaming import retraction, stateful
 
 
@@ -166,3 +166,27 @@ def edge_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The distinct spans of each edge in order, beside the edges."""
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 10).alias("dst"), F.col("l_quantity").cast("int").alias("span"))
     return sequence.spans_of_edges(lines, ["src", "dst"], ["span"])
+
+
+_SOURCES = ("cli", "vscode", "exec", "subagent:review", "subagent:other:x")
+_REQUESTS = (("none", ()), ("interactive", ("vscode",)), ("mixed", ("cli", "subAgent")), ("sub", ("subAgentOther", "exec")))
+
+
+@query(
+    "thread_sources",
+    f"""
+    WITH t AS (SELECT conv_id AS thread, {list(_SOURCES)}[conv_id % 5 + 1] AS source FROM conversations),
+    w AS (SELECT * FROM (VALUES ('none', 'cli'), ('none', 'vscode'), ('interactive', 'vscode'), ('mixed', 'cli'), ('mixed', 'subagent:review'), ('mixed', 'subagent:other:x'), ('sub', 'exec'), ('sub', 'subagent:other:x')) v(request, source))
+    SELECT request, thread, source, count(*) AS n_turns FROM t JOIN w USING (source) GROUP BY ALL
+    """,
+)
+def thread_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as logs by source; requests for interactive kinds read only their folders, others are filtered after."""
+    folder = f"{scratch_dir(spark)}/threads-{uuid.uuid4().hex}"
+    source = F.element_at(F.array(*(F.lit(x) for x in _SOURCES)), (F.col("conv_id") % 5 + 1).cast("int"))
+    table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("thread"), "turn", "role", "text", source.alias("source")).write.partitionBy("source").json(folder)
+    found = None
+    for request, kinds in _REQUESTS:
+        own = threads.thread_logs(spark, folder, kinds).select(F.lit(request).alias("request"), "thread", "source")
+        found = own if found is None else found.unionByName(own)
+    return found.groupBy("request", "thread", "source").agg(F.count(F.lit(1)).alias("n_turns"))
