@@ -367,3 +367,20 @@ def _written(spark, df):
     from traceloom.llm.common import materialize
 
     return materialize(df, "stage")
+
+
+def test_recall_has_a_floor():
+    """Random directions, the worst case: the buckets that 200,000 vectors and some queries meet hold their nearest ones."""
+    n, asked = 200_000, 20
+    x = np.random.default_rng(1).normal(size=(n, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    own, directions = ann.shape(n, 64), ann.directions(x)
+    scores = x[:asked] @ x.T
+    scores[np.arange(asked), np.arange(asked)] = -9
+    nearest = np.argpartition(-scores, ann.TOP, axis=1)[:, : ann.TOP]
+    met = np.zeros(nearest.shape, bool)
+    for table in range(ann.TABLES):
+        probed = ann.probes(directions[:asked], own, table)
+        for k in range(asked):
+            met[k] |= np.isin(ann.buckets(directions[nearest[k]], own, table), probed[k])
+    assert met.mean() >= 0.93

@@ -38,7 +38,7 @@ TOP = 20
 TABLES = 4
 #: Vectors of a bucket, about; the share of a table's buckets that a query probes in a band of 2,000 vectors, and the
 #: power of the number of vectors with which this share falls.
-BUCKET, PROBES, FALL = 4, 0.28, 0.5
+BUCKET, PROBES, FALL = 4, 0.28, 0.42
 #: Vectors of a band that every query meets.
 SMALL = 1_000
 #: Candidates and queries of one group.
