@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # What the complexity score counts, one point each.
 BRANCH_WORDS = ("if", "while", "loop", "match", "abort")
@@ -38,6 +38,18 @@ def complexity(source: Column, type_parameters: Column, callable_: Column) -> Co
     return counted + type_parameters + F.when(callable_, 2).otherwise(0)
 
 
+# Scores above which a function, one that transactions call, and a module are reported.
+FUNCTION_LIMIT, ENTRY_LIMIT, MODULE_LIMIT = 15, 12, 80
+
+
+def complexities(functions: DataFrame, module: str, source: str, type_parameters: Column, callable_: Column) -> DataFrame:
+    """Add ``score`` and ``above`` of each function, and ``module_score`` and ``module_above`` of all functions of its module;
+    modules' sums are aggregated and joined back."""
+    scored = functions.withColumn("score", complexity(F.col(source), type_parameters, callable_)).withColumn("above", F.col("score") > F.when(callable_, ENTRY_LIMIT).otherwise(FUNCTION_LIMIT))
+    sums = scored.groupBy(module).agg(F.sum("score").alias("module_score"))
+    return scored.join(sums, module).withColumn("module_above", F.col("module_score") > MODULE_LIMIT)
+
+
 def first_match(rules: Sequence[tuple[Column, str]], default: str) -> Column:
     """The label of the first rule that holds."""
     chosen = F.lit(default)

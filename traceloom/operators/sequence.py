@@ -60,6 +60,26 @@ def head_tail(text: Column, budget: int) -> tuple[Column, Column, Column]:
     return first, last, F.greatest(F.lit(0), rest - tail).cast("long")
 
 
+def group_head_tail(rows: DataFrame, key: str, order: str, text: str, budget: int) -> DataFrame:
+    """(key, head, tail, omitted): ``head_tail`` of the texts of each key put together, null being empty.
+
+    Running sums of bytes tell what of a row lies in the head and in the tail; only these pieces, which are no longer than the
+    budget in all, meet in one place."""
+    head, tail = budget // 2, budget - budget // 2
+    size = F.octet_length(F.coalesce(text, F.lit(""))).cast("long")
+    sized = rows.select(key, order, F.col(text).cast("binary").alias("_data"), size.alias("_size"))
+    earlier = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = sized.withColumn("_before", F.coalesce(F.sum("_size").over(earlier), F.lit(0))).withColumn("_total", F.sum("_size").over(Window.partitionBy(key)))
+    at = lambda c: c.cast("int")
+    first = F.greatest(F.lit(head), F.col("_total") - tail)
+    begins = F.greatest(F.lit(0), first - F.col("_before"))
+    front = F.when((F.col("_size") > 0) & (F.col("_before") < head), F.substr("_data", F.lit(1), at(F.lit(head) - F.col("_before"))))
+    back = F.when((F.col("_size") > 0) & (F.col("_before") + F.col("_size") > first), F.substr("_data", at(begins + 1), at(F.col("_size") - begins)))
+    cut = placed.select(key, order, front.alias("_front"), back.alias("_back"), "_total")
+    joined = lambda c: F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct(order, F.hex(c).alias("h"))))), lambda x: x["h"]), ""))
+    return cut.groupBy(key).agg(joined("_front").alias("head"), joined("_back").alias("tail"), F.greatest(F.lit(0), F.max("_total") - budget).cast("long").alias("omitted"))
+
+
 def _with_heights(rows: DataFrame, key: str, order: str, change: Column) -> DataFrame:
     """Add ``_height``, the size of each key's stack after a row, and ``_lowest``, the least size after any later row.
 

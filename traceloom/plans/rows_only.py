@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from traceloom.functions import scoring
 from traceloom.operators import dataflow, sequence, source_rules
 from traceloom.plans.registry import ORACLES, query, table
 from traceloom.plans import trace  # noqa: F401  its SQL states the result of the stream of rollbacks
@@ -190,3 +191,23 @@ def thread_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         own = threads.thread_logs(spark, folder, kinds).select(F.lit(request).alias("request"), "thread", "source")
         found = own if found is None else found.unionByName(own)
     return found.groupBy("request", "thread", "source").agg(F.count(F.lit(1)).alias("n_turns"))
+
+
+_PIECES = ("k.x", "if (k.x == 1) { while_ } else { abort 1 }", "assert!(k.x > 0 && k.y || k.z, 1)", "transfer::share_object(k); object::new(ctx)", "loop { match (k) { table::add(t) } }", "#while (true) { bag::x /* if */ }")
+_POINTS = (0, 2, 3, 3, 3, 1)
+
+
+@query(
+    "function_complexity",
+    f"""
+    WITH f AS (SELECT p_partkey AS function, p_brand AS module, 1 + {list(_POINTS)}[p_size % 6 + 1] + {list(_POINTS)}[p_partkey % 6 + 1] * (p_size % 4) + p_size % 3 + CASE WHEN p_partkey % 5 = 0 THEN 2 ELSE 0 END AS score, p_partkey % 5 = 0 AS callable FROM part)
+    SELECT function, module, score, score > CASE WHEN callable THEN 12 ELSE 15 END AS above, sum(score) OVER (PARTITION BY module) AS module_score, sum(score) OVER (PARTITION BY module) > 80 AS module_above FROM f
+    """,
+)
+def function_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The complexity of each part's function by what its source says, and of its module, against their thresholds."""
+    pick = lambda at: F.element_at(F.array(*(F.lit(x) for x in _PIECES)), (at % 6 + 1).cast("int"))
+    key, size = F.col("p_partkey"), F.col("p_size")
+    source = F.concat(F.lit("fun f() { "), pick(size), F.lit("; "), F.repeat(F.concat(pick(key), F.lit("; ")), size % 4), F.lit("// while &&\n}"))
+    parts = table(spark, sf_dir, "part").select(key.alias("function"), F.col("p_brand").alias("module"), source.alias("source"), (size % 3).alias("types"), (key % 5 == 0).alias("callable"))
+    return scoring.complexities(parts.withColumn("source", source_rules.sanitized(F.col("source"))), "module", "source", F.col("types"), F.col("callable")).select("function", "module", "score", "above", "module_score", "module_above")

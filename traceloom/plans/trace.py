@@ -199,10 +199,8 @@ def drop_last_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def head_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first and last bytes of each conversation under a budget of 256."""
-    ordered = F.array_sort(F.collect_list(F.struct("turn", "text")))
-    whole = turns(spark, sf_dir).groupBy("conv_id").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "").alias("whole"))
-    head, tail, omitted = sequence.head_tail(F.col("whole"), 256)
-    return whole.select("conv_id", F.sha2(head, 256).alias("head_sha256"), F.sha2(tail, 256).alias("tail_sha256"), omitted.alias("omitted"))
+    cut = sequence.group_head_tail(turns(spark, sf_dir), "conv_id", "turn", "text", 256)
+    return cut.select("conv_id", F.sha2("head", 256).alias("head_sha256"), F.sha2("tail", 256).alias("tail_sha256"), "omitted")
 
 
 @query("latest_usage", "SELECT conv_id, max(turn) AS turn, arg_max(strlen(text), turn)::BIGINT AS bytes FROM conversations WHERE role = 'assistant' GROUP BY conv_id")
