@@ -9,18 +9,23 @@ from pyspark.sql import Column, functions as F
 from pyspark.sql.types import DataType
 
 
-def _depths(text: Column, opens: str, closes: str) -> Column:
-    """How deep each character's bracket nesting is after it, as an array."""
+def _scan(text: Column, opens: str, closes: str, wanted: str) -> Column:
+    """Places (from 1) of ``wanted`` that stand at nesting 0 once they are counted themselves; only places found are kept, so
+    long texts take time in proportion."""
     step = lambda c: F.when(F.instr(F.lit(opens), c) > 0, 1).when(F.instr(F.lit(closes), c) > 0, -1).otherwise(0)
-    start = F.array().cast("array<int>")
-    return F.aggregate(F.split(text, ""), start, lambda all_, c: F.concat(all_, F.array(F.coalesce(F.try_element_at(all_, F.lit(-1)), F.lit(0)) + step(c))))
+
+    def add(s: Column, c: Column) -> Column:
+        depth, place = s["depth"] + step(c), s["place"] + 1
+        found = F.when((c == wanted) & (depth == 0), F.concat(s["found"], F.array(place))).otherwise(s["found"])
+        return F.struct(depth.alias("depth"), place.alias("place"), found.alias("found"))
+
+    zero = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("place"), F.array().cast("array<int>").alias("found"))
+    return F.aggregate(F.split(text, ""), zero, add)["found"]
 
 
 def split_top_level(text: Column, delimiter: str) -> Column:
     """Pieces between delimiters that no bracket of <([ encloses; for short texts such as signatures."""
-    depths = _depths(text, "<([", ">)]")
-    places = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
-    inner = F.filter(places, lambda i: (F.substr(text, i, F.lit(1)) == delimiter) & (F.try_element_at(depths, i) == 0))
+    inner = _scan(text, "<([", ">)]", delimiter)
     ends = F.concat(inner, F.array(F.length(text) + 1))
     begins = lambda k: F.when(k == 0, 1).otherwise(F.try_element_at(ends, F.greatest(k, F.lit(1))) + 1)
     return F.when(text.isNotNull(), F.transform(ends, lambda e, k: F.substr(text, begins(k), e - begins(k))))
@@ -30,9 +35,8 @@ def function_parameters(signature: Column) -> Column:
     """What stands in the first pair of matching parentheses; null without one."""
     start = F.locate("(", signature)
     rest = F.substr(signature, start)
-    depths = _depths(rest, "(", ")")
-    close = F.array_position(depths, F.lit(0))
-    return F.when((start > 0) & (close > 0), F.substr(rest, F.lit(2), (close - 2).cast("int")))
+    close = F.try_element_at(_scan(rest, "(", ")", ")"), F.lit(1))
+    return F.when((start > 0) & close.isNotNull(), F.substr(rest, F.lit(2), close - 2))
 
 
 def refers_to_type(source: Column, type_name: Column) -> Column:
