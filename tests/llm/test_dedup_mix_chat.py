@@ -170,8 +170,15 @@ RECORDS = [
     ('{"conversations":[{"from":"human","value":"hi"},{"from":"gpt","value":"yo"}]}', [("user", "hi"), ("assistant", "yo")]),
     ('{"instruction":"a<|im_end|>","output":"b","meta":{"prompt":"q"}}', [("user", "a<|im_end|>"), ("assistant", "b")]),
     ('{"system":"s","prompt":"p","response":"r"}', [("system", "s"), ("user", "p"), ("assistant", "r")]),
+    ('{"instruction":"a","output":"b","meta":{"a":{"b":{"x":"1"}},"prompt":"q"}}', [("user", "a"), ("assistant", "b")]),
+    ('{"instruction":"a","output":"b","meta":{"a":{"b":{"c":{"d":1}}},"input":"q"}}', [("user", "a"), ("assistant", "b")]),
+    ('{"turns":[{"role":"user","text":"q","meta":[{"role":"x"}]},{"role":"assistant","text":"a"}],"OBJECT<":{"prompt: ":1.5}}', [("user", "q"), ("assistant", "a")]),
     ('{"foo":1}', []),
+    ('{"messages":[]}', []),
+    ('{"messages":[{"role":"user","content":"q"},7]}', []),
     ("[1]", []),
+    ("null", []),
+    (None, []),
     ("{}", []),
 ]
 
@@ -184,6 +191,35 @@ def test_chat_layouts_and_round_trip(spark, index):
     assert [tuple(t) for t in row["turns"]] == turns == [tuple(t) for t in row["back"]]
 
 
+def test_chat_paths_at_any_depth(spark):
+    deep = '{"a":' * 30 + '{"role":"x"}' + "}" * 30
+    texts = ['{"b":{"c":[[{"d":1,"e f":{}}],[]],"a`b":null},"b.c":2.5,"OBJECT":{"ARRAY":[]}}', deep, "{}", "3"]
+    given = spark.createDataFrame([(t,) for t in texts], "j string").select(F.parse_json("j").alias("r"))
+    found = [row[0] for row in given.select(chat.field_paths(F.col("r"))).collect()]
+    assert found[0] == sorted(["b", "b.c", "b.c[][].d", "b.c[][].`e f`", "b.`a``b`", "`b.c`", "OBJECT", "OBJECT.ARRAY"])
+    assert found[1] == sorted([".".join("a" * k) for k in range(1, 31)] + [".".join("a" * 30) + ".role"])
+    assert found[2:] == [[], []]
+
+
+def test_chat_layout_within_others_and_table_of_fingerprints(spark):
+    layouts = (*chat.LAYOUTS, chat.Layout("inner", array="data.log.items", role="who", text="what"))
+    texts = ['{"data":{"log":{"items":[{"who":"user","what":"q"},{"who":"tool","what":null}]}}}', '{"prompt":"p","response":"r"}', '{"prompt":"p","response":"r","id":1}', '{"id":1}']
+    given = spark.createDataFrame([(t,) for t in [*texts, texts[1]]], "j string").select(F.parse_json("j").alias("r"), F.lit(1).alias("layout"))
+    row = chat.format_records(given, "r", layouts).first()
+    assert [tuple(t) for t in row["turns"]] == [("user", "q"), ("tool", "")]
+    table = {tuple(row["paths"]): (row["layout"], row["n_records"]) for row in chat.fingerprint_table(given, "r", layouts).collect()}
+    assert table[("prompt", "response")] == ("prompt_response", 2) and table[("id", "prompt", "response")] == ("prompt_response", 1)
+    assert table[("id",)] == (None, 1) and len(table) == 4 and any(name == "inner" for name, _ in table.values())
+
+
+def test_chat_is_native_and_empty_tables_stay_empty(spark):
+    given = spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")
+    found = chat.digests(chat.format_records(chat.conversations_as_records(given), "record"))
+    plan = found._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+    assert found.count() == 0 and found.columns[:3] == ["conv_id", "n_turns", "turns_sha256"]
+
+
 def test_chat_roles_are_reversible(spark):
     roles = ["a\nb", "a\\nb", "a\\\nb", "\x00", "\\\\n\n\\", "<|x", "n", "\\", "\n\n"]
     given = spark.createDataFrame([(r,) for r in roles], "r string")

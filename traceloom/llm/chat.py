@@ -1,8 +1,11 @@
 """Chat formatting with schema fingerprints. Native: DataFrame functions only.
 
-A record in any layout (flat prompt columns, instruction columns, nested message arrays) becomes a VARIANT,
-whose schema lists the nested field paths. The paths that some layout knows are hashed to a fingerprint, and
-the fingerprint selects the declarative mapping that reads canonical turns (role, text) out of the record.
+A record in any layout (flat prompt columns, instruction columns, nested message arrays) becomes a VARIANT.
+Its schema is walked level by level, which gives every field's whole path from the root at any depth; their
+sorted list is hashed to the record's fingerprint. Those of the paths that some layout names are hashed again,
+and that hash is looked up among the layouts' own fingerprints: it selects the declarative mapping that reads
+canonical turns (role, text) out of the record. ``fingerprint_table`` lists the fingerprints of a table of
+records with the layouts that they select.
 The template marks turns as
 
     <|im_start|>role\\ntext<|im_end|>\\n
@@ -10,8 +13,10 @@ The template marks turns as
 and escapes what texts hold of it: a backslash goes between ``<`` and ``|`` wherever a text has ``<``, any
 number of backslashes and ``|``, so that no text holds ``<|``; taking one backslash out again restores it.
 
-Defined cases: a null role or text is empty; records whose fingerprint no mapping knows give no turns (an
-empty array); rows of a conversation are ordered by turn (null last), then role, then text, so that ties and
+Defined cases: a null role or text is empty; records whose paths fit no mapping, null records and those that
+are no objects give no turns (an empty array); fields beside or within others that no mapping names at their
+whole path change the fingerprint, but not the turns; an array of objects and other values has no paths within;
+rows of a conversation are ordered by turn (null last), then role, then text, so that ties and
 repeated rows have one order; a null conversation id is a conversation; columns that no mapping names are not
 looked at; an empty table gives an empty result.
 """
@@ -57,31 +62,55 @@ LAYOUTS = (
 )
 
 
-def fingerprint_of(paths: tuple[str, ...]) -> Column:
-    return F.xxhash64(F.lit("\n".join(sorted(paths))))
+def fingerprint_of(paths: Column) -> Column:
+    """Hash of sorted paths."""
+    return F.xxhash64(F.array_join(paths, "\n"))
 
 
-def fingerprint(record: Column, layouts: tuple[Layout, ...] = LAYOUTS) -> Column:
-    """Hash of the record's nested field paths that some layout names. ``record``: a VARIANT.
+def field_paths(record: Column) -> Column:
+    """The sorted whole paths of a VARIANT's fields: a, a.b, a[].b (in any element); odd names stay in backticks."""
+    # The schema of a VARIANT reads OBJECT<a: ARRAY<OBJECT<b: STRING>>, c: BIGINT>; names and brackets are its walk.
+    steps = F.regexp_extract_all(F.schema_of_variant(record), F.lit(r"(?:`(?:[^`]|``)*`|[^\s<>,:`]+): |OBJECT<|ARRAY<|>"), F.lit(0))
+    texts = F.array().cast("array<string>")
+    start = F.struct(texts.alias("open"), F.lit("").alias("at"), texts.alias("paths"))
 
-    A path a.b or a[].b is there if the record has a value at it (for arrays: in any element)."""
-    known = sorted({path for layout in layouts for path in layout.paths})
-    # The schema of a VARIANT reads OBJECT<a: ARRAY<OBJECT<b: STRING>>, c: BIGINT>, keys sorted.
-    schema = F.schema_of_variant(record)
+    def walk(state: Column, step: Column) -> Column:
+        """``open``: the paths of the brackets around this place, innermost last; ``at``: the path of the last name."""
+        outer = F.coalesce(F.try_element_at(state["open"], F.lit(-1)), F.lit(""))
+        name = F.concat(outer, F.when(outer == "", "").otherwise("."), F.regexp_replace(step, ": $", ""))
+        inner = F.when(step == "ARRAY<", F.concat(state["at"], F.lit("[]"))).otherwise(state["at"])
+        closed = F.struct(F.slice(state["open"], F.lit(1), F.greatest(F.lit(0), F.size(state["open"]) - 1)).alias("open"), state["at"].alias("at"), state["paths"].alias("paths"))
+        opened = F.struct(F.array_append(state["open"], inner).alias("open"), inner.alias("at"), state["paths"].alias("paths"))
+        named = F.struct(state["open"].alias("open"), name.alias("at"), F.array_append(state["paths"], name).alias("paths"))
+        return F.when(step == ">", closed).when(step.isin("OBJECT<", "ARRAY<"), opened).otherwise(named)
 
-    def present(path: str) -> Column:
-        if "[]." in path:
-            array, field = path.split("[].")
-            objects = F.regexp_extract(schema, rf"^OBJECT<(?:.*[ <])?{array}: ARRAY<OBJECT<([^<>]*)>>", 1)
-            return F.concat(F.lit(", "), objects).contains(f", {field}: ")
-        return F.regexp_like(F.regexp_replace(schema, r"(ARRAY|[^^]OBJECT)<[^<>]*(<[^<>]*>)?[^<>]*>", "$1"), F.lit(rf"[<\s]{path}: "))
+    return F.coalesce(F.array_sort(F.aggregate(steps, start, walk, lambda state: state["paths"])), texts)
 
-    found = F.array_compact(F.array(*(F.when(present(path), F.lit(path)) for path in known)))
-    return F.xxhash64(F.array_join(found, "\n"))
 
+def selector(paths: Column, layouts: tuple[Layout, ...] = LAYOUTS) -> Column:
+    """Hash of those of a record's paths that some layout names; equal to the fingerprint of the layout that fits."""
+    known = F.array(*(F.lit(path) for path in sorted({path for layout in layouts for path in layout.paths})))
+    return fingerprint_of(F.array_sort(F.array_intersect(paths, known)))
 
-def canonical_turns(record: Column, print_: Column, layouts: tuple[Layout, ...] = LAYOUTS) -> Column:
-    """array<struct<role, text>> by the mapping that the fingerprint selects."""
+
+def declared(layout: Layout) -> Column:
+    return fingerprint_of(F.array(*(F.lit(path) for path in layout.paths)))
+
+
+def layout_name(selected: Column, layouts: tuple[Layout, ...] = LAYOUTS) -> Column:
+    """The layout that a selector names; null if there is none."""
+    return F.coalesce(*(F.when(selected == declared(layout), F.lit(layout.name)) for layout in layouts))
+
+
+def fingerprint_table(records: DataFrame, record_col: str, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
+    """(fingerprint, paths, layout, n_records): each schema of the records, and the mapping that it selects (null: none)."""
+    paths = records.select(field_paths(F.col(record_col)).alias("paths")).select(fingerprint_of(F.col("paths")).alias("fingerprint"), "paths")
+    counted = paths.groupBy("fingerprint", "paths").agg(F.count(F.lit(1)).alias("n_records"))
+    return counted.select("fingerprint", "paths", layout_name(selector(F.col("paths"), layouts), layouts).alias("layout"), "n_records")
+
+
+def canonical_turns(record: Column, selected: Column, layouts: tuple[Layout, ...] = LAYOUTS) -> Column:
+    """array<struct<role, text>> by the mapping that the selector names."""
     kind = "array<struct<role:string,text:string>>"
     chosen = F.lit(None).cast(kind)
     for layout in reversed(layouts):
@@ -90,7 +119,7 @@ def canonical_turns(record: Column, print_: Column, layouts: tuple[Layout, ...]
             turns = F.transform(rows, _reader(layout))
         else:
             turns = F.array(*(F.struct(F.lit(role).alias("role"), F.coalesce(F.try_variant_get(record, f"$.{path}", "string"), F.lit("")).alias("text")) for role, path in layout.flat))
-        chosen = F.when(print_ == fingerprint_of(layout.paths), turns.cast(kind)).otherwise(chosen)
+        chosen = F.when(selected == declared(layout), turns.cast(kind)).otherwise(chosen)
     return F.coalesce(chosen, F.array().cast(kind))
 
 
@@ -144,11 +173,10 @@ def parse(formatted: Column) -> Column:
 
 def format_records(records: DataFrame, record_col: str, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
     """Add ``fingerprint``, ``turns`` and ``formatted`` to a table with a VARIANT column of records."""
-    return (
-        records.withColumn("fingerprint", fingerprint(F.col(record_col), layouts))
-        .withColumn("turns", canonical_turns(F.col(record_col), F.col("fingerprint"), layouts))
-        .withColumn("formatted", render(F.col("turns")))
-    )
+    paths = records.withColumn("fingerprint", field_paths(F.col(record_col)))
+    prints = paths.withColumn("fingerprint", F.struct(fingerprint_of(F.col("fingerprint")).alias("own"), selector(F.col("fingerprint"), layouts).alias("selected")))
+    turns = prints.withColumn("turns", canonical_turns(F.col(record_col), F.col("fingerprint.selected"), layouts)).withColumn("fingerprint", F.col("fingerprint.own"))
+    return turns.withColumn("formatted", render(F.col("turns")))
 
 
 def conversations_as_records(rows: DataFrame) -> DataFrame:
