@@ -9,9 +9,9 @@ least against its own, summed over the rotations, and what it meets is ranked by
 vectors in double precision.
 
 Directions say nothing of norms, so vectors are first told apart by their length and by bands of norms (half powers of
-two), and each band has buckets and probes of its own. A band of SMALL vectors at most is one bucket, which every query
-meets: outliers and small tables are searched whole. A query that has met fewer than it needs is held against all
-vectors of its length.
+two), and each band has buckets and probes of its own, by one rule at every size: the fewer vectors, the larger the share
+of buckets that is probed, up to all of them for a few dozen outliers. A query that has met fewer than it needs is held
+against all vectors of its length.
 
 Equal vectors are one vector from here on: it stands for its smallest TOP + 1 ids, as ties go to smaller ids. Buckets
 that follow each other form a group of about CANDIDATES vectors; a query goes to a group once, with all buckets that it
@@ -39,8 +39,6 @@ TABLES = 4
 #: Vectors of a bucket, about; the share of a table's buckets that a query probes in a band of 2,000 vectors, and the
 #: power of the number of vectors with which this share falls.
 BUCKET, PROBES, FALL = 4, 0.28, 0.42
-#: Vectors of a band that every query meets.
-SMALL = 1_000
 #: Candidates and queries of one group.
 CANDIDATES, QUERIES = 4_000, 2_000
 #: Pairs whose products are taken at a time, and found ones that a task holds before it keeps the best of each query.
@@ -69,9 +67,7 @@ class Shape:
 
 
 def shape(count: int, length: int, probes: float = PROBES) -> Shape:
-    """One bucket for a small band; else enough axes for BUCKET vectors a bucket, and a falling share of them probed."""
-    if count <= SMALL:
-        return Shape((), 1, 1)
+    """Enough axes for BUCKET vectors a bucket, and a falling share of the buckets probed."""
     full = 2 << max(0, length - 1).bit_length()
     wanted, axes = max(2, count // BUCKET), []
     while wanted > 1 and len(axes) < 8:
