@@ -158,6 +158,81 @@ def test_merged_gaps(spark):
     assert got == {1: [{"capability": "net", "reason": "c", "provider": "q"}, {"capability": "disk", "reason": "b", "provider": "p"}], 2: [{"capability": "x"}]}
 
 
+def _replay_by_hand(items, claims, finishes, evidence):
+    """One event after the other; claims come ahead of finishes of the same time."""
+    stored = {(e[0], e[1]): e for e in evidence}
+    state = {(i[0], i[1]): {"place": i[2], "stage": i[3], "status": "pending", "by": None, "at": None, "evidence": list(i[6] or [])} for i in items}
+    fixed, outcomes, runs = {(i[0], i[1]): (i[4] or [], i[5] or []) for i in items}, {}, {}
+    events = sorted([(c[3], 0, c[1], c) for c in claims] + [(f[6], 1, f[0], f) for f in finishes], key=lambda e: e[:3])
+    for time, kind, _, event in events:
+        if kind == 0:
+            run, worker, stage, _ = event
+            waiting = sorted((s["place"], key) for key, s in state.items() if key[0] == run and s["status"] == "pending" and (stage is None or s["stage"] == stage))
+            if waiting:
+                own = state[waiting[0][1]]
+                own |= {"status": "claimed", "by": worker, "at": time}
+                runs[run] = own["stage"]
+            continue
+        request, run, item, worker, status, cited, _ = event
+        own, outcome = state.get((run, item)), status
+        if status not in ledger.FINISHED:
+            outcome = "invalid_status"
+        elif any((run, c) not in stored for c in cited):
+            outcome = "evidence_not_found"
+        elif own is None:
+            outcome = "item_not_found"
+        elif own["by"] is None or own["by"] != worker:
+            outcome = "claimed_by_other"
+        elif status == "completed" and fixed[run, item][0]:
+            outcome = "unavailable_capabilities"
+        elif status == "completed" and fixed[run, item][1]:
+            known = [stored[run, c] for c in {*own["evidence"], *cited} if (run, c) in stored]
+            if not any(e[2] == item and e[3] in fixed[run, item][1] and not e[4] for e in known):
+                outcome = "missing_evidence"
+        outcomes[request] = outcome
+        if outcome in ledger.FINISHED:
+            own |= {"status": outcome, "at": time, "evidence": own["evidence"] + cited}
+            waiting = sorted((s["place"], s["stage"]) for key, s in state.items() if key[0] == run and s["status"] == "pending")
+            runs[run] = waiting[0][1] if waiting else runs[run]
+    return outcomes, state, runs
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_replayed_work(spark, seed):
+    rng = random.Random(seed)
+    runs = ["any", "staged", "quiet"]
+    items = [(run, f"i{k}", k, rng.choice("abc"), rng.choice([None, [], [], ["shell"]]), rng.choice([None, ["replay"], ["replay", "trace"]]), rng.choice([None, [f"{run}{k % 9}"]])) for run in runs for k in range(25)]
+    times = iter(rng.sample(range(1000), 400))
+    claims = [(run, rng.choice("vw"), None if run == "any" else rng.choice("abcz"), next(times)) for run in runs[:2] for _ in range(24)]
+    finishes = [(f"f{k}", rng.choice(runs), f"i{rng.randrange(26)}", rng.choice("vw"), rng.choice(["completed"] * 4 + ["failed", "blocked", "pending"]), [], next(times)) for k in range(250)]
+    finishes = [(*f[:5], [f"{f[1]}{rng.randrange(31)}" for _ in range(rng.randrange(3))], f[6]) for f in finishes]
+    evidence = [(run, f"{run}{k}", f"i{rng.randrange(25)}" if k % 3 else f"i{k}", rng.choice(["replay", "trace", "review"]), rng.random() < 0.3) for run in runs for k in range(30)]
+    outcomes, state, stages = _replay_by_hand(items, claims, finishes, evidence)
+    lists = "unavailable array<string>, methods array<string>, evidence array<string>"
+    frames = [
+        spark.createDataFrame(items, f"run string, item string, place int, stage string, {lists}"), spark.createDataFrame(claims, "run string, worker string, stage string, time int"),
+        spark.createDataFrame(finishes, "request string, run string, item string, worker string, status string, cited array<string>, time int"),
+        spark.createDataFrame(evidence, "run string, evidence string, item string, method string, submitted_by_model boolean"),
+    ]
+    told, left = ledger.replayed_work(*frames)
+    assert {r["request"]: r["outcome"] for r in told.collect()} == outcomes
+    assert {"completed", "missing_evidence", "claimed_by_other", "failed"} <= set(outcomes.values())
+    rows = {(r["run"], r["item"]): r for r in left.collect()}
+    assert len(rows) == len(items)
+    for key, own in state.items():
+        row = rows[key]
+        assert (row["status"], row["claimed_by"], row["updated_at"], row["n_evidence"]) == (own["status"], own["by"], own["at"], len(set(own["evidence"])))
+    assert {r["run"]: r["current_stage"] for r in ledger.run_states(left).collect() if r["current_stage"]} == stages
+
+
+def test_claims_of_both_kinds_are_refused(spark):
+    items = spark.createDataFrame([("r", "i", 1, "a")], "run string, item string, place int, stage string")
+    claims = spark.createDataFrame([("r", "w", None, 1), ("r", "w", "a", 2)], "run string, worker string, stage string, time int")
+    with pytest.raises(Exception, match="with and without stages in run r"):
+        ledger.claimed_items(items, claims).collect()
+    assert ledger.claimed_items(items, claims.limit(0)).first()["claimed_by"] is None
+
+
 def test_finish_outcomes(spark):
     items = [("r", "free", None, None, None, None), ("r", "plain", "w", None, None, None), ("r", "gap", "w", ["shell"], None, None), ("r", "proof", "w", [], ["replay"], ["held"]), ("r", "own", "w", [], ["replay"], ["mine"])]
     evidence = [("r", "held", "proof", "replay", False), ("r", "mine", "own", "replay", True), ("r", "else", "proof", "replay", False), ("q", "far", "own", "replay", False)]

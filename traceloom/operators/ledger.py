@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from traceloom.operators.containment import item_set, superset_counts
+from traceloom.operators.sequence import numbered
+from traceloom.scratch import materialize
 
 
 def queue_head(items: DataFrame, key: str, order: Sequence[str], item: str, done: Column) -> DataFrame:
@@ -91,6 +93,11 @@ def finish_outcomes(requests: DataFrame, items: DataFrame, evidence: DataFrame)
     evidence_not_found (in the run), item_not_found, claimed_by_other, and for a completion unavailable_capabilities and
     missing_evidence (methods are asked for, and no evidence of the item that the model did not submit itself uses one
     of them); else the new status. A null array is empty."""
+    return _judged(requests, items, evidence).select("request", "outcome")
+
+
+def _judged(requests: DataFrame, items: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Requests with their outcomes, and whether their own or their item's evidence proves it (proven)."""
     listed = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
     states = items.select("run", "item", "claimed_by", listed("unavailable").alias("unavailable"), listed("methods").alias("methods"), listed("evidence").alias("_held"), F.lit(True).alias("_known"))
     wanted = requests.join(states, ["run", "item"], "left").withColumn("_held", listed("_held")).withColumn("cited", listed("cited"))
@@ -106,4 +113,70 @@ def finish_outcomes(requests: DataFrame, items: DataFrame, evidence: DataFrame)
         .when(~F.col("claimed_by").eqNullSafe(F.col("worker")) | F.col("claimed_by").isNull(), "claimed_by_other").when(completes & (F.size("unavailable") > 0), "unavailable_capabilities")
         .when(completes & (F.size("methods") > 0) & ~F.coalesce(F.col("_proven"), F.lit(False)), "missing_evidence").otherwise(F.col("status"))
     )
-    return rows.select("request", outcome.alias("outcome"))
+    return rows.select(*requests.columns, outcome.alias("outcome"), F.coalesce("_proven", F.lit(False)).alias("proven"))
+
+
+FINISHED = ("completed", "failed", "blocked")
+
+
+def claimed_items(items: DataFrame, claims: DataFrame) -> DataFrame:
+    """Items with claimed_by and claimed_at, null if no claim got them.
+
+    items: run, item, place, stage; claims: run, worker, stage, time. A claim takes the first item (by place, item) of its run and
+    stage that is still pending, of any stage if it names none; with nothing pending it takes nothing. Claimed items never become
+    pending again, so the k-th claim of a queue (by time, worker) takes its k-th item. In a run, either all claims name a
+    stage or none does; a run with both has no such order, and the job fails."""
+    kinds = claims.groupBy("run").agg(F.bool_and(F.col("stage").isNull()).alias("_any"), F.count_if(F.col("stage").isNull()).alias("_none"), F.count(F.lit(1)).alias("_all"))
+    both = (F.col("_none") > 0) & (F.col("_none") < F.col("_all"))
+    kinds = kinds.select("run", F.when(both, F.raise_error(F.concat(F.lit("claims with and without stages in run "), F.col("run").cast("string"))).cast("boolean")).otherwise(F.col("_any")).alias("_any"))
+    queued = items.join(kinds, "run", "left").withColumn("_queue", F.when(F.col("_any"), "").otherwise(F.col("stage"))).drop("_any")
+    waiting = numbered(queued.where(F.col("_queue").isNotNull()), ["run", "_queue"], ["place", "item"], "_k").select("run", "item", "_queue", "_k")
+    asking = numbered(claims.select("run", "worker", "time", F.coalesce("stage", F.lit("")).alias("_queue")), ["run", "_queue"], ["time", "worker"], "_k")
+    taken = waiting.join(asking, ["run", "_queue", "_k"]).select("run", "item", F.col("worker").alias("claimed_by"), F.col("time").alias("claimed_at"))
+    return items.join(taken, ["run", "item"], "left")
+
+
+def replayed_work(items: DataFrame, claims: DataFrame, finishes: DataFrame, evidence: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A ledger's claims and finishes, replayed in order of time without going through them one by one: outcomes and items.
+
+    items: run, item, place, stage, unavailable, methods, evidence (arrays), all pending at first; claims as ``claimed_items`` takes
+    them; finishes: request, run, item, worker, status, cited (array), time; evidence as ``finish_outcomes`` takes it.
+
+    outcomes: the finishes with ``outcome``. A finish meets the claims up to its own time. What earlier accepted finishes of
+    its item cited counts as the item's evidence: a completion that lacks a proof is complete if one of these brought it.
+    items: run, item, stage, place, status (pending, claimed, or that of the last accepted finish), claimed_by, attempts,
+    updated_at and n_evidence (different evidence held and cited by accepted finishes)."""
+    held = materialize(claimed_items(items, claims), "claimed")
+    at = held.select("run", "item", "claimed_at")
+    asked = finishes.join(at, ["run", "item"], "left").withColumn("_named", F.col("worker")).withColumn("worker", F.when(F.col("claimed_at") <= F.col("time"), F.col("worker"))).drop("claimed_at")
+    judged = _judged(asked, held, evidence).withColumn("worker", F.col("_named")).drop("_named")
+    before = Window.partitionBy("run", "item").orderBy("time", "request").rowsBetween(Window.unboundedPreceding, -1)
+    brought = F.coalesce(F.bool_or(F.col("proven") & F.col("outcome").isin(*FINISHED)).over(before), F.lit(False))
+    outcome = F.when((F.col("outcome") == "missing_evidence") & brought, "completed").otherwise(F.col("outcome"))
+    outcomes = materialize(judged.withColumn("outcome", outcome).drop("proven"), "outcomes")
+
+    accepted = outcomes.where(F.col("outcome").isin(*FINISHED))
+    last = accepted.groupBy("run", "item").agg(F.max_by("outcome", F.struct("time", "request")).alias("_status"), F.max("time").alias("_time"))
+    cited = accepted.select("run", "item", F.explode("cited").alias("_evidence")).unionByName(items.select("run", "item", F.explode("evidence").alias("_evidence")))
+    counts = cited.distinct().groupBy("run", "item").agg(F.count(F.lit(1)).alias("n_evidence"))
+    state = held.join(last, ["run", "item"], "left").join(counts, ["run", "item"], "left")
+    claimed = F.col("claimed_by").isNotNull()
+    return outcomes, state.select(
+        "run", "item", "stage", "place", F.coalesce("_status", F.when(claimed, "claimed").otherwise("pending")).alias("status"), "claimed_by", claimed.cast("long").alias("attempts"),
+        "claimed_at", F.coalesce("_time", "claimed_at").alias("updated_at"), F.coalesce("n_evidence", F.lit(0).cast("long")).alias("n_evidence"),
+    )
+
+
+def run_states(state: DataFrame) -> DataFrame:
+    """(run, current_stage, updated_at, n_pending, n_claimed, n_completed, n_failed, n_blocked) of replayed items.
+
+    The stage is that of the last claimed item; behind a finish, that of the first pending item if there is one."""
+    place = F.struct("place", "item")
+    pending, claimed = F.col("status") == "pending", F.col("claimed_at").isNotNull()
+    found = state.groupBy("run").agg(
+        F.min_by("stage", F.when(pending, place)).alias("_next"), F.max_by("stage", F.when(claimed, F.struct("claimed_at", "place", "item"))).alias("_last"),
+        F.max("claimed_at").alias("_claim"), F.max(F.when(F.col("status").isin(*FINISHED), F.col("updated_at"))).alias("_finish"), F.max("updated_at").alias("updated_at"),
+        *(F.count_if(F.col("status") == status).alias(f"n_{status}") for status in ("pending", "claimed", *FINISHED)),
+    )
+    stage = F.when((F.col("_finish") >= F.col("_claim")) & (F.col("n_pending") > 0), F.col("_next")).otherwise(F.col("_last"))
+    return found.select("run", stage.alias("current_stage"), "updated_at", *(f"n_{status}" for status in ("pending", "claimed", *FINISHED)))

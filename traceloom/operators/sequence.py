@@ -159,3 +159,13 @@ def spans_of_edges(rows: DataFrame, keys: Sequence[str], span: Sequence[str]) ->
     """(keys, span, place, n_times): the distinct spans of each edge in order, numbered from 0, as rows of a table beside it."""
     distinct = rows.groupBy(*keys, *span).agg(F.count(F.lit(1)).alias("n_times"))
     return places(distinct, keys, span)
+
+
+def numbered(rows: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """Add ``name``: each row's number from 1 within its keys (not null), by ``order``. Rows are cut into ranges first and
+    numbered within these, so that a key with very many rows is no single task; written once, as ranges are sampled."""
+    placed = materialize(rows.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()), "numbered")
+    ahead = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n")).withColumn("_ahead", F.coalesce(F.sum("_n").over(ahead), F.lit(0))).drop("_n")
+    own = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order))
+    return placed.withColumn("_own", own).join(offsets, [*keys, "_range"]).withColumn(name, F.col("_own") + F.col("_ahead")).drop("_own", "_ahead", "_range")

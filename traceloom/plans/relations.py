@@ -139,6 +139,71 @@ def update_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.update_by_key(cards, changes, "c_custkey", ["c_mktsegment", "c_acctbal"], "o_orderkey")
 
 
+_STAGES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+_WORK = f"""
+    WITH items AS (SELECT (o_custkey % 50)::BIGINT AS run, o_orderkey AS item, o_orderpriority AS stage, o_orderkey % 11 = 0 AS gap, o_orderkey % 3 = 0 AS asks FROM orders),
+    claims AS (SELECT (l_suppkey % 50)::BIGINT AS run, CASE WHEN l_suppkey % 2 = 1 THEN {list(_STAGES)!r}[1 + (l_partkey % 5)::INT] ELSE '' END AS queue, concat('w', l_partkey % 3) AS claimed_by, l_orderkey AS claimed_at
+        FROM lineitem WHERE l_linenumber = 1),
+    waiting AS (SELECT *, CASE WHEN run % 2 = 1 THEN stage ELSE '' END AS queue, row_number() OVER (PARTITION BY run, CASE WHEN run % 2 = 1 THEN stage ELSE '' END ORDER BY item) AS k FROM items),
+    asking AS (SELECT *, row_number() OVER (PARTITION BY run, queue ORDER BY claimed_at, claimed_by) AS k FROM claims),
+    held AS (SELECT run, item, stage, gap, asks, claimed_by, claimed_at FROM waiting LEFT JOIN asking USING (run, queue, k)),
+    lines AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey, min(l_returnflag) AS l_returnflag, min(l_linestatus) AS l_linestatus FROM lineitem GROUP BY 1, 2),
+    first AS (SELECT held.*, l_linenumber AS line, 2 * l_orderkey + l_linenumber AS time, asks AND l_suppkey % 4 < 2 AND l_linestatus <> 'O' AND l_partkey % 9 <> 0 AS proven,
+        CASE WHEN l_linenumber = 7 THEN 'invalid_status' WHEN l_partkey % 9 = 0 THEN 'evidence_not_found' WHEN claimed_at IS NULL OR claimed_at > 2 * l_orderkey + l_linenumber OR claimed_by <> concat('w', l_partkey % 3) THEN 'claimed_by_other'
+        WHEN l_returnflag = 'A' THEN 'failed' WHEN l_returnflag = 'N' THEN 'blocked' WHEN gap THEN 'unavailable_capabilities'
+        WHEN asks AND NOT (l_suppkey % 4 < 2 AND l_linestatus <> 'O') THEN 'missing_evidence' ELSE 'completed' END AS outcome
+        FROM lines JOIN held ON l_orderkey = item WHERE l_linenumber > 1),
+    outcomes AS (SELECT * EXCLUDE (outcome), CASE WHEN outcome = 'missing_evidence' AND coalesce(bool_or(proven AND outcome IN ('completed', 'failed', 'blocked'))
+        OVER (PARTITION BY item ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) THEN 'completed' ELSE outcome END AS outcome FROM first),
+    accepted AS (SELECT item, max_by(outcome, time) AS status, max(time) AS time, count(*) AS n FROM outcomes WHERE outcome IN ('completed', 'failed', 'blocked') GROUP BY item),
+    state AS (SELECT run, held.item AS item, stage, coalesce(status, CASE WHEN claimed_by IS NULL THEN 'pending' ELSE 'claimed' END) AS status, claimed_by, (claimed_by IS NOT NULL)::BIGINT AS attempts,
+        claimed_at, coalesce(time, claimed_at) AS updated_at, coalesce(n, 0)::BIGINT AS n_evidence FROM held LEFT JOIN accepted USING (item))
+"""
+
+
+def _replayed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Orders as work items of fifty runs, first lines as claims, later ones as requests to finish that cite
+    themselves; lines that share order and number are one request."""
+    orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    run, none = (F.col("o_custkey") % 50).cast("long"), F.array().cast("array<string>")
+    items = orders.select(
+        run.alias("run"), F.col("o_orderkey").alias("item"), F.col("o_orderkey").alias("place"), F.col("o_orderpriority").alias("stage"),
+        F.when(F.col("o_orderkey") % 11 == 0, F.array(F.lit("shell"))).alias("unavailable"), F.when(F.col("o_orderkey") % 3 == 0, F.array(F.lit("m0"), F.lit("m1"))).otherwise(none).alias("methods"), none.alias("evidence"),
+    )
+    worker, named = F.concat(F.lit("w"), F.col("l_partkey") % 3), F.get(F.array(*(F.lit(s) for s in _STAGES)), (F.col("l_partkey") % 5).cast("int"))
+    claims = lines.where("l_linenumber = 1").select((F.col("l_suppkey") % 50).cast("long").alias("run"), worker.alias("worker"), F.when(F.col("l_suppkey") % 2 == 1, named).alias("stage"), F.col("l_orderkey").alias("time"))
+    later = lines.where("l_linenumber > 1").groupBy("l_orderkey", "l_linenumber").agg(*(F.min(c).alias(c) for c in ("l_partkey", "l_suppkey", "l_returnflag", "l_linestatus"))).join(orders.select(F.col("o_orderkey").alias("l_orderkey"), run.alias("run")), "l_orderkey")
+    own = F.concat_ws(":", "l_orderkey", "l_linenumber")
+    status = F.when(F.col("l_linenumber") == 7, "pending").when(F.col("l_returnflag") == "R", "completed").when(F.col("l_returnflag") == "A", "failed").otherwise("blocked")
+    finishes = later.select(own.alias("request"), "run", F.col("l_orderkey").alias("item"), worker.alias("worker"), status.alias("status"), F.array(own).alias("cited"), (2 * F.col("l_orderkey") + F.col("l_linenumber")).alias("time"))
+    stored = later.where("l_partkey % 9 <> 0").select("run", own.alias("evidence"), F.col("l_orderkey").alias("item"), F.concat(F.lit("m"), F.col("l_suppkey") % 4).alias("method"), (F.col("l_linestatus") == "O").alias("submitted_by_model"))
+    return ledger.replayed_work(items, claims, finishes, stored)
+
+
+@query("work_outcomes", f"{_WORK} SELECT concat(item, ':', line) AS request, item, outcome FROM outcomes")
+def work_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each request to finish led to, against the state that claims and earlier requests had left."""
+    return _replayed(spark, sf_dir)[0].select("request", "item", "outcome")
+
+
+@query("work_items", f"{_WORK} SELECT run, item, stage, status, claimed_by, attempts, updated_at, n_evidence FROM state")
+def work_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger's items as all claims and finishes leave them."""
+    return _replayed(spark, sf_dir)[1].select("run", "item", "stage", "status", "claimed_by", "attempts", "updated_at", "n_evidence")
+
+
+@query(
+    "work_runs",
+    f"""{_WORK}, r AS (SELECT run, arg_min(stage, item) FILTER (status = 'pending') AS next, arg_max(stage, claimed_at) FILTER (claimed_at IS NOT NULL) AS last, max(claimed_at) AS claim,
+        max(updated_at) FILTER (status IN ('completed', 'failed', 'blocked')) AS finish, max(updated_at) AS updated_at, count(*) FILTER (status = 'pending') AS n_pending, count(*) FILTER (status = 'claimed') AS n_claimed,
+        count(*) FILTER (status = 'completed') AS n_completed, count(*) FILTER (status = 'failed') AS n_failed, count(*) FILTER (status = 'blocked') AS n_blocked FROM state GROUP BY run)
+    SELECT run, CASE WHEN finish >= claim AND n_pending > 0 THEN next ELSE last END AS current_stage, updated_at, n_pending, n_claimed, n_completed, n_failed, n_blocked FROM r""",
+)
+def work_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each run stands behind its last event."""
+    return ledger.run_states(_replayed(spark, sf_dir)[1])
+
+
 @query("forwarded_events", "SELECT event_id, CASE event_type WHEN 'error' THEN 'audit/status' ELSE 'audit/activity' END AS method, user_id AS audit_id, event_type AS category, props AS message FROM events")
 def forwarded_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A store's events as notifications, handed on by batches until nothing is left."""
