@@ -385,3 +385,36 @@ def test_recall_has_a_floor(n):
         for k in range(asked):
             met[k] |= np.isin(ann.buckets(directions[nearest[k]], own, table), probed[k])
     assert met.mean() >= 0.93
+
+
+def test_prefix_entries_are_not_left_on_disk(spark):
+    """The join deletes what only one of its steps needs; what stays is a row a document or class."""
+    import os
+
+    from traceloom.scratch import scratch_dir
+
+    words = [f"w{k}" for k in range(3_000)]
+    docs = spark.createDataFrame([(k, " ".join(words[7 * k : 7 * k + 200])) for k in range(300)] + [(300 + k, " ".join([*words[7 * k : 7 * k + 199], "end"])) for k in range(300)], "doc_id long, text string")
+    folder = scratch_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    found = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(docs).collect()}
+    assert all(found[300 + k] == found[k] for k in range(300))
+    made = {name[:-33] for name in set(os.listdir(folder)) - before}
+    assert not made & {"prefixes", "counted", "candidates", "routes", "route", "overlap-routes", "overlap-route", "sets", "blocks", "placed"}
+
+
+def test_closed_scratch_tables_leave_the_outer_ones(spark):
+    """A context of no tables, within another of none, closes itself and not the other."""
+    import os
+
+    from traceloom import scratch
+
+    with scratch.scratch_tables(spark):
+        with scratch.scratch_tables(spark):
+            inner = scratch.materialize(spark.range(3), "inner").inputFiles()[0].removeprefix("file:")
+            outer = scratch.materialize(spark.range(3), "outer", keep=True).inputFiles()[0].removeprefix("file:")
+        assert not os.path.exists(inner) and os.path.exists(outer)
+        with scratch.scratch_tables(spark):
+            pass
+        later = scratch.materialize(spark.range(3), "later").inputFiles()[0].removeprefix("file:")
+    assert not os.path.exists(outer) and not os.path.exists(later)

@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame, functions as F
 from traceloom.llm.common import materialize, salted_join, tidy, utf8_parts
 from traceloom.llm.components import components
 from traceloom.llm.hashing import Hashes, chain, id_map, in_map, mix
+from traceloom.scratch import free_shuffles, scratch_tables
 
 WIDTH = 5
 #: Similarity as a fraction, compared in integers.
@@ -53,10 +54,12 @@ VERTICAL = 4
 BLOCK, BLOCK_SHINGLES = 2_000, 1 << 20
 #: Sizes of one block are at most this apart, as a factor.
 SIZES = 1.1
-#: Blocks in which the counting sketch is added up.
-SKETCH_BLOCKS = 1_024
+#: Blocks in which the counting sketch is added up, and how many sketches there are to add (more on more cores).
+SKETCH_BLOCKS, SKETCHES = 1_024, 64
 #: Bytes of prefix entries for each fragment, about.
 FRAGMENT_BYTES = 8 << 20
+#: Prefix entries of a task that are cut by fragment at a time.
+ENTRIES = 1 << 19
 #: Fragments for each task.
 EACH = 4
 #: Bits of the map of documents that are in a candidate pair.
@@ -148,19 +151,40 @@ class Order:
         return np.minimum((place * fragments).astype(np.int64), fragments - 1)
 
 
-def sketch(source: DataFrame) -> Order:
-    """Levels of all sketch cells (logarithms of their counts), and how many occurrences each level has."""
+def counted(source: DataFrame) -> DataFrame:
+    """A row for each document (class digest, set size), and each task's counts of the sketch cells, by blocks.
+
+    Tasks are few, as each has a whole sketch of its own: what they write does not grow with the input."""
     blocks, width = SKETCH_BLOCKS, (1 << SKETCH_BITS) // SKETCH_BLOCKS
+    names = ["_id", "digest", "class", "size", "block", "cells"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(1 << SKETCH_BITS, np.int32)
+        cells, id_type = np.zeros(1 << SKETCH_BITS, np.int32), None
         for batch in batches:
-            for _, sets in slices(batch, 1):
+            id_type = batch.column(0).type
+            for part, sets in slices(batch, 1):
                 own, times = np.unique((np.concatenate(sets) >> _U(64 - SKETCH_BITS)).astype(np.int32), return_counts=True)
                 cells[own] += times.astype(np.int32)
+                digests = [digest_of(own) if len(own) else None for own in sets]
+                classes = [int.from_bytes(d[:8], "little", signed=True) if d else None for d in digests]
+                sizes = pa.array([len(own) for own in sets], pa.int64())
+                n = len(part)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests, pa.binary()), pa.array(classes, pa.int64()), sizes, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
         parts = np.minimum(cells, 65_535).astype("<u2").reshape(blocks, width)
         used = np.flatnonzero(parts.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([parts[i].tobytes() for i in used], pa.binary())], names=["block", "cells"])
+        if len(used):
+            n = len(used)
+            none = [pa.nulls(n, id_type), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*none, pa.array(used, pa.int32()), pa.array([parts[i].tobytes() for i in used], pa.binary())], names=names)
+
+    kind = source.schema[0].dataType.simpleString()
+    tasks = max(SKETCHES, 2 * source.sparkSession.sparkContext.defaultParallelism)
+    return source.coalesce(tasks).mapInArrow(tidy(count), f"_id {kind}, digest binary, class bigint, size bigint, block int, cells binary")
+
+
+def sketch(cells: DataFrame) -> Order:
+    """Levels of all sketch cells (logarithms of their counts), and how many occurrences each level has."""
+    blocks, width = SKETCH_BLOCKS, (1 << SKETCH_BITS) // SKETCH_BLOCKS
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -172,69 +196,60 @@ def sketch(source: DataFrame) -> Order:
         out = [pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in levels], pa.binary()), pa.array(mass, pa.binary())]
         yield pa.RecordBatch.from_arrays(out, names=["block", "levels", "mass"])
 
-    counted = source.mapInArrow(tidy(count), "block int, cells binary").repartition("block")
     levels, mass = np.zeros((blocks, width), np.uint8), np.zeros(64, np.int64)
-    for row in counted.mapInArrow(tidy(add), "block int, levels binary, mass binary").collect():
+    for row in cells.select("block", "cells").repartition("block").mapInArrow(tidy(add), "block int, levels binary, mass binary").collect():
         levels[row["block"]] = np.frombuffer(row["levels"], np.uint8)
         mass += np.frombuffer(row["mass"], "<i8")
     return Order(levels.reshape(-1), mass)
 
 
 def _prefixes(source: DataFrame, order, fragments: int) -> DataFrame:
-    """A row for each document (class digest, set size) and rows of prefix entries for each fragment.
-
-    A row of entries holds, for the classes of one slice: how many entries each has, their ids and sizes, and the
-    entries."""
+    """Prefix entries in rows for each fragment.
+
+    A row holds, for the classes of some slices: how many entries each has, their ids and sizes, and the entries. Slices
+    are gathered until there are ENTRIES, so that rows stay long when the input has many fragments."""
+
+    def rows_of(hashes: list[np.ndarray], owners: list[int], lengths: list[int]) -> pa.RecordBatch:
+        flat = np.concatenate(hashes)
+        owner = np.repeat(np.arange(len(owners)), [len(h) for h in hashes])
+        where = order.value.fragment(flat, fragments)
+        by = np.argsort(where, kind="stable")
+        cuts = np.searchsorted(where[by], np.arange(fragments + 1))
+        names, sizes = np.array(owners, np.int64), np.array(lengths, np.int64)
+        rows, blobs = [], []
+        for f in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
+            pick = by[cuts[f] : cuts[f + 1]]
+            used, local = np.unique(owner[pick], return_inverse=True)
+            head = np.array([len(used), len(pick)], "<i8").tobytes()
+            blobs.append(head + names[used].tobytes() + sizes[used].astype("<i4").tobytes() + local.astype("<i4").tobytes() + flat[pick].astype("<u8").tobytes())
+            rows.append(f)
+        return pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(blobs, pa.binary())], names=["fragment", "entries"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, seen = order.value, set()
+        seen, held = set(), 0
+        hashes, owners, lengths = [], [], []
         for batch in batches:
-            for part, sets in slices(batch, 1):
-                digests = [digest_of(own) if len(own) else None for own in sets]
-                classes = [int.from_bytes(d[:8], "little", signed=True) if d else None for d in digests]
-                none = pa.nulls(len(part), pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(digests, pa.binary()), pa.array(classes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.nulls(len(part), pa.int32()), none],
-                    names=["_id", "digest", "class", "size", "fragment", "entries"],
-                )
+            for _, sets in slices(batch, 1):
                 if len(seen) > 200_000:
                     seen.clear()
-                hashes, owners, sizes = [], [], []
-                for own, name in zip(sets, classes):
-                    if name is None or name in seen:
+                for own in sets:
+                    if not len(own) or (name := class_of(own)) in seen:
                         continue
                     seen.add(name)
-                    keep = prefix_length(len(own))
-                    if keep < len(own):
-                        own = own[np.argsort(cut.level(own), kind="stable")[:keep]]
+                    size, keep = len(own), prefix_length(len(own))
+                    if keep < size:
+                        own = own[np.argsort(order.value.level(own), kind="stable")[:keep]]
                     hashes.append(own)
                     owners.append(name)
-                    sizes.append((name, len(own), 0))
-                if not hashes:
-                    continue
-                table = np.array([(name, len(s)) for name, s in zip(classes, sets) if name is not None], np.int64).reshape(-1, 2)
-                size_of = dict(table.tolist())
-                flat = np.concatenate(hashes)
-                owner = np.repeat(np.arange(len(owners)), [len(h) for h in hashes])
-                where = cut.fragment(flat, fragments)
-                by = np.argsort(where, kind="stable")
-                cuts = np.searchsorted(where[by], np.arange(fragments + 1))
-                names, lengths = np.array(owners, np.int64), np.array([size_of[o] for o in owners], np.int64)
-                rows, blobs = [], []
-                for f in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
-                    pick = by[cuts[f] : cuts[f + 1]]
-                    used, local = np.unique(owner[pick], return_inverse=True)
-                    head = np.array([len(used), len(pick)], "<i8").tobytes()
-                    blobs.append(head + names[used].tobytes() + lengths[used].astype("<i4").tobytes() + local.astype("<i4").tobytes() + flat[pick].astype("<u8").tobytes())
-                    rows.append(f)
-                n = len(rows)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(n, part.column(0).type), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(rows, pa.int32()), pa.array(blobs, pa.binary())],
-                    names=["_id", "digest", "class", "size", "fragment", "entries"],
-                )
+                    lengths.append(size)
+                    held += len(own)
+                if held >= ENTRIES:
+                    yield rows_of(hashes, owners, lengths)
+                    hashes, owners, lengths, held = [], [], [], 0
+        if hashes:
+            yield rows_of(hashes, owners, lengths)
 
-    kind = source.schema[0].dataType.simpleString()
-    return source.mapInArrow(tidy(run), f"_id {kind}, digest binary, class bigint, size bigint, fragment int, entries binary")
+    return source.mapInArrow(tidy(run), "fragment int, entries binary")
 
 
 def _pairs_of_fragment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,7 +331,7 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _crowded(candidates: DataFrame) -> DataFrame:
     """(a, b, n): classes b of crowded shingles, tied to the least class of each, and by how many shingles."""
     members = candidates.where("shingle IS NOT NULL").select("classes").mapInArrow(tidy(_members), "a bigint, b bigint")
-    return materialize(members.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")), "crowded")
+    return members.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _possible(candidates: DataFrame, held: DataFrame) -> DataFrame:
@@ -412,20 +427,31 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """One row per input row: id, n_shingles and component_id (the smallest id reachable by links)."""
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    order = sketch(source)
+    # What only one step needs is deleted after it, tables and shuffles alike. Prefix entries are the most by far; they
+    # are shuffled as they are made, and written nowhere else.
+    with scratch_tables(spark):
+        found = materialize(counted(source), "counted")
+        order = sketch(found.where("cells IS NOT NULL"))
+        rows = materialize(found.where("cells IS NULL").select("_id", "digest", "class", "size"), "rows", keep=True)
     fragments = max(16, math.ceil(order.total * 3 / FRAGMENT_BYTES))
     order = spark.sparkContext.broadcast(order)
-    # Fragments of the order are finer than tasks, which hashing evens out.
-    found = materialize(_prefixes(source, order, EACH * fragments), "prefixes")
-    rows = found.where("fragment IS NULL").select("_id", "digest", "class", "size")
     classes = materialize(rows.where("class IS NOT NULL AND _id IS NOT NULL").groupBy("digest", "class", "size").agg(F.min("_id").alias("rep")), "classes")
-    entries = found.where("fragment IS NOT NULL").select("fragment", "entries").repartition(fragments, "fragment")
-    candidates = materialize(entries.mapInArrow(tidy(_pairs_of_fragment), PAIRS), "candidates")
-    crowded = _crowded(candidates)
-    held = materialize(crowded.groupBy(F.col("b").alias("node")).agg(F.sum("n").alias("crowded")), "held")
-    pairs = materialize(_possible(candidates, held), "pairs")
-    links = materialize(_linked(_overlaps(source, classes, pairs, order, "overlap")), "links")
-    links = _complete(source, classes, crowded, held, links)
+    free_shuffles(spark)
+    with scratch_tables(spark):
+        # Fragments of the order are finer than tasks, which hashing evens out.
+        entries = _prefixes(source, order, EACH * fragments).repartition(fragments, "fragment").select("entries")
+        candidates = materialize(entries.mapInArrow(tidy(_pairs_of_fragment), PAIRS), "candidates")
+        free_shuffles(spark)
+        crowded = materialize(_crowded(candidates), "crowded", keep=True)
+        held = materialize(crowded.groupBy(F.col("b").alias("node")).agg(F.sum("n").alias("crowded")), "held", keep=True)
+        pairs = materialize(_possible(candidates, held), "pairs", keep=True)
+    free_shuffles(spark)
+    with scratch_tables(spark):
+        links = materialize(_linked(_overlaps(source, classes, pairs, order, "overlap")), "links", keep=True)
+    free_shuffles(spark)
+    with scratch_tables(spark):
+        links = materialize(_complete(source, classes, crowded, held, links), "links", keep=True)
+    free_shuffles(spark)
     # Components are named by ids: the smallest of any class in them.
     nodes = classes.select(F.col("class").alias("node"), "rep")
     joined = components(links)
@@ -497,8 +523,7 @@ def _complete(source: DataFrame, classes: DataFrame, crowded: DataFrame, held: D
     reps = route.select("node").distinct().join(classes.select(F.col("class").alias("node"), "rep"), "node")
     sets = materialize(_sets(source, materialize(reps, "reps")), "sets")
     blocks = route.join(sets, "node").select("key", "node", "component", "asks", "set").repartition("key").sortWithinPartitions("key", "asks", "node")
-    more = materialize(blocks.mapInArrow(tidy(_scan_blocks), "a bigint, b bigint"), "more")
-    return materialize(links.union(more), "links")
+    return links.union(blocks.mapInArrow(tidy(_scan_blocks), "a bigint, b bigint"))
 
 
 def _scan_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
