@@ -146,3 +146,14 @@ def test_matches_and_addresses(spark):
     ).first()
     assert [tuple(r) for r in row["r"]] == [(1, 4), (5, 8)]
     assert row["a"] == "std::coin @std up::x std::y 0x2_ dead::b @0x02f std::z x0x2::q nil::n"
+
+
+def test_wrapper_evidence_gives_each_link(spark, tmp_path):
+    """Which types hold a token of a type, each pair once, though it shares several tokens."""
+    from traceloom.plans import facts
+
+    names = [("red bolt",), ("bolt red",), ("red gear",), ("red bolt",), ("nut",), (None,), ("gear  pin",), ("cog  cog",)]
+    spark.createDataFrame(names, "p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    own = {n: set(n.split(" ")) for (n,) in names if n}
+    found = [tuple(r) for r in facts.wrapper_evidence(spark, str(tmp_path)).collect()]
+    assert sorted(found) == sorted((a, b) for a in own for b in own if a != b and own[a] & own[b])

@@ -47,17 +47,16 @@ def reverse_calls_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "wrapper_evidence",
-    """
-    WITH w AS (SELECT DISTINCT p_name AS name, unnest(string_split(p_name, ' ')) AS token FROM part), c AS (SELECT token, count(*) AS n FROM w GROUP BY 1)
-    SELECT name AS object, string_agg(token, ',' ORDER BY token) AS tokens, sum(n - 1)::BIGINT AS n_links FROM w JOIN c USING (token) GROUP BY 1
-    """,
+    "WITH w AS (SELECT DISTINCT p_name AS name, unnest(string_split(p_name, ' ')) AS token FROM part) SELECT DISTINCT a.name AS object, b.name AS wrapper FROM w a JOIN w b USING (token) WHERE a.name <> b.name",
 )
 def wrapper_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each type's tokens and its links to other types that hold one of them: members of a token stay members, and are counted
-    instead of paired."""
-    words = table(spark, sf_dir, "part").select("p_name").distinct().select(F.col("p_name").alias("object"), F.explode(F.array_distinct(F.split("p_name", " "))).alias("token"))
-    sized = words.groupBy("token").agg((F.count(F.lit(1)) - 1).alias("n"))
-    return words.join(sized, "token").groupBy("object").agg(F.array_join(F.array_sort(F.collect_list("token")), ",").alias("tokens"), F.sum("n").alias("n_links"))
+    """Types that hold a token of another type; an equi-join on tokens. Names that share several meet at the least of them, so
+    that each pair is made once."""
+    words = table(spark, sf_dir, "part").select(F.col("p_name").alias("object")).distinct().withColumn("tokens", F.array_distinct(F.split("object", " ")))
+    words = words.withColumn("token", F.explode("tokens"))
+    other = words.select(F.col("object").alias("wrapper"), F.col("tokens").alias("_tokens"), "token")
+    least = F.array_min(F.array_intersect("tokens", "_tokens"))
+    return words.join(other, "token").where((F.col("object") != F.col("wrapper")) & (F.col("token") == least)).select("object", "wrapper")
 
 
 @query(
