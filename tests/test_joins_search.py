@@ -100,6 +100,27 @@ def test_a_chain_of_20000(spark):
     assert sorted(map(tuple, found)) == [(1, 20_000, 10_001, 20_000), (19_000, 1_001, 1, 20_000)]
 
 
+def test_closure_of_contracted_chains(spark, monkeypatch):
+    """Chains, loops, branches and a cycle without a way in; the shortcuts are made of what is left of them."""
+    rng = random.Random(5)
+    edges = [(k, k + 1) for k in range(150)] + [(40, 33), (90, 60), (60, 55), (20, 120), (150, 150)]
+    edges += [(200 + k, 200 + (k + 1) % 9) for k in range(9)] + [(300 + k, 301 + k) for k in range(20)] + [(310, 70), (12, 315)]
+    rng.shuffle(edges)
+    sizes, own = [], closure.shortcuts
+    monkeypatch.setattr(closure, "shortcuts", lambda graph, fan: (sizes.append(graph.count()), own(graph, fan))[1])
+    monkeypatch.setattr(closure, "BLOCK", 8)
+    reached = reached_by_hand(edges)
+    component = {a: min(b for b in near if a in reached[b]) for a, near in reached.items()}
+    seeds = [*range(0, 330, 7), 999]
+    pairs, components = closure.component_closure(spark.createDataFrame(edges, "src long, dst long"), spark.createDataFrame([(k,) for k in seeds], "node long"), sized=True)
+    assert {tuple(r) for r in components.collect()} == set(component.items())
+    n = {c: list(component.values()).count(c) for c in component.values()}
+    expected = {(k, c, n.get(c, 1)) for k in seeds for c in ({component[b] for b in reached[k]} if k in reached else {k})}
+    found = [tuple(r) for r in pairs.select("seed", "component", "n_nodes").collect()]
+    assert len(found) == len(expected) and set(found) == expected
+    assert max(sizes) < 40
+
+
 def ranked_by_hand(docs, queries, k):
     import collections
     import math
