@@ -157,3 +157,15 @@ def test_wrapper_evidence_gives_each_link(spark, tmp_path):
     own = {n: set(n.split(" ")) for (n,) in names if n}
     found = [tuple(r) for r in facts.wrapper_evidence(spark, str(tmp_path)).collect()]
     assert sorted(found) == sorted((a, b) for a in own for b in own if a != b and own[a] & own[b])
+
+
+def test_partitions_grow_with_the_stored_table(spark, tmp_path, monkeypatch):
+    """Sorted edges and operations are dealt out by the number of stored rows, not by a fixed number of partitions."""
+    from traceloom.plans import program, registry
+
+    monkeypatch.setattr(registry, "TASK_ROWS", 20)
+    kinds = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber long, l_extendedprice double, l_returnflag string, l_shipdate date"
+    spark.createDataFrame([(k // 4, k, k, k % 4, 1.0, "R", None) for k in range(400)], kinds).write.parquet(f"{tmp_path}/lineitem.parquet")
+    for name in ("neighbors_topk", "cfg_successors"):
+        assert getattr(program, name)(spark, str(tmp_path)).rdd.getNumPartitions() >= 20
+    assert program.neighbors_topk(spark, str(tmp_path)).count() == 600
