@@ -203,3 +203,18 @@ def test_alignments_by_hand(spark, monkeypatch):
             gaps = [b - a for a, b in zip(r["places"], r["places"][1:])]
             words = sum(8 for i in r["places"] if text[i].isalnum() and (i == 0 or not text[i - 1].isalnum()))
             assert r["score"] == 16 * len(query) + words + sum(4 if g == 1 else -3 - (g - 2) for g in gaps)
+
+
+def test_pieces_are_handed_on_in_parts(spark, monkeypatch):
+    """A batch of texts with many pieces leaves a task in several batches, and no piece is lost."""
+    import pyarrow as pa
+
+    from traceloom.operators import patterns
+
+    monkeypatch.setattr(patterns, "PIECES", 10)
+    shapes = spark.createDataFrame([("abc", 0, 4)], "gram string, at int, length int")
+    texts = ["abcd abce abcf abcg"] * 20 + [None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(22)), pa.array(texts)], names=["id", "text"])
+    out = list(patterns._cutter(shapes)(iter([batch])))
+    assert max(len(b) for b in out) < 20 and sorted(x for b in out for x in b.column(0).to_pylist()) == sorted(4 * list(range(20)))
+    assert {x for b in out for x in b.column(1).to_pylist()} == {"abcd", "abce", "abcf", "abcg"}

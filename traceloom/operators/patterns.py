@@ -20,7 +20,9 @@ GRAM = 3
 #: Shapes (gram, place, size) that are looked for in one pass over the texts.
 ROUND = 200_000
 #: Grams that a task holds before it adds up those that are equal.
-HELD = 4_000_000
+HELD = 1_000_000
+#: Pieces that a task hands on at a time.
+PIECES = 50_000
 
 
 def _codes(text: str, size: int) -> np.ndarray:
@@ -109,10 +111,18 @@ def _cutter(shapes: DataFrame):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = [(size, np.array(sorted(own), np.int64), own) for size, own in shared.value.items()]
+
+        def handed_on(batch: pa.RecordBatch, rows: list[int], pieces: list[str], counts: list[int]) -> pa.RecordBatch:
+            ids = batch.column(0).take(pa.array(rows, pa.int64()))
+            return pa.RecordBatch.from_arrays([ids, pa.array(pieces, pa.string()), pa.array(counts, pa.int64())], names=["id", "pattern", "n"])
+
         for batch in batches:
             rows, pieces, counts = [], [], []
-            for row, text in enumerate(batch.column(1).to_pylist()):
-                held: dict[str, int] = {}
+            for row, text in enumerate(batch.column(1)):
+                if len(pieces) >= PIECES:
+                    yield handed_on(batch, rows, pieces, counts)
+                    rows, pieces, counts = [], [], []
+                text, held = text.as_py(), {}
                 for size, codes, own in known if text else ():
                     here = _codes(text, size)
                     near = codes[np.minimum(np.searchsorted(codes, here), len(codes) - 1)]
@@ -125,8 +135,7 @@ def _cutter(shapes: DataFrame):
                 rows.extend([row] * len(held))
                 pieces.extend(held)
                 counts.extend(held.values())
-            ids = batch.column(0).take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(pieces, pa.string()), pa.array(counts, pa.int64())], names=["id", "pattern", "n"])
+            yield handed_on(batch, rows, pieces, counts)
 
     return run
 
