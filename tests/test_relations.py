@@ -233,6 +233,21 @@ def test_claims_of_both_kinds_are_refused(spark):
     assert ledger.claimed_items(items, claims.limit(0)).first()["claimed_by"] is None
 
 
+def test_items_without_a_queue_and_few_shuffles(spark):
+    """Items without a stage or a run stay, unclaimed; requests go once to their items, once to what they cite, and back to their items."""
+    lists = "unavailable array<string>, methods array<string>, evidence array<string>"
+    items = spark.createDataFrame([("r", "i", 1, "a", None, [], ["e", "x"]), ("r", "j", 2, None, None, [], None), (None, "k", 3, "a", None, None, [])], f"run string, item string, place int, stage string, {lists}")
+    claims = spark.createDataFrame([("r", "w", "a", 1), ("r", "w", "a", 2)], "run string, worker string, stage string, time int")
+    finishes = spark.createDataFrame([("q", "r", "i", "w", "failed", ["e"], 5), ("p", "r", "i", "w", "blocked", None, 4), ("o", "r", "j", "w", "failed", [], 6)], "request string, run string, item string, worker string, status string, cited array<string>, time int")
+    evidence = spark.createDataFrame([("r", "e", "i", "m", False)], "run string, evidence string, item string, method string, submitted_by_model boolean")
+    told, left = ledger.replayed_work(items, claims, finishes, evidence, 3)
+    assert {r["request"]: r["outcome"] for r in told.collect()} == {"q": "failed", "p": "blocked", "o": "claimed_by_other"}
+    rows = {r["item"]: (r["status"], r["claimed_by"], r["attempts"], r["updated_at"], r["n_evidence"]) for r in left.collect()}
+    assert rows == {"i": ("failed", "w", 1, 5, 2), "j": ("pending", None, 0, None, 0), "k": ("pending", None, 0, None, 0)}
+    plan = told._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 2 and told.rdd.getNumPartitions() == 3
+
+
 def test_finish_outcomes(spark):
     items = [("r", "free", None, None, None, None), ("r", "plain", "w", None, None, None), ("r", "gap", "w", ["shell"], None, None), ("r", "proof", "w", [], ["replay"], ["held"]), ("r", "own", "w", [], ["replay"], ["mine"])]
     evidence = [("r", "held", "proof", "replay", False), ("r", "mine", "own", "replay", True), ("r", "else", "proof", "replay", False), ("q", "far", "own", "replay", False)]

@@ -92,28 +92,40 @@ def finish_outcomes(requests: DataFrame, items: DataFrame, evidence: DataFrame)
     (arrays); evidence: run, evidence, item, method, submitted_by_model. The first of these applies: invalid_status,
     evidence_not_found (in the run), item_not_found, claimed_by_other, and for a completion unavailable_capabilities and
     missing_evidence (methods are asked for, and no evidence of the item that the model did not submit itself uses one
-    of them); else the new status. A null array is empty."""
-    return _judged(requests, items, evidence).select("request", "outcome")
+    of them); else the new status. A null array is empty, and request is a key."""
+    return _judged(requests, items, evidence, ["request", "run", "item", "cited"]).select("request", "outcome")
 
 
-def _judged(requests: DataFrame, items: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Requests with their outcomes, and whether their own or their item's evidence proves it (proven)."""
+def _judged(requests: DataFrame, items: DataFrame, evidence: DataFrame, kept: Sequence[str], timed: bool = False, tasks: int | None = None) -> DataFrame:
+    """Requests (``kept`` of their columns) with their outcomes, and whether their own or their item's evidence proves it (proven);
+    ``timed`` if a claim counts only from its item's claimed_at on; joins have ``tasks`` partitions, if given. What the item alone decides is settled before references are looked up, so that rows go once by
+    their references and once by their items; the outcome stays dealt out by (run, item)."""
     listed = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
-    states = items.select("run", "item", "claimed_by", listed("unavailable").alias("unavailable"), listed("methods").alias("methods"), listed("evidence").alias("_held"), F.lit(True).alias("_known"))
-    wanted = requests.join(states, ["run", "item"], "left").withColumn("_held", listed("_held")).withColumn("cited", listed("cited"))
-    refs = wanted.select("request", "run", "item", "methods", F.explode(F.array_union("cited", "_held")).alias("evidence"), F.col("cited").alias("_cited"))
-    stored = evidence.select("run", "evidence", F.col("item").alias("_of"), "method", "submitted_by_model").withColumn("_found", F.lit(True))
-    proves = (F.col("_of") == F.col("item")) & ~F.col("submitted_by_model") & F.array_contains("methods", F.col("method"))
-    checked = refs.join(stored, ["run", "evidence"], "left").groupBy("request").agg(
-        F.bool_or(F.col("_found").isNull() & F.array_contains("_cited", F.col("evidence"))).alias("_missing"), F.bool_or(F.coalesce(proves, F.lit(False))).alias("_proven")
-    )
-    rows, completes = wanted.join(checked, "request", "left"), F.col("status") == "completed"
+    states = items.select(
+        "run", "item", F.col("claimed_by").alias("_holder"), *([F.col("claimed_at").alias("_since")] if timed else []), (F.size(listed("unavailable")) > 0).alias("_lacks"),
+        listed("methods").alias("_methods"), listed("evidence").alias("_held"), F.lit(True).alias("_known"),
+    )
+    worker = F.when(F.col("_since") <= F.col("time"), F.col("worker")) if timed else F.col("worker")
+    completes = F.col("status") == "completed"
+    settled = (
+        F.when(~F.coalesce(F.col("status").isin(*FINISHED), F.lit(False)), "invalid_status").when(F.col("_known").isNull(), "item_not_found")
+        .when(~F.col("_holder").eqNullSafe(worker) | F.col("_holder").isNull(), "claimed_by_other").when(completes & F.col("_lacks"), "unavailable_capabilities").otherwise(F.col("status"))
+    )
+    deal = lambda rows, *keys: rows.repartition(*([tasks] if tasks else []), *keys)
+    wanted = deal(requests, "run", "item").join(states, ["run", "item"], "left").withColumn("cited", listed("cited"))
+    every = [*kept, "_settled", "_asks"]
+    refs = wanted.withColumns({"_settled": settled, "_asks": F.coalesce(F.size("_methods") > 0, F.lit(False))}).select(*every, "_methods", F.explode_outer(F.array_union("cited", listed("_held"))).alias("_ref"))
+    stored = deal(evidence.select(F.col("run").alias("_run"), F.col("evidence").alias("_stored"), F.col("item").alias("_of"), "method", "submitted_by_model"), "_run", "_stored")
+    proves = (F.col("_of") == F.col("item")) & ~F.col("submitted_by_model") & F.array_contains("_methods", F.col("method"))
+    missing = F.col("_stored").isNull() & F.array_contains("cited", F.col("_ref"))
+    found = refs.join(stored, (F.col("run") == F.col("_run")) & (F.col("_ref") == F.col("_stored")), "left")
+    found = found.select(*every, F.coalesce(missing, F.lit(False)).alias("_missing"), F.coalesce(proves, F.lit(False)).alias("_proves"))
+    checked = deal(found, "run", "item").groupBy(*every).agg(F.bool_or("_missing").alias("_missing"), F.bool_or("_proves").alias("proven"))
     outcome = (
-        F.when(~F.coalesce(F.col("status").isin("completed", "failed", "blocked"), F.lit(False)), "invalid_status").when(F.col("_missing"), "evidence_not_found").when(F.col("_known").isNull(), "item_not_found")
-        .when(~F.col("claimed_by").eqNullSafe(F.col("worker")) | F.col("claimed_by").isNull(), "claimed_by_other").when(completes & (F.size("unavailable") > 0), "unavailable_capabilities")
-        .when(completes & (F.size("methods") > 0) & ~F.coalesce(F.col("_proven"), F.lit(False)), "missing_evidence").otherwise(F.col("status"))
+        F.when(F.col("_missing") & (F.col("_settled") != "invalid_status"), "evidence_not_found")
+        .when((F.col("_settled") == "completed") & F.col("_asks") & ~F.col("proven"), "missing_evidence").otherwise(F.col("_settled"))
     )
-    return rows.select(*requests.columns, outcome.alias("outcome"), F.coalesce("_proven", F.lit(False)).alias("proven"))
+    return checked.select(*kept, outcome.alias("outcome"), "proven")
 
 
 FINISHED = ("completed", "failed", "blocked")
@@ -130,40 +142,40 @@ def claimed_items(items: DataFrame, claims: DataFrame) -> DataFrame:
     both = (F.col("_none") > 0) & (F.col("_none") < F.col("_all"))
     kinds = kinds.select("run", F.when(both, F.raise_error(F.concat(F.lit("claims with and without stages in run "), F.col("run").cast("string"))).cast("boolean")).otherwise(F.col("_any")).alias("_any"))
     queued = items.join(kinds, "run", "left").withColumn("_queue", F.when(F.col("_any"), "").otherwise(F.col("stage"))).drop("_any")
-    waiting = numbered(queued.where(F.col("_queue").isNotNull()), ["run", "_queue"], ["place", "item"], "_k").select("run", "item", "_queue", "_k")
-    asking = numbered(claims.select("run", "worker", "time", F.coalesce("stage", F.lit("")).alias("_queue")), ["run", "_queue"], ["time", "worker"], "_k")
-    taken = waiting.join(asking, ["run", "_queue", "_k"]).select("run", "item", F.col("worker").alias("claimed_by"), F.col("time").alias("claimed_at"))
-    return items.join(taken, ["run", "item"], "left")
+    queues = F.col("run").isNotNull() & F.col("_queue").isNotNull()
+    waiting = numbered(queued.where(queues), ["run", "_queue"], ["place", "item"], "_k")
+    asking = numbered(claims.select("run", F.col("worker").alias("claimed_by"), F.col("time").alias("claimed_at"), F.coalesce("stage", F.lit("")).alias("_queue")), ["run", "_queue"], ["claimed_at", "claimed_by"], "_k")
+    taken = waiting.join(asking, ["run", "_queue", "_k"], "left").select(*items.columns, "claimed_by", "claimed_at")
+    # Items without a queue meet no claim.
+    return taken.unionByName(queued.where(~queues).select(*items.columns), allowMissingColumns=True)
 
 
-def replayed_work(items: DataFrame, claims: DataFrame, finishes: DataFrame, evidence: DataFrame) -> tuple[DataFrame, DataFrame]:
+def replayed_work(items: DataFrame, claims: DataFrame, finishes: DataFrame, evidence: DataFrame, tasks: int | None = None) -> tuple[DataFrame, DataFrame]:
     """A ledger's claims and finishes, replayed in order of time without going through them one by one: outcomes and items.
 
     items: run, item, place, stage, unavailable, methods, evidence (arrays), all pending at first; claims as ``claimed_items`` takes
     them; finishes: request, run, item, worker, status, cited (array), time; evidence as ``finish_outcomes`` takes it.
 
-    outcomes: the finishes with ``outcome``. A finish meets the claims up to its own time. What earlier accepted finishes of
+    outcomes: request, run, item, cited, time and ``outcome`` of the finishes, dealt out by (run, item) into ``tasks``. A finish meets the claims up to its own time. What earlier accepted finishes of
     its item cited counts as the item's evidence: a completion that lacks a proof is complete if one of these brought it.
     items: run, item, stage, place, status (pending, claimed, or that of the last accepted finish), claimed_by, attempts,
     updated_at and n_evidence (different evidence held and cited by accepted finishes)."""
     held = materialize(claimed_items(items, claims), "claimed")
-    at = held.select("run", "item", "claimed_at")
-    asked = finishes.join(at, ["run", "item"], "left").withColumn("_named", F.col("worker")).withColumn("worker", F.when(F.col("claimed_at") <= F.col("time"), F.col("worker"))).drop("claimed_at")
-    judged = _judged(asked, held, evidence).withColumn("worker", F.col("_named")).drop("_named")
+    judged = _judged(finishes, held, evidence, ["request", "run", "item", "cited", "time"], timed=True, tasks=tasks)
     before = Window.partitionBy("run", "item").orderBy("time", "request").rowsBetween(Window.unboundedPreceding, -1)
     brought = F.coalesce(F.bool_or(F.col("proven") & F.col("outcome").isin(*FINISHED)).over(before), F.lit(False))
     outcome = F.when((F.col("outcome") == "missing_evidence") & brought, "completed").otherwise(F.col("outcome"))
-    outcomes = materialize(judged.withColumn("outcome", outcome).drop("proven"), "outcomes")
+    outcomes = judged.withColumn("outcome", outcome).drop("proven")
 
+    # Outcomes stand by their items, so neither this nor the join moves them again.
     accepted = outcomes.where(F.col("outcome").isin(*FINISHED))
-    last = accepted.groupBy("run", "item").agg(F.max_by("outcome", F.struct("time", "request")).alias("_status"), F.max("time").alias("_time"))
-    cited = accepted.select("run", "item", F.explode("cited").alias("_evidence")).unionByName(items.select("run", "item", F.explode("evidence").alias("_evidence")))
-    counts = cited.distinct().groupBy("run", "item").agg(F.count(F.lit(1)).alias("n_evidence"))
-    state = held.join(last, ["run", "item"], "left").join(counts, ["run", "item"], "left")
+    last = accepted.groupBy("run", "item").agg(F.max_by("outcome", F.struct("time", "request")).alias("_status"), F.max("time").alias("_time"), F.flatten(F.collect_list("cited")).alias("_cited"))
+    listed = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
+    state = held.join(last, ["run", "item"], "left").withColumn("n_evidence", F.size(F.array_union(listed("_cited"), listed("evidence"))).cast("long"))
     claimed = F.col("claimed_by").isNotNull()
     return outcomes, state.select(
         "run", "item", "stage", "place", F.coalesce("_status", F.when(claimed, "claimed").otherwise("pending")).alias("status"), "claimed_by", claimed.cast("long").alias("attempts"),
-        "claimed_at", F.coalesce("_time", "claimed_at").alias("updated_at"), F.coalesce("n_evidence", F.lit(0).cast("long")).alias("n_evidence"),
+        "claimed_at", F.coalesce("_time", "claimed_at").alias("updated_at"), "n_evidence",
     )
 
 

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from traceloom.functions import ids
 from traceloom.operators import graph, history, joins, ledger, summary_types
-from traceloom.plans.registry import query, table
-from traceloom.scratch import scratch_dir
+from traceloom.plans.registry import query, spread, table, tasks_for
+from traceloom.scratch import materialize, scratch_dir
 from traceloom.sources import files, tables
 from traceloom.streaming import stateful
 
@@ -172,12 +172,14 @@ def _replayed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     )
     worker, named = F.concat(F.lit("w"), F.col("l_partkey") % 3), F.get(F.array(*(F.lit(s) for s in _STAGES)), (F.col("l_partkey") % 5).cast("int"))
     claims = lines.where("l_linenumber = 1").select((F.col("l_suppkey") % 50).cast("long").alias("run"), worker.alias("worker"), F.when(F.col("l_suppkey") % 2 == 1, named).alias("stage"), F.col("l_orderkey").alias("time"))
-    later = lines.where("l_linenumber > 1").groupBy("l_orderkey", "l_linenumber").agg(*(F.min(c).alias(c) for c in ("l_partkey", "l_suppkey", "l_returnflag", "l_linestatus"))).join(orders.select(F.col("o_orderkey").alias("l_orderkey"), run.alias("run")), "l_orderkey")
+    wanted = lines.where("l_linenumber > 1").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus")
+    later = spread(wanted, lines, "l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(*(F.min(c).alias(c) for c in ("l_partkey", "l_suppkey", "l_returnflag", "l_linestatus")))
+    later = materialize(later.join(orders.select(F.col("o_orderkey").alias("l_orderkey"), run.alias("run")), "l_orderkey"), "requests")
     own = F.concat_ws(":", "l_orderkey", "l_linenumber")
     status = F.when(F.col("l_linenumber") == 7, "pending").when(F.col("l_returnflag") == "R", "completed").when(F.col("l_returnflag") == "A", "failed").otherwise("blocked")
     finishes = later.select(own.alias("request"), "run", F.col("l_orderkey").alias("item"), worker.alias("worker"), status.alias("status"), F.array(own).alias("cited"), (2 * F.col("l_orderkey") + F.col("l_linenumber")).alias("time"))
     stored = later.where("l_partkey % 9 <> 0").select("run", own.alias("evidence"), F.col("l_orderkey").alias("item"), F.concat(F.lit("m"), F.col("l_suppkey") % 4).alias("method"), (F.col("l_linestatus") == "O").alias("submitted_by_model"))
-    return ledger.replayed_work(items, claims, finishes, stored)
+    return ledger.replayed_work(items, claims, finishes, stored, tasks_for(lines))
 
 
 @query("work_outcomes", f"{_WORK} SELECT concat(item, ':', line) AS request, item, outcome FROM outcomes")
