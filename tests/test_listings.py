@@ -137,3 +137,16 @@ def test_strings(spark):
     assert row.select(strings.typed_json(F.col("good"), "a int")).first()[0]["a"] == 1
     with pytest.raises(Exception, match="(?i)malformed|parse"):
         row.select(strings.typed_json(F.col("bad"), "a int")).collect()
+
+
+def test_text_functions_read_a_text_once(spark):
+    """Pieces come of one scan, and addresses of one pattern; marks that texts hold themselves stay."""
+    df = spark.createDataFrame([("f(a: m<u8, (b)>, c: [d, e]), g(h)",), ("(",), ("",), ("f)(x, é<y\n, z>)",), (None,), ("f((a)(b))(c)",)], "t string")
+    columns = df.select(strings.function_parameters(F.col("t")).alias("p"), strings.split_top_level(F.col("t"), ",").alias("s"))
+    assert [r["p"] for r in columns.collect()] == ["a: m<u8, (b)>, c: [d, e]", None, None, "x, é<y\n, z>", None, "(a)(b)"]
+    assert [r["s"] for r in columns.collect()] == [["f(a: m<u8, (b)>, c: [d, e])", " g(h)"], ["("], [""], ["f)(x", " é<y\n, z>)"], None, ["f((a)(b))(c)"]]
+    assert df.select(strings.split_top_level(F.col("t"), ",").alias("s"))._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1
+    marked = spark.createDataFrame([("\x01@0x2\x02\x040x3::\x02\x03 0x2::",), ("0x2::",), ("",), (None,)], "t string")
+    rewritten = marked.select(strings.rewrite_addresses(F.col("t"), [("2", "s\x01\x02\x04")]).alias("r"))
+    assert [r["r"] for r in rewritten.collect()] == ["\x01@s\x01\x02\x04\x02\x040x3::\x02\x03 s\x01\x02\x04::", "s\x01\x02\x04::", "", None]
+    assert "split(t" not in rewritten._jdf.queryExecution().optimizedPlan().toString()

@@ -10,33 +10,36 @@ from pyspark.sql.types import DataType
 
 
 def _scan(text: Column, opens: str, closes: str, wanted: str) -> Column:
-    """Places (from 1) of ``wanted`` that stand at nesting 0 once they are counted themselves; only places found are kept, so
-    long texts take time in proportion."""
-    step = lambda c: F.when(F.instr(F.lit(opens), c) > 0, 1).when(F.instr(F.lit(closes), c) > 0, -1).otherwise(0)
+    """(start, size) of the pieces before each ``wanted`` that stands at nesting 0 once it is counted itself, and of the rest. The
+    text is read once, up to a mark at a time; only pieces found are kept, so long texts take time in proportion."""
+    marks = "".join(c if c.isalnum() else "\\" + c for c in dict.fromkeys(opens + closes + wanted))
+    chunks = F.regexp_extract_all(text, F.lit(f"[^{marks}]*[{marks}]|[^{marks}]+"), F.lit(0))
+    piece = lambda start, end: F.array(F.struct(start.alias("start"), (end - start).alias("size")))
 
-    def add(s: Column, c: Column) -> Column:
-        depth, place = s["depth"] + step(c), s["place"] + 1
-        found = F.when((c == wanted) & (depth == 0), F.concat(s["found"], F.array(place))).otherwise(s["found"])
-        return F.struct(depth.alias("depth"), place.alias("place"), found.alias("found"))
+    def add(s: Column, chunk: Column) -> Column:
+        mark = F.right(chunk, F.lit(1))
+        depth = s["depth"] + F.when(F.instr(F.lit(opens), mark) > 0, 1).when(F.instr(F.lit(closes), mark) > 0, -1).otherwise(0)
+        cut, after = (mark == wanted) & (depth == 0), s["after"] + F.length(chunk)
+        found = F.when(cut, F.concat(s["found"], piece(s["start"], after - 1))).otherwise(s["found"])
+        return F.struct(depth.alias("depth"), F.when(cut, after).otherwise(s["start"]).alias("start"), after.alias("after"), found.alias("found"))
 
-    zero = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("place"), F.array().cast("array<int>").alias("found"))
-    return F.aggregate(F.split(text, ""), zero, add)["found"]
+    none = F.array().cast("array<struct<start:int,size:int>>")
+    zero = F.struct(F.lit(0).alias("depth"), F.lit(1).alias("start"), F.lit(1).alias("after"), none.alias("found"))
+    return F.aggregate(chunks, zero, add, lambda s: F.concat(s["found"], piece(s["start"], s["after"])))
 
 
 def split_top_level(text: Column, delimiter: str) -> Column:
     """Pieces between delimiters that no bracket of <([ encloses; for short texts such as signatures."""
-    inner = _scan(text, "<([", ">)]", delimiter)
-    ends = F.concat(inner, F.array(F.length(text) + 1))
-    begins = lambda k: F.when(k == 0, 1).otherwise(F.try_element_at(ends, F.greatest(k, F.lit(1))) + 1)
-    return F.when(text.isNotNull(), F.transform(ends, lambda e, k: F.substr(text, begins(k), e - begins(k))))
+    return F.transform(_scan(text, "<([", ">)]", delimiter), lambda p: F.substr(text, p["start"], p["size"]))
 
 
 def function_parameters(signature: Column) -> Column:
     """What stands in the first pair of matching parentheses; null without one."""
-    start = F.locate("(", signature)
-    rest = F.substr(signature, start)
-    close = F.try_element_at(_scan(rest, "(", ")", ")"), F.lit(1))
-    return F.when((start > 0) & close.isNotNull(), F.substr(rest, F.lit(2), close - 2))
+    rest = F.substr(signature, F.locate("(", signature))
+    # The first piece ends where the first parenthesis is closed; a rest alone has no closing one.
+    pieces = F.when(F.locate("(", signature) > 0, _scan(rest, "(", ")", ")"))
+    inside = F.transform(F.slice(pieces, F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(0))), lambda p: p["size"])
+    return F.substr(rest, F.lit(2), F.get(inside, F.lit(0)) - 1)
 
 
 def refers_to_type(source: Column, type_name: Column) -> Column:
@@ -68,14 +71,23 @@ ADDRESS = r"(?i)(?<=@)0x[0-9a-f]+\b|\b0x[0-9a-f]+(?=::)|(?<![a-z0-9_])[0-9a-f]+(
 
 def rewrite_addresses(source: Column, aliases: Iterable[tuple[str, str]]) -> Column:
     """Addresses replaced by their aliases, given as (hex digits, alias), leading zeros and case apart; of several aliases of
-    an address the least. All addresses of a text are found at once and looked up by their digits."""
-    known = {digits.lower().lstrip("0"): alias for digits, alias in sorted(aliases, reverse=True)}
+    an address the least. All addresses of a text are found at once and looked up by their digits; what stands between them is cut
+    at a mark put in their place, which texts may hold as well: there it is written otherwise meanwhile."""
+    hidden = [("\x02", "\x02\x03"), ("\x01", "\x02\x04")]
+    hide = lambda text: text.replace(*hidden[0]).replace(*hidden[1])
+    known = {digits.lower().lstrip("0"): hide(alias) for digits, alias in sorted(aliases, reverse=True)}
     if not known:
         return source
     names = F.create_map(*(F.lit(x) for pair in known.items() for x in pair))
-    found, pieces = F.regexp_extract_all(source, F.lit(ADDRESS), F.lit(0)), F.split(source, ADDRESS)
-    alias = lambda address: F.coalesce(F.try_element_at(names, F.regexp_replace(F.lower(address), "^(0x)?0*", "")), address, F.lit(""))
-    return F.array_join(F.transform(pieces, lambda piece, k: F.concat(piece, alias(F.get(found, k)))), "")
+    safe = source
+    for plain, other in hidden:
+        safe = F.replace(safe, F.lit(plain), F.lit(other))
+    pieces = F.arrays_zip(F.split(F.regexp_replace(safe, ADDRESS, "\x01"), "\x01").alias("before"), F.regexp_extract_all(safe, F.lit(ADDRESS), F.lit(0)).alias("address"))
+    alias = lambda address: F.coalesce(F.try_element_at(names, F.ltrim(F.lower(address), F.lit("0x"))), address, F.lit(""))
+    out = F.array_join(F.transform(pieces, lambda x: F.concat(x["before"], alias(x["address"]))), "")
+    for plain, other in reversed(hidden):
+        out = F.replace(out, F.lit(other), F.lit(plain))
+    return out
 
 
 def csv_value(value: Column, kind: DataType) -> Column:
