@@ -1,5 +1,6 @@
 """Commits over many tables, digests of ordered rows, and retractions in a stream."""
 
+import datetime
 import random
 
 import pytest
@@ -91,3 +92,29 @@ def test_thread_filters_reach_the_source(spark, tmp_path):
     for kinds, ids, pushed in [(["cli", "vscode"], [0, 1, 6], True), (["cli", "subAgent"], [0, 3, 4, 6], False), (["exec", "appServer"], [2, 5], False), (["subAgentOther"], [4], False)]:
         got, parts, filtered = found(kinds)
         assert got == ids and filtered != pushed and (parts < everything) == pushed
+
+
+def test_batches_of_many_files_come_in_order(spark, tmp_path, monkeypatch):
+    """Four batches, each written by several tasks: no batch is one file, and none begins before the one ahead of it has ended."""
+    from traceloom.plans import rows_only
+
+    rows = [(k, datetime.datetime(2026, 1, 1), k % 3, ("click", "click", "error")[k // 3 % 3], 1.0, "") for k in range(400)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").repartition(4).write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(rows_only, "scratch_dir", lambda _: str(tmp_path))
+    with_files = {"spark.sql.files.maxPartitionBytes": "4k", "spark.sql.files.openCostInBytes": "4k"}
+    before = {k: spark.conf.get(k) for k in with_files}
+    for k, v in with_files.items():
+        spark.conf.set(k, v)
+    try:
+        got = sorted(tuple(r) for r in rows_only.stream_rollbacks(spark, str(tmp_path)).collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    stands = {u: [] for u in range(3)}
+    for k, _, u, kind, _, _ in rows:
+        if kind == "error":
+            del stands[u][-1:]
+        else:
+            stands[u].append(k)
+    assert got == sorted((u, k) for u, own in stands.items() for k in own)
+    assert len(list(tmp_path.glob("stream-*/events/*.parquet"))) > 4 and len(list(tmp_path.glob("stream-*/changes/batch=*"))) == 4

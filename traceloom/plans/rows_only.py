@@ -109,10 +109,11 @@ def stream_rollbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
     events = table(spark, sf_dir, "events").where("event_type IN ('click', 'error')").select("user_id", "event_id", F.when(F.col("event_type") == "error", 1).alias("n"))
     last = events.agg(F.max("event_id").alias("last")).first()["last"] or 0
+    # Each batch is all that was written since the one before, in as many files as there are tasks.
     for k in range(4):
-        events.where(F.floor(F.col("event_id") * 4 / (last + 1)) == k).coalesce(1).write.mode("append").parquet(f"{folder}/events")
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/events")
-    retraction.keep_changes(retraction.rollback_changes(stream, "user_id", "event_id", "n"), folder).awaitTermination()
+        events.where(F.floor(F.col("event_id") * 4 / (last + 1)) == k).write.mode("append").parquet(f"{folder}/events")
+        stream = spark.readStream.schema(events.schema).parquet(f"{folder}/events")
+        retraction.keep_changes(retraction.rollback_changes(stream, "user_id", "event_id", "n"), folder).awaitTermination()
     return retraction.standing(spark, folder, "user_id", "event_id")
 
 
