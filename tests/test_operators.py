@@ -138,6 +138,29 @@ def test_bracket_pairs(spark):
     assert sorted((r["module"], r["token"], r["pos"], r["end"], r["inside"]) for r in pairs.collect()) == [(1, "(", 1, 10, 2), (1, "(", 7, 9, 1), (1, "[", 3, 5, 0), (1, "{", 11, 13, 0)]
 
 
+def test_source_tasks(spark, monkeypatch):
+    """Texts are dealt out once, by their length, and no token moves after."""
+    sources = spark.createDataFrame([(k, SOURCE) for k in range(40)], "module int, text string")
+    monkeypatch.setattr(source_rules, "TASK_CHARS", 5 * len(SOURCE))
+    found = source_rules.all_findings(sources)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Join" not in plan
+    assert found.rdd.getNumPartitions() == 8 and found.count() == 6 * 40
+
+
+def test_source_names(spark):
+    """Calls within and outside of bodies, repeated names, names without bodies, and braces of their own."""
+    texts = [
+        "fun f() { f() }", "fun f() { } fun g() { f() }", "f() fun f() { f() }", "fun f() { } fun f() { }", "fun f(); fun g() { g() }", "fun f() { { f() } } f<T>",
+        "public fun f() { }", "public(friend) fun f() { }", "entry fun f() { }", "fun f() {", "const A const A", "const A struct B struct A", "struct {", "struct { }", "fun fun f { }",
+    ]
+    found = source_rules.all_findings(spark.createDataFrame(list(enumerate(texts)), "module int, text string")).where("rule LIKE 'unused%'")
+    assert sorted((r["module"], r["rule"][7:], r["name"]) for r in found.collect()) == [
+        (0, "private_function", "f"), (1, "private_function", "g"), (3, "private_function", "f"), (3, "private_function", "f"), (4, "private_function", "g"),
+        (11, "struct", "B"), (12, "struct", "{"), (13, "struct", "{"), (14, "private_function", "f"),
+    ]
+
+
 def test_matches_and_addresses(spark):
     from traceloom.functions import strings
 
