@@ -26,6 +26,27 @@ def test_supersets_by_hand(spark, work):
     assert [r["n_supersets"] for r in containment.superset_counts(spark.createDataFrame([(1, ["a"]), (2, [])], "id int, items array<string>"), nothing).collect()] == [0, 0]
 
 
+def test_supersets_by_longer_keys(spark, monkeypatch):
+    """Groups of some dozens by some hundreds get keys of two items, and the answering sets are made once."""
+    from itertools import combinations
+
+    asking = [list(x) for x in combinations(range(40), 2)] + [[k] for k in range(40)] + [[0, 1, 2], [0, 1, 2, 3], [40], [0, 40], []]
+    answering = random.Random(3).sample([list(x) for x in combinations(range(40), 3)], 4000) + [[0, 1, 2, 3, 4]] * 3 + [[], None]
+    read, steps = spark.sparkContext.accumulator(0), []
+
+    def one(held):
+        read.add(1)
+        return (held,)
+
+    materialize = containment.materialize
+    monkeypatch.setattr(containment, "materialize", lambda df, label: steps.append(label) or materialize(df, label))
+    sets = spark.createDataFrame(spark.sparkContext.parallelize(answering, 4).map(one), "items array<int>")
+    found = containment.superset_counts(spark.createDataFrame(list(enumerate(asking)), "id int, items array<int>"), sets)
+    want = {k: (len(x), sum(set(x) <= set(held or []) for held in answering)) for k, x in enumerate(asking)}
+    assert {r["id"]: (r["n_items"], r["n_supersets"]) for r in found.collect()} == want
+    assert steps.count("groups") == 2 and read.value == len(answering)
+
+
 def test_finding_gate(spark):
     evidence = [("r", "ExploitReplay", "AdapterReplay", "t"), ("q", "ExploitReplay", "AdapterReplay", None), ("s", "StaticAnalysis", "ToolOutput", None), ("h", "HumanReview", "ToolOutput", None), ("m", "FormalProof", "ModelSubmitted", None)]
     findings = [("ok", ["r", "s"]), ("named", ["r", "s", "m"]), ("gone", ["r", "x"]), ("one", ["r", "h", "m"]), ("still", ["q", "s"]), ("alone", ["r", "s", "h"]), ("bare", [])]
