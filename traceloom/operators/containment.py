@@ -14,6 +14,9 @@ from traceloom.scratch import materialize
 #: Comparisons in a group for each row that longer keys would make of it, beyond which keys get longer.
 WORK = 4
 
+#: Longer keys that a task holds in memory.
+TASK_KEYS = 50_000
+
 
 def item_set(items: Column, kind: str = "array<string>") -> Column:
     """A set's items, each once, ascending."""
@@ -61,7 +64,10 @@ def superset_counts(asking: DataFrame, answering: DataFrame, key: str = "id", it
         # Rows of a hot key go on with each of their other items, where an asking set has that key.
         more = right.join(hot, "_key").select("_held", "_n", "_key", F.explode(F.array_except("_held", "_key")).alias("_item"))
         more = more.select("_held", "_n", F.array_append("_key", F.col("_item")).alias("_key"))
-        right = materialize(more.join(left.select("_key").distinct(), "_key", "left_semi"), "level")
+        # The asked keys fit a task's memory, by their number; the rows that are held against them stream past unsorted.
+        tasks = max(own.sparkSession.sparkContext.defaultParallelism, -(-left.count() // TASK_KEYS))
+        asked = left.select("_key").repartition(tasks, "_key").distinct().hint("shuffle_hash")
+        right = materialize(more.repartition(tasks, "_key").join(asked, "_key", "left_semi"), "level")
         sums = F.count(F.lit(1)).alias("_right"), F.sum("_n").alias("_total"), F.sum(F.size("_held") - depth).alias("_wide")
         counts = materialize(right.groupBy("_key").agg(*sums), "counts")
     total = own.agg(F.sum("_n")).first()[0] or 0
