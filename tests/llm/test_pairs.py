@@ -139,6 +139,49 @@ def test_ngram_join_of_boilerplate(spark, monkeypatch):
     assert sorted(map(tuple, ngram_join.jaccard_components(given).collect())) == joined_by_hand(rows + rows[:9])
 
 
+def test_crowded_shingles_stay_out_of_prefixes(spark, monkeypatch):
+    """Passages of some dozen texts are known by their counts where the sketch, as in a large corpus, tells nothing: no text
+    with enough shingles of its own has one in its prefix, so that none is held against blocks of others."""
+    rng = random.Random(5)
+    passages = [" ".join(f"p{k}x{i}" for i in range(40)) for k in range(6)]
+    texts = [f"{' '.join(f'u{rng.randrange(10**6)}' for _ in range(60))} {' . '.join(rng.sample(passages, 3))}" for _ in range(80)]
+    texts += [texts[0] + " end", texts[1] + " end"]
+    rows = list(enumerate(texts))
+    sketch, materialize, seen = ngram_join.sketch, ngram_join.materialize, {}
+
+    def flat(cells):
+        order = sketch(cells)
+        return ngram_join.Order(np.zeros_like(order.levels), np.array([order.total, *[0] * 63]))
+
+    def noted(df, label, keep=False):
+        made = materialize(df, label, keep)
+        seen[label] = made.count() if label != "candidates" else made.where("shingle IS NOT NULL").count()
+        return made
+
+    monkeypatch.setattr(ngram_join, "sketch", flat)
+    monkeypatch.setattr(ngram_join, "materialize", noted)
+    given = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert sorted(map(tuple, ngram_join.jaccard_components(given).collect())) == joined_by_hand(rows)
+    assert seen["candidates"] == seen["crowded"] == 0 and "asks" not in seen
+
+
+def test_common_shingles_are_counted(spark, monkeypatch):
+    """The list has every shingle of LEAST classes or more, copies counting once; where it is full, the most common ones."""
+    shared = {n: [f"s{n}x{i}" for i in range(9)] for n in (2, 3, 4, 5, 17, 40)}
+    texts = [" ".join([f"o{k}", *(w for n, words in shared.items() if k < n for w in words)]) for k in range(45)]
+    docs = spark.createDataFrame(list(enumerate(texts + texts[:30])), "_id bigint, _text string").repartition(4)
+    data = [t.encode() for t in texts]
+    sets = ngram_join.shingle_sets(np.frombuffer(b"".join(data), np.uint8), np.r_[0, np.cumsum([len(d) for d in data])])
+    keys, times = np.unique(np.concatenate(sets) >> np.uint64(64 - ngram_join.COUNT_BITS), return_counts=True)
+    for most, least in ((ngram_join.LISTED, ngram_join.LEAST), (20, 17)):
+        monkeypatch.setattr(ngram_join, "LISTED", most)
+        order = ngram_join.Order(np.zeros(1 << ngram_join.SKETCH_BITS, np.uint8), np.zeros(64, np.int64))
+        ngram_join.list_common(docs, spark.createDataFrame([(k,) for k in range(45)], "rep bigint"), order)
+        held = times >= least
+        assert order.listed.tolist() == keys[held].tolist()
+        assert order.common.tolist() == np.floor(4 * np.log2(times[held])).astype(int).tolist()
+
+
 def test_ngram_join_empty(spark):
     assert ngram_join.jaccard_components(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 

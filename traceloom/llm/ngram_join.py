@@ -1,9 +1,10 @@
 """N-gram Jaccard join by vertical partitioning.
 
 Words are what lies between ASCII white space, A-Z lower-cased; a document's set is its distinct five-word
-shingles (64-bit hashes of the words' bytes). The global order of shingles is by how common they are (the logarithm of
-a counting sketch over all documents, so that rare ones come first), then by hash, and it is cut into fragments of
-about equal numbers of occurrences.
+shingles (64-bit hashes of the words' bytes). The global order of shingles is by how common they are, so that rare ones
+come first: those of LEAST sets or more by their counts, which are exact but for 36 bits of the hash, the others by the
+logarithm of a counting sketch over all documents; then by hash. A sketch alone can't tell shingles of some dozen sets once its
+cells hold hundreds. Fragments cut the order of the sketch into about equal numbers of occurrences.
 
 1. Equal sets are one class from here on; copies are never paired with each other.
 2. Two sets of similarity t share a shingle among the first n - ceil(t n) + 1 of both. These prefixes are cut by
@@ -44,6 +45,11 @@ WIDTH = 5
 OVER, OF = 75, 100
 #: Cells of the counting sketch that orders shingles (2^bits counters).
 SKETCH_BITS = 22
+#: Bits by which shingles are counted; sets from which on a shingle is listed with its count, and how many are listed at most
+#: (the most common ones: the list only orders).
+COUNT_BITS, LEAST, LISTED = 36, 4, 1 << 21
+#: Shingles of a task that are sorted and cut at a time to be counted; about so many bytes are counted by a task.
+COUNTED, COUNT_BYTES = 1 << 21, 24 << 20
 #: Classes of one shingle that are all paired at once.
 RUN = 24
 #: Classes of a shingle of more that are paired with all of its classes.
@@ -51,7 +57,9 @@ HUBS = 4
 #: Vertical fragments in which overlaps are counted.
 VERTICAL = 4
 #: Classes, and shingles, of one block.
-BLOCK, BLOCK_SHINGLES = 2_000, 1 << 20
+BLOCK, BLOCK_SHINGLES = 2_000, 1 << 21
+#: Times as many classes may ask one block.
+ASKS = 8
 #: Sizes of one block are at most this apart, as a factor.
 SIZES = 1.1
 #: Blocks in which the counting sketch is added up, and how many sketches there are to add (more on more cores).
@@ -132,16 +140,25 @@ def prefix_length(size: int) -> int:
 
 
 class Order:
-    """The global order of shingles: by level, then by hash; ``at`` is a shingle's place in it, from 0 to 1."""
+    """The global order of shingles: by their rank (``listed`` shingles and their levels, then the sketch's), then by hash."""
 
     def __init__(self, levels: np.ndarray, mass: np.ndarray):
         self.levels, self.total = levels, int(mass.sum())
+        self.listed, self.common = np.empty(0, np.uint64), np.empty(0, np.int16)
         share = mass / max(1, self.total)
         self.start, self.share = np.cumsum(share) - share, share
 
     def level(self, shingles: np.ndarray) -> np.ndarray:
         return self.levels[(shingles >> _U(64 - SKETCH_BITS)).astype(np.int64)]
 
+    def rank(self, shingles: np.ndarray) -> np.ndarray:
+        level = self.level(shingles).astype(np.int16)
+        if len(self.listed):
+            keys = shingles >> _U(64 - COUNT_BITS)
+            at = np.minimum(np.searchsorted(self.listed, keys), len(self.listed) - 1)
+            level += np.where(self.listed[at] == keys, self.common[at] * 64, 0).astype(np.int16)
+        return level
+
     def fragment(self, shingles: np.ndarray, fragments: int) -> np.ndarray:
         """Which of so many cuts of the order, of about equal numbers of occurrences, a shingle lies in."""
         level = self.level(shingles)
@@ -203,6 +220,73 @@ def sketch(cells: DataFrame) -> Order:
     return Order(levels.reshape(-1), mass)
 
 
+def list_common(source: DataFrame, reps: DataFrame, order: Order) -> None:
+    """Give the order the shingles of LEAST classes or more, with levels by their counts.
+
+    Sorted shingles go by ranges of their leading bits, as byte planes of the gaps between them (two or three bytes each)."""
+    width = 1 << COUNT_BITS
+    tasks = max(16, math.ceil(order.total * 3 / COUNT_BYTES))
+    parts = EACH * tasks
+    slot = F.pmod(F.xxhash64("_id"), F.lit(1 << MAP_BITS))
+    wanted = id_map(reps.select(F.col("rep").alias("_id")).select(slot.alias("slot")).distinct(), MAP_BITS)
+
+    def rows_of(sets: list[np.ndarray]) -> pa.RecordBatch:
+        keys = np.sort(np.concatenate(sets) >> _U(64 - COUNT_BITS)).astype(np.int64)
+        cuts = np.searchsorted(keys, np.arange(parts + 1) * width // parts)
+        found = np.flatnonzero(cuts[1:] > cuts[:-1]).tolist()
+        blobs = [np.diff(keys[cuts[k] : cuts[k + 1]], prepend=k * width // parts).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for k in found]
+        return pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "gaps"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gathered, held, seen = [], 0, set()
+        for batch in batches:
+            at = np.asarray(batch.column(1))
+            batch = batch.filter(pa.array(((wanted.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)))
+            for _, sets in slices(batch, 0):
+                if len(seen) > 200_000:
+                    seen.clear()
+                for own in sets:
+                    if len(own) and (name := class_of(own)) not in seen:
+                        seen.add(name)
+                        gathered.append(own)
+                        held += len(own)
+                if held >= COUNTED:
+                    yield rows_of(gathered)
+                    gathered, held = [], 0
+        if gathered:
+            yield rows_of(gathered)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blobs: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for part, gaps in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                blobs.setdefault(part, []).append(gaps)
+        for part in list(blobs):
+            every = [np.frombuffer(x, np.uint8).reshape(4, -1).T.copy().view("<u4").reshape(-1) for x in blobs.pop(part)]
+            keys = np.sort(np.concatenate([np.cumsum(x, dtype=np.int64) for x in every])) + part * width // parts
+            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            times = np.diff(np.r_[starts, len(keys)])
+            keys, times = keys[starts[times >= LEAST]], times[times >= LEAST]
+            level = np.floor(4 * np.log2(times)).astype(np.int32)
+            for own in np.unique(level).tolist():
+                mine = keys[level == own]
+                yield pa.RecordBatch.from_arrays([pa.array([own], pa.int32()), pa.array([len(mine)], pa.int64()), pa.array([mine.astype("<i8").tobytes()], pa.binary())], names=["level", "n", "keys"])
+
+    gaps = source.select("_text", slot.alias("slot")).mapInArrow(tidy(cut), "part int, gaps binary").repartition(tasks, "part")
+    found = materialize(gaps.mapInArrow(tidy(count), "level int, n bigint, keys binary"), "common")
+    held, least = 0, 0
+    for row in found.groupBy("level").agg(F.sum("n").alias("n")).orderBy(F.desc("level")).collect():
+        held += row["n"]
+        if held > LISTED:
+            least = row["level"] + 1
+            break
+    rows = [(np.frombuffer(row["keys"], "<i8"), row["level"]) for row in found.where(F.col("level") >= least).select("level", "keys").toLocalIterator()]
+    if rows:
+        keys = np.concatenate([own for own, _ in rows]).astype(np.uint64)
+        by = np.argsort(keys)
+        order.listed, order.common = keys[by], np.repeat([level for _, level in rows], [len(own) for own, _ in rows])[by].astype(np.int16)
+
+
 def _prefixes(source: DataFrame, order, fragments: int) -> DataFrame:
     """Prefix entries in rows for each fragment.
 
@@ -238,7 +322,7 @@ def _prefixes(source: DataFrame, order, fragments: int) -> DataFrame:
                     seen.add(name)
                     size, keep = len(own), prefix_length(len(own))
                     if keep < size:
-                        own = own[np.argsort(order.value.level(own), kind="stable")[:keep]]
+                        own = own[np.argsort(order.value.rank(own), kind="stable")[:keep]]
                     hashes.append(own)
                     owners.append(name)
                     lengths.append(size)
@@ -434,9 +518,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         order = sketch(found.where("cells IS NOT NULL"))
         rows = materialize(found.where("cells IS NULL").select("_id", "digest", "class", "size"), "rows", keep=True)
     fragments = max(16, math.ceil(order.total * 3 / FRAGMENT_BYTES))
-    order = spark.sparkContext.broadcast(order)
     classes = materialize(rows.where("class IS NOT NULL AND _id IS NOT NULL").groupBy("digest", "class", "size").agg(F.min("_id").alias("rep")), "classes")
     free_shuffles(spark)
+    with scratch_tables(spark):
+        list_common(source, classes, order)
+    free_shuffles(spark)
+    order = spark.sparkContext.broadcast(order)
     with scratch_tables(spark):
         # Fragments of the order are finer than tasks, which hashing evens out.
         entries = _prefixes(source, order, EACH * fragments).repartition(fragments, "fragment").select("entries")
@@ -513,7 +600,7 @@ def _complete(source: DataFrame, classes: DataFrame, crowded: DataFrame, held: D
     if asking.isEmpty():
         return links
     # The asking classes of a block are cut as well; the block's own go to each part.
-    parts = asking.groupBy(*kind, "_block").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_parts"))
+    parts = asking.groupBy(*kind, "_block").agg(F.ceil(F.count(F.lit(1)) / (ASKS * BLOCK)).alias("_parts"))
     parts = materialize(parts, "parts")
     asking = asking.join(parts, [*kind, "_block"]).withColumn("_part", F.pmod(F.xxhash64("node"), F.col("_parts"))).withColumn("asks", F.lit(True))
     own = of.join(groups.select(*kind, "blocks"), kind).withColumn("_block", F.pmod(F.xxhash64("node"), F.col("blocks")))
@@ -528,36 +615,41 @@ def _complete(source: DataFrame, classes: DataFrame, crowded: DataFrame, held: D
 
 def _scan_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links of the asking classes of each block (its rows follow each other, asking ones last)."""
-    current, out = None, []
-    names, parts, sets, asking = [], [], [], []
+    current, out, index = None, [], None
+    names, parts, sets = [], [], []
+
+    def batch_of(rows: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in rows], pa.int64()), pa.array([b for _, b in rows], pa.int64())], names=["a", "b"])
 
-    def flush() -> None:
-        if not asking or not sets:
-            return
+    def indexed() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         size = np.array([len(own) for own in sets])
-        shingles, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+        shingles, owner = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.int32), size)
+        sets.clear()
         order = np.argsort(shingles, kind="stable")
-        shingles, owner = shingles[order], owner[order]
-        part = np.array(parts)
-        for name, component, own in asking:
-            low, high = np.searchsorted(shingles, own, "left"), np.searchsorted(shingles, own, "right")
-            n = high - low
-            at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            overlap = np.bincount(owner[at], minlength=len(sets))
-            found = np.flatnonzero((OF * overlap >= OVER * (size + len(own) - overlap)) & (part != component))
-            _, first = np.unique(part[found], return_index=True)
-            out.extend((name, names[i]) for i in found[first].tolist())
+        return size, shingles[order], owner[order], np.array(parts)
+
+    def ask(name: int, component: int, own: np.ndarray) -> None:
+        size, shingles, owner, part = index
+        low, high = np.searchsorted(shingles, own, "left"), np.searchsorted(shingles, own, "right")
+        n = high - low
+        at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        overlap = np.bincount(owner[at], minlength=len(size))
+        found = np.flatnonzero((OF * overlap >= OVER * (size + len(own) - overlap)) & (part != component))
+        _, first = np.unique(part[found], return_index=True)
+        out.extend((name, names[i]) for i in found[first].tolist())
 
     for batch in batches:
         for key, name, component, asks, own in zip(*(column.to_pylist() for column in batch.columns)):
             if key != current:
-                flush()
-                current = key
-                names, parts, sets, asking = [], [], [], []
+                current, index = key, None
+                names, parts, sets = [], [], []
             own = np.frombuffer(own, "<u8")
-            if asks:
-                asking.append((name, component, own))
-            else:
+            if not asks:
                 names.append(name), parts.append(component), sets.append(own)
-    flush()
-    yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
+            elif names:
+                index = index or indexed()
+                ask(name, component, own)
+        if len(out) > 10_000:
+            yield batch_of(out)
+            out.clear()
+    yield batch_of(out)
