@@ -49,7 +49,7 @@ SKETCH_BITS = 22
 #: (the most common ones: the list only orders).
 COUNT_BITS, LEAST, LISTED = 36, 4, 1 << 21
 #: Shingles of a task that are sorted and cut at a time to be counted; about so many bytes are counted by a task.
-COUNTED, COUNT_BYTES = 1 << 21, 24 << 20
+COUNTED, COUNT_BYTES = 1 << 21, 12 << 20
 #: Classes of one shingle that are all paired at once.
 RUN = 24
 #: Classes of a shingle of more that are paired with all of its classes.
